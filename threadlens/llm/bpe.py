@@ -56,42 +56,42 @@ class Bpe(dict):
         self.single = [vocab[letters[b]] for b in range(256)]
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
-        self.rank, self.a, self.b, self.new = {}, [], [], []
+        self.rank, self.info = {}, []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.rank[vocab[a] << 16 | vocab[b]] = rank
-            self.a.append(vocab[a])
-            self.b.append(vocab[b])
-            self.new.append(vocab[a + b])
+            self.info.append((vocab[a], vocab[b], vocab[a + b]))
+        #: (rank << 32) of two bytes side by side, -1 where they don't merge
+        self.first = [self.rank.get(a << 16 | b, -1) for a in self.single for b in self.single]
+        self.first = [r << 32 if r >= 0 else -1 for r in self.first]
         self.find = regex.compile(PRETOKEN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else None
 
     def merged(self, word: bytes) -> list[int]:
         """Ids of one pretoken's bytes. Heap entries are rank << 32 | position; the list ends in a symbol that pairs with none."""
-        ids = [self.single[b] for b in word]
+        single, first, info, rank, pop, push = self.single, self.first, self.info, self.rank.get, heapq.heappop, heapq.heappush
+        ids = [single[b] for b in word]
         n = len(ids)
         ids.append(-1)
         left, right = list(range(-1, n)), list(range(1, n + 2))
-        rank, heap = self.rank.get, []
-        for i in range(n - 1):
-            if (r := rank(ids[i] << 16 | ids[i + 1])) is not None:
-                heap.append(r << 32 | i)
+        heap = [r | i for i, r in enumerate([first[a << 8 | b] for a, b in zip(word, word[1:])]) if r >= 0]
         heapq.heapify(heap)
         while heap:
-            entry = heapq.heappop(heap)
-            r, i = entry >> 32, entry & 0xFFFFFFFF
+            entry = pop(heap)
+            i = entry & 0xFFFFFFFF
+            a, b, new = info[entry >> 32]
             j = right[i]
-            if ids[i] != self.a[r] or ids[j] != self.b[r]:
+            if ids[i] != a or ids[j] != b:
                 continue  # stale: one of the two symbols has merged since
-            new = ids[i] = self.new[r]
+            ids[i] = new
             ids[j] = -1
             k = right[i] = right[j]
             left[k] = i
             if (r := rank(new << 16 | ids[k])) is not None:
-                heapq.heappush(heap, r << 32 | i)
+                push(heap, r << 32 | i)
             h = left[i]
             if (r := rank(ids[h] << 16 | new)) is not None:
-                heapq.heappush(heap, r << 32 | h)
+                push(heap, r << 32 | h)
         return [x for x in ids if x >= 0]
 
     def __missing__(self, word: str) -> bytes:
