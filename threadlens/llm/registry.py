@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.llm.bloom_dedup import OP2_SQL, op2_exact_dedup
+from threadlens.llm.bpe import op4_bpe
+from threadlens.llm.hmm import op1_hmm_lm
 from threadlens.llm.sharding import op10_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_hmm_lm": op1_hmm_lm,
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_bpe": op4_bpe,
         "op10_sharding": op10_sharding,
     }
 
