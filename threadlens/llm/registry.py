@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from threadlens.llm.bloom_dedup import OP2_SQL, op2_exact_dedup
 from threadlens.llm.bpe import op4_bpe
 from threadlens.llm.hmm import op1_hmm_lm
+from threadlens.llm.langid import op6_langid
 from threadlens.llm.minhash import op9_minhash
 from threadlens.llm.sharding import op10_sharding
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hmm_lm": op1_hmm_lm,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_bpe": op4_bpe,
+        "op6_langid": op6_langid,
         "op9_minhash": op9_minhash,
         "op10_sharding": op10_sharding,
     }
