@@ -11,6 +11,7 @@ from threadlens.llm.bpe import op4_bpe
 from threadlens.llm.hmm import op1_hmm_lm
 from threadlens.llm.langid import op6_langid
 from threadlens.llm.minhash import op9_minhash
+from threadlens.llm.quality import op8_quality
 from threadlens.llm.sharding import op10_sharding
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op4_bpe": op4_bpe,
         "op6_langid": op6_langid,
+        "op8_quality": op8_quality,
         "op9_minhash": op9_minhash,
         "op10_sharding": op10_sharding,
     }
