@@ -13,6 +13,7 @@ from threadlens.llm.langid import op6_langid
 from threadlens.llm.minhash import op9_minhash
 from threadlens.llm.quality import op8_quality
 from threadlens.llm.sharding import op10_sharding
+from threadlens.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_hmm_lm": op1_hmm_lm,
         "op2_exact_dedup": op2_exact_dedup,
         "op4_bpe": op4_bpe,
+        "op5_toxicity": op5_toxicity,
         "op6_langid": op6_langid,
         "op8_quality": op8_quality,
         "op9_minhash": op9_minhash,
