@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadlens.llm.bloom_dedup import OP2_SQL, op2_exact_dedup
 from threadlens.llm.bpe import op4_bpe
+from threadlens.llm.chat import OP3_SQL, op3_chat
 from threadlens.llm.hmm import op1_hmm_lm
 from threadlens.llm.langid import op6_langid
 from threadlens.llm.minhash import op9_minhash
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_hmm_lm": op1_hmm_lm,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_chat": op3_chat,
         "op4_bpe": op4_bpe,
         "op5_toxicity": op5_toxicity,
         "op6_langid": op6_langid,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op3_chat": OP3_SQL}
