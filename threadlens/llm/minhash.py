@@ -213,6 +213,27 @@ def id_filter(ids: DataFrame, of: str, n: int, bits_per_id: int = 16, max_bits:
     return out, bits
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is in ``ids`` (doc_id): rows that a Bloom filter of the ids clears never shuffle."""
+    spark, names = docs.sparkSession, docs.columns
+    words, bits = id_filter(ids, "doc_id", ids.count())
+    shared = spark.sparkContext.broadcast(words)
+    at = [F.pmod(F.xxhash64(F.lit(i), F.col("doc_id")), F.lit(bits)).alias(f"__at{i}") for i in range(2)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filter_ = shared.value
+        for batch in batches:
+            maybe = np.ones(batch.num_rows, bool)
+            for i in (len(names), len(names) + 1):
+                x = batch.column(i).to_numpy(zero_copy_only=False).astype(np.uint64)
+                maybe &= (filter_[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(maybe)], names=[*names, "__maybe"])
+
+    marked = docs.select("*", *at).mapInArrow(run, docs.select("*", F.lit(True).alias("__maybe")).schema)
+    rest = marked.where("__maybe").join(ids.distinct(), "doc_id", "left_anti")
+    return marked.where("NOT __maybe").select(*names).unionByName(rest.select(*names))
+
+
 def family_sets(docs: DataFrame, text: str, families: DataFrame) -> DataFrame:
     """(family, rep, n, shingles as packed hashes) for the members of families, from their whole texts."""
     spark = docs.sparkSession
