@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from threadlens.plans import aggregates, filters, joins
+
+MODULES: list = [filters, joins, aggregates]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
