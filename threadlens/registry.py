@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlens.plans import aggregates, filters, joins
+from threadlens.plans import aggregates, filters, joins, ordering, texts
 
-MODULES: list = [filters, joins, aggregates]
+MODULES: list = [filters, joins, aggregates, ordering, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["top_vector_knn"](spark, sf_dir)
+    return queries()["top.vector_knn"](spark, sf_dir)
