@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlens.plans import aggregates, filters, joins, ordering, texts
+from threadlens.plans import aggregates, filters, joins, ordering, retrieval, texts
 
-MODULES: list = [filters, joins, aggregates, ordering, texts]
+MODULES: list = [filters, joins, aggregates, ordering, texts, retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
