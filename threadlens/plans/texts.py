@@ -201,7 +201,7 @@ def question(spark, d):
     return table(spark, d, "documents").select("doc_id", ask("text").alias("q")).select("doc_id", F.size("q.chunks").alias("chunks"), "q.truncated")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _tokens(t: pd.Series) -> pd.Series:
     return t.map(chunking.words_and_signs).astype("int32")
 
