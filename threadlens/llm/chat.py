@@ -44,23 +44,26 @@ def chosen_paths(nodes: DataFrame, work: Workspace, branches: int = 1) -> DataFr
     """(tree, leaf, node, depth) of the best ``branches`` root-to-leaf paths of every tree."""
     known = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("total"))
     roots = known.alias("a").join(known.select("tree", "node").alias("b"), same("a", "b", ("tree", "tree")) & (F.col("a.parent") == F.col("b.node")), "left")
-    jump = work.keep(roots.select("a.tree", "a.node", F.col("b.node").alias("up"), "a.total", F.lit(1).alias("depth")), "jump")
-    jumps = [jump]
-    while not jumps[-1].where("up IS NOT NULL").isEmpty():
-        a = jumps[-1]
-        met = a.alias("a").join(a.alias("b"), same("a", "b", ("tree", "tree")) & (F.col("a.up") == F.col("b.node")), "left")
+    first = work.keep(roots.select("a.tree", "a.node", F.col("b.node").alias("up"), "a.total", F.lit(1).alias("depth")), "jump")
+    # only nodes that haven't met their root jump on, so short trees don't pay for long ones
+    full, climbing = first.where("up IS NULL"), first.where("up IS NOT NULL")
+    jumps = []
+    while not climbing.isEmpty():
+        if len(jumps) > 32:  # longer than any path: what still climbs is on a cycle
+            break
+        jumps.append(climbing)
+        a, b = climbing.alias("a"), full.unionByName(climbing).alias("b")
+        met = a.join(b, same("a", "b", ("tree", "tree")) & (F.col("a.up") == F.col("b.node")), "left")
         far = met.select(
             "a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"), (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth")
         )
-        jumps.append(work.keep(far, "jump"))
-        if len(jumps) > 32:  # longer than any path: what still climbs is on a cycle
-            break
-    full = jumps[-1].where("up IS NULL")
+        far = work.keep(far, "jump")
+        full, climbing = full.unionByName(far.where("up IS NULL")), far.where("up IS NOT NULL")
     leaves = full.alias("a").join(known.alias("b"), same("a", "b", ("tree", "tree")) & (F.col("a.node") == F.col("b.parent")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("total").desc(), F.col("depth").desc(), "node"))
     path = leaves.withColumn("r", rank).where(F.col("r") <= branches).select("tree", F.col("node").alias("leaf"), "node")
-    for jump in reversed(jumps[:-1]):
-        above = path.alias("a").join(jump.where("up IS NOT NULL").alias("b"), same("a", "b", ("tree", "tree")) & (F.col("a.node") == F.col("b.node")))
+    for jump in reversed(jumps):
+        above = path.alias("a").join(jump.alias("b"), same("a", "b", ("tree", "tree")) & (F.col("a.node") == F.col("b.node")))
         path = work.keep(path.unionByName(above.select("a.tree", "a.leaf", F.col("b.up").alias("node"))), "path")
     return path.alias("a").join(full.alias("b"), same("a", "b", ("tree", "tree")) & (F.col("a.node") == F.col("b.node"))).select("a.tree", "a.leaf", "a.node", "b.depth")
 
