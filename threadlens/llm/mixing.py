@@ -11,6 +11,7 @@ their rates stay equal, and the iterations run on the profiles' token totals. Ea
 the domains' second moments over the rows that may move, then projects to ``0 <= r <= most``.
 
 No text is ever shuffled: bins are computed where a document is read, and the rates come to it in a broadcast table.
+Columns of ``docs`` may have any names but those that begin with two underscores.
 
 Defined cases: null text counts as empty (no tokens, rate like its profile's); unlabelled documents are mixed like others; a domain without
 labelled rows gets only the smoothed chance; with no labelled rows all domains are equally likely; repeated rows count each time.
@@ -160,19 +161,32 @@ def rates(profiles: DataFrame, targets: dict[str, float] | None, work: Workspace
     return now
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, shares: dict[str, float] | None = None, most: float | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with ``__tokens``, the posteriors and ``rate``. ``labels``: (doc_id, domain)."""
+def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, shares: dict[str, float] | None, most: float | None, text: str) -> tuple[list[str], DataFrame, DataFrame]:
+    """(lexicon, bins and tokens of every row by doc_id, posteriors and rate of every profile). ``labels``: (doc_id, domain)."""
     work = Workspace(docs.sparkSession, "mixing")
     bins = [f"__{b}" for b in BINS]
-    lexicon = learnt_lexicon(docs.select("doc_id", F.col(text).alias("text")), labels)
-    seen = work.keep(binned(docs.select("doc_id", F.col(text).alias("text")), lexicon).select("doc_id", "__tokens", *bins), "bins")
+    rows = docs.select("doc_id", F.col(text).alias("text"))
+    lexicon = learnt_lexicon(rows, labels)
+    seen = work.keep(binned(rows, lexicon).select("doc_id", "__tokens", *bins), "bins")
     profiles = posteriors(seen, labels)
     if targets is not None:
         total = seen.agg(F.sum("__tokens")).first()[0] or 0
         targets = {d: w * total for d, w in targets.items()}
-    found = rates(profiles, targets, work, most, shares).drop("tokens")
-    # at most PROFILES rows
-    return binned(docs, lexicon, text).join(F.broadcast(found), bins).drop(*bins)
+    return lexicon, seen, rates(profiles, targets, work, most, shares).drop("tokens")
+
+
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str = "text") -> DataFrame:
+    """(doc_id, __tokens, posteriors, rate) of every row; ``targets`` are shares of the corpus's tokens."""
+    _, seen, found = fitted(docs, labels, targets, None, None, text)
+    bins = [f"__{b}" for b in BINS]
+    return seen.join(F.broadcast(found), bins).drop(*bins)  # at most PROFILES rows
+
+
+def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float], most: float, text: str = "text") -> DataFrame:
+    """Whole rows of ``docs`` with ``rate``; ``shares`` are parts of what each domain holds. Bins are computed again with the rows."""
+    lexicon, _, found = fitted(docs, labels, None, shares, most, text)
+    bins = [f"__{b}" for b in BINS]
+    return binned(docs, lexicon, text).join(F.broadcast(found.select(*bins, "rate")), bins).drop(*bins, "__tokens")  # at most PROFILES rows
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,6 +196,6 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates by which documents mix to token shares of 90 % good, 8 % poor and 2 % toxic at the corpus's own size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = mixed(docs, labelled(spark, sf_dir), targets={"good": 0.90, "poor": 0.08, "toxic": 0.02})
+    out = document_rates(docs, labelled(spark, sf_dir), {"good": 0.90, "poor": 0.08, "toxic": 0.02})
     copies = F.floor(F.col("rate") + F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "doc_id"), 11) / F.lit(float(2**53)))
     return out.select("doc_id", F.col("__tokens").cast("long").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", copies.alias("copies"))
