@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadlens.plans import aggregates, filters, joins, ordering, retrieval, texts
+from threadlens.plans import aggregates, filters, joins, lifecycle, ordering, retrieval, streams, support, texts
 
-MODULES: list = [filters, joins, aggregates, ordering, texts, retrieval]
+MODULES: list = [filters, joins, aggregates, ordering, texts, retrieval, lifecycle, streams, support]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
