@@ -43,7 +43,6 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
         _left.append((spark, self.path))
 
     def keep(self, df: DataFrame, name: str = "t", partitions: int | None = None) -> DataFrame:
@@ -53,13 +52,13 @@ class Workspace:
         out = df.coalesce(partitions) if partitions else df
         out.write.option("compression", "zstd").parquet(path)
         back = self.spark.read.schema(out.schema).parquet(path)
-        self._paths[id(back)] = path
+        back.__dict__["_kept_at"] = path
         return back
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove tables that ``keep`` returned and nothing will read again."""
         for t in tables:
-            if path := self._paths.pop(id(t), None):
+            if path := t.__dict__.pop("_kept_at", None):
                 remove(self.spark, path)
 
 
