@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import SPACES, arrow_limits
+from threadlens.llm.common import arrow_limits, SPACES, tidy
 from threadlens.session import table
 from threadlens.work import Workspace
 
@@ -51,7 +51,34 @@ def digested(docs: DataFrame, text: str = "text") -> DataFrame:
 
     filled = F.coalesce(F.col(text), F.lit(""))
     schema = docs.select("*", F.lit(b"").alias("__digest"), F.lit(0).alias("__length")).schema
-    return docs.select("*", filled.cast("binary").alias("__text"), F.length(filled).alias("__length")).mapInArrow(run, schema)
+    return docs.select("*", filled.cast("binary").alias("__text"), F.length(filled).alias("__length")).mapInArrow(tidy(run), schema)
+
+
+def flagged_rows(docs: DataFrame, filters: list[bytes], bits: int, text: str = "text") -> DataFrame:
+    """``digested`` and ``probed`` in one pass, so that a task keeps one Python worker."""
+    names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [hashlib.sha256(t.translate(None, SPACES)).digest() for t in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(names)], pa.array(d, pa.binary()), batch.column(len(names) + 1), pa.array(may_repeat(d, shared.value, bits))], names=[*names, "__digest", "__length", "__maybe"]
+            )
+
+    filled = F.coalesce(F.col(text), F.lit(""))
+    schema = docs.select("*", F.lit(b"").alias("__digest"), F.lit(0).alias("__length"), F.lit(False).alias("__maybe")).schema
+    return docs.select("*", filled.cast("binary").alias("__text"), F.length(filled).alias("__length")).mapInArrow(tidy(run), schema)
+
+
+def may_repeat(digests: list[bytes], filters: list[bytes], bits: int) -> np.ndarray:
+    """Which digests have all their bits set by several rows, in the filter of their slice."""
+    at = positions(digests, bits) if digests else np.zeros((0, HASHES), np.int64)
+    part = np.array([int.from_bytes(x[:4], "big") % len(filters) for x in digests], np.int64)
+    maybe = np.zeros(len(digests), bool)
+    for i in np.unique(part):
+        own, table_ = at[part == i], np.frombuffer(filters[i], np.uint8)
+        maybe[part == i] = ((table_[own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1).all(axis=1)
+    return maybe
 
 
 def several(digests: DataFrame, bits: int) -> bytes:
@@ -95,8 +122,8 @@ def several(digests: DataFrame, bits: int) -> bytes:
         if block is not None:
             yield out()
 
-    parts = digests.select("__digest").mapInArrow(sets, "block long, once binary, more binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block long, bits binary")
+    parts = digests.select("__digest").mapInArrow(tidy(sets), "block long, once binary, more binary")
+    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(tidy(merge), "block long, bits binary")
     whole = np.zeros(-(-bits // BLOCK_BITS) * BLOCK_BITS // 8, np.uint8)
     for r in merged.toLocalIterator():
         whole[r["block"] * BLOCK_BITS // 8 : (r["block"] + 1) * BLOCK_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -105,21 +132,14 @@ def several(digests: DataFrame, bits: int) -> bytes:
 
 def probed(df: DataFrame, filters: list[bytes], bits: int) -> DataFrame:
     """``df`` (with ``__digest``) and ``__maybe``: false where the digest cannot repeat."""
-    names, shared, slices = df.columns, df.sparkSession.sparkContext.broadcast(filters), len(filters)
+    names, shared = df.columns, df.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.frombuffer(f, np.uint8) for f in shared.value]
         for batch in batches:
-            d = batch.column(names.index("__digest")).to_pylist()
-            at = positions(d, bits) if d else np.zeros((0, HASHES), np.int64)
-            part = np.array([int.from_bytes(x[:4], "big") % slices for x in d], np.int64)
-            maybe = np.zeros(len(d), bool)
-            for i in np.unique(part):
-                own = at[part == i]
-                maybe[part == i] = ((tables[i][own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1).all(axis=1)
+            maybe = may_repeat(batch.column(names.index("__digest")).to_pylist(), shared.value, bits)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maybe)], names=[*names, "__maybe"])
 
-    return df.mapInArrow(run, df.select("*", F.lit(False).alias("__maybe")).schema)
+    return df.mapInArrow(tidy(run), df.select("*", F.lit(False).alias("__maybe")).schema)
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -166,7 +186,7 @@ def keep_one(docs: DataFrame, text: str = "text", bits_per_row: int = 16, max_bi
     bits = max(64, -(-n * bits_per_row // slices))
     filters = [several(digests.where(slice_of(slices) == i) if slices > 1 else digests, bits) for i in range(slices)]
     winners = classes(probed(digests, filters, bits).where("__maybe")).select("__digest", F.col("keep_id").alias("__keep"), F.col("keep_length").alias("__most"))
-    rows = probed(digested(docs, text), filters, bits)
+    rows = flagged_rows(docs, filters, bits, text)
     straight = rows.where(~F.col("__maybe")).select(*names)
     met = rows.where("__maybe").alias("r").join(winners.alias("w"), (F.col("r.__digest") == F.col("w.__digest")) & F.col("r.doc_id").eqNullSafe(F.col("w.__keep")) & (F.col("r.__length") == F.col("w.__most")), "left_semi")
     return straight.unionByName(met.dropDuplicates(["__digest"]).select(*names))

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import arrow_limits
+from threadlens.llm.common import arrow_limits, tidy
 from threadlens.session import table
 
 #: White space as the pattern's reference engines read ``\\s``; Python's own class has four control characters more.
@@ -45,7 +45,7 @@ def byte_letters() -> dict[int, str]:
 class Bpe(dict):
     """Ids of pretokens: a mapping from a pretoken to its packed little-endian ids, computed when first asked."""
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 300_000):
         super().__init__()
         spec = json.load(open(path, encoding="utf-8"))
         letters = byte_letters()
@@ -148,7 +148,7 @@ def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=[*names, "ids", "decoded"])
 
     schema = df.select("*", F.lit(b"").alias("ids"), F.lit("").alias("decoded")).schema
-    return df.select("*", F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return df.select("*", F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,4 +169,4 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=names)
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

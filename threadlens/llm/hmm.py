@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import arrow_limits, blocks, held, text_views, word_hashes, word_spans
+from threadlens.llm.common import arrow_limits, blocks, held, text_views, tidy, word_hashes, word_spans
 from threadlens.session import table
 from threadlens.work import Workspace
 
@@ -64,7 +64,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for i in range(0, len(u), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000].astype(np.int64)), pa.array(c[i : i + 100_000])], names=["word", "n"])
 
-    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def summed(parts: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ def summed(parts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "values"])
 
     schema = "part long, values binary"
-    first = parts.repartition("part", "salt").select("part", "values").mapInArrow(add, schema)
-    return first.repartition("part").mapInArrow(add, schema)
+    first = parts.repartition("part", "salt").select("part", "values").mapInArrow(tidy(add), schema)
+    return first.repartition("part").mapInArrow(tidy(add), schema)
 
 
 def side_by_side(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +242,7 @@ def classed(docs: DataFrame, model: Model) -> DataFrame:
                     names=["row", "doc_id", "train", "ids", "n_tokens", "known", "base", "rare"],
                 )
 
-    return docs.select("text", "row", "doc_id", "train").mapInArrow(run, "row long, doc_id long, train boolean, ids binary, n_tokens long, known long, base double, rare array<long>")
+    return docs.select("text", "row", "doc_id", "train").mapInArrow(tidy(run), "row long, doc_id long, train boolean, ids binary, n_tokens long, known long, base double, rare array<long>")
 
 
 def baum_welch(tokens: DataFrame, model: Model, window: int) -> None:
@@ -277,7 +277,7 @@ def baum_welch(tokens: DataFrame, model: Model, window: int) -> None:
                 [pa.array([*range(len(parts)), -1], pa.int64()), pa.array([*(p.tobytes() for p in parts), rest.tobytes()], pa.binary())], names=["part", "values"]
             )
 
-    parts = tokens.where("train").select("ids").mapInArrow(run, "part long, values binary")
+    parts = tokens.where("train").select("ids").mapInArrow(tidy(run), "part long, values binary")
     got = summed(parts.withColumn("salt", F.spark_partition_id() % 32)).collect()
     model.update({r["part"]: np.frombuffer(r["values"], np.float64) for r in got})
     shared.unpersist()
@@ -311,7 +311,7 @@ def forward(tokens: DataFrame, model: Model) -> DataFrame:
             yield from flush(rows, seqs)
 
     return tokens.select("row", "doc_id", "train", "n_tokens", "known", "base", "ids").mapInArrow(
-        run, "row long, doc_id long, train boolean, n_tokens long, known long, base double, gain double"
+        tidy(run), "row long, doc_id long, train boolean, n_tokens long, known long, base double, gain double"
     )
 
 

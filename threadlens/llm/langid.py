@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import arrow_limits, blocks, held, text_views
+from threadlens.llm.common import arrow_limits, blocks, held, text_views, tidy
 from threadlens.session import table
 
 DIMS = 1024
@@ -55,7 +55,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text of each trigram occurrence, its kind, the kinds as code points) over a block of texts."""
     padded = [f" {t.lower()} " for t in texts]
     points = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
+    owner = np.repeat(np.arange(len(padded), dtype=np.int32), [len(p) for p in padded])
     symbol = np.where(is_letter()[points], points, 0)
     keep = symbol != 0
     keep[1:] |= (symbol[:-1] != 0) | (owner[1:] != owner[:-1])
@@ -65,15 +65,16 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flag[symbol] = True
     used = np.flatnonzero(flag)
     n = len(used)
-    place = np.zeros(0x110000, np.int64)
+    place = np.zeros(0x110000, np.int32)
     place[used] = np.arange(n)
-    s = place[symbol]
+    small = n**3 <= 1 << 21
+    s = place[symbol].astype(np.int32 if small else np.int64)
     inside = owner[2:] == owner[:-2]
     code = ((s[:-2] * n + s[1:-1]) * n + s[2:])[inside]
     owner = owner[:-2][inside]
-    if n**3 <= 1 << 23:
+    if small:
         kinds = np.flatnonzero(np.bincount(code, minlength=1))
-        at = np.zeros(n**3, np.int64)
+        at = np.zeros(n**3, np.int32)
         at[kinds] = np.arange(len(kinds))
         code = at[code]
     else:
@@ -89,7 +90,7 @@ def bound(kinds: np.ndarray, dims: int) -> np.ndarray:
     return np.roll(base, 2, axis=1)[at[:, 0]] * np.roll(base, 1, axis=1)[at[:, 1]] * base[at[:, 2]]
 
 
-def kind_steps(kinds: np.ndarray, step: int = 16_384) -> Iterator[slice]:
+def kind_steps(kinds: np.ndarray, step: int = 4096) -> Iterator[slice]:
     for i in range(0, len(kinds), step):
         yield slice(i, i + step)
 
@@ -102,7 +103,7 @@ def prototypes(docs: DataFrame, text: str, lang: str, dims: int = DIMS) -> tuple
         for batch in batches:
             langs_all = batch.column(1).to_pylist()
             _, offsets = text_views(batch.column(0))
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, 2 << 20):
                 owner, code, kinds = trigrams(batch.column(0).slice(a, b - a).to_pylist())
                 names = sorted(set(langs_all[a:b]))
                 if not len(kinds):
@@ -118,7 +119,7 @@ def prototypes(docs: DataFrame, text: str, lang: str, dims: int = DIMS) -> tuple
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([np.rint(v * UNIT).astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["lang", "v"])
 
     taught = docs.where(F.col(lang).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(lang).cast("string").alias("lang"))
-    got = taught.mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    got = taught.mapInArrow(tidy(run), "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     names = sorted({r["lang"] for r in got})
     sums = np.zeros((len(names), dims))
     for r in got:
@@ -138,7 +139,7 @@ def identified(docs: DataFrame, names: list[str], protos: np.ndarray, text: str
         for batch in batches:
             column = batch.column(len(kept))
             _, offsets = text_views(column)
-            for a, b in blocks(offsets):
+            for a, b in blocks(offsets, 2 << 20):
                 owner, code, kinds = trigrams(column.slice(a, b - a).to_pylist())
                 pred, score = np.full(b - a, len(names)), np.zeros(b - a)
                 if len(names) and len(kinds):
@@ -164,7 +165,7 @@ def identified(docs: DataFrame, names: list[str], protos: np.ndarray, text: str
                 )
 
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

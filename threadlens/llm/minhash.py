@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import arrow_limits, blocks, mix, text_views, word_hashes, word_spans
+from threadlens.llm.common import arrow_limits, blocks, mix, text_views, tidy, word_hashes, word_spans
 from threadlens.llm.components import components
 from threadlens.session import table
 from threadlens.work import Workspace
@@ -108,7 +108,7 @@ def signed(docs: DataFrame, text: str, symbols: int) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def keyed(reps: DataFrame, chunks: int, width: int) -> DataFrame:
@@ -132,7 +132,7 @@ def keyed(reps: DataFrame, chunks: int, width: int) -> DataFrame:
             for i in range(0, len(keys), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000]), pa.array(ids[i : i + 50_000])], names=["key", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return reps.select("rep", "sig").mapInArrow(tidy(run), "key long, rep long")
 
 
 def reach(n: int, near) -> list[tuple[int, int]]:
@@ -199,7 +199,7 @@ def similar_in_buckets(members: DataFrame, distance: int, percent: int, symbols:
         yield from edge_batches(edges())
 
     dealt = in_parts(members, F.ceil(F.col("n") / BUCKET), "rep").select("key", "p", "q", "rep", "n_shingles", "sig")
-    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rep").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rep").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def id_filter(ids: DataFrame, of: str, n: int, bits_per_id: int = 16, max_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
@@ -229,7 +229,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 maybe &= (filter_[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(maybe)], names=[*names, "__maybe"])
 
-    marked = docs.select("*", *at).mapInArrow(run, docs.select("*", F.lit(True).alias("__maybe")).schema)
+    marked = docs.select("*", *at).mapInArrow(tidy(run), docs.select("*", F.lit(True).alias("__maybe")).schema)
     rest = marked.where("__maybe").join(ids.distinct(), "doc_id", "left_anti")
     return marked.where("NOT __maybe").select(*names).unionByName(rest.select(*names))
 
@@ -254,7 +254,7 @@ def family_sets(docs: DataFrame, text: str, families: DataFrame) -> DataFrame:
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "shingles"])
 
-    sets = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), *at).mapInArrow(run, "rep long, shingles binary")
+    sets = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), *at).mapInArrow(tidy(run), "rep long, shingles binary")
     return families.join(sets, "rep").select("family", "rep", F.length("shingles").alias("bytes"), "shingles")
 
 
@@ -289,7 +289,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
         yield from edge_batches(edges())
 
     dealt = in_parts(sets.join(sizes, "family"), F.col("parts"), "rep").select("family", "p", "q", "rep", "shingles")
-    return dealt.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", "rep").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", "rep").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85) -> DataFrame:
