@@ -44,13 +44,11 @@ def chosen_paths(nodes: DataFrame, work: Workspace, branches: int = 1) -> DataFr
     """(tree, leaf, node, depth) of the best ``branches`` root-to-leaf paths of every tree."""
     known = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("total"))
     roots = known.alias("a").join(known.select("tree", "node").alias("b"), same("a", "b", ("tree", "tree")) & (F.col("a.parent") == F.col("b.node")), "left")
-    first = work.keep(roots.select("a.tree", "a.node", F.col("b.node").alias("up"), "a.total", F.lit(1).alias("depth")), "jump")
+    first = work.keep(roots.select("a.tree", "a.node", F.col("b.node").alias("up"), "a.total", F.lit(1).cast("long").alias("depth")), "jump")
     # only nodes that haven't met their root jump on, so short trees don't pay for long ones
     full, climbing = first.where("up IS NULL"), first.where("up IS NOT NULL")
-    jumps = []
-    while not climbing.isEmpty():
-        if len(jumps) > 32:  # longer than any path: what still climbs is on a cycle
-            break
+    jumps, most = [], first.count().bit_length()
+    while len(jumps) <= most and not climbing.isEmpty():  # what climbs on after log2(nodes) jumps is on a cycle
         jumps.append(climbing)
         a, b = climbing.alias("a"), full.unionByName(climbing).alias("b")
         met = a.join(b, same("a", "b", ("tree", "tree")) & (F.col("a.up") == F.col("b.node")), "left")
