@@ -102,3 +102,38 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_next_run(spark, attempts, after, want):
     df = spark.createDataFrame([(attempts, after)], "a int, r int")
     assert df.select(ingest.next_run(F.col("a"), F.col("r"))).first()[0] == want
+
+
+def test_scan_resumes():
+    from threadlens.sources.tail import Cursor, scan, still_valid
+
+    content = b"one\n" + b"x" * 50 + b"\ntwo\n\xff\nthr"
+    whole, _ = scan(content, Cursor(), longest=20)
+    for cut in range(len(content)):
+        first, cursor = scan(content[:cut], Cursor(), longest=20)
+        rest, _ = scan(content, cursor, longest=20)
+        assert first + rest == whole
+    assert [(t, p) for _, t, p in whole] == [("one", ""), (None, "too_long"), ("two", ""), (None, "not_utf8")]
+    small, cursor = [], Cursor()
+    while True:
+        part, after = scan(content, cursor, budget=7, longest=5)
+        if after == cursor:
+            break
+        small, cursor = small + part, after
+    assert [t for _, t, p in small if not p] == ["one", "two"]
+    assert still_valid(cursor, 0, len(content), content) and not still_valid(cursor, 1, len(content), content) and not still_valid(cursor, 0, 3, content[:3])
+
+
+def test_tail_stream(spark, tmp_path):
+    from threadlens.sources.tail import TailSource
+
+    spark.dataSource.register(TailSource)
+    log, out = tmp_path / "a.jsonl", f"{tmp_path}/out"
+    log.write_bytes(b"one\ntw")
+    for more in (b"o\nthree\n", b""):
+        q = spark.readStream.format("tail").load(f"{tmp_path}/*.jsonl").writeStream.option("checkpointLocation", f"{tmp_path}/cp").format("parquet").start(out)
+        q.processAllAvailable()
+        q.stop()
+        with log.open("ab") as f:
+            f.write(more)
+    assert sorted(r["line"] for r in spark.read.parquet(out).collect()) == ["one", "three", "two"]

@@ -211,6 +211,36 @@ def eval_seed(spark, d):
     return cases.join(messages(spark, d).select("session_id", "message_id"), "session_id").groupBy("case_id").agg(F.count("*").alias("sources"))
 
 
+def known_secrets(spark, d):
+    from threadlens.functions.redaction import secrets_problems
+
+    cases = {"good": ["abcdefgh"], "short": ["abc"], "twice": ["abcdefgh", "abcdefgh"]}
+    return spark.createDataFrame([(k, ",".join(secrets_problems(v))) for k, v in cases.items()], "name string, problems string")
+
+
+def atoms(spark, d):
+    from threadlens.functions import chunking
+
+    find = F.udf(lambda t: [(a.start, a.end, a.tokens) for a in chunking.atoms_of([(0, 1, t)], chunking.words_and_signs)], "array<struct<a:int,b:int,tokens:int>>", useArrow=True)
+    return table(spark, d, "documents").select("doc_id", find("text").alias("s")).select("doc_id", F.aggregate("s", F.lit(0), lambda x, y: x + y["b"] - y["a"]).alias("covered"), (F.array_max(F.transform("s", lambda y: y["tokens"])) <= 1067).alias("within"))
+
+
+def collector_state(spark, d):
+    e = table(spark, d, "events")
+    return e.groupBy("user_id").agg(F.max("event_id").alias("cursor"), F.count_distinct("event_type").alias("versions"))
+
+
+def dispatch(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "view", "classify").when(F.col("event_type") == "click", "search").when(F.col("event_type") == "error", "build").otherwise("continuity")
+    return e.groupBy(kind.alias("processor")).agg(F.count("*").alias("jobs"))
+
+
+def ann_plumbing(spark, d):
+    docs = documents(spark, d).groupBy("project_id").agg(F.count("*").alias("n"))
+    return docs.select("project_id", F.concat(F.lit("index_"), F.substring(F.sha2(F.col("project_id").cast("string"), 256), 1, 16)).alias("name"), (F.col("n") > 20).alias("valid"))
+
+
 def admin_cli(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("company_id"), "s_suppkey")
     last = Window.partitionBy("company_id").orderBy(F.col("s_suppkey").desc())
@@ -219,7 +249,7 @@ def admin_cli(spark, d):
 
 NAMES = (
     tenant_check, session_upsert, message_insert, auto_request, link_evidence, request_rows, result_parts, input_valid, relation_tuples, assign_guard, hook_message, record_dispatch, hook_ingest, source_registry, policy_resolve, repo_resolve, collector_keys,
-    diagnostics, notify_state, outbox_gates, judge_request, provider_parse, usage_log, prior_search, error_map, search_failed, retry, request_state, candidate_sources, session_load, source_compare, generation_rows, run_state, continuity_job, reuse_evidence, eval_seed, admin_cli,
+    diagnostics, notify_state, outbox_gates, judge_request, provider_parse, usage_log, prior_search, error_map, search_failed, retry, request_state, candidate_sources, session_load, source_compare, generation_rows, run_state, continuity_job, reuse_evidence, eval_seed, admin_cli, known_secrets, atoms, collector_state, dispatch, ann_plumbing,
 )
 QUERIES = {f"sp.{f.__name__}": f for f in NAMES}
 
@@ -260,5 +290,10 @@ ORACLES = {
     "sp.continuity_job": cte("messages") + " SELECT session_id, min(message_id) AS trigger FROM messages GROUP BY 1",
     "sp.reuse_evidence": cte("messages") + " SELECT message_id, message_id % 4 >= 2 AS reusable FROM messages",
     "sp.eval_seed": cte("messages") + " SELECT range AS case_id, count(*) AS sources FROM range(30) JOIN messages ON session_id = range * 3 % 100 GROUP BY 1",
+    "sp.known_secrets": "SELECT * FROM (VALUES ('good', ''), ('short', 'secret_length'), ('twice', 'duplicate_secret')) t(name, problems)",
+    "sp.atoms": "SELECT doc_id, length(text)::INT AS covered, true AS within FROM documents",
+    "sp.collector_state": "SELECT user_id, max(event_id) AS cursor, count(DISTINCT event_type) AS versions FROM events GROUP BY 1",
+    "sp.dispatch": "SELECT CASE event_type WHEN 'view' THEN 'classify' WHEN 'click' THEN 'search' WHEN 'error' THEN 'build' ELSE 'continuity' END AS processor, count(*) AS jobs FROM events GROUP BY 1",
+    "sp.ann_plumbing": "SELECT label AS project_id, 'index_' || substring(sha256(label::VARCHAR), 1, 16) AS name, count(*) > 20 AS valid FROM embeddings GROUP BY 1",
     "sp.admin_cli": "SELECT s_nationkey AS company_id, s_suppkey, s_suppkey = max(s_suppkey) OVER (PARTITION BY s_nationkey) AS active FROM supplier",
 }

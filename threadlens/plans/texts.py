@@ -10,7 +10,8 @@ from threadlens.functions import chunking, identifiers, redaction, text
 from threadlens.operators import joins as op
 from threadlens.plans.base import cte, messages
 from threadlens.session import table
-from threadlens.sources import transcripts
+from threadlens.sources import tail, transcripts
+from threadlens.work import Workspace
 
 
 def extract_entities(spark, d):
@@ -150,6 +151,69 @@ def http_events(spark, d):
     return back.select("message_id", "role", F.octet_length("text").alias("bytes"))
 
 
+def pg_scan(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").where("o_custkey < 100")
+
+
+def _claude_lines(spark, d):
+    c = table(spark, d, "conversations").where("role <> 'system'")
+    record = F.struct(F.col("role").alias("type"), F.concat_ws("-", "conv_id", "turn").alias("uuid"), F.col("conv_id").cast("string").alias("sessionId"), F.lit("t").alias("timestamp"), F.concat(F.lit("v"), F.col("conv_id") % 2).alias("version"), (F.col("turn") == 1).alias("isMeta"), F.struct(F.col("text").alias("content")).alias("message"))
+    return c.select("conv_id", "turn", F.to_json(record).alias("line"))
+
+
+def backfill(spark, d):
+    folder = f"{Workspace(spark, 'backfill').path}/logs"
+    _claude_lines(spark, d).select("line").repartition(3).write.text(f"{folder}/a/b")
+    out = transcripts.backfill(spark, folder, transcripts.parse_claude, "jsonl")
+    return out.withColumn("versions", F.array_join("versions", ","))
+
+
+def zstd_deepseek(spark, d):
+    @F.pandas_udf(T.BinaryType())
+    def packed(lines: pd.Series) -> pd.Series:
+        import zstandard
+
+        return lines.map(lambda x: b"".join(zstandard.ZstdCompressor().compress((y + "\n").encode()) for y in x) + b"broken")
+
+    lists = _claude_lines(spark, d).groupBy((F.col("conv_id") % 5).cast("string").alias("path")).agg(F.collect_list("line").alias("lines"))
+    files = lists.select("path", packed("lines").alias("content"))
+    return transcripts.unpacked_lines(files).groupBy("file").agg(F.count("*").alias("n"))
+
+
+def incremental_scan(spark, d):
+    """Two scans of each file: of its first half, and on from there."""
+    lists = _claude_lines(spark, d).groupBy((F.col("conv_id") % 5).cast("string").alias("file")).agg(F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\nunfinished")).alias("content"))
+
+    def run(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["file"], pdf["content"]):
+                raw = content.encode()
+                first, cursor = tail.scan(raw[: len(raw) // 2], tail.Cursor())
+                rest, _ = tail.scan(raw, cursor)
+                yield pd.DataFrame({"file": [name], "n": [len(first) + len(rest)], "problems": [sum(bool(p) for _, _, p in first + rest)]})
+
+    return lists.mapInPandas(run, "file string, n long, problems long")
+
+
+def cursor_validity(spark, d):
+    @F.pandas_udf(T.BooleanType())
+    def valid(old: pd.Series, new: pd.Series, inode: pd.Series) -> pd.Series:
+        def one(a, b, i):
+            a, b = a.encode(), b.encode()
+            return tail.still_valid(tail.Cursor(len(a), False, 1, *tail.fingerprint(a)), i, len(b), b[: tail.HEAD_BYTES])
+
+        return pd.Series([one(*x) for x in zip(old, new, inode)])
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    new = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x"), F.col("text"))).when(F.col("doc_id") % 3 == 1, F.concat(F.col("text"), F.lit("more"))).otherwise(F.lit(""))
+    return docs.select("doc_id", valid("text", new, F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1)).alias("valid"))
+
+
+def policy_validate(spark, d):
+    cases = {"plain": redaction.Policy(fields=("a",), terms=("b",)), "twice": redaction.Policy(fields=("a", "A")), "placeholder": redaction.Policy(terms=("[x]",)), "mode": redaction.Policy(suspicion_mode="none")}
+    return spark.createDataFrame([(k, ",".join(redaction.policy_problems(p))) for k, p in cases.items()], "name string, problems string")
+
+
 def upsert(spark, d):
     old = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.lit(0).alias("v"))
     new = table(spark, d, "customer").select((F.col("c_custkey") % 150).alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.col("c_custkey").cast("int").alias("v"))
@@ -215,8 +279,8 @@ def judge_parts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("part", "r")).select("doc_id", "part", "r.offset", "r.length")
 
 
-QUERIES = {f"str.{f.__name__}": f for f in (extract_entities, redact_builtin, redact_known, redact_fields, redact_terms, suspicion, sanitize, canonical_remote, code_points, utf8_bytes, case_report, context_text, namespace, sql_misc)}
-QUERIES |= {f"src.{f.__name__}": f for f in (jsonl_claude, jsonl_codex, codex_turn_ctx, cursor_hook, stateful_deepseek, http_events)}
+QUERIES = {f"str.{f.__name__}": f for f in (extract_entities, redact_builtin, redact_known, redact_fields, redact_terms, suspicion, sanitize, canonical_remote, code_points, utf8_bytes, case_report, context_text, namespace, sql_misc, policy_validate)}
+QUERIES |= {f"src.{f.__name__}": f for f in (jsonl_claude, jsonl_codex, codex_turn_ctx, cursor_hook, stateful_deepseek, http_events, pg_scan, backfill, zstd_deepseek, incremental_scan, cursor_validity)}
 QUERIES |= {f"snk.{f.__name__}": f for f in (upsert, outbox, http_providers, hook_json)}
 QUERIES |= {f"chk.{f.__name__}": f for f in (structural, split_lines, overlap, plan, question, tokens, judge_parts)}
 
@@ -245,6 +309,12 @@ ORACLES = {
     "src.cursor_hook": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'beforeSubmitPrompt' ELSE 'afterAgentResponse' END AS hook_event_name, CASE WHEN turn % 2 = 0 THEN 'special' ELSE 'base' END AS model_id, CASE WHEN turn % 3 <> 0 THEN 'max' END AS reasoning_effort, length(text)::INT AS chars FROM conversations WHERE role <> 'system'",
     "src.stateful_deepseek": "SELECT conv_id::VARCHAR AS source_session_id, conv_id || '-' || turn AS source_message_id, '2024-01-01T00:00:00.000Z' AS occurred_at, length(text)::INT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1 AND conv_id % 5 <> 0 AND conv_id % 3 <> 0",
     "src.http_events": cte("messages") + " SELECT message_id, role, strlen(text)::INT AS bytes FROM messages",
+    "src.pg_scan": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 100",
+    "src.backfill": "SELECT 'jsonl' AS source, count(DISTINCT conv_id) FILTER (WHERE turn <> 1) AS sessions, count(*) FILTER (WHERE turn <> 1) AS candidates, count(*) FILTER (WHERE turn = 1) AS excluded, string_agg(DISTINCT 'v' || conv_id % 2, ',' ORDER BY 'v' || conv_id % 2) FILTER (WHERE turn <> 1) AS versions FROM conversations WHERE role <> 'system'",
+    "src.zstd_deepseek": "SELECT (conv_id % 5)::VARCHAR AS file, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY 1",
+    "src.incremental_scan": "SELECT (conv_id % 5)::VARCHAR AS file, count(*) AS n, 0::BIGINT AS problems FROM conversations WHERE role <> 'system' GROUP BY 1",
+    "src.cursor_validity": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN false WHEN doc_id % 3 = 0 THEN 'x' || text = text WHEN doc_id % 3 = 1 THEN true ELSE text = '' END AS valid FROM documents",
+    "str.policy_validate": "SELECT * FROM (VALUES ('plain', ''), ('twice', 'duplicate_rule'), ('placeholder', 'term_is_placeholder'), ('mode', 'mode_invalid')) t(name, problems)",
     "snk.upsert": "WITH n AS (SELECT c_custkey % 150 AS s_suppkey, arg_max(c_nationkey, c_custkey) AS s_nationkey, max(c_custkey)::INT AS v FROM customer GROUP BY 1) SELECT s_suppkey, s_nationkey, 0 AS v FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT s_suppkey, s_nationkey, v FROM n",
     "snk.http_providers": "SELECT d.doc_id::VARCHAR AS state_hash, coalesce(quality, -1) AS answer FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "snk.hook_json": cte("messages") + ", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_no) AS r, count(*) OVER (PARTITION BY session_id) AS c FROM messages) SELECT session_id, string_agg('[' || role || '] ' || substring(text, 1, 40), chr(10) ORDER BY sequence_no) FILTER (WHERE r <= 5) AS evidence, greatest(max(c) - 5, 0)::INT AS omitted, bool_or(length(text) > 40 AND r <= 5) AS truncated FROM n GROUP BY 1",

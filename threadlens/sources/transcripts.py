@@ -206,7 +206,12 @@ def parse_deepseek(df: DataFrame, repository: str | None = None) -> DataFrame:
 
 
 def zstd_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of files of concatenated zstd frames, up to the first broken frame; an unfinished last line is left out."""
+    """(file, line_no, line) of files of concatenated zstd frames."""
+    return unpacked_lines(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unpacked_lines(files: DataFrame) -> DataFrame:
+    """Lines of (path, content): frames up to the first broken one; an unfinished last line is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -227,7 +232,6 @@ def zstd_lines(spark: SparkSession, path: str) -> DataFrame:
                 lines = out.getvalue().split(b"\n")[:-1]
                 yield pd.DataFrame({"file": name, "line_no": range(1, len(lines) + 1), "line": [x.decode("utf-8", "replace") for x in lines]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "file string, line_no long, line string")
 
 
