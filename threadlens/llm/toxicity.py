@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 A text's severity y in 0..G-1 follows P(y <= g) = logistic(threshold_g - w.x): one weight vector shared by all thresholds, which
-stay in order because each is the one before plus a positive step. Features are words and word prefixes of four letters
+are kept in order at every step. Features are words and word prefixes of four letters
 hashed into ``2 ** bits`` places, each with its square-rooted count over the text's length term, weighted by rarity in the
 training rows. Weights are fitted by proximal accelerated gradient descent with a fixed number of steps and a sparsity
 penalty, on a sample of about 8000 labelled rows (``sampled``), the ones with the smallest hashes of their ids; every row is
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import arrow_limits, blocks, mix, text_views, word_hashes, word_spans
+from threadlens.llm.common import arrow_limits, blocks, mix, text_views, tidy, word_hashes, word_spans
 from threadlens.session import table
 
 BITS = 18
@@ -66,38 +66,39 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
     row, x, at, used, rarity = row[inside], x[inside], to[at[inside]], used[strong], rarity[strong]
     w, freq = np.zeros(len(used)), np.bincount(grade, minlength=grades) / n
     cum = np.clip(np.cumsum(freq)[:-1], 1e-4, 1 - 1e-4)
-    base = np.log(cum / (1 - cum))
-    gaps = np.log(np.maximum(np.diff(base), 1e-2))
-    theta = np.concatenate([[base[0]], gaps])  # first threshold, logarithms of the steps
-    v, tv = w.copy(), theta.copy()
+
+    def ordered(c: np.ndarray) -> np.ndarray:  # thresholds keep their order, a tenth apart at least
+        return np.maximum.accumulate(c - 0.1 * np.arange(len(c))) + 0.1 * np.arange(len(c))
+
+    theta = ordered(np.log(cum / (1 - cum)))
     u = np.ones(len(used))
-    for _ in range(20):  # the largest curvature bounds the step
+    for _ in range(20):  # the largest curvature of the weights bounds their step; two blocks share the bound
         u /= np.linalg.norm(u) + 1e-30
         u = np.bincount(at, x * np.bincount(row, x * u[at], n)[row], len(used))
-    rate = 2 * n / (np.linalg.norm(u) + 1e-30)
-    unfold = lambda t: np.concatenate([[t[0]], t[0] + np.cumsum(np.exp(t[1:]))])
-    for step in range(steps):
-        cuts = np.concatenate([[-np.inf], unfold(tv), [np.inf]])
+    rate = n / (np.linalg.norm(u) + 1e-30)
+    v, tv, k, last = w.copy(), theta.copy(), 0, np.inf
+    for _ in range(steps):
+        cuts = np.concatenate([[-np.inf], tv, [np.inf]])
         z = np.bincount(row, x * v[at], n)
         up, low = cuts[grade + 1] - z, cuts[grade] - z
         fu, fl = np.where(np.isinf(up), 1.0, _sigmoid(np.where(np.isinf(up), 0, up))), np.where(np.isinf(low), 0.0, _sigmoid(np.where(np.isinf(low), 0, low)))
-        du, dl, p = fu * (1 - fu), fl * (1 - fl), np.maximum(fu - fl, 1e-9)
-        gz = (du - dl) / p / n  # of the negative log likelihood
-        gw = np.bincount(at, x * gz[row], len(used))
+        du, dl, p = fu * (1 - fu), fl * (1 - fl), np.maximum(fu - fl, 1e-12)
+        gw = np.bincount(at, x * ((du - dl) / p / n)[row], len(used))  # of the mean negative log likelihood
         gc = np.bincount(np.minimum(grade, grades - 2), np.where(grade < grades - 1, -du / p / n, 0), grades - 1)
         gc += np.bincount(np.maximum(grade - 1, 0), np.where(grade > 0, dl / p / n, 0), grades - 1)
-        gt = np.concatenate([[gc.sum()], [gc[i:].sum() * np.exp(tv[i]) for i in range(1, grades - 1)]])
         new = v - rate * gw
         new = np.sign(new) * np.maximum(np.abs(new) - rate * sparsity, 0)
-        newt = tv - 2.0 * gt
-        m = step / (step + 3)
-        v, tv = new + m * (new - w), newt + m * (newt - theta)
+        newt = ordered(tv - 0.5 * gc)
+        loss = -np.log(p).mean() + sparsity * np.abs(v).sum()
+        k = 0 if loss > last else k + 1  # momentum starts anew when it overshoots
+        last, m = loss, k / (k + 3)
+        v, tv = new + m * (new - w), ordered(newt + m * (newt - theta))
         w, theta = new, newt
     weights = np.zeros(1 << bits, np.float32)
     weights[used] = w
     scale = np.zeros(1 << bits, np.float32)
     scale[used] = rarity
-    return np.stack([weights, scale]), unfold(theta)
+    return np.stack([weights, scale]), theta
 
 
 def sampled(labels: DataFrame, most: int) -> DataFrame:
@@ -139,7 +140,7 @@ def trained(labelled: DataFrame, text: str, grade: str, grades: int, bits: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists(pa.array(place.astype(np.int32))), lists(pa.array(value.astype(np.float32)))], names=["grade", "h", "place", "value"])
 
     rows = labelled.where(F.col(grade).isNotNull()).select(F.col(grade).cast("int").alias("grade"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), F.xxhash64("doc_id").alias("h"))
-    got = rows.mapInArrow(run, "grade int, h long, place array<int>, value array<float>").toArrow().sort_by("h")
+    got = rows.mapInArrow(tidy(run), "grade int, h long, place array<int>, value array<float>").toArrow().sort_by("h")
     grade_ = got["grade"].to_numpy().astype(np.int64)
     if not len(grade_) or len(np.unique(grade_)) < 2:
         only = int(grade_[0]) if len(grade_) else 0
@@ -168,7 +169,7 @@ def severity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str =
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array(above.sum(1)), pa.array(above[:, 0])], names=[*kept, "severity", "p_any"])
 
     schema = docs.select("*", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_any")).schema
-    return docs.select("*", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return docs.select("*", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def grade_of(toxic: Column, text: Column) -> Column:
