@@ -64,7 +64,7 @@ def collect_struct(spark, d):
 
 
 def _parts(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
+    li = table(spark, d, "lineitem")
     retention = F.when(F.col("l_linenumber") % 4 == 1, "progress_only").when(F.col("l_linenumber") % 4 == 2, "unknown").when(F.col("l_returnflag") == "R", "decision_signal").otherwise("substantive")
     return li.select(
         F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("part"), retention.alias("retention"), F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("action"),
@@ -117,7 +117,7 @@ def latest_source(spark, d):
 
 
 def _routes(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 4 = 0")
+    li = table(spark, d, "lineitem")
     route = F.when(F.col("l_returnflag") == "A", "vector").when(F.col("l_returnflag") == "N", "entity").otherwise("strategy")
     return li.select(
         (F.col("l_orderkey") % 50).alias("request_id"), (F.col("l_partkey") % 40).alias("document_id"), route.alias("route"), F.when(F.col("l_returnflag") == "A", F.col("l_linenumber")).alias("chunk"), (F.col("l_suppkey") % 20 + 1).alias("rank")
@@ -159,10 +159,10 @@ QUERIES = {f"agg.{f.__name__}": f for f in (
 )}
 
 _P = """p AS (SELECT l_orderkey AS message_id, l_linenumber AS part, CASE WHEN l_linenumber % 4 = 1 THEN 'progress_only' WHEN l_linenumber % 4 = 2 THEN 'unknown' WHEN l_returnflag = 'R' THEN 'decision_signal' ELSE 'substantive' END AS retention,
-  l_linestatus AS status, l_returnflag AS action, l_quantity > 25 AS searchable, CASE WHEN l_discount < 0.06 THEN 'yes' ELSE 'no' END AS same_conditions, CASE WHEN l_tax > 0.02 THEN (l_suppkey % 7)::VARCHAR END AS model FROM lineitem WHERE l_orderkey % 5 = 0)"""
+  l_linestatus AS status, l_returnflag AS action, l_quantity > 25 AS searchable, CASE WHEN l_discount < 0.06 THEN 'yes' ELSE 'no' END AS same_conditions, CASE WHEN l_tax > 0.02 THEN (l_suppkey % 7)::VARCHAR END AS model FROM lineitem)"""
 _RETENTION = "['substantive', 'decision_signal', 'unknown', 'progress_only'][min(CASE retention WHEN 'substantive' THEN 1 WHEN 'decision_signal' THEN 2 WHEN 'unknown' THEN 3 ELSE 4 END)]"
 _MODELS = "coalesce((SELECT string_agg(model, ',' ORDER BY first_part) FROM (SELECT model, min(part) AS first_part FROM p q WHERE q.message_id = p.message_id AND model IS NOT NULL GROUP BY model)), '')"
-_R = "r AS (SELECT l_orderkey % 50 AS request_id, l_partkey % 40 AS document_id, CASE l_returnflag WHEN 'A' THEN 'vector' WHEN 'N' THEN 'entity' ELSE 'strategy' END AS route, CASE WHEN l_returnflag = 'A' THEN l_linenumber END AS chunk, l_suppkey % 20 + 1 AS rank FROM lineitem WHERE l_orderkey % 4 = 0)"
+_R = "r AS (SELECT l_orderkey % 50 AS request_id, l_partkey % 40 AS document_id, CASE l_returnflag WHEN 'A' THEN 'vector' WHEN 'N' THEN 'entity' ELSE 'strategy' END AS route, CASE WHEN l_returnflag = 'A' THEN l_linenumber END AS chunk, l_suppkey % 20 + 1 AS rank FROM lineitem)"
 _UNANIMOUS = "CASE WHEN min({0}) = max({0}) AND count({0}) = count(*) THEN min({0}) ELSE 'unknown' END"
 
 ORACLES = {

@@ -19,7 +19,7 @@ CTE = {
     "analysis": "analysis AS (SELECT conv_id * 1000 + turn AS message_id, CASE turn % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'proposal' WHEN 2 THEN 'reported_completed' ELSE 'reported_verified' END AS statement_status, CASE WHEN length(text) < 120 THEN 'progress_only' ELSE 'substantive' END AS retention_category, length(text) % 5 <> 0 AS is_searchable FROM conversations WHERE role IN ('user', 'assistant'))",
     "relations": "relations AS (SELECT conv_id * 1000 + turn AS from_id, conv_id * 1000 + turn - 2 AS to_id, CASE WHEN turn % 3 = 0 THEN 'revoke' ELSE 'change' END AS relation FROM conversations WHERE role = 'assistant' AND turn >= 3)",
     "samples": "samples AS (SELECT event_id, user_id AS project_id, event_type AS status, ts AS created_at, value AS duration_ms FROM events)",
-    "chats": "chats AS (SELECT event_id AS request_id, user_id AS session_id, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'failed' END AS status, ts AS created_at, date_diff('hour', timestamp '1970-01-01', date_trunc('hour', ts)) AS input_no FROM events WHERE event_id % 3 = 0)",
+    "chats": "chats AS (SELECT event_id AS request_id, user_id AS session_id, CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'failed' END AS status, ts AS created_at, date_diff('hour', timestamp '1970-01-01', date_trunc('hour', ts)) AS input_no FROM events WHERE event_type IN ('purchase', 'signup'))",
 }
 
 
@@ -27,6 +27,11 @@ def cte(*names: str) -> str:
     return "WITH " + ",\n".join(CTE[n] for n in names)
 
 
+#: Each request's documents ranked by cosine distance within scope and boundary: t (query_id, document_id, distance, rank).
+KNN = cte("docs", "requests") + """, k AS (SELECT q.query_id, d.document_id, 1 - list_cosine_similarity(q.embedding, d.embedding) AS distance FROM requests q JOIN docs d USING (project_id) WHERE NOT (d.session_id = q.session_id AND d.sequence_no >= q.input_no)),
+ t AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id))::INT AS rank FROM k)"""
+
+
 def messages(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
     return c.select(F.col("conv_id").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), (F.col("turn") + 1).alias("sequence_no"), "role", "text", (F.col("conv_id") * 60 + F.col("turn")).alias("occurred_at"))
@@ -63,5 +68,5 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chat_requests(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 3 = 0")
+    e = table(spark, d, "events").where("event_type IN ('purchase', 'signup')")
     return e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("session_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("failed").alias("status"), F.col("ts").alias("created_at"), F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))").alias("input_no"))

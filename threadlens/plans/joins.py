@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadlens.functions.vectors import cosine
+from threadlens.functions.vectors import cosine, knn
 from threadlens.operators import joins as op
-from threadlens.plans.base import analysis, chat_requests, cte, documents, messages, relations, samples
+from threadlens.plans.base import KNN, chat_requests, cte, documents, messages, relations, requests, samples, with_sources
 from threadlens.session import table
 
 
@@ -38,20 +38,21 @@ def semi(spark, d):
 
 
 def theta_self(spark, d):
-    picked = documents(spark, d).where("document_id % 5 = 0").select("document_id", "project_id", "embedding")
-    a, b = picked.alias("a"), picked.alias("b")
-    pairs = a.join(b, (F.col("a.project_id") == F.col("b.project_id")) & (F.col("a.document_id") < F.col("b.document_id")))
-    return pairs.where(cosine(F.col("a.embedding"), F.col("b.embedding")) >= 0.2).select(F.col("a.document_id").alias("left_id"), F.col("b.document_id").alias("right_id"))
+    """Similar pairs among each request's fetched rows, which the fetch limit bounds."""
+    fetched = knn(with_sources(documents(spark, d)), requests(spark, d), 60, "project_id").select("query_id", "document_id")
+    v = fetched.join(documents(spark, d).select("document_id", "embedding"), "document_id")
+    a, b = v.alias("a"), v.alias("b")
+    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.document_id") < F.col("b.document_id")))
+    return pairs.where(cosine(F.col("a.embedding"), F.col("b.embedding")) >= 0.2).select("a.query_id", F.col("a.document_id").alias("left_id"), F.col("b.document_id").alias("right_id"))
 
 
 def ranged(spark, d):
     m = messages(spark, d).select("session_id", "sequence_no", "message_id")
-    primary = m.where("message_id % 7 = 0")
-    return op.within_range(primary, m, "session_id", "sequence_no", 2).where("near_message_id <> message_id").select("message_id", "near_message_id", "near_no")
+    return op.within_range(m, m, "session_id", "sequence_no", 2).where("near_message_id <> message_id").select("message_id", "near_message_id", "near_no")
 
 
 def asof_lateral(spark, d):
-    rows = samples(spark, d).where("event_id % 3 = 1").select("event_id", F.col("project_id").alias("session_id"), F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', cast(created_at AS timestamp_ntz))").alias("sequence_no"))
+    rows = samples(spark, d).where("status NOT IN ('purchase', 'signup')").select("event_id", F.col("project_id").alias("session_id"), F.expr("timestampdiff(HOUR, timestamp_ntz'1970-01-01 00:00:00', cast(created_at AS timestamp_ntz))").alias("sequence_no"))
     near = op.asof_latest(rows, chat_requests(spark, d), "session_id", "sequence_no", "input_no", "created_at")
     return near.where("near_status = 'completed'").select("event_id", "near_request_id")
 
@@ -68,7 +69,7 @@ def lateral_unnest(spark, d):
 
 
 def _edges(spark, d):
-    return table(spark, d, "orders").where("o_orderkey % 10 = 0").select((F.col("o_custkey") % 40).alias("a"), (F.col("o_orderkey") % 37).alias("b"), "o_orderkey")
+    return table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("a"), (F.col("o_orderkey") % 37).alias("b"), "o_orderkey")
 
 
 def or_key(spark, d):
@@ -131,14 +132,14 @@ def route_concat(spark, d):
 
 
 def ordered_union_dedup(spark, d):
-    c = table(spark, d, "orders").where("o_orderkey % 4 = 0").select("o_custkey", (F.col("o_orderkey") % 9).alias("candidate"), F.lit(0).alias("priority"), F.col("o_orderkey").alias("n"))
-    x = table(spark, d, "orders").where("o_orderkey % 4 = 1").select("o_custkey", (F.col("o_orderkey") % 7).alias("candidate"), F.lit(1).alias("priority"), F.col("o_orderkey").alias("n"))
+    c = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey", (F.col("o_orderkey") % 9).alias("candidate"), F.lit(0).alias("priority"), F.col("o_orderkey").alias("n"))
+    x = table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_custkey", (F.col("o_orderkey") % 7).alias("candidate"), F.lit(1).alias("priority"), F.col("o_orderkey").alias("n"))
     first = c.unionByName(x).groupBy("o_custkey", "candidate").agg(F.min(F.struct("priority", "n")).alias("at"))
     return op.top_per_key(first, ["o_custkey"], [F.col("at")], 6).select("o_custkey", "candidate", "rank")
 
 
 def array_intersection(spark, d):
-    lists = table(spark, d, "orders").where("o_custkey < 200").groupBy("o_custkey").agg(F.collect_set(F.col("o_orderkey") % 20).alias("a"), F.collect_set(F.col("o_orderkey") % 30).alias("b"))
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set(F.col("o_orderkey") % 20).alias("a"), F.collect_set(F.col("o_orderkey") % 30).alias("b"))
     return lists.select("o_custkey", F.round(F.size(F.array_intersect("a", "b")) / F.size("a"), 6).alias("recall"))
 
 
@@ -155,14 +156,14 @@ ORACLES = {
     "jn.left_outer": "SELECT d.doc_id, lang, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "jn.anti": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "jn.semi": cte("messages", "relations") + " SELECT message_id, role FROM messages WHERE message_id IN (SELECT to_id FROM relations WHERE relation = 'revoke')",
-    "jn.theta_self": cte("docs") + " SELECT a.document_id AS left_id, b.document_id AS right_id FROM docs a JOIN docs b ON a.project_id = b.project_id AND a.document_id < b.document_id WHERE a.document_id % 5 = 0 AND b.document_id % 5 = 0 AND list_cosine_similarity(a.embedding, b.embedding) >= 0.2",
-    "jn.range": cte("messages") + " SELECT a.message_id, b.message_id AS near_message_id, b.sequence_no AS near_no FROM messages a JOIN messages b ON a.session_id = b.session_id AND b.sequence_no BETWEEN a.sequence_no - 2 AND a.sequence_no + 2 AND a.message_id <> b.message_id WHERE a.message_id % 7 = 0",
-    "jn.asof_lateral": cte("chats") + """, e AS (SELECT event_id, user_id AS session_id, date_diff('hour', timestamp '1970-01-01', date_trunc('hour', ts)) AS sequence_no FROM events WHERE event_id % 3 = 1),
+    "jn.theta_self": KNN + ", v AS (SELECT query_id, document_id, embedding FROM t JOIN docs USING (document_id) WHERE rank <= 60) SELECT a.query_id, a.document_id AS left_id, b.document_id AS right_id FROM v a JOIN v b ON a.query_id = b.query_id AND a.document_id < b.document_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.2",
+    "jn.range": cte("messages") + " SELECT a.message_id, b.message_id AS near_message_id, b.sequence_no AS near_no FROM messages a JOIN messages b ON a.session_id = b.session_id AND b.sequence_no BETWEEN a.sequence_no - 2 AND a.sequence_no + 2 AND a.message_id <> b.message_id",
+    "jn.asof_lateral": cte("chats") + """, e AS (SELECT event_id, user_id AS session_id, date_diff('hour', timestamp '1970-01-01', date_trunc('hour', ts)) AS sequence_no FROM events WHERE event_type NOT IN ('purchase', 'signup')),
         n AS (SELECT e.event_id, c.request_id, c.status, row_number() OVER (PARTITION BY e.event_id ORDER BY c.input_no DESC, c.created_at DESC) AS r FROM e JOIN chats c ON c.session_id = e.session_id AND c.input_no < e.sequence_no)
         SELECT event_id, request_id AS near_request_id FROM n WHERE r = 1 AND status = 'completed'""",
     "jn.lateral_topn": "WITH n AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents), t AS (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id))::INT AS rank FROM n WHERE r <= 20) SELECT * FROM t WHERE rank <= 2",
     "jn.lateral_unnest": "SELECT p_partkey, term FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part) WHERE length(term) > 4",
-    "jn.or_key": "WITH e AS (SELECT o_custkey % 40 AS a, o_orderkey % 37 AS b FROM orders WHERE o_orderkey % 10 = 0) SELECT n_nationkey::BIGINT AS node, CASE WHEN a = n_nationkey THEN b ELSE a END AS other, count(*) AS links FROM e JOIN nation ON n_nationkey = a OR n_nationkey = b WHERE a <> b GROUP BY 1, 2",
+    "jn.or_key": "WITH e AS (SELECT o_custkey % 40 AS a, o_orderkey % 37 AS b FROM orders) SELECT n_nationkey::BIGINT AS node, CASE WHEN a = n_nationkey THEN b ELSE a END AS other, count(*) AS links FROM e JOIN nation ON n_nationkey = a OR n_nationkey = b WHERE a <> b GROUP BY 1, 2",
     "jn.cross_param": "SELECT n_nationkey, param, n_nationkey * param AS product FROM nation CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS param)",
     "jn.scalar_subquery": cte("messages") + " SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN user_id END, (SELECT session_id FROM messages m WHERE m.message_id = e.event_id % 90 * 1000 + 1)) AS session_id FROM events e",
     "jn.corr_agg_subquery": cte("messages", "relations") + " SELECT message_id, coalesce((SELECT string_agg(from_id || ':' || relation, ';' ORDER BY from_id) FROM relations r WHERE r.to_id = m.message_id), '') AS invalidating FROM messages m",
@@ -172,6 +173,6 @@ ORACLES = {
     "set.union_all": cte("docs", "relations") + " SELECT document_id, false AS correction_only FROM docs WHERE document_id % 2 = 0 UNION ALL SELECT document_id, true FROM docs WHERE document_id % 3 = 0 AND document_id % 2 <> 0 AND document_id IN (SELECT to_id % 500 FROM relations)",
     "set.union_distinct": "SELECT c_nationkey AS key FROM customer UNION SELECT s_nationkey FROM supplier",
     "set.route_concat": cte("docs") + ", r AS (SELECT 'vector' AS route, document_id FROM docs WHERE document_id < 60 UNION ALL SELECT 'entity', document_id FROM docs WHERE document_id % 11 = 0) SELECT document_id, count(*) AS routes, string_agg(DISTINCT route, ',' ORDER BY route) AS kinds FROM r GROUP BY 1",
-    "set.ordered_union_dedup": "WITH u AS (SELECT o_custkey, o_orderkey % 9 AS candidate, 0 AS p, o_orderkey AS n FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT o_custkey, o_orderkey % 7, 1, o_orderkey FROM orders WHERE o_orderkey % 4 = 1), f AS (SELECT o_custkey, candidate, min((p, n)) AS first_at FROM u GROUP BY 1, 2), r AS (SELECT o_custkey, candidate, (row_number() OVER (PARTITION BY o_custkey ORDER BY first_at))::INT AS rank FROM f) SELECT * FROM r WHERE rank <= 6",
-    "set.array_intersection": "WITH l AS (SELECT o_custkey, list(DISTINCT o_orderkey % 20) AS a, list(DISTINCT o_orderkey % 30) AS b FROM orders WHERE o_custkey < 200 GROUP BY 1) SELECT o_custkey, round(len(list_intersect(a, b)) / len(a), 6) AS recall FROM l",
+    "set.ordered_union_dedup": "WITH u AS (SELECT o_custkey, o_orderkey % 9 AS candidate, 0 AS p, o_orderkey AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_custkey, o_orderkey % 7, 1, o_orderkey FROM orders WHERE o_orderstatus = 'O'), f AS (SELECT o_custkey, candidate, min((p, n)) AS first_at FROM u GROUP BY 1, 2), r AS (SELECT o_custkey, candidate, (row_number() OVER (PARTITION BY o_custkey ORDER BY first_at))::INT AS rank FROM f) SELECT * FROM r WHERE rank <= 6",
+    "set.array_intersection": "WITH l AS (SELECT o_custkey, list(DISTINCT o_orderkey % 20) AS a, list(DISTINCT o_orderkey % 30) AS b FROM orders GROUP BY 1) SELECT o_custkey, round(len(list_intersect(a, b)) / len(a), 6) AS recall FROM l",
 }

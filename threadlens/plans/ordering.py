@@ -10,7 +10,7 @@ from threadlens.operators import aggregates as agg
 from threadlens.operators import folds
 from threadlens.operators import joins as op
 from threadlens.plans.aggregates import _R, _routes
-from threadlens.plans.base import analysis, cte, documents, messages, relations, requests, samples, with_sources
+from threadlens.plans.base import KNN, cte, documents, messages, relations, requests, samples, with_sources
 from threadlens.session import table
 
 #: Fixed limits of the routes and of the selection.
@@ -30,7 +30,7 @@ def latest_per_key(spark, d):
 
 def prior_messages(spark, d):
     m = messages(spark, d).select("session_id", "sequence_no", "message_id")
-    inputs = m.where("sequence_no % 4 = 1").select("session_id", F.col("sequence_no").alias("input_no"))
+    inputs = messages(spark, d).where("role = 'user'").select("session_id", F.col("sequence_no").alias("input_no"))
     before = inputs.join(m, "session_id").where("sequence_no < input_no")
     return op.top_per_key(before, ["session_id", "input_no"], [F.col("sequence_no").desc()], 6).select("session_id", "input_no", "message_id", "rank")
 
@@ -98,14 +98,14 @@ def vector_knn(spark, d):
 
 def entity(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.explode(F.split("p_name", " ")).alias("entity_key"))
-    asked = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("request_id"), F.explode(F.split("p_name", " ")).alias("entity_key"))
+    asked = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("request_id"), F.explode(F.split("p_name", " ")).alias("entity_key"))
     hits = docs.join(asked, "entity_key").select("request_id", "document_id").distinct()
     return op.top_per_key(hits, ["request_id"], [F.col("document_id")], ENTITY_LIMIT)
 
 
 def strategy(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.explode(F.split("p_name", " ")).alias("term"))
-    asked = table(spark, d, "part").where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("request_id"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("term"))
+    asked = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("request_id"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("term"))
     hits = docs.join(asked, "term").groupBy("request_id", "document_id").agg(F.count_distinct("term").alias("matched_terms")).where("matched_terms >= 2")
     return op.top_per_key(hits, ["request_id"], [F.col("matched_terms").desc(), F.col("document_id")], STRATEGY_LIMIT)
 
@@ -137,15 +137,18 @@ def rank_accepted(spark, d):
 def nearest_2_per_session(spark, d):
     docs, asked = documents(spark, d), requests(spark, d)
     newest = op.top_per_key(docs, ["session_id"], [F.col("document_id").desc()], 200, "newest")
-    other = newest.select("document_id", F.col("session_id").alias("other_session"), "embedding").crossJoin(F.broadcast(asked.where("query_id < 500").limit(64).select("query_id", F.col("embedding").alias("q"), F.col("session_id").alias("own"))))
-    near = other.where("other_session <> own").withColumn("similarity", cosine(F.col("embedding"), F.col("q")))
+    reach = F.explode(F.array(*[(F.col("session_id") + i) % 20 for i in (1, 2, 3)])).alias("other_session")
+    linked = asked.select("query_id", F.col("embedding").alias("q"), reach)
+    other = newest.select("document_id", F.col("session_id").alias("other_session"), "embedding").join(linked, "other_session")
+    near = other.withColumn("similarity", cosine(F.col("embedding"), F.col("q")))
     best = op.top_per_key(near, ["query_id", "other_session"], [F.col("similarity").desc(), F.col("document_id")], 2)
     return best.where("similarity >= 0.15").select("query_id", "other_session", "document_id", "rank")
 
 
 def continuity_candidates(spark, d):
     m = messages(spark, d).groupBy("session_id").agg(F.min("occurred_at").alias("started_at"))
-    near = m.alias("a").join(m.alias("b"), F.col("b.session_id").between(F.col("a.session_id") - 3, F.col("a.session_id") - 1)).select("a.session_id", F.col("b.session_id").alias("candidate"), F.lit(0).alias("priority"), (F.col("a.session_id") - F.col("b.session_id")).alias("n"))
+    near = m.select("session_id", F.explode(F.sequence(F.col("session_id") - 3, F.col("session_id") - 1)).alias("candidate")).join(m.select(F.col("session_id").alias("candidate")), "candidate", "left_semi")
+    near = near.select("session_id", "candidate", F.lit(0).alias("priority"), (F.col("session_id") - F.col("candidate")).alias("n"))
     shared = messages(spark, d).select("session_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 14))).alias("word"))
     same = shared.alias("a").join(shared.alias("b"), "word").where("a.session_id > b.session_id").groupBy(F.col("a.session_id"), F.col("b.session_id").alias("candidate")).agg(F.count("*").alias("hits"))
     same = op.top_per_key(same, ["session_id"], [F.col("hits").desc(), F.col("candidate")], 6).select("session_id", "candidate", F.lit(1).alias("priority"), F.col("rank").cast("long").alias("n"))
@@ -179,13 +182,12 @@ _FOLD = """n AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY r
 f AS (SELECT request_id, document_id, i, CASE WHEN tokens <= 7500 THEN 'selected' ELSE 'token_budget' END AS verdict, CASE WHEN tokens <= 7500 THEN 7500 - tokens ELSE 7500 END AS room, CASE WHEN tokens <= 7500 THEN 1 ELSE 0 END AS taken FROM n WHERE i = 1
   UNION ALL SELECT n.request_id, n.document_id, n.i, CASE WHEN f.taken >= {limit} THEN 'limit' WHEN n.tokens <= f.room THEN 'selected' ELSE 'token_budget' END, CASE WHEN f.taken < {limit} AND n.tokens <= f.room THEN f.room - n.tokens ELSE f.room END, CASE WHEN f.taken < {limit} AND n.tokens <= f.room THEN f.taken + 1 ELSE f.taken END
   FROM f JOIN n ON n.request_id = f.request_id AND n.i = f.i + 1)"""
-_KNN = cte("docs", "requests") + """, k AS (SELECT q.query_id, d.document_id, 1 - list_cosine_similarity(q.embedding, d.embedding) AS distance FROM requests q JOIN docs d USING (project_id) WHERE NOT (d.session_id = q.session_id AND d.sequence_no >= q.input_no)),
- t AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, document_id))::INT AS rank FROM k)"""
+_KNN = KNN
 
 ORACLES = {
     "win.rank_route": f"WITH {_R} SELECT *, (row_number() OVER (PARTITION BY request_id, route ORDER BY document_id))::INT AS rank FROM (SELECT DISTINCT request_id, route, document_id FROM r)",
     "win.latest_per_key": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1",
-    "win.prior_messages": cte("messages") + ", p AS (SELECT i.session_id, i.sequence_no AS input_no, m.message_id, (row_number() OVER (PARTITION BY i.session_id, i.sequence_no ORDER BY m.sequence_no DESC))::INT AS rank FROM messages i JOIN messages m ON m.session_id = i.session_id AND m.sequence_no < i.sequence_no WHERE i.sequence_no % 4 = 1) SELECT * FROM p WHERE rank <= 6",
+    "win.prior_messages": cte("messages") + ", p AS (SELECT i.session_id, i.sequence_no AS input_no, m.message_id, (row_number() OVER (PARTITION BY i.session_id, i.sequence_no ORDER BY m.sequence_no DESC))::INT AS rank FROM messages i JOIN messages m ON m.session_id = i.session_id AND m.sequence_no < i.sequence_no WHERE i.role = 'user') SELECT * FROM p WHERE rank <= 6",
     "win.neighbors": cte("messages") + " SELECT a.message_id, count(*) AS near, min(b.message_id) AS first, max(b.message_id) AS last FROM messages a JOIN messages b ON b.session_id = a.session_id AND b.sequence_no BETWEEN a.sequence_no - 2 AND a.sequence_no + 2 GROUP BY 1",
     "win.first_last_n": cte("messages") + ", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_no) AS a, row_number() OVER (PARTITION BY session_id ORDER BY sequence_no DESC) AS b FROM messages) SELECT session_id, message_id, 'first' AS part FROM n WHERE a <= 5 UNION ALL SELECT session_id, message_id, 'last' FROM n WHERE b <= 5",
     "win.running_budget": "WITH RECURSIVE " + _C + ", " + _FOLD.format(limit=1000) + " SELECT request_id, document_id, verdict FROM f",
@@ -193,13 +195,13 @@ ORACLES = {
     "win.sample_recent": cte("samples") + " SELECT event_id, duration_ms FROM samples WHERE status = 'view' ORDER BY created_at DESC, event_id DESC LIMIT 200",
     "win.sequence_assign": cte("messages") + ", k AS (SELECT session_id, max(sequence_no) AS last_no FROM messages GROUP BY 1) SELECT event_id, user_id % 120 AS session_id, coalesce(last_no, 0) + row_number() OVER (PARTITION BY user_id % 120 ORDER BY event_id) AS sequence_no FROM events LEFT JOIN k ON session_id = user_id % 120",
     "top.vector_knn": _KNN + " SELECT query_id, document_id, rank, round(distance, 5) AS distance FROM t WHERE rank <= 60",
-    "top.entity": "WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS k FROM part), h AS (SELECT DISTINCT a.p_partkey AS request_id, b.p_partkey AS document_id FROM t a JOIN t b USING (k) WHERE a.p_partkey % 100 = 0), n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY document_id))::INT AS rank FROM h) SELECT * FROM n WHERE rank <= 20",
-    "top.strategy": "WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS k FROM part), h AS (SELECT a.p_partkey AS request_id, b.p_partkey AS document_id, count(DISTINCT k) AS matched_terms FROM t a JOIN t b USING (k) WHERE a.p_partkey % 100 = 0 GROUP BY 1, 2 HAVING count(DISTINCT k) >= 2), n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY matched_terms DESC, document_id))::INT AS rank FROM h) SELECT * FROM n WHERE rank <= 10",
+    "top.entity": "WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS k FROM part), h AS (SELECT DISTINCT a.p_partkey AS request_id, b.p_partkey AS document_id FROM t a JOIN t b USING (k) WHERE a.p_partkey % 50 = 0), n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY document_id))::INT AS rank FROM h) SELECT * FROM n WHERE rank <= 20",
+    "top.strategy": "WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS k FROM part), h AS (SELECT a.p_partkey AS request_id, b.p_partkey AS document_id, count(DISTINCT k) AS matched_terms FROM t a JOIN t b USING (k) WHERE a.p_partkey % 50 = 0 GROUP BY 1, 2 HAVING count(DISTINCT k) >= 2), n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY matched_terms DESC, document_id))::INT AS rank FROM h) SELECT * FROM n WHERE rank <= 10",
     "top.provenance": f"WITH {_R}, o AS (SELECT request_id, document_id * 3 % 40 AS document_id, min(rank) AS best FROM r GROUP BY 1, 2), n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY best, document_id))::INT AS rank FROM o) SELECT * FROM n WHERE rank <= 10",
     "top.candidate_order": f"WITH {_C} SELECT request_id, document_id, (row_number() OVER (PARTITION BY request_id ORDER BY (document_id % 3 = 0)::INT, round(rrf, 12) DESC, document_id))::INT AS rank FROM c",
     "top.budgeted": "WITH RECURSIVE " + _C + ", " + _FOLD.format(limit=10) + " SELECT request_id, count(*) FILTER (WHERE verdict = 'selected') AS selected, count(*) FILTER (WHERE verdict = 'limit') AS candidate_limit_exceeded, count(*) FILTER (WHERE verdict = 'token_budget') AS candidate_token_budget_exceeded FROM f GROUP BY 1",
     "top.rank_accepted": f"WITH {_C} SELECT request_id, document_id, (row_number() OVER (PARTITION BY request_id ORDER BY document_id % 3 DESC, (document_id % 7 = 0)::INT, (document_id % 5 = 0)::INT, document_id % 2 DESC, document_id % 4 DESC, round(rrf, 12) DESC, CASE WHEN document_id % 4 <> 0 THEN document_id * 13 % 31 END DESC NULLS LAST, document_id))::INT AS rank FROM c WHERE document_id % 3 >= 1",
-    "top.nearest_2_per_session": cte("docs", "requests") + ", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY document_id DESC) AS r FROM docs), s AS (SELECT q.query_id, n.session_id AS other_session, n.document_id, list_cosine_similarity(n.embedding, q.embedding) AS similarity FROM n, requests q WHERE n.r <= 200 AND q.query_id < 500 AND n.session_id <> q.session_id), b AS (SELECT *, (row_number() OVER (PARTITION BY query_id, other_session ORDER BY similarity DESC, document_id))::INT AS rank FROM s) SELECT query_id, other_session, document_id, rank FROM b WHERE rank <= 2 AND similarity >= 0.15",
+    "top.nearest_2_per_session": cte("docs", "requests") + ", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY document_id DESC) AS r FROM docs), s AS (SELECT q.query_id, n.session_id AS other_session, n.document_id, list_cosine_similarity(n.embedding, q.embedding) AS similarity FROM n, requests q WHERE n.r <= 200 AND n.session_id IN ((q.session_id + 1) % 20, (q.session_id + 2) % 20, (q.session_id + 3) % 20)), b AS (SELECT *, (row_number() OVER (PARTITION BY query_id, other_session ORDER BY similarity DESC, document_id))::INT AS rank FROM s) SELECT query_id, other_session, document_id, rank FROM b WHERE rank <= 2 AND similarity >= 0.15",
     "top.continuity_candidates": cte("messages") + """, s AS (SELECT DISTINCT session_id FROM messages), w AS (SELECT DISTINCT session_id, word FROM (SELECT session_id, message_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM messages) WHERE length(word) > 14),
         wm AS (SELECT DISTINCT session_id, message_id, word FROM (SELECT session_id, message_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM messages) WHERE length(word) > 14),
         near AS (SELECT a.session_id, b.session_id AS candidate, 0 AS p, a.session_id - b.session_id AS n FROM s a JOIN s b ON b.session_id BETWEEN a.session_id - 3 AND a.session_id - 1),

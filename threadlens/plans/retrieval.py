@@ -88,7 +88,7 @@ def select_primary(spark, d):
 
 
 def corrections_covered(spark, d):
-    need = graph.corrections(relations(spark, d), messages(spark, d).where("sequence_no = 2")).select("primary_id", "message_id")
+    need = graph.corrections(relations(spark, d), messages(spark, d)).select("primary_id", "message_id")
     have = messages(spark, d).where("message_id % 3 <> 0").select("message_id")
     return need.join(have, "message_id", "left_anti").groupBy("primary_id").agg(F.count("*").alias("uncovered"))
 
@@ -114,15 +114,15 @@ def pin_generation(spark, d):
 
 
 def neighbors(spark, d):
-    return op.within_range(messages(spark, d).where("message_id % 11 = 1").select("session_id", "sequence_no", "message_id"), messages(spark, d).select("session_id", "sequence_no", "message_id"), "session_id", "sequence_no", 2).where("near_message_id <> message_id").select("message_id", "near_message_id")
+    return op.within_range(messages(spark, d).select("session_id", "sequence_no", "message_id"), messages(spark, d).select("session_id", "sequence_no", "message_id"), "session_id", "sequence_no", 2).where("near_message_id <> message_id").select("message_id", "near_message_id")
 
 
 def corrections(spark, d):
-    return graph.corrections(relations(spark, d), messages(spark, d).where("sequence_no <= 3"))
+    return graph.corrections(relations(spark, d), messages(spark, d))
 
 
 def _links(spark, d):
-    e = table(spark, d, "orders").where("o_orderkey % 200 = 0").select((F.col("o_custkey") % 90).alias("a"), (F.col("o_orderkey") % 97).alias("b"), F.col("o_orderkey").alias("edge_id"))
+    e = table(spark, d, "orders").select((F.col("o_custkey") % 900).alias("a"), (F.col("o_orderkey") % 997).alias("b"), F.col("o_orderkey").alias("edge_id"))
     return op.either_end(e, "a", "b").where("node <> other")
 
 
@@ -194,7 +194,7 @@ _TOP10 = f"WITH {_R}, c AS (SELECT request_id, document_id, sum(1 / (60 + rank))
 _J = _TOP10 + ", j AS (SELECT request_id, document_id, rank, (rank - 1) // 5 AS round, ['unrelated', 'background', 'useful', 'direct'][document_id * 7 % 11 % 4 + 1] AS relevance FROM t)"
 _DERIVED = cte("messages") + ", q AS (SELECT *, (session_id + sequence_no) % 3 <> 0 AS done FROM messages WHERE role = 'user'), x AS (SELECT m.message_id AS derived_id, m.session_id, q.done, row_number() OVER (PARTITION BY m.message_id ORDER BY q.sequence_no DESC) AS n FROM messages m JOIN q ON q.session_id = m.session_id AND q.sequence_no < m.sequence_no WHERE m.role = 'assistant'), dv AS (SELECT derived_id, session_id FROM x WHERE n = 1 AND done)"
 _CORR = "WITH RECURSIVE " + cte("messages", "relations")[5:] + ", c AS (SELECT message_id AS primary_id, message_id, 0 AS hop FROM messages WHERE {0} UNION SELECT c.primary_id, r.from_id, c.hop + 1 FROM c JOIN relations r ON r.to_id = c.message_id WHERE c.hop < 3), g AS (SELECT primary_id, message_id, min(hop) AS hop FROM c GROUP BY 1, 2)"
-_BFS = "WITH RECURSIVE o AS (SELECT o_custkey % 90 AS a, o_orderkey % 97 AS b FROM orders WHERE o_orderkey % 200 = 0), e AS (SELECT a AS node, b AS other FROM o WHERE a <> b UNION SELECT b, a FROM o WHERE a <> b), w AS (SELECT range AS request_id, range AS node, 0 AS hop FROM range(0, 90, 9) UNION SELECT w.request_id, e.other, w.hop + 1 FROM w JOIN e USING (node) WHERE w.hop < 3), g AS (SELECT request_id, node, min(hop) AS hop FROM w GROUP BY 1, 2)"
+_BFS = "WITH RECURSIVE o AS (SELECT o_custkey % 900 AS a, o_orderkey % 997 AS b FROM orders), e AS (SELECT a AS node, b AS other FROM o WHERE a <> b UNION SELECT b, a FROM o WHERE a <> b), w AS (SELECT range AS request_id, range AS node, 0 AS hop FROM range(0, 90, 9) UNION SELECT w.request_id, e.other, w.hop + 1 FROM w JOIN e USING (node) WHERE w.hop < 3), g AS (SELECT request_id, node, min(hop) AS hop FROM w GROUP BY 1, 2)"
 
 ORACLES = {
     "rt.entity": "WITH h AS (SELECT DISTINCT q.range AS request_id, page_id AS document_id FROM pages, range(20) q WHERE page_id % 17 = q.range OR page_id % 5 = q.range % 7), n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY document_id))::INT AS rank FROM h) SELECT * FROM n WHERE rank <= 20",
@@ -205,12 +205,12 @@ ORACLES = {
     "rt.judge_rounds": _J + " SELECT request_id, document_id, round FROM j WHERE round = 0 OR (round = 1 AND request_id NOT IN (SELECT request_id FROM j WHERE round = 0 AND relevance IN ('useful', 'direct')))",
     "rt.derived_demotion": _J + ", k AS (SELECT *, CASE relevance WHEN 'direct' THEN 2 ELSE 1 END AS level FROM j WHERE relevance IN ('useful', 'direct')) SELECT a.request_id, a.document_id, coalesce(b.level >= a.level AND b.document_id <> a.document_id, false) AS demoted FROM k a LEFT JOIN k b ON b.request_id = a.request_id AND b.document_id = a.document_id * 3 % 40",
     "rt.select_primary": _J + " SELECT request_id, arg_min(document_id, rank) AS document_id FROM j WHERE document_id % 3 <> 1 AND document_id IN (SELECT p_partkey % 40 FROM part) GROUP BY 1",
-    "rt.corrections_covered": _CORR.format("sequence_no = 2") + " SELECT primary_id, count(*) AS uncovered FROM g WHERE hop > 0 AND (message_id % 3 = 0 OR message_id NOT IN (SELECT message_id FROM messages)) GROUP BY 1",
+    "rt.corrections_covered": _CORR.format("true") + " SELECT primary_id, count(*) AS uncovered FROM g WHERE hop > 0 AND (message_id % 3 = 0 OR message_id NOT IN (SELECT message_id FROM messages)) GROUP BY 1",
     "rt.build_result": _J + " SELECT request_id, '{\"matches\":[' || string_agg('{\"case_or_document_id\":' || document_id || ',\"relevance\":\"' || relevance || '\"}', ',' ORDER BY rank) || ']}' AS result FROM j WHERE relevance IN ('useful', 'direct') GROUP BY 1",
     "rt.save": _J + " SELECT range AS request_id, CASE WHEN range IN (SELECT request_id FROM j WHERE relevance IN ('useful', 'direct')) AND NOT (range < 25 AND range % 2 = 0) THEN 'completed' ELSE 'running' END AS status FROM range(60)",
     "rt.pin_generation": cte("docs", "requests") + " SELECT query_id, count(*) AS n FROM requests JOIN docs ON query_id % 3 = document_id % 3 GROUP BY 1",
-    "ex.neighbors": cte("messages") + " SELECT a.message_id, b.message_id AS near_message_id FROM messages a JOIN messages b ON b.session_id = a.session_id AND abs(b.sequence_no - a.sequence_no) <= 2 AND b.message_id <> a.message_id WHERE a.message_id % 11 = 1",
-    "ex.corrections": _CORR.format("sequence_no <= 3") + " SELECT primary_id, message_id, hop FROM g WHERE hop > 0",
+    "ex.neighbors": cte("messages") + " SELECT a.message_id, b.message_id AS near_message_id FROM messages a JOIN messages b ON b.session_id = a.session_id AND abs(b.sequence_no - a.sequence_no) <= 2 AND b.message_id <> a.message_id",
+    "ex.corrections": _CORR.format("true") + " SELECT primary_id, message_id, hop FROM g WHERE hop > 0",
     "ex.links": _BFS + " SELECT request_id, node, hop FROM g",
     "ex.inferred": "SELECT query_id, count(*) AS n, min(document_id) AS first FROM (" + ordering.ORACLES["top.nearest_2_per_session"] + ") GROUP BY 1",
     "ex.budget": "WITH RECURSIVE " + cte("messages")[5:] + """, n AS (SELECT session_id, message_id, length(text) AS tokens, row_number() OVER (PARTITION BY session_id ORDER BY sequence_no % 4, message_id) AS i FROM messages),

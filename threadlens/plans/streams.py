@@ -25,7 +25,7 @@ def idempotency(spark, d):
 
 
 def revision_fsm(spark, d):
-    e = _events(spark, d).where("event_id < 3000").withColumn("message", F.col("event_id") % 300).withColumn("revision", F.when(F.col("event_id") % 7 == 3, 4).otherwise(F.expr("event_id div 600 + 1").cast("int")))
+    e = _events(spark, d).withColumn("message", F.col("event_id") % 300).withColumn("revision", F.when(F.col("event_id") % 7 == 3, 4).otherwise(F.expr("event_id div 600 + 1").cast("int")))
     return ing.revision_verdicts(e, "message", "revision", "body", "event_id").select("event_id", "verdict")
 
 
@@ -96,7 +96,7 @@ _E = "WITH e AS (SELECT event_id, user_id, event_id % 700 AS key, event_id % 140
 ORACLES = {
     "stm.ingest": _E + ", f AS (SELECT user_id, key, min(event_id) AS event_id FROM e GROUP BY 1, 2) SELECT user_id, count(*) AS stored, max(event_id) AS last_event FROM f GROUP BY 1",
     "stm.idempotency": _E + ", f AS (SELECT key, min(event_id) AS first_id, arg_min(body, event_id) AS body FROM e GROUP BY 1) SELECT e.event_id, CASE WHEN event_id = first_id THEN 'stored' WHEN e.body = f.body THEN 'repeated' ELSE 'conflict' END AS receipt FROM e JOIN f USING (key)",
-    "stm.revision_fsm": _E + """, r AS (SELECT *, event_id % 300 AS message, CASE WHEN event_id % 7 = 3 THEN 4 ELSE event_id // 600 + 1 END AS revision FROM e WHERE event_id < 3000),
+    "stm.revision_fsm": _E + """, r AS (SELECT *, event_id % 300 AS message, CASE WHEN event_id % 7 = 3 THEN 4 ELSE event_id // 600 + 1 END AS revision FROM e),
         x AS (SELECT event_id, revision, (SELECT max(p.revision) FROM r p WHERE p.message = r.message AND p.event_id < r.event_id) AS before_rev, (SELECT arg_min(p.body, p.event_id) FROM r p WHERE p.message = r.message AND p.revision = r.revision AND p.event_id < r.event_id) AS was, body FROM r)
         SELECT event_id, CASE WHEN was IS NOT NULL AND was = body THEN 'repeated' WHEN revision = coalesce(before_rev, 0) + 1 THEN 'accepted' ELSE 'conflict' END AS verdict FROM x""",
     "stm.collector_dedup": "WITH l AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision FROM l WHERE was IS NULL OR was <> event_type",

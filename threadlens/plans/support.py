@@ -128,7 +128,7 @@ def outbox_gates(spark, d):
 
 def judge_request(spark, d):
     axes = spark.createDataFrame([(a,) for a in ("retention", "decision_action", "continuity", "statement_status", "same_conditions")], "question string")
-    m = messages(spark, d).where("session_id < 20").select("message_id", "role")
+    m = messages(spark, d).select("message_id", "role")
     extra = m.where("role = 'user'").select("message_id", F.lit("search_action").alias("question"))
     return m.select("message_id").crossJoin(F.broadcast(axes)).unionByName(extra)
 
@@ -171,7 +171,7 @@ def request_state(spark, d):
 
 
 def candidate_sources(spark, d):
-    picked = documents(spark, d).where("document_id % 20 = 1").select(F.col("session_id"), F.col("document_id"))
+    picked = documents(spark, d).select(F.col("session_id"), F.col("document_id"))
     m = messages(spark, d).join(analysis(spark, d), "message_id", "left")
     return picked.join(m, "session_id").select("document_id", "message_id", "role", "statement_status", "sequence_no")
 
@@ -274,7 +274,7 @@ ORACLES = {
     "sp.diagnostics": "SELECT event_type, user_id % 5 AS place, count(*) AS n FROM events GROUP BY ALL",
     "sp.notify_state": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1",
     "sp.outbox_gates": "SELECT event_id, ['acknowledged', 'retry', 'retry', 'permanent'][event_id % 4 + 1] AS outcome FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id % 5 = 0) AND user_id NOT IN (SELECT user_id FROM events WHERE value > 150)",
-    "sp.judge_request": cte("messages") + ", m AS (SELECT message_id, role FROM messages WHERE session_id < 20) SELECT message_id, unnest(['retention', 'decision_action', 'continuity', 'statement_status', 'same_conditions']) AS question FROM m UNION ALL SELECT message_id, 'search_action' FROM m WHERE role = 'user'",
+    "sp.judge_request": cte("messages") + ", m AS (SELECT message_id, role FROM messages) SELECT message_id, unnest(['retention', 'decision_action', 'continuity', 'statement_status', 'same_conditions']) AS question FROM m UNION ALL SELECT message_id, 'search_action' FROM m WHERE role = 'user'",
     "sp.provider_parse": "SELECT event_id, event_type AS model, user_id AS tokens, least(event_id * 7, 3600) AS retry_after FROM events",
     "sp.usage_log": "SELECT event_type, count(*) AS attempts, sum(user_id)::BIGINT AS tokens FROM events GROUP BY 1",
     "sp.prior_search": cte("messages") + " SELECT message_id, lag(message_id) OVER (PARTITION BY session_id ORDER BY sequence_no) AS prior_id FROM messages WHERE role = 'user'",
@@ -282,7 +282,7 @@ ORACLES = {
     "sp.search_failed": "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7) THEN 'F!' ELSE o_orderstatus END AS o_orderstatus FROM orders",
     "sp.retry": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN 'pending' ELSE o_orderstatus END AS status FROM orders",
     "sp.request_state": "SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'F' THEN 'finish_job' ELSE 'load' END AS step FROM orders",
-    "sp.candidate_sources": cte("messages", "analysis", "docs") + " SELECT document_id, message_id, role, statement_status, m.sequence_no FROM docs d JOIN messages m ON m.session_id = d.session_id LEFT JOIN analysis USING (message_id) WHERE document_id % 20 = 1",
+    "sp.candidate_sources": cte("messages", "analysis", "docs") + " SELECT document_id, message_id, role, statement_status, m.sequence_no FROM docs d JOIN messages m ON m.session_id = d.session_id LEFT JOIN analysis USING (message_id)",
     "sp.session_load": cte("messages", "analysis", "relations") + " SELECT message_id, session_id, sequence_no, retention_category, message_id IN (SELECT to_id FROM relations) AS invalidated FROM messages LEFT JOIN analysis USING (message_id)",
     "sp.source_compare": "SELECT l_orderkey, l_orderkey % 3 <> 0 OR count(*) = 1 AS same FROM lineitem GROUP BY 1",
     "sp.generation_rows": "SELECT n_nationkey, sha256(n_name || '|64|cosine') AS spec FROM nation WHERE n_nationkey % 2 = 0",

@@ -256,7 +256,7 @@ def split_lines(spark, d):
 
 
 def overlap(spark, d):
-    docs = chunking.plan_documents(table(spark, d, "documents").where("doc_id % 5 = 0").select((F.col("doc_id") % 10).alias("session_id"), F.col("doc_id").alias("message_id"), F.lit(1).alias("revision"), F.col("doc_id").alias("sequence_no"), "text"))
+    docs = chunking.plan_documents(table(spark, d, "documents").select((F.col("doc_id") % 10).alias("session_id"), F.col("doc_id").alias("message_id"), F.lit(1).alias("revision"), F.col("doc_id").alias("sequence_no"), "text"))
     return docs.select("session_id", "chunk", F.size(F.filter("sources", lambda s: s["source_kind"] == "overlap")).alias("overlaps"), "tokens")
 
 
