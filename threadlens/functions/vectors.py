@@ -65,3 +65,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, scope: str, block: int =
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "document_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def hyperplane_keys(vectors: DataFrame, item: str, keep: list[str], tables: int = 48, bits: int = 4, seed: int = 3) -> DataFrame:
+    """(item, *keep, embedding, keys): a bucket in each table, by the signs of ``bits`` random projections. Every row is indexed.
+
+    The planes come from the seed and the vectors' size, so nothing is fitted and any later vector gets the same keys.
+    """
+    names = [item, *keep, "embedding"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = _matrix(batch.column(len(names) - 1))
+            planes = np.random.default_rng(seed).standard_normal((tables * bits, m.shape[1] if len(m) else 1))
+            signs = (m @ planes.T > 0).reshape(len(m), tables, bits) if len(m) else np.zeros((0, tables, bits), bool)
+            keys = signs @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.tolist(), pa.list_(pa.int64()))], names=[*names, "keys"])
+
+    kept = vectors.select(*names)
+    return kept.mapInArrow(run, kept.select("*", F.array(F.lit(0).cast("long")).alias("keys")).schema)

@@ -10,7 +10,7 @@ from threadlens.operators import aggregates as agg
 from threadlens.operators import folds
 from threadlens.operators import joins as op
 from threadlens.plans.aggregates import _R, _routes
-from threadlens.plans.base import KNN, cte, documents, messages, relations, requests, samples, with_sources
+from threadlens.plans.base import KNN, cte, documents, messages, requests, samples, with_sources
 from threadlens.session import table
 
 #: Fixed limits of the routes and of the selection.

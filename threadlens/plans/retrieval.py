@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadlens.functions import identifiers
-from threadlens.functions.vectors import cosine, knn
+from threadlens.functions.vectors import cosine, hyperplane_keys, knn
 from threadlens.operators import aggregates as agg
-from threadlens.operators import filters, folds, graph
+from threadlens.operators import folds, graph
 from threadlens.operators import joins as op
 from threadlens.plans import ordering
 from threadlens.plans.aggregates import _R, _routes
-from threadlens.plans.base import analysis, cte, documents, messages, relations, requests, samples, with_sources
+from threadlens.plans.base import cte, documents, messages, relations, requests, samples, with_sources
 from threadlens.session import table
 
 
@@ -149,19 +147,17 @@ def revalidate(spark, d):
     return each.groupBy("request_id", "node").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("valid"))
 
 
+def index(spark, d):
+    """The approximate index: every document in one bucket of each hyperplane table."""
+    keys = hyperplane_keys(documents(spark, d), "document_id", ["project_id"]).select("document_id", "project_id", F.explode("keys").alias("key"))
+    return keys.groupBy("document_id").agg(F.count("*").alias("tables"))
+
+
 def recall(spark, d):
     """Exact against approximate top 20: random hyperplanes give the approximate candidates, ranked by cosine."""
     docs, asked = with_sources(documents(spark, d)), requests(spark, d)
     exact = knn(docs, asked, 20, "project_id").groupBy("query_id").agg(F.collect_list("document_id").alias("exact"))
-    planes = np.random.default_rng(3).standard_normal((12, 4, 64)).astype(np.float32)
-
-    def run(batches):
-        for b in batches:
-            m = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 64), np.float32)
-            keys = [[int(t * 16 + k) for t, k in enumerate(row)] for row in ((np.einsum("tpd,nd->ntp", planes, m) > 0) @ (1 << np.arange(4))).tolist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["id", "embedding", "project_id", "keys"])
-
-    hashed = docs.select(F.col("document_id").alias("id"), "embedding", "project_id").mapInArrow(run, "id long, embedding array<float>, project_id int, keys array<long>").select("id", "embedding", "project_id", F.explode("keys").alias("key"))
+    hashed = hyperplane_keys(docs, "document_id", ["project_id"]).select(F.col("document_id").alias("id"), "embedding", "project_id", F.explode("keys").alias("key"))
     q = hashed.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("q"), "project_id", "key")
     pairs = q.join(hashed, ["project_id", "key"]).groupBy("query_id", "id").agg(F.first("q").alias("q"), F.first("embedding").alias("e"))
     near = op.top_per_key(pairs.withColumn("s", cosine(F.col("q"), F.col("e"))), ["query_id"], [F.col("s").desc(), F.col("id")], 20).groupBy("query_id").agg(F.collect_list("id").alias("approximate"))
@@ -188,7 +184,7 @@ def search_eval(spark, d):
 
 QUERIES = {f"rt.{f.__name__}": f for f in (vector, entity, strategy, provenance, rrf, primary_only, collapse, judge_rounds, derived_demotion, select_primary, corrections_covered, build_result, save, pin_generation)}
 QUERIES |= {f"ex.{f.__name__}": f for f in (neighbors, corrections, links, inferred, budget, revalidate)}
-QUERIES |= {"an.recall": recall, "mt.project": project, "ev.search_eval": search_eval}
+QUERIES |= {"an.index": index, "an.recall": recall, "mt.project": project, "ev.search_eval": search_eval}
 
 _TOP10 = f"WITH {_R}, c AS (SELECT request_id, document_id, sum(1 / (60 + rank)) AS rrf, count(DISTINCT route)::INT AS n_kinds FROM r GROUP BY 1, 2), n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY round(rrf, 12) DESC, document_id))::INT AS rank FROM c), t AS (SELECT * FROM n WHERE rank <= 10)"
 _J = _TOP10 + ", j AS (SELECT request_id, document_id, rank, (rank - 1) // 5 AS round, ['unrelated', 'background', 'useful', 'direct'][document_id * 7 % 11 % 4 + 1] AS relevance FROM t)"
@@ -217,6 +213,7 @@ ORACLES = {
         f AS (SELECT session_id, message_id, i, CASE WHEN tokens <= 1500 THEN 'selected' ELSE 'token_budget' END AS verdict, CASE WHEN tokens <= 1500 THEN 1500 - tokens ELSE 1500 END AS room FROM n WHERE i = 1
         UNION ALL SELECT n.session_id, n.message_id, n.i, CASE WHEN n.tokens <= f.room THEN 'selected' ELSE 'token_budget' END, CASE WHEN n.tokens <= f.room THEN f.room - n.tokens ELSE f.room END FROM f JOIN n ON n.session_id = f.session_id AND n.i = f.i + 1) SELECT session_id, message_id, verdict FROM f""",
     "ex.revalidate": _BFS + " SELECT request_id, node, node % 7 < 6 AND hop < 6 AS valid FROM g WHERE hop > 0",
+    "an.index": "SELECT vec_id AS document_id, 48::BIGINT AS tables FROM embeddings",
     "mt.project": cte("samples", "docs") + ", n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, event_id DESC) AS r FROM samples), v AS (SELECT project_id, count(*) AS samples, quantile_disc(duration_ms, 0.95) AS p95 FROM n WHERE r <= 200 GROUP BY 1), c AS (SELECT project_id, count(*) AS documents FROM docs GROUP BY 1) SELECT v.project_id, samples, p95, coalesce(documents, 0) AS documents, (samples >= 50 AND p95 > 100) OR coalesce(documents, 0) > 20000 AS use_index, samples < 50 AS insufficient_samples FROM v LEFT JOIN c ON c.project_id = v.project_id",
     "ev.search_eval": _TOP10 + ", e AS (SELECT range AS request_id, unnest([range * 7 % 40, range * 11 % 40]) AS document_id FROM range(50)), p AS (SELECT request_id, min(rank) AS position FROM e LEFT JOIN t USING (request_id, document_id) GROUP BY 1) SELECT count(*) AS total, count(position) AS hits FROM p",
 }

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from threadlens.functions.chunking import words_and_signs  # noqa: F401 - the stand-in counter is part of this surface
 from threadlens.operators import aggregates as agg
 from threadlens.operators import filters
 from threadlens.operators import joins as op
