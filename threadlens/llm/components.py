@@ -15,13 +15,15 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = work.keep(least, "least")  # tables of their own, so that the joins can split a hub's rows
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = work.keep(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        work.drop(least)
+        least = work.keep(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         met = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
         small = work.keep(met.where("u <> v").distinct(), "small")
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        work.drop(e, large)
+        work.drop(e, large, least)
         e = small
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
