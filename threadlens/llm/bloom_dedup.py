@@ -171,6 +171,7 @@ def decide(docs: DataFrame, text: str = "text", bits_per_row: int = 16, max_bits
     flagged = work.keep(flagged, "flagged")
     maybe = flagged.where("__maybe")
     groups = maybe.groupBy("__digest").agg(F.count("*").alias("group_size"), F.max(F.struct("__length", (-F.col("doc_id")).alias("o"), (-F.col("__row")).alias("r"), F.col("doc_id").alias("keep_id"))).alias("b"))
+    groups = work.keep(groups, "groups")  # a table of its own, so that the join below can split a hot digest's rows
     met = maybe.join(groups, "__digest").select("doc_id", F.col("b.keep_id").alias("keep_id"), "group_size", (F.col("__row") == -F.col("b.r")).alias("kept"), "__digest")
     alone = flagged.where(~F.col("__maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__digest")
     return alone.unionByName(met).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("__digest")).alias("text_sha256"))
