@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _left: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -23,10 +24,11 @@ def shared_root(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="threadlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    _left.append((spark, folder))
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="threadlens-")
+        _left.append((spark, _local[app]))
+    return _local[app]
 
 
 def remove(spark: SparkSession, path: str) -> None:
