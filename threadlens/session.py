@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -25,6 +27,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, whatever folder they start in."""
+    root, known = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; only Spark's own readers touch the path."""
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

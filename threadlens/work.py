@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadlens.session import reach
+
 _left: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
 
@@ -42,6 +44,7 @@ class Workspace:
     """The working tables of one run of one operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        reach(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
