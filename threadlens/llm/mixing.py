@@ -131,7 +131,7 @@ def rates(profiles: DataFrame, targets: dict[str, float] | None, work: Workspace
         targets = {d: (held[f"p_{d}"] or 0.0) * shares[d] for d in DOMAINS}
     goal = [targets[d] for d in DOMAINS]
     scale = max(1.0, *goal)
-    error, push = None, None
+    kept, error, push = now, None, None
     for step in range(steps):
         free = F.lit(True)
         if push is not None:
@@ -146,7 +146,7 @@ def rates(profiles: DataFrame, targets: dict[str, float] | None, work: Workspace
         n = len(p)
         m = [got[n + i * n : n + (i + 1) * n] for i in range(n)]
         last, error = error, sum(g * g for g in gap) ** 0.5 / scale
-        if error < 1e-7 or (last is not None and abs(last - error) < 1e-9):
+        if error < 1e-7 or (last is not None and abs(last - error) < (1e-9 if most is None else 1e-6)):
             break
         if most is None:
             push = solved(m, gap)
@@ -154,11 +154,12 @@ def rates(profiles: DataFrame, targets: dict[str, float] | None, work: Workspace
             top = max(sum(abs(x) for x in row) for row in m) or 1.0
             push = [g / top for g in gap]
         moved = F.greatest(F.lit(0.0), F.col("rate") - sum(F.col(c) * F.lit(g) for c, g in zip(p, push)))
-        after = now.withColumn("rate", F.least(F.lit(most), moved) if most is not None else moved)
-        after = work.keep(after, "rates", 1)
-        work.drop(now)
-        now = after
-    return now
+        now = now.withColumn("rate", F.least(F.lit(most), moved) if most is not None else moved)
+        if step % 6 == 5:  # cut the chain of rates now and then
+            after = work.keep(now, "rates", 1)
+            work.drop(kept)
+            kept = now = after
+    return work.keep(now, "rates", 1)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, shares: dict[str, float] | None, most: float | None, text: str) -> tuple[list[str], DataFrame, DataFrame]:
