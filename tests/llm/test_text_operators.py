@@ -140,6 +140,20 @@ def test_quality_certifies_and_keeps(spark):
     assert other.where("rule_failed").count() == 0
 
 
+def test_quality_certifies_small_strata(spark):
+    rows = spark.range(1000).selectExpr(
+        "concat('l', id % 4) AS lang", "100 AS n_words", "500 AS word_chars", "if(id >= 920, 12, 2) AS n_symbols",
+        "if(id < 28, 9, 0) AS n_repeat_words",
+        "0 AS n_echoes", "0 AS n_upper", "0 AS n_bangs", "id >= 920 AS poor", "id < 900 AS good")
+    good, others = rows.where("good"), rows.where("NOT good")
+    cut = quality.certified(good, F.col("lang"), others=others)  # 225 good rows a stratum, of which 7 are above the last cutoff of repeats
+    assert {s: c["symbols"] for s, c in cut.items()} == {f"l{i}": 0.02 for i in range(4)}
+    assert all(c["repeats"] == 0.1 for c in cut.values())
+    assert quality.judged(others.where("poor"), cut, F.col("lang")).where("NOT rule_failed").count() == 0
+    assert quality.judged(good, cut, F.col("lang")).where("rule_failed").count() == 0
+    assert quality.certified(good.where("id >= 36"), F.col("lang"), others=others) == {}  # 216 are too few
+
+
 def brute_components(rows, percent):
     sets = {i: shingles(t) for i, t, _, _ in rows}
     parent = {i: i for i in sets}

@@ -1,12 +1,15 @@
 """Quality rules whose cutoffs are certified on labelled rows.
 
-Each rule rejects a text whose measure is above a cutoff; the cutoffs that may be chosen are fixed beforehand. For every
-stratum, rule and cutoff the labelled good rows give the number falsely rejected; its exact (Clopper-Pearson) upper bound
-holds for all strata, rules and cutoffs at once with chance ``1 - delta``, by Bonferroni. A rule takes the lowest cutoff whose
-bound is within its part of ``alpha``, so all rules of a stratum together falsely reject at most ``alpha`` of its good texts. A
-stratum with too few labelled rows to certify a cutoff rejects nothing.
+Each rule rejects a text whose measure is above a cutoff; the cutoffs that may be chosen are fixed beforehand. What is certified
+is the verdict of all rules together, by fixed-sequence testing: every stratum has one path of 40 steps, each lowering one rule's
+cutoff to its next value, so that the texts rejected only grow along it. The path comes from the rows that are not labelled good,
+never from the good ones (``path``). Along it the labelled good rows that are rejected are counted, and as long as the exact
+(Clopper-Pearson) upper bound of their rate, at confidence ``1 - delta / strata``, is within ``alpha``, the step is taken; the first
+that is not ends the path. So with chance ``1 - delta`` the rules of every stratum falsely reject at most ``alpha`` of its good
+texts, rows being independent. A stratum rejects nothing if even no error among its labelled good rows would not certify a
+step: below ``log(delta / strata) / log(1 - alpha)`` rows, 217 with four strata.
 
-Measures are taken in one pass over the whole texts; only counts per stratum, rule and cutoff reach the driver.
+Measures are taken in one pass over the whole texts; only counts per stratum, rule and cutoff, or per stratum and step, reach the driver.
 
 Defined cases: a null text has no words; a null stratum is the stratum ``?``; unlabelled rows and labels of other values
 certify nothing; rows whose doc_id is labelled twice count twice; an empty table gives an empty result.
@@ -15,6 +18,7 @@ certify nothing; rows whose doc_id is labelled twice count twice; an empty table
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,18 +108,67 @@ def upper_bound(bad: int, n: int, delta: float) -> float:
     return high
 
 
-def certified(good: DataFrame, stratum: Column, alpha: float = 0.02, delta: float = 0.05) -> dict[str, dict[str, float]]:
-    """The cutoff of each rule in each stratum, from the measures of rows labelled good; a rule without one is left out."""
-    counts = [F.sum(F.when(F.expr(m) > c, 1).otherwise(0)).alias(f"{rule}_{i}") for rule, (m, cuts) in RULES.items() for i, c in enumerate(cuts)]
-    rows = good.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("n"), *counts).collect()
-    tests = max(1, len(rows)) * sum(len(cuts) for _, cuts in RULES.values())
+def path(poor: dict[str, list[int]], other: dict[str, list[int]], n_other: int, alpha: float) -> list[tuple[str, int]]:
+    """The steps (rule, index of its cutoff) of a stratum, from how many poor and other rows are above each cutoff.
+
+    First come steps that hardly any row meets (together at most a quarter of ``alpha``), then those with the most poor rows for
+    the others they reject, then those that reject no poor row, by what they reject. A rule's steps keep their order.
+    """
+    at = {rule: len(cuts) for rule, (_, cuts) in RULES.items()}
+    cheap = alpha * n_other / (4 * sum(at.values()))
+    out = []
+    while any(at.values()):
+        best = None
+        for rank, (rule, now) in enumerate(at.items()):
+            gone = (poor[rule][now], other[rule][now]) if now < len(RULES[rule][1]) else (0, 0)
+            for to in range(now - 1, -1, -1):
+                gain, cost = poor[rule][to] - gone[0], other[rule][to] - gone[1]
+                key = (cost > cheap, -gain / (cost + 1), cost, -to, rank)
+                if best is None or key < best[0]:
+                    best = (key, rule, to)
+        _, rule, to = best
+        out += [(rule, i) for i in range(at[rule] - 1, to - 1, -1)]
+        at[rule] = to
+    return out
+
+
+def certified(good: DataFrame, stratum: Column, alpha: float = 0.02, delta: float = 0.05, others: DataFrame | None = None) -> dict[str, dict[str, float]]:
+    """The cutoff of each rule in each stratum, from the measures of rows labelled good; a rule without one is left out.
+
+    ``others`` are the measures of all other rows and whether they are labelled ``poor``; without them no rule goes first.
+    """
+    above: dict[str, dict[str, tuple]] = {rule: {} for rule in RULES}
+    sizes: dict[str, int] = {}
+    if others is not None:
+        counts = [
+            F.sum(F.when((F.expr(m) > c) & (F.col("poor") == p), 1).otherwise(0)).alias(f"{rule}_{i}_{p}")
+            for rule, (m, cuts) in RULES.items() for i, c in enumerate(cuts) for p in (True, False)
+        ]
+        for r in others.groupBy(stratum.alias("stratum")).agg(F.sum(F.when(F.col("poor"), 0).otherwise(1)).alias("n"), *counts).collect():
+            sizes[r["stratum"]] = r["n"]
+            for rule, (_, cuts) in RULES.items():
+                above[rule][r["stratum"]] = tuple([r[f"{rule}_{i}_{p}"] for i in range(len(cuts))] for p in (True, False))
+    none = {rule: ([0] * len(cuts), [0] * len(cuts)) for rule, (_, cuts) in RULES.items()}
+    strata = [r["stratum"] for r in good.select(stratum.alias("stratum")).distinct().collect()]
+    paths = {s: path(*({rule: above[rule].get(s, none[rule])[k] for rule in RULES} for k in (0, 1)), sizes.get(s, 0), alpha) for s in strata}
+    if not paths:
+        return {}
+    first = []  # the step from which on a row is rejected: of each rule, the one to the loosest cutoff that the row is above
+    for rule, (measure, cuts) in RULES.items():
+        steps = [x for s, own in paths.items() for x in (F.lit(s), F.array(*[F.lit(own.index((rule, i))) for i in range(len(cuts))]))]
+        level = sum((F.expr(f"cast({measure} > {c} AS int)") for c in cuts), F.lit(0))
+        first.append(F.when(level > 0, F.get(F.create_map(*steps)[stratum], level - 1)))
+    counted = good.groupBy(stratum.alias("stratum"), F.least(*first).alias("first")).count().collect()
     out: dict[str, dict[str, float]] = {}
-    for r in rows:
-        for rule, (_, cuts) in RULES.items():
-            for i, c in enumerate(cuts):
-                if r[f"{rule}_{i}"] <= alpha * r["n"] and upper_bound(r[f"{rule}_{i}"], r["n"], delta / tests) <= alpha / len(RULES):
-                    out.setdefault(r["stratum"], {})[rule] = c
-                    break
+    for s, own in paths.items():
+        n = sum(r["count"] for r in counted if r["stratum"] == s)
+        bad = np.zeros(len(own), np.int64)
+        for r in counted:
+            if r["stratum"] == s and r["first"] is not None:
+                bad[r["first"] :] += r["count"]
+        fits = lambda i: bad[i] <= alpha * n and upper_bound(int(bad[i]), n, delta / len(paths)) <= alpha  # noqa: E731, B023
+        for rule, i in own[: bisect_left(range(len(own)), True, key=lambda i: not fits(i))]:  # noqa: B023
+            out.setdefault(s, {})[rule] = RULES[rule][1][i]
     return out
 
 
@@ -138,8 +191,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "doc_id long, lang string, " + ", ".join(f"{m} long" for m in MEASURES)
     rows = work.keep(over_text(docs, "text", measures, schema, ["doc_id", "lang"]), "measures")
     rows = rows.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    cutoffs = certified(rows.where("NOT base_failed").join(good, "doc_id"), F.col("lang"))
+    quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    good = quality.where("quality = 1").select("doc_id")
+    poor = quality.where("quality = 0").select("doc_id").distinct()
+    passed = rows.where("NOT base_failed")
+    others = passed.join(good, "doc_id", "left_anti").join(poor.withColumn("poor", F.lit(True)), "doc_id", "left").fillna(False, ["poor"])
+    cutoffs = certified(passed.join(good, "doc_id"), F.col("lang"), others=others)
     return judged(rows, cutoffs, F.col("lang")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("rule_failed")).alias("kept")
     )
