@@ -55,6 +55,31 @@ def test_language_model(spark):
     assert np.isclose(model.prior.sum(), 1) and np.allclose(model.emit.sum(0), 1) and np.allclose(model.move.sum(1), 1)
 
 
+def test_language_model_of_rare_words(spark):
+    rng = np.random.default_rng(5)  # words that occur once, in two kinds of text that only their endings tell apart
+    text = lambda kind, n: " ".join(f"{rng.integers(10**9)}{kind}" for _ in range(n))
+    rows = [(i, text("ing" if i % 2 else "ous", 40), "en", "s") for i in range(300)]
+    scored, model = hmm.score_texts(frame(spark, rows), F.col("doc_id") < 250, states=2, classes=64, lookup=32)
+    gains = [r["score"] - r["base_score"] for r in scored.where("held_out").collect()]
+    assert len(gains) == 50 and min(gains) > 5  # 40 words, of which each but the first is foretold to a factor of nearly two
+
+
+def test_language_model_grows_with_the_vocabulary(spark):
+    counts = spark.range(4_000_000).selectExpr("id AS word", "id % 1000 AS ending", "4000000 div (id + 1) AS n")
+    model = hmm.Model(counts, 1, 2, None, 1 << 18, 7)
+    assert model.first == 32 * 2000 and len(model.emit) == 48 * 2000 and np.isclose(model.prior.sum(), 1)
+    ll = model.update({35: (np.array([5], np.uint16), np.full((1, 2), 1e9)), -1: (np.zeros(1, np.uint16), np.array([1, 1, 1, 1, 1, 1, -3.0]))})
+    assert ll == -3 and model.emit[:, 0].argmax() == 35 * hmm.PART + 5
+
+
+def test_language_model_trains_until_it_settles(spark, monkeypatch):
+    seen, step = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda *a: seen.append(step(*a)) or seen[-1])
+    hmm.score_texts(frame(spark, documents(60)), F.lit(True), states=3)
+    assert len(seen) > 4 and seen[-1] - seen[-2] <= 1e-4 * abs(seen[-1])
+    assert all(b - a > 1e-4 * abs(b) for a, b in zip(seen, seen[1:-1]))
+
+
 def test_language_model_without_training(spark):
     scored, _ = hmm.score_texts(frame(spark, documents(5)), F.lit(False), iterations=1)
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in scored.collect())

@@ -1,14 +1,15 @@
 """A hidden Markov language model over words.
 
-Every training text feeds the model. Its words are counted over all training texts (identified by a 64-bit hash); the
-most frequent ``classes`` words are emission classes of their own, all others share one class in which a word has its
-share of the class's smoothed mass. So a word's probability is that of its class under the hidden states times a factor
-that the corpus-wide counts give, and everything that is broadcast (transitions, emissions, the counts of the
-``lookup`` most frequent words) is bounded by a parameter; the counts of rarer words are joined.
+Every training text feeds the model. Its words are counted over all training texts (identified by a 64-bit hash). The
+most frequent words are emission classes of their own, ``GROWTH`` times the square root of the number of distinct words and
+2**14 at least; the others are spread, by their last three bytes and (if they are looked up) their count's power of two,
+over half as many shared classes, in which a word has its share of the class's smoothed mass. So a word's probability is
+that of its class under the hidden states times a factor that the corpus-wide counts give. What is broadcast (transitions,
+emissions, the counts of the most frequent words) grows with that square root; the counts of rarer words are joined.
 
 Baum-Welch: each partition runs the scaled forward and backward recursions over its texts in windows of ``window`` tokens
-and sends expected counts; these are summed over partitions in two levels, block by block, and give the next
-parameters. Scoring runs the scaled forward recursion over whole texts, all texts of a block side by side, step by step;
+and sends the expected counts of the classes it met; these are summed over partitions in two levels, block by block, and give
+the next parameters, until the summed log likelihood rises by no more than ``tolerance`` of itself. Scoring runs the scaled forward recursion over whole texts, all texts of a block side by side, step by step;
 the sum of the scales' logarithms is the exact log likelihood.
 
 Defined cases: a null or empty text is the end token alone; a null id trains or not by the empty string's crc32; with
@@ -25,25 +26,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.llm.common import arrow_limits, blocks, held, text_views, tidy, word_hashes, word_spans
+from threadlens.llm.common import arrow_limits, blocks, held, mix, text_views, tidy, word_hashes, word_spans
 from threadlens.session import table
 from threadlens.work import Workspace
 
-RARE, END = 0, 1
+END = 0
+#: Classes of their own per square root of the number of distinct words.
+GROWTH = 32
 #: Classes of one block of expected counts.
 PART = 2048
 #: Tokens that a worker takes through the recursions at once.
 TOKENS = 1_000_000
 
 
+def endings(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A hash below 2**24 of each word's last three bytes, which spreads rarer words over the shared classes."""
+    return (mix(word_hashes(data, np.maximum(s, e - 3), e)) >> np.uint64(40)).astype(np.int64)
+
+
+PACKED = "part long, at binary, values binary"
+
+
+def packed(parts: list[int], at: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of doubles and their places in each block, as bytes."""
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), *(pa.array([x.tobytes() for x in v], pa.binary()) for v in (at, values))], names=["part", "at", "values"])
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) over a one-column frame of texts: counted in each partition, then summed."""
+    """(word, ending, n) over a one-column frame of texts: counted in each partition, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def merged(parts):
-            h, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            u, at = np.unique(h, return_inverse=True)
-            return u, np.bincount(at, c, len(u)).astype(np.int64)
+            h, x, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            u, first, at = np.unique(h, return_index=True, return_inverse=True)
+            return u, x[first], np.bincount(at, c, len(u)).astype(np.int64)
 
         parts, held_words = [], 0
         for batch in batches:
@@ -51,37 +67,39 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for a, b in blocks(offsets):
                 d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 s, e, _ = word_spans(d, o)
-                parts.append(np.unique(word_hashes(d, s, e), return_counts=True))
+                u, first, c = np.unique(word_hashes(d, s, e), return_index=True, return_counts=True)
+                parts.append((u, endings(d, s[first], e[first]), c))
                 held_words += len(parts[-1][0])
                 if held_words > 4_000_000:
                     parts = [merged(parts)]
                     held_words = len(parts[0][0])
                     if held_words > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in parts[0]], names=["word", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in parts[0]], names=["word", "ending", "n"])
                         parts, held_words = [], 0
         if parts:
-            u, c = merged(parts)
-            for i in range(0, len(u), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000].astype(np.int64)), pa.array(c[i : i + 100_000])], names=["word", "n"])
+            whole = merged(parts)
+            for i in range(0, len(whole[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].astype(np.int64)) for x in whole], names=["word", "ending", "n"])
 
-    return texts.mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(run), "word long, ending long, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
 def summed(parts: DataFrame) -> DataFrame:
-    """(part, values as packed doubles) summed per part; in two levels, so that no task meets all partitions' rows."""
+    """(part, at, values as packed doubles, a row for each of ``at``) summed per part; in two levels, so that no task meets all partitions' rows."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                v = np.frombuffer(values, np.float64)
-                sums[part] = sums[part] + v if part in sums else v
+            for part, at, values in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                at = np.frombuffer(at, np.uint16)
+                v = np.frombuffer(values, np.float64).reshape(len(at), -1)
+                sums.setdefault(part, np.zeros((PART if part >= 0 else 1, v.shape[1])))[at] += v
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "values"])
+            met = [np.flatnonzero(v.any(1)).astype(np.uint16) for v in sums.values()]
+            yield packed(list(sums), met, [v[at] for at, v in zip(met, sums.values())])
 
-    schema = "part long, values binary"
-    first = parts.repartition("part", "salt").select("part", "values").mapInArrow(tidy(add), schema)
-    return first.repartition("part").mapInArrow(tidy(add), schema)
+    first = parts.repartition("part", "salt").select("part", "at", "values").mapInArrow(tidy(add), PACKED)
+    return first.repartition("part").mapInArrow(tidy(add), PACKED)
 
 
 def side_by_side(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -151,35 +169,42 @@ def by_length(seqs: list[np.ndarray], limit: int = TOKENS) -> Iterator[list[int]
 
 
 class Model:
-    """Corpus statistics and parameters, of a size bounded by ``lookup``, ``classes`` and ``states``."""
+    """Corpus statistics and parameters, of a size that grows with the square root of the vocabulary unless ``classes`` fixes it."""
 
-    def __init__(self, counts: DataFrame, n_texts: int, states: int, classes: int, lookup: int, seed: int):
+    def __init__(self, counts: DataFrame, n_texts: int, states: int, classes: int | None, lookup: int, seed: int):
         bins = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
         groups = sorted(counts.groupBy(bins.alias("bin")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect(), reverse=True)
         self.total = sum(g["n"] for g in groups) + n_texts
         self.distinct = sum(g["words"] for g in groups) + (n_texts > 0)
         self.mass = self.total + 0.1 * (self.distinct + 1)
+        if classes is None:
+            classes = max(1 << 14, int(GROWTH * math.sqrt(self.distinct)))
+            lookup = max(lookup, 4 * classes)
         least, taken = None, 0
         for g in groups:
             if taken + g["words"] > lookup:
                 break
             least, taken = g["bin"], taken + g["words"]
-        self.words, self.n, self.cls = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.words, self.n, self.cls = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        own, ending = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if least is not None:
             top = counts.where(bins >= least).toArrow()
             words, n = top["word"].to_numpy().astype(np.uint64), top["n"].to_numpy()
-            order = np.lexsort((words, -n))
-            cls = np.full(len(words), RARE, np.uint16)
-            own = order[: classes - 2]
-            cls[own] = np.arange(2, len(own) + 2)
             by = np.argsort(words)
-            self.words, self.n, self.cls = words[by], n[by], cls[by]
-        self.end_class = END if n_texts else RARE
-        size = int(self.cls.max(initial=END)) + 1
-        p = np.zeros(size)
-        p[self.cls] = self.n + 0.1
+            self.words, self.n, ending = words[by], n[by], top["ending"].to_numpy()[by]
+            own = np.lexsort((self.words, -self.n))[: classes - 1]
+        #: shared classes follow the words' own ones
+        self.first, self.shared = len(own) + 1, max(1, classes // 2)
+        band = 1 + np.log2(np.maximum(self.n, 1)).astype(np.int64)
+        self.cls = (self.first + (ending + 7919 * band) % self.shared).astype(np.uint32)
+        self.cls[own] = np.arange(1, len(own) + 1)
+        p = np.bincount(self.cls, self.n + 0.1, self.first + self.shared).astype(float)
         p[END] = n_texts + 0.1 if n_texts else 0
-        p[RARE] = self.mass - p[2:].sum() - p[END]
+        rest = counts if least is None else counts.where(bins < least)
+        for g in rest.groupBy((F.col("ending") % self.shared).alias("at")).agg((F.sum("n") + 0.1 * F.count("*")).alias("p")).collect():
+            p[self.first + g["at"]] += g["p"]
+        p[self.first :] += 0.1 / self.shared  # unknown words
+        size = len(p)
         self.prior, self.n_texts = p / self.mass, n_texts
         rng = np.random.default_rng(seed)
         self.emit = self.prior[:, None] * np.exp(rng.normal(0, 1, (size, states)))
@@ -192,26 +217,30 @@ class Model:
     def parameters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return self.start.astype(np.float32), self.move.astype(np.float32), self.emit.astype(np.float32)
 
-    def update(self, sums: dict[int, np.ndarray], prior_weight: float = 200.0) -> None:
+    def update(self, sums: dict[int, tuple[np.ndarray, np.ndarray]], prior_weight: float = 200.0) -> float:
+        """Takes summed (places, values) per block as the next parameters; returns the log likelihood under the last ones."""
         k = len(self.start)
         emitted = np.zeros((len(self.emit), k))
         for part, v in sums.items():
             if part >= 0:
-                emitted[part * PART : part * PART + len(v) // k] = v.reshape(-1, k)
-        rest = sums.get(-1, np.zeros(k * k + k))
-        moves, starts = rest[: k * k].reshape(k, k), rest[k * k :]
+                at, values = v
+                emitted[part * PART + at.astype(np.int64)] = values.reshape(-1, k)
+        rest = sums[-1][1] if -1 in sums else np.zeros(k * k + k + 1)
+        moves, starts, likelihood = rest[: k * k].reshape(k, k), rest[k * k : -1], rest[-1]
         self.emit = (emitted + prior_weight * self.prior[:, None]) / (emitted.sum(0) + prior_weight)
         self.move = (moves + 1) / (moves.sum(1, keepdims=True) + k)
         self.start = (starts + 1) / (starts.sum() + k)
+        return float(likelihood)
 
 
 def classed(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of (row, text, train): token classes, the base score over frequent words, and the rarer words' hashes."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.words, model.n, model.cls, model.mass, model.n_texts, model.end_class))
+    shared = spark.sparkContext.broadcast((model.words, model.n, model.cls, model.mass, model.n_texts, model.first, model.shared))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, cls, mass, n_texts, end = shared.value
+        words, n, cls, mass, n_texts, first, spread = shared.value
+        end = END if n_texts else first
         logs = np.log10((n + 0.1) / mass)
         end_log = math.log10((n_texts + 0.1) / mass)
         for batch in batches:
@@ -227,8 +256,10 @@ def classed(docs: DataFrame, model: Model) -> DataFrame:
                 known = np.concatenate([[0], np.cumsum(found)])
                 rare = h[~found].astype(np.int64)
                 rare_off = (w - known[w]).astype(np.int32)
-                tokens = np.insert(np.where(found, cls[at], RARE).astype(np.uint16) if len(words) else np.zeros(len(h), np.uint16), w[1:], end)
-                t_off = (w + np.arange(len(w))) * 2
+                token = cls[at] if len(words) else np.zeros(len(h), np.uint32)
+                token[~found] = first + endings(d, s[~found], e[~found]) % spread
+                tokens = np.insert(token, w[1:], end)
+                t_off = (w + np.arange(len(w))) * 4
                 ids = pa.Array.from_buffers(pa.binary(), len(w) - 1, [None, pa.py_buffer(t_off.astype(np.int32)), pa.py_buffer(tokens)])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -245,25 +276,30 @@ def classed(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("text", "row", "doc_id", "train").mapInArrow(tidy(run), "row long, doc_id long, train boolean, ids binary, n_tokens long, known long, base double, rare array<long>")
 
 
-def baum_welch(tokens: DataFrame, model: Model, window: int) -> None:
-    """One iteration over all training rows: partitions' expected counts, summed, become the new parameters."""
+def baum_welch(tokens: DataFrame, model: Model, window: int) -> float:
+    """One iteration over all training rows: partitions' expected counts, summed, become the new parameters. Returns the log likelihood before it."""
     shared = tokens.sparkSession.sparkContext.broadcast(model.parameters())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, move, emit = shared.value
         k = len(start)
-        emitted, rest, seqs, n = np.zeros((len(emit), k)), np.zeros(k * k + k), [], 0
+        emitted, rest, seqs, n = np.zeros((len(emit), k)), np.zeros(k * k + k + 1), [], 0
 
         def flush():
             nonlocal emitted, rest
             for group in by_length(seqs):
-                e, m, s, _ = expected([seqs[i] for i in group], start, move, emit)
-                emitted += e
-                rest += np.concatenate([m.ravel(), s])
+                own = [seqs[i] for i in group]
+                met = np.zeros(len(emit), bool)
+                for x in own:
+                    met[x] = True
+                kinds, at = np.flatnonzero(met), np.cumsum(met) - 1
+                e, m, s, ll = expected([at[x] for x in own], start, move, emit[kinds])
+                emitted[kinds] += e
+                rest += np.concatenate([m.ravel(), s, [ll]])
 
         for batch in batches:
-            for packed in batch.column(0).to_pylist():
-                ids = np.frombuffer(packed, np.uint16)
+            for text in batch.column(0).to_pylist():
+                ids = np.frombuffer(text, np.uint32)
                 seqs += [ids[i : i + window] for i in range(0, len(ids), window)]
                 n += len(ids)
             if n > 4 * TOKENS:
@@ -272,15 +308,16 @@ def baum_welch(tokens: DataFrame, model: Model, window: int) -> None:
         if seqs:
             flush()
         if emitted.any():
-            parts = [emitted[i : i + PART] for i in range(0, len(emitted), PART)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*range(len(parts)), -1], pa.int64()), pa.array([*(p.tobytes() for p in parts), rest.tobytes()], pa.binary())], names=["part", "values"]
-            )
+            met = np.flatnonzero(emitted.any(1))
+            parts = np.unique(met // PART)
+            own = np.split(met, np.searchsorted(met, parts[1:] * PART))
+            yield packed([*parts.tolist(), -1], [*((x % PART).astype(np.uint16) for x in own), np.zeros(1, np.uint16)], [*(emitted[x] for x in own), rest])
 
-    parts = tokens.where("train").select("ids").mapInArrow(tidy(run), "part long, values binary")
+    parts = tokens.where("train").select("ids").mapInArrow(tidy(run), PACKED)
     got = summed(parts.withColumn("salt", F.spark_partition_id() % 32)).collect()
-    model.update({r["part"]: np.frombuffer(r["values"], np.float64) for r in got})
+    likelihood = model.update({r["part"]: (np.frombuffer(r["at"], np.uint16), np.frombuffer(r["values"], np.float64)) for r in got})
     shared.unpersist()
+    return likelihood
 
 
 def forward(tokens: DataFrame, model: Model) -> DataFrame:
@@ -301,8 +338,8 @@ def forward(tokens: DataFrame, model: Model) -> DataFrame:
         rows, seqs, n = [], [], 0
         for batch in batches:
             rows.append(batch.select([i for i in range(batch.num_columns) if batch.schema.names[i] != "ids"]))
-            for packed in batch.column("ids").to_pylist():
-                seqs.append(np.frombuffer(packed, np.uint16))
+            for text in batch.column("ids").to_pylist():
+                seqs.append(np.frombuffer(text, np.uint32))
                 n += len(seqs[-1])
             if n > 4 * TOKENS:
                 yield from flush(rows, seqs)
@@ -316,9 +353,9 @@ def forward(tokens: DataFrame, model: Model) -> DataFrame:
 
 
 def score_texts(
-    docs: DataFrame, train, text: str = "text", states: int = 8, iterations: int = 4, classes: int = 1 << 14, lookup: int = 1 << 18, window: int = 1024, seed: int = 7
+    docs: DataFrame, train, text: str = "text", states: int = 8, iterations: int | None = None, classes: int | None = None, lookup: int = 1 << 18, window: int = 1024, seed: int = 7, tolerance: float = 1e-4
 ) -> tuple[DataFrame, Model]:
-    """Train on the rows where ``train`` holds and score all rows of ``docs`` (doc_id, text)."""
+    """Train on the rows where ``train`` holds, ``iterations`` times or until it settles, and score all rows of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     arrow_limits(spark)
     work = Workspace(spark, "hmm")
@@ -326,8 +363,12 @@ def score_texts(
     counts = work.keep(word_counts(rows.where("train").select("text")), "counts")
     model = Model(counts, rows.where("train").count(), states, classes, lookup, seed)
     tokens = work.keep(classed(rows, model), "tokens")
-    for _ in range(iterations):
-        baum_welch(tokens, model, window)
+    last, steps = -math.inf, 0
+    while steps != iterations:
+        likelihood, steps = baum_welch(tokens, model, window), steps + 1
+        if iterations is None and likelihood - last <= tolerance * abs(likelihood):
+            break
+        last = likelihood
     rare = tokens.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     seen = rare.groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / model.mass)).alias("rare_base"), F.count("n").alias("rare_known")
