@@ -7,13 +7,17 @@ over half as many shared classes, in which a word has its share of the class's s
 that of its class under the hidden states times a factor that the corpus-wide counts give. What is broadcast (transitions,
 emissions, the counts of the most frequent words) grows with that square root; the counts of rarer words are joined.
 
-Baum-Welch: each partition runs the scaled forward and backward recursions over its texts in windows of ``window`` tokens
+Baum-Welch: each partition runs the scaled forward and backward recursions over its whole texts
 and sends the expected counts of the classes it met; these are summed over partitions in two levels, block by block, and give
-the next parameters, until the summed log likelihood rises by no more than ``tolerance`` of itself. Scoring runs the scaled forward recursion over whole texts, all texts of a block side by side, step by step;
-the sum of the scales' logarithms is the exact log likelihood.
+the next parameters, until the summed log likelihood rises by no more than ``tolerance`` of itself. The first iterations run on
+every ``warm``-th training text, so that few passes over all of them are left; what counts as settled is the same. Scoring runs
+the scaled forward recursion over whole texts; the sum of the scales' logarithms is the exact log likelihood. Recursions are
+in double precision, many texts side by side; a long text goes in windows, which carry the state over their borders exactly
+(``Windows``), so memory is bounded whatever a text's length.
 
 Defined cases: a null or empty text is the end token alone; a null id trains or not by the empty string's crc32; with
-no training text every token is unknown and has probability one; repeated rows are scored one by one.
+no training text every token is unknown and has probability one; repeated rows are scored one by one; columns beside
+doc_id and the text don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ END = 0
 GROWTH = 32
 #: Classes of one block of expected counts.
 PART = 2048
-#: Tokens that a worker takes through the recursions at once.
-TOKENS = 1_000_000
+#: Tokens that a worker takes through the recursions at once, and the longest window of one text among them.
+TOKENS, WINDOW = 500_000, 1024
 
 
 def endings(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -116,46 +120,127 @@ def side_by_side(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
     return order, alive, at, out
 
 
-def log_likelihood(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """Natural-log likelihood of each sequence by the scaled forward recursion."""
-    order, alive, at, seen = side_by_side(seqs)
-    total = np.zeros(len(seqs))
-    a = start[None, :]
-    for t, n in enumerate(alive):
-        a = (a[:n] @ move if t else a) * emit[seen[at[t] : at[t + 1]]]
-        s = a.sum(1)
-        a /= s[:, None]
-        total[:n] += np.log(s)
-    out = np.empty(len(seqs))
-    out[order] = total
-    return out
-
-
-def expected(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch's expected counts: emissions (class, state), transitions, starts; and the log likelihood."""
-    _, alive, at, seen = side_by_side(seqs)
-    e = emit[seen]
-    forward, scale = np.empty_like(e), np.empty(len(seen), e.dtype)
-    a = None
-    for t, n in enumerate(alive):
-        a = (a[:n] @ move if t else start[None, :]) * e[at[t] : at[t + 1]]
-        s = a.sum(1)
-        a /= s[:, None]
-        forward[at[t] : at[t + 1]], scale[at[t] : at[t + 1]] = a, s
-    backward, ahead = np.ones_like(e), np.empty_like(e)
-    e /= scale[:, None]
-    for t in range(len(alive) - 2, -1, -1):
-        n, x = alive[t + 1], slice(at[t + 1], at[t + 2])
-        ahead[x] = e[x] * backward[x]
-        backward[at[t] : at[t] + n] = ahead[x] @ move.T
-    state = forward * backward
-    before = np.arange(at[1], len(seen)) - np.repeat(at[1:-1] - at[:-2], alive[1:])
-    moves = (forward[before].T.astype(np.float64) @ ahead[at[1] :].astype(np.float64)) * move
-    emitted = np.stack([np.bincount(seen, state[:, k], minlength=len(emit)) for k in range(len(move))], axis=1)
-    return emitted, moves, state[: alive[0]].sum(0, dtype=np.float64), float(np.log(scale.astype(np.float64)).sum())
-
-
-def by_length(seqs: list[np.ndarray], limit: int = TOKENS) -> Iterator[list[int]]:
+class Windows:
+    """Sequences cut into windows of at most ``window`` tokens that know what comes before and after, so that no transition is cut.
+
+    A window's transfer matrix leads from the state before it to the one at its end. The matrices of all windows are found side by
+    side; a chain over the windows of a sequence then gives each window the filtered state at the end of the one before
+    (``before``, states by windows; ``start`` holds for first windows) and, up to a factor, the likelihood of all that follows
+    (``after``).
+    """
+
+    def __init__(self, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, window: int, limit: int):
+        self.start, self.move, self.emit, self.limit = start, move, np.ascontiguousarray(emit.T), limit
+        n = np.array([-(-len(s) // window) for s in seqs])
+        self.of = np.repeat(np.arange(len(seqs)), n)
+        self.pieces = [s[i : i + window] for s in seqs for i in range(0, len(s), window)]
+        self.first = np.ones(len(self.of), bool)
+        self.first[1:] = self.of[1:] != self.of[:-1]
+        k = len(start)
+        self.before, self.after = np.zeros((k, len(self.of))), np.ones((k, len(self.of)))
+        ends = np.cumsum(n)
+        long = np.flatnonzero((n > 1)[self.of])
+        matrix = np.zeros((len(long), k, k))
+        for group in by_length([self.pieces[i] for i in long], limit):
+            matrix[group] = self._transfer([self.pieces[long[i]] for i in group])
+        at = dict(zip(long.tolist(), range(len(long))))
+        for s in np.flatnonzero(n > 1):
+            a, b = int(ends[s] - n[s]), int(ends[s])
+            state = start
+            for i in range(a, b - 1):
+                state = state @ matrix[at[i]]
+                self.before[:, i + 1] = state / state.sum()
+                state = self.before[:, i + 1] @ move
+            rest = np.ones(k)
+            for i in range(b - 1, a, -1):
+                rest = move @ (matrix[at[i]] @ rest)
+                rest /= rest.sum()
+                self.after[:, i - 1] = rest
+
+    def _transfer(self, pieces: list[np.ndarray]) -> np.ndarray:
+        """diag(e_0) (move diag(e_1)) (move diag(e_2)) ... of each piece, up to a factor."""
+        order, alive, at, seen = side_by_side(pieces)
+        k = len(self.start)
+        out = np.empty((len(pieces), k, k))
+        m = np.zeros((k, k, len(pieces)))  # state at the end, state before, piece
+        e = self.emit[:, seen[: at[1]]]
+        m[np.arange(k), np.arange(k)] = e
+        for t, n in enumerate(alive[1:], 1):
+            if n < m.shape[2]:
+                out[order[n : m.shape[2]]] = m[:, :, n:].transpose(2, 1, 0)
+                m = m[:, :, :n]
+            m = (self.move.T @ m.reshape(k, -1)).reshape(k, k, n)
+            m *= self.emit[:, None, seen[at[t] : at[t + 1]]]
+            if t % 8 == 0:
+                m /= m.sum((0, 1))
+        out[order[: m.shape[2]]] = (m / m.sum((0, 1))).transpose(2, 1, 0)
+        return out
+
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows of like length that are taken through the recursions at once: their indices, longest first, and ``side_by_side``'s arrays."""
+        for group in by_length(self.pieces, self.limit):
+            order, alive, at, seen = side_by_side([self.pieces[i] for i in group])
+            yield np.array(group)[order], alive, at, seen
+
+    def entry(self, own: np.ndarray) -> np.ndarray:
+        """Chances of the states of each window's first token, before that token is seen."""
+        return np.where(self.first[own], self.start[:, None], self.move.T @ self.before[:, own])
+
+
+def log_likelihood(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, window: int = WINDOW, limit: int = TOKENS) -> np.ndarray:
+    """Natural-log likelihood of each sequence by the scaled forward recursion, in double precision."""
+    w = Windows(seqs, start, move, emit, window, limit)
+    total = np.zeros(len(w.pieces))
+    for own, alive, at, seen in w.groups():
+        a, sums = w.entry(own), np.zeros(len(own))
+        for t, n in enumerate(alive):
+            a = (move.T @ a[:, :n] if t else a) * w.emit[:, seen[at[t] : at[t + 1]]]
+            s = a.sum(0)
+            a /= s
+            sums[:n] += np.log(s)
+        total[own] = sums
+    return np.bincount(w.of, total, len(seqs))
+
+
+def expected(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, window: int = WINDOW, limit: int = TOKENS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch's expected counts over whole sequences: emissions (class, state), transitions, starts; and the log likelihood."""
+    w = Windows(seqs, start, move, emit, window, limit)
+    k = len(start)
+    emitted, moves, starts, likelihood = np.zeros((k, len(emit))), np.zeros((k, k)), np.zeros(k), 0.0
+    for own, alive, at, seen in w.groups():
+        e = w.emit[:, seen]
+        ahead, scale = np.empty_like(e), np.empty(len(seen))
+        forward, a = np.empty_like(e), None
+        for t, n in enumerate(alive):
+            x = slice(at[t], at[t + 1])
+            a = (move.T @ a[:, :n] if t else w.entry(own)) * e[:, x]
+            s = a.sum(0)
+            a /= s
+            forward[:, x], scale[x] = a, s
+        e /= scale
+        size = np.array([len(w.pieces[i]) for i in own])
+        last = at[size - 1] + np.arange(len(own))
+        rest = w.after[:, own] / (forward[:, last] * w.after[:, own]).sum(0)
+        backward = np.empty_like(e)
+        for t in range(len(alive) - 1, -1, -1):
+            x, n = slice(at[t], at[t + 1]), alive[t + 1] if t + 1 < len(alive) else 0
+            backward[:, at[t] + n : at[t + 1]] = rest[:, n : alive[t]]  # windows that end here
+            if n:
+                backward[:, at[t] : at[t] + n] = move @ ahead[:, at[t + 1] : at[t + 2]]
+            ahead[:, x] = e[:, x] * backward[:, x]
+        before = np.arange(at[1], len(seen)) - np.repeat(at[1:-1] - at[:-2], alive[1:])
+        moves += forward[:, before] @ ahead[:, at[1] :].T
+        first = w.first[own]
+        moves += w.before[:, own[~first]] @ ahead[:, : at[1]][:, ~first].T
+        forward *= backward
+        starts += forward[:, : at[1]][:, first].sum(1)
+        for i in range(k):
+            emitted[i] += np.bincount(seen, forward[i], minlength=len(emit))
+        likelihood += float(np.log(scale).sum())
+    return emitted.T, moves * move, starts, likelihood
+
+
+def by_length(seqs: list[np.ndarray], limit: int) -> Iterator[list[int]]:
     """Indices of sequences of like length, at most ``limit`` tokens together."""
     group, held_tokens = [], 0
     for i in sorted(range(len(seqs)), key=lambda i: len(seqs[i])):
@@ -215,7 +300,7 @@ class Model:
         self.start = np.full(states, 1 / states)
 
     def parameters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.start.astype(np.float32), self.move.astype(np.float32), self.emit.astype(np.float32)
+        return self.start, self.move, self.emit
 
     def update(self, sums: dict[int, tuple[np.ndarray, np.ndarray]], prior_weight: float = 200.0) -> float:
         """Takes summed (places, values) per block as the next parameters; returns the log likelihood under the last ones."""
@@ -277,7 +362,7 @@ def classed(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def baum_welch(tokens: DataFrame, model: Model, window: int) -> float:
-    """One iteration over all training rows: partitions' expected counts, summed, become the new parameters. Returns the log likelihood before it."""
+    """One iteration over the rows of ``tokens``: partitions' expected counts, summed, become the new parameters. Returns the log likelihood before it."""
     shared = tokens.sparkSession.sparkContext.broadcast(model.parameters())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,21 +372,14 @@ def baum_welch(tokens: DataFrame, model: Model, window: int) -> float:
 
         def flush():
             nonlocal emitted, rest
-            for group in by_length(seqs):
-                own = [seqs[i] for i in group]
-                met = np.zeros(len(emit), bool)
-                for x in own:
-                    met[x] = True
-                kinds, at = np.flatnonzero(met), np.cumsum(met) - 1
-                e, m, s, ll = expected([at[x] for x in own], start, move, emit[kinds])
-                emitted[kinds] += e
-                rest += np.concatenate([m.ravel(), s, [ll]])
+            e, m, s, ll = expected(seqs, start, move, emit, window)
+            emitted += e
+            rest += np.concatenate([m.ravel(), s, [ll]])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                ids = np.frombuffer(text, np.uint32)
-                seqs += [ids[i : i + window] for i in range(0, len(ids), window)]
-                n += len(ids)
+                seqs.append(np.frombuffer(text, np.uint32))
+                n += len(seqs[-1])
             if n > 4 * TOKENS:
                 flush()
                 seqs, n = [], 0
@@ -313,14 +391,21 @@ def baum_welch(tokens: DataFrame, model: Model, window: int) -> float:
             own = np.split(met, np.searchsorted(met, parts[1:] * PART))
             yield packed([*parts.tolist(), -1], [*((x % PART).astype(np.uint16) for x in own), np.zeros(1, np.uint16)], [*(emitted[x] for x in own), rest])
 
-    parts = tokens.where("train").select("ids").mapInArrow(tidy(run), PACKED)
+    parts = tokens.select("ids").mapInArrow(tidy(run), PACKED)
     got = summed(parts.withColumn("salt", F.spark_partition_id() % 32)).collect()
     likelihood = model.update({r["part"]: (np.frombuffer(r["at"], np.uint16), np.frombuffer(r["values"], np.float64)) for r in got})
     shared.unpersist()
     return likelihood
 
 
-def forward(tokens: DataFrame, model: Model) -> DataFrame:
+def settle(tokens: DataFrame, model: Model, window: int, tolerance: float) -> None:
+    """Iterations until the log likelihood rises by no more than ``tolerance`` of itself."""
+    last = -math.inf
+    while (likelihood := baum_welch(tokens, model, window)) - last > tolerance * abs(likelihood):
+        last = likelihood
+
+
+def forward(tokens: DataFrame, model: Model, window: int) -> DataFrame:
     """Per row: log10 likelihood of its classes less their prior, which turns a base score into the model's."""
     shared = tokens.sparkSession.sparkContext.broadcast((*model.parameters(), np.log10(np.maximum(model.prior, 1e-300))))
 
@@ -328,10 +413,7 @@ def forward(tokens: DataFrame, model: Model) -> DataFrame:
         start, move, emit, prior = shared.value
 
         def flush(rows, seqs):
-            out = np.empty(len(seqs))
-            for group in by_length(seqs):
-                own = [seqs[i] for i in group]
-                out[group] = log_likelihood(own, start, move, emit) / math.log(10) - [prior[s].sum() for s in own]
+            out = log_likelihood(seqs, start, move, emit, window) / math.log(10) - [prior[s].sum() for s in seqs]
             table_ = pa.Table.from_batches(rows)
             return table_.append_column("gain", pa.array(out)).combine_chunks().to_batches()
 
@@ -353,9 +435,12 @@ def forward(tokens: DataFrame, model: Model) -> DataFrame:
 
 
 def score_texts(
-    docs: DataFrame, train, text: str = "text", states: int = 8, iterations: int | None = None, classes: int | None = None, lookup: int = 1 << 18, window: int = 1024, seed: int = 7, tolerance: float = 1e-4
+    docs: DataFrame, train, text: str = "text", states: int = 8, iterations: int | None = None, classes: int | None = None, lookup: int = 1 << 18, window: int = WINDOW, seed: int = 7, tolerance: float = 1e-4, warm: int = 8
 ) -> tuple[DataFrame, Model]:
-    """Train on the rows where ``train`` holds, ``iterations`` times or until it settles, and score all rows of ``docs`` (doc_id, text)."""
+    """Train on the rows where ``train`` holds, ``iterations`` times or until it settles, and score all rows of ``docs`` (doc_id, text).
+
+    Without ``iterations`` training begins on every ``warm``-th row until it settles there, and goes on over all rows until it settles.
+    """
     spark = docs.sparkSession
     arrow_limits(spark)
     work = Workspace(spark, "hmm")
@@ -363,17 +448,17 @@ def score_texts(
     counts = work.keep(word_counts(rows.where("train").select("text")), "counts")
     model = Model(counts, rows.where("train").count(), states, classes, lookup, seed)
     tokens = work.keep(classed(rows, model), "tokens")
-    last, steps = -math.inf, 0
-    while steps != iterations:
-        likelihood, steps = baum_welch(tokens, model, window), steps + 1
-        if iterations is None and likelihood - last <= tolerance * abs(likelihood):
-            break
-        last = likelihood
+    trained = tokens.where("train")
+    if iterations is None:
+        settle(trained.where(F.pmod(F.xxhash64("row"), F.lit(warm)) == 0), model, window, tolerance)
+        settle(trained, model, window, tolerance)
+    for _ in range(iterations or 0):
+        baum_welch(trained, model, window)
     rare = tokens.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     seen = rare.groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / model.mass)).alias("rare_base"), F.count("n").alias("rare_known")
     )
-    scored = forward(tokens, model).join(seen, "row", "left")
+    scored = forward(tokens, model, window).join(seen, "row", "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
     return scored.select(
         "doc_id",
