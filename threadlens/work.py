@@ -67,6 +67,11 @@ class Workspace:
                 remove(self.spark, path)
 
 
+def kept_at(kept: DataFrame) -> str:
+    """The folder of a table that ``Workspace.keep`` returned."""
+    return kept.__dict__["_kept_at"]
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _left:
