@@ -46,8 +46,43 @@ def test_exact_dedup(spark, docs, max_bits):
     assert Counter(r["text_sha256"] for r in got if r["kept"]) == Counter(groups.keys())
 
 
+def test_exact_dedup_takes_one_filter_at_a_time(spark, docs, monkeypatch):
+    sizes, build = [], bloom_dedup.several
+    monkeypatch.setattr(bloom_dedup, "several", lambda part, bits: sizes.append((part.count(), bits)) or build(part, bits))
+    got = {(r["doc_id"], r["kept"]) for r in bloom_dedup.decide(docs, max_bits=200).collect()}
+    assert sum(n for n, _ in sizes) == len(documents()) and len(sizes) > 3 and max(b for _, b in sizes) <= 200  # each digest in one slice
+    assert got == {(r["doc_id"], r["kept"]) for r in bloom_dedup.decide(docs).collect()}
+    assert sorted(bloom_dedup.keep_one(docs, max_bits=200).collect(), key=str) == sorted(bloom_dedup.keep_one(docs).collect(), key=str)
+
+
+def test_exact_dedup_of_odd_ids(spark):
+    rows = [(-(2**63), "a b", "en", "s"), (2**63 - 1, "a  b", "en", "s"), (None, "ab", "en", "s"), (None, "c", "en", "s"), (5, "c", "en", "s"), (None, "d", "en", "s"), (None, "d", "en", "s")]
+    got = bloom_dedup.decide(frame(spark, rows)).collect()
+    assert sorted((r["keep_id"] is None, r["keep_id"], r["group_size"]) for r in got if r["text_sha256"] != sha("d")) == [(False, 5, 2)] * 2 + [(False, 2**63 - 1, 3)] * 3
+    assert [(r["keep_id"], r["group_size"]) for r in got if r["text_sha256"] == sha("d")] == [(None, 2)] * 2
+    assert sum(r["kept"] for r in got) == 3
+    assert sorted(map(str, (r["doc_id"] for r in bloom_dedup.keep_one(frame(spark, rows)).collect()))) == ["5", str(2**63 - 1), "None"]
+
+
+@pytest.mark.parametrize("limit", [1 << 27, 4096])
+def test_rows_are_picked_by_place(spark, tmp_path, limit):
+    from threadlens.llm import places
+    from threadlens.work import Workspace
+
+    spark.range(100_000).selectExpr("id", "id % 7 AS __file", "1 AS __bits").repartition(3).write.parquet(f"{tmp_path}/t")
+    work = Workspace(spark, "test")
+    rows = places.stored(spark.read.parquet(f"{tmp_path}/t").where("id <> 5"), work)
+    some = places.placed(rows, "id").where("id % 3 = 0").select(places.FILE, places.AT)
+    assert {r["id"] for r in places.picked(rows, some, True, work, limit=limit).collect()} == set(range(0, 100_000, 3))
+    out = places.picked(rows, some, False, work, limit=limit)
+    assert out.columns == ["id", "__file", "__bits"] and {r["id"] for r in out.collect()} == {i for i in range(100_000) if i % 3 and i != 5}
+    assert places.picked(rows, some.limit(0), True, work).count() == 0
+
+
 def test_keep_one_returns_whole_rows(spark, docs):
-    clashing = docs.withColumn("__len", F.lit(1)).withColumn("digest", F.lit("x"))
+    clashing = docs
+    for name in ("__len", "digest", "__digest", "__maybe", "__length", "__t", "__text", "__file", "__at", "kept", "keep_id"):
+        clashing = clashing.withColumn(name, F.lit("x"))
     out = bloom_dedup.keep_one(clashing)
     assert out.columns == clashing.columns
     want = {r["keep_id"] for r in bloom_dedup.decide(docs).collect()}

@@ -5,13 +5,15 @@ Bloom filter, whether one or several digests set it; pass two lets every digest
 pass straight through, for it cannot repeat. Only the rest (true repeats and a few false positives) shuffle, grouped
 by the full digest, so the result is exact whatever the filter lets through.
 
-The filter has ``bits_per_row`` bits for each row but never more than ``max_bits``: for more rows the digest space is cut
-into slices by the digest's first bytes, each slice with a filter of its own and read once from its own folder. So what
-reaches the driver and every task is bounded by ``max_bits``.
+The filter has ``bits_per_row`` bits for each row but never more than ``max_bits``: for more rows the digests are dealt by their first
+bytes to slices, each in a folder of its own, and one slice after the other builds its filter and is probed with it. So what the driver
+and every task hold is one filter of at most ``max_bits``, and each digest is read twice however many slices there are.
+
+``keep_one`` drops rows by their place (``places``): digests and places shuffle, whole rows never do.
 
 Defined cases: a null text equals the empty one; repeated rows with one doc_id are copies like any other, one row of
-them stays; a null doc_id loses ties against any other; an empty table gives an empty result; columns of other names
-are handed on, working columns begin with two underscores.
+them stays; a null doc_id loses ties against any other; an empty table gives an empty result; other columns, of whatever
+names, are handed on by ``keep_one`` and left out by ``decide``.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import arrow_limits, SPACES, tidy
+from threadlens.llm.places import AT, FILE, picked, placed, stored
 from threadlens.session import table
-from threadlens.work import Workspace
+from threadlens.work import Workspace, kept_at
 
 HASHES = 2
 BLOCK_BITS = 1 << 19
@@ -54,31 +58,10 @@ def digested(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select("*", filled.cast("binary").alias("__text"), F.length(filled).alias("__length")).mapInArrow(tidy(run), schema)
 
 
-def flagged_rows(docs: DataFrame, filters: list[bytes], bits: int, text: str = "text") -> DataFrame:
-    """``digested`` and ``probed`` in one pass, so that a task keeps one Python worker."""
-    names, shared = docs.columns, docs.sparkSession.sparkContext.broadcast(filters)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = [hashlib.sha256(t.translate(None, SPACES)).digest() for t in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], pa.array(d, pa.binary()), batch.column(len(names) + 1), pa.array(may_repeat(d, shared.value, bits))], names=[*names, "__digest", "__length", "__maybe"]
-            )
-
-    filled = F.coalesce(F.col(text), F.lit(""))
-    schema = docs.select("*", F.lit(b"").alias("__digest"), F.lit(0).alias("__length"), F.lit(False).alias("__maybe")).schema
-    return docs.select("*", filled.cast("binary").alias("__text"), F.length(filled).alias("__length")).mapInArrow(tidy(run), schema)
-
-
-def may_repeat(digests: list[bytes], filters: list[bytes], bits: int) -> np.ndarray:
-    """Which digests have all their bits set by several rows, in the filter of their slice."""
+def may_repeat(digests: list[bytes], filter_: bytes, bits: int) -> np.ndarray:
+    """Which digests have all their bits set by several rows."""
     at = positions(digests, bits) if digests else np.zeros((0, HASHES), np.int64)
-    part = np.array([int.from_bytes(x[:4], "big") % len(filters) for x in digests], np.int64)
-    maybe = np.zeros(len(digests), bool)
-    for i in np.unique(part):
-        own, table_ = at[part == i], np.frombuffer(filters[i], np.uint8)
-        maybe[part == i] = ((table_[own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1).all(axis=1)
-    return maybe
+    return ((np.frombuffer(filter_, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
 
 
 def several(digests: DataFrame, bits: int) -> bytes:
@@ -130,9 +113,9 @@ def several(digests: DataFrame, bits: int) -> bytes:
     return whole.tobytes()
 
 
-def probed(df: DataFrame, filters: list[bytes], bits: int) -> DataFrame:
+def probed(df: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
     """``df`` (with ``__digest``) and ``__maybe``: false where the digest cannot repeat."""
-    names, shared = df.columns, df.sparkSession.sparkContext.broadcast(filters)
+    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,55 +125,62 @@ def probed(df: DataFrame, filters: list[bytes], bits: int) -> DataFrame:
     return df.mapInArrow(tidy(run), df.select("*", F.lit(False).alias("__maybe")).schema)
 
 
-def classes(rows: DataFrame) -> DataFrame:
-    """Per digest: how many rows, and the one that stays (most code points, then smallest id)."""
-    best = F.max(F.struct("__length", (-F.col("doc_id")).alias("o"), F.col("doc_id").alias("keep_id")))
-    return rows.groupBy("__digest").agg(F.count("*").alias("group_size"), best["keep_id"].alias("keep_id"), best["__length"].alias("keep_length"))
-
-
-def slice_of(slices: int):
-    return F.conv(F.hex(F.substring("__digest", 1, 4)), 16, 10).cast("long") % slices
-
-
-def decide(docs: DataFrame, text: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 27) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "bloom")
-    digests = work.keep(digested(docs.select("doc_id", F.col(text).alias("__t")), "__t").select("doc_id", "__digest", "__length", F.monotonically_increasing_id().alias("__row")), "digests")
+def flagged(digests: DataFrame, work: Workspace, bits_per_row: int, max_bits: int) -> DataFrame:
+    """``digests`` (a working table) with ``__maybe``, one filter at a time; as a working table."""
+    spark = digests.sparkSession
     n = digests.count()
     slices = max(1, -(-n * bits_per_row // max_bits))
     bits = max(64, -(-n * bits_per_row // slices))
-    if slices == 1:
-        flagged = probed(digests, [several(digests, bits)], bits)
-    else:
-        work_slices = [digests.where(slice_of(slices) == i) for i in range(slices)]
-        flagged = None
-        for part in work_slices:
-            one = probed(part, [several(part, bits)], bits)
-            flagged = one if flagged is None else flagged.unionByName(one)
-    flagged = work.keep(flagged, "flagged")
-    maybe = flagged.where("__maybe")
-    groups = maybe.groupBy("__digest").agg(F.count("*").alias("group_size"), F.max(F.struct("__length", (-F.col("doc_id")).alias("o"), (-F.col("__row")).alias("r"), F.col("doc_id").alias("keep_id"))).alias("b"))
-    groups = work.keep(groups, "groups")  # a table of its own, so that the join below can split a hot digest's rows
-    met = maybe.join(groups, "__digest").select("doc_id", F.col("b.keep_id").alias("keep_id"), "group_size", (F.col("__row") == -F.col("b.r")).alias("kept"), "__digest")
-    alone = flagged.where(~F.col("__maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__digest")
+    parts = [digests]
+    if slices > 1:
+        slice_ = F.conv(F.hex(F.substring("__digest", 1, 4)), 16, 10).cast("long") % slices
+        # a slice in up to 16 files, which its first bytes don't tell apart
+        dealt = digests.withColumn("__slice", slice_).repartition("__slice", F.pmod(F.xxhash64("__digest"), F.lit(16)))
+        folder = f"{work.path}/slices"
+        dealt.write.option("compression", "zstd").partitionBy("__slice").parquet(folder)
+        met = sorted(r[0] for r in dealt_slices(spark, folder))
+        parts = [spark.read.schema(digests.schema).parquet(f"{folder}/__slice={i}") for i in met]
+    out = []
+    for part in parts:
+        shared = spark.sparkContext.broadcast(several(part, bits))
+        out.append(work.keep(probed(part, shared, bits), "flagged"))
+        shared.destroy()
+    return spark.read.schema(out[0].schema).parquet(*[kept_at(x) for x in out])
+
+
+def dealt_slices(spark: SparkSession, folder: str) -> list:
+    return spark.read.parquet(folder).select("__slice").distinct().collect()
+
+
+def winners(maybe: DataFrame, row: list[str], work: Workspace) -> DataFrame:
+    """Per digest: how many rows, and which stays (most code points, then smallest id, then the first by ``row``)."""
+    best = F.max(F.struct("__length", F.bitwise_not("doc_id").alias("__o"), *[F.bitwise_not(c).alias(c) for c in row]))  # of integers, ~x orders as -x and never overflows
+    groups = maybe.groupBy("__digest").agg(F.count("*").alias("group_size"), best.alias("__b"))
+    stays = [F.bitwise_not(F.col(f"__b.{c}")).alias(f"__keep{c}") for c in row]
+    # a table of its own, so that the join that follows can split a hot digest's rows
+    return work.keep(groups.select("__digest", "group_size", F.bitwise_not("__b.__o").alias("keep_id"), *stays), "groups")
+
+
+def decide(docs: DataFrame, text: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
+    work = Workspace(docs.sparkSession, "bloom")
+    rows = digested(docs.select("doc_id", F.col(text).alias("__t")), "__t").select("doc_id", "__digest", "__length", F.monotonically_increasing_id().alias("__row"))
+    seen = flagged(work.keep(rows, "digests"), work, bits_per_row, max_bits)
+    maybe = seen.where("__maybe")
+    met = maybe.join(winners(maybe, ["__row"], work), "__digest").select("doc_id", "keep_id", "group_size", (F.col("__row") == F.col("__keep__row")).alias("kept"), "__digest")
+    alone = seen.where(~F.col("__maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "__digest")
     return alone.unionByName(met).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("__digest")).alias("text_sha256"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 27) -> DataFrame:
-    """``docs`` with one row of every class of equal texts: whole rows that cannot repeat never shuffle."""
-    spark, names = docs.sparkSession, docs.columns
-    work = Workspace(spark, "bloom")
-    digests = work.keep(digested(docs.select("doc_id", F.col(text).alias("__t")), "__t").select("doc_id", "__digest", "__length"), "digests")
-    n = digests.count()
-    slices = max(1, -(-n * bits_per_row // max_bits))
-    bits = max(64, -(-n * bits_per_row // slices))
-    filters = [several(digests.where(slice_of(slices) == i) if slices > 1 else digests, bits) for i in range(slices)]
-    winners = classes(probed(digests, filters, bits).where("__maybe")).select("__digest", F.col("keep_id").alias("__keep"), F.col("keep_length").alias("__most"))
-    rows = flagged_rows(docs, filters, bits, text)
-    straight = rows.where(~F.col("__maybe")).select(*names)
-    met = rows.where("__maybe").alias("r").join(winners.alias("w"), (F.col("r.__digest") == F.col("w.__digest")) & F.col("r.doc_id").eqNullSafe(F.col("w.__keep")) & (F.col("r.__length") == F.col("w.__most")), "left_semi")
-    return straight.unionByName(met.dropDuplicates(["__digest"]).select(*names))
+def keep_one(docs: DataFrame, text: str = "text", bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
+    """``docs`` with one row of every class of equal texts; rows stay where they are, the others are left out by their places."""
+    work = Workspace(docs.sparkSession, "bloom")
+    docs = stored(docs, work)
+    rows = digested(placed(docs, "doc_id", F.col(text).alias("__t")), "__t").select("doc_id", "__digest", "__length", FILE, AT)
+    maybe = flagged(work.keep(rows, "digests"), work, bits_per_row, max_bits).where("__maybe")
+    met = maybe.join(winners(maybe, [FILE, AT], work), "__digest")
+    losers = met.where((F.col(FILE) != F.col(f"__keep{FILE}")) | (F.col(AT) != F.col(f"__keep{AT}")))
+    return picked(docs, losers.select(FILE, AT), False, work)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
