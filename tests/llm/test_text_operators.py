@@ -210,8 +210,55 @@ def brute_components(rows, percent):
 @pytest.mark.parametrize("percent", [80, 85])
 def test_near_duplicates(spark, docs, percent):
     want, sizes = brute_components(documents(), percent)
-    for r in minhash.near_duplicates(docs, percent=percent).collect():
-        assert (r["component_id"], r["n_shingles"], r["kept"]) == (want[r["doc_id"]], sizes[r["doc_id"]], want[r["doc_id"]] == r["doc_id"])
+    got = minhash.near_duplicates(docs, percent=percent).collect()
+    for r in got:
+        assert (r["component_id"], r["n_shingles"]) == (want[r["doc_id"]], sizes[r["doc_id"]])
+    blank = [r for r in got if not r["n_shingles"]]
+    assert len(blank) == 3 and all(r["stays"] for r in blank)
+    assert sorted(r["doc_id"] for r in got if r["stays"]) == sorted(set(want.values()))
+    one = minhash.one_of_each(docs.withColumn("__file", F.lit(1)).withColumn("stays", F.lit(1)).withColumn("__bits", F.lit(1)), percent=percent)
+    assert one.columns == [*docs.columns, "__file", "stays", "__bits"] and sorted(r["doc_id"] for r in one.collect()) == sorted(set(want.values()))
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    a, b = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i}" for i in range(81))
+    rows = [(None, a, "en", "s"), (None, b, "en", "s"), (None, a, "en", "s"), (None, "x y", "en", "s"), (3, "p q", "en", "s"), (3, "p q", "en", "s"), (None, "p Q", "en", "s"), (-(2**63), "m n", "en", "s")]
+    out = minhash.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((r["component_id"] is None, r["component_id"], r["stays"]) for r in out if r["component_id"] is not None) == [(False, -(2**63), True), (False, 3, False), (False, 3, False), (False, 3, True)]
+    assert sorted(r["stays"] for r in out if r["component_id"] is None) == [False, False, True, True]
+
+
+def test_near_duplicates_of_unlinked_texts_in_one_bucket(spark, monkeypatch):
+    """5,000 texts share a passage that is half of each, so that their signatures meet, and none is linked; among them some pairs are."""
+    monkeypatch.setattr(minhash, "BUCKET", 512)
+    monkeypatch.setattr(minhash, "FAMILY", 20_000)
+    passage = " ".join(f"common{i}" for i in range(100))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{j}" for j in range(60)), "en", "s") for i in range(5000)]
+    rows += [(10_000 + i, rows[i][1] + " more", "en", "s") for i in range(0, 5000, 500)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(frame(spark, rows).repartition(8)).collect()}
+    assert got == {i: i - 10_000 if i >= 10_000 else i for i, *_ in rows}
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_forest_connects_what_is_near(spark, seed, monkeypatch):
+    from threadlens.work import Workspace
+
+    rng = np.random.default_rng(seed)  # numbers are near where they differ by 10 at most: long chains, islands, one dense part
+    at = {0: rng.integers(0, 4000, 300), 1: rng.integers(0, 300, 200), 2: np.arange(0, 600, 20), 3: np.array([5, 9])}
+    rows = [(k, 1 if k == 3 else 7, 1000 * k + i, int(x)) for k, v in at.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "key long, parts long, member long, size long").withColumn("load", F.lit(b""))
+    nearness = lambda size, loads: lambda i, others: np.abs(size[others] - size[i]) <= 10
+    edges = [tuple(r) for r in minhash.forest(df, nearness, Workspace(spark, "test"), True).collect()]
+    value = {m: (k, x) for k, _, m, x in rows}
+    assert all(value[a][0] == value[b][0] and abs(value[a][1] - value[b][1]) <= 10 for a, b in edges)
+    names = {m: i for i, m in enumerate(value)}
+    of = minhash.roots(len(names), [(names[a], names[b]) for a, b in edges])
+    got = Counter(of).values()
+    want = []
+    for v in at.values():
+        cut = np.flatnonzero(np.diff(np.sort(v)) > 10) + 1
+        want += [len(x) for x in np.split(np.sort(v), cut)]
+    assert sorted(got) == sorted(want)
 
 
 def test_near_duplicates_in_parts(spark, monkeypatch):

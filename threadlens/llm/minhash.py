@@ -8,38 +8,44 @@ for each chunk and omitted symbol, and every pair within the distance ``2 * chun
 
 Within a bucket a search by signature distance and set size finds the groups of similar signatures, and only a spanning
 forest of them goes on, not their pairs. The groups' connected components are the families in which exact links can be.
-Each family's full sets then meet, large families in parts, pair of parts by pair of parts, and a search by exact
-similarity gives the links' spanning forest: a member is compared only with what no link has reached yet, so a dense
-group costs about one comparison a member, and no link between different texts is lost.
+Each family's full sets then meet, and a search by exact similarity gives the links' spanning forest: a member is compared only
+with what no link has reached yet, so a dense group costs about one comparison a member, and no link between different texts is lost.
 
-Full sets are computed only for members of a family: a Bloom filter of their ids (at most ``max_bits``) lets all other texts
-pass by before anything shuffles.
+Large buckets and families (``forest``) are cut into parts. Each part is searched together with a few members of the whole
+group; what is connected with the most popular of those needs no further look at its like, and only the others are compared
+with the other parts, in blocks. So a hot group of near copies costs a copy of its rows or two. A group of n of which nothing
+links costs n comparisons a member, whatever is done, and n / ``BUCKET`` copies of its signatures (n / (``FAMILY`` / shingles of a
+text) of its sets).
 
-Defined cases: null, empty and blank texts have the empty set, are linked with nothing and are kept; fewer than five words
-make one shingle; repeated rows are copies (rows with one doc_id share their decision); columns beside doc_id and text
-don't matter.
+Rows are known by their place in the files (``places``), and classes by a number, so ids may be null or repeated. Full
+sets are computed only for members of a family, and found by bitmaps of places: texts don't shuffle.
+
+Defined cases: null, empty and blank texts have the empty set, are linked with nothing and stay; fewer than five words
+make one shingle; of a component the row with the smallest doc_id stays (null ids last, then by place), exactly one row; its
+doc_id is the component's id, null only if all its ids are null; columns beside doc_id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import arrow_limits, blocks, mix, text_views, tidy, word_hashes, word_spans
 from threadlens.llm.components import components
+from threadlens.llm.places import AT, FILE, picked, placed, stored
 from threadlens.session import table
 from threadlens.work import Workspace
 
 SHINGLE = 5
 _WEIGHTS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Members of a bucket, and shingles of a family, that one task takes at once; more go in parts.
-BUCKET, FAMILY = 2048, 3_000_000
+#: Members of a bucket, and shingles of a family, that one task takes at once; more go in parts, each with some members of the whole.
+BUCKET, FAMILY, PIVOTS = 8192, 300_000, 8
 
 
 def plan(percent: int, miss: float = 1e-5, most_keys: int = 64) -> tuple[int, int]:
@@ -93,8 +99,8 @@ def signatures(sets: list[np.ndarray], symbols: int) -> tuple[np.ndarray, np.nda
     return sig, prints[0].astype(np.int64), prints[1].astype(np.int64)
 
 
-def signed(docs: DataFrame, text: str, symbols: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sig) per row."""
+def signed(rows: DataFrame, symbols: int) -> DataFrame:
+    """(doc_id, __file, __at, n_shingles, f1, f2, sig) per row of (doc_id, t, __file, __at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,13 +108,13 @@ def signed(docs: DataFrame, text: str, symbols: int) -> DataFrame:
             for a, b in blocks(offsets, 2 << 20):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 sig, f1, f2 = signatures(sets, symbols)
+                own = [batch.column(i).slice(a, b - a) for i in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array([len(x) for x in sets], pa.int64()), pa.array(f1), pa.array(f2), pa.array([x.tobytes() for x in sig], pa.binary())],
-                    names=["doc_id", "n_shingles", "f1", "f2", "sig"],
+                    [*own, pa.array([len(x) for x in sets], pa.int64()), pa.array(f1), pa.array(f2), pa.array([x.tobytes() for x in sig], pa.binary())],
+                    names=["doc_id", FILE, AT, "n_shingles", "f1", "f2", "sig"],
                 )
 
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+    return rows.mapInArrow(tidy(run), f"doc_id long, {FILE} long, {AT} long, n_shingles long, f1 long, f2 long, sig binary")
 
 
 def keyed(reps: DataFrame, chunks: int, width: int) -> DataFrame:
@@ -158,165 +164,214 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield key, list(group)
 
 
-def edge_batches(edges: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def in_batches(rows: Iterator[tuple], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows of integers as Arrow batches."""
     held = []
-    for e in edges:
-        held.append(e)
+    for r in rows:
+        held.append(r)
         if len(held) >= 20_000:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names=list(names))
             held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names=list(names))
 
 
-def in_parts(rows: DataFrame, parts, member: str) -> DataFrame:
-    """``rows`` dealt to pairs of parts (p, q), p <= q: one pair where ``parts`` is 1."""
-    own = F.pmod(F.xxhash64(member), F.col("__parts")).cast("int")
-    out = rows.withColumn("__parts", parts.cast("int")).withColumn("__own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))
-    return out.withColumn("__other", other).withColumn("p", F.least("__own", "__other")).withColumn("q", F.greatest("__own", "__other")).drop("__parts", "__own", "__other")
+def roots(n: int, edges: list[tuple[int, int]]) -> list[int]:
+    """The component of each of 0..n-1."""
+    parent = list(range(n))
 
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
 
-def similar_in_buckets(members: DataFrame, distance: int, percent: int, symbols: int) -> DataFrame:
-    """Spanning edges (a, b) of similar signatures in each bucket of (key, n, rep, n_shingles, sig)."""
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    return [root(x) for x in range(n)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges():
-            for _, rows in grouped(batches, 3):
-                if len(rows) < 2:
-                    continue
-                sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint16).reshape(len(rows), symbols)
-                size = np.array([r[4] for r in rows])
 
-                def near(i, open_):
-                    fits = (100 * np.minimum(size[open_], size[i]) >= percent * np.maximum(size[open_], size[i]))
-                    fits[fits] = (sig[open_[fits]] != sig[i]).sum(1) <= distance
-                    return fits
+def forest(rows: DataFrame, nearness: Callable, work: Workspace, hot: bool) -> DataFrame:
+    """Edges (a, b) that connect exactly the members that chains of near ones connect, for each group ``key`` of (key, parts, member, size, load).
 
-                for i, j in reach(len(rows), near):
-                    yield rows[i][3], rows[j][3]
+    ``hot`` says whether any group has several parts. ``nearness(sizes, loads)`` gives the function that says which of an array of positions are near one position.
+    """
+    own = F.pmod(F.xxhash64("member"), F.col("parts")).cast("int")
+    columns = ["key", "p", "parts", "pivot", "member", "size", "load"]
 
-        yield from edge_batches(edges())
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges, and for members of groups in parts (b is null) the pivots that they are connected with, as bits."""
 
-    dealt = in_parts(members, F.ceil(F.col("n") / BUCKET), "rep").select("key", "p", "q", "rep", "n_shingles", "sig")
-    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "rep").mapInArrow(tidy(run), "a long, b long").distinct()
+        def found():
+            for _, rows in grouped(batches, 3):
+                if len(rows) > 1:
+                    edges = reach(len(rows), nearness(np.array([r[5] for r in rows]), [r[6] for r in rows]))
+                    for i, j in edges:
+                        yield rows[i][4], rows[j][4], None, None
+                    if rows[0][2] > 1:
+                        of, bits = roots(len(rows), edges), {}
+                        for r, x in zip(rows, of):
+                            bits[x] = bits.get(x, 0) | (1 << r[3] if r[3] >= 0 else 0)
+                        for r, x in zip(rows, of):
+                            if r[3] < 0:
+                                yield r[4], None, r[0], bits[x]
+
+        yield from in_batches(found(), ("a", "b", "key", "met"))
+
+    first = rows.select("key", own.alias("p"), "parts", F.lit(-1).alias("pivot"), "member", "size", "load")
+    if hot:
+        large = work.keep(rows.where("parts > 1"), "large")
+        # members of the whole group that join each part: copies of theirs, so that they stand beside themselves
+        some = large.withColumn("pivot", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("member"))) - 1).where(F.col("pivot") < PIVOTS)
+        first = first.unionByName(some.withColumn("p", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")))).select(*columns))
+    met = work.keep(first.repartition("key", "p").sortWithinPartitions("key", "p", "member").select(*columns).mapInArrow(tidy(search), "a long, b long, key long, met long"), "searched")
+    edges = met.where("b IS NOT NULL").select("a", "b")
+    if not hot:
+        return edges.distinct()
+    marks = met.where("b IS NULL").select(F.col("a").alias("member"), "key", "met")
+    popular = F.array(*[F.sum(F.getbit("met", F.lit(i))) for i in range(PIVOTS)])
+    popular = work.keep(marks.groupBy("key").agg(popular.alias("n")).select("key", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("best")), "popular")
+    alone = marks.join(popular, "key").where("getbit(met, best) = 0").select("key", "member")
+    # the others, in blocks of the size of a part, against every part
+    alone = work.keep(large.join(alone, ["key", "member"]), "alone")
+    blocks_ = alone.groupBy("key").agg(F.count("*").alias("n"), F.max("parts").alias("parts")).join(large.groupBy("key").agg(F.count("*").alias("all")), "key")
+    blocks_ = work.keep(blocks_.select("key", F.ceil(F.col("n") * F.col("parts") / F.col("all")).cast("int").alias("blocks")), "blocks")
+    block = lambda c: F.explode(F.sequence(F.lit(0), c.cast("int") - 1))
+    whole = large.join(blocks_, "key").withColumn("p", own).withColumn("q", block(F.col("blocks"))).withColumn("open", F.lit(0))
+    open_ = alone.join(blocks_, "key").withColumn("q", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("p", block(F.col("parts"))).withColumn("open", F.lit(1))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for _, rows in grouped(batches, 3):
+                near = nearness(np.array([r[5] for r in rows]), [r[6] for r in rows])
+                here = np.array([i for i, r in enumerate(rows) if not r[3]], np.int64)
+                parent = list(range(len(rows)))
 
+                def root(x):
+                    while parent[x] != x:  # noqa: B023
+                        parent[x] = x = parent[parent[x]]  # noqa: B023
+                    return x
 
-def id_filter(ids: DataFrame, of: str, n: int, bits_per_id: int = 16, max_bits: int = 1 << 27) -> tuple[np.ndarray, int]:
-    """A Bloom filter of integer ids as 64-bit words, merged by the cluster; never more than ``max_bits``."""
-    bits = min(max_bits, max(64, n * bits_per_id))
-    where = [F.pmod(F.xxhash64(F.lit(i), F.col(of)), F.lit(bits)) for i in range(2)]
-    at = ids.select(F.explode(F.array(*where)).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("b")).toArrow()
-    out = np.zeros(-(-bits // 64), np.uint64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint64)
-    return out, bits
+                for i, r in enumerate(rows):
+                    if r[3] and len(here):
+                        for j in here[near(i, here)].tolist():
+                            x, y = root(i), root(j)
+                            if x != y and rows[j][4] != r[4]:
+                                parent[x] = y
+                                yield r[4], rows[j][4]
 
+        yield from in_batches(found(), ("a", "b"))
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose doc_id is in ``ids`` (doc_id): rows that a Bloom filter of the ids clears never shuffle."""
-    spark, names = docs.sparkSession, docs.columns
-    words, bits = id_filter(ids, "doc_id", ids.count())
-    shared = spark.sparkContext.broadcast(words)
-    at = [F.pmod(F.xxhash64(F.lit(i), F.col("doc_id")), F.lit(bits)).alias(f"__at{i}") for i in range(2)]
+    columns = ["key", "p", "q", "open", "member", "size", "load"]
+    both = whole.select(*columns).unionByName(open_.select(*columns))
+    more = both.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "member").mapInArrow(tidy(compare), "a long, b long")
+    return edges.unionByName(more).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = shared.value
-        for batch in batches:
-            maybe = np.ones(batch.num_rows, bool)
-            for i in (len(names), len(names) + 1):
-                x = batch.column(i).to_numpy(zero_copy_only=False).astype(np.uint64)
-                maybe &= (filter_[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(maybe)], names=[*names, "__maybe"])
 
-    marked = docs.select("*", *at).mapInArrow(tidy(run), docs.select("*", F.lit(True).alias("__maybe")).schema)
-    rest = marked.where("__maybe").join(ids.distinct(), "doc_id", "left_anti")
-    return marked.where("NOT __maybe").select(*names).unionByName(rest.select(*names))
+def by_signature(distance: int, percent: int, symbols: int) -> Callable:
+    """``forest``'s nearness of signatures: within the distance, of sizes that allow the similarity."""
 
+    def nearness(size: np.ndarray, loads: list[bytes]) -> Callable:
+        sig = np.frombuffer(b"".join(loads), np.uint16).reshape(len(loads), symbols)
 
-def family_sets(docs: DataFrame, text: str, families: DataFrame) -> DataFrame:
-    """(family, rep, n, shingles as packed hashes) for the members of families, from their whole texts."""
-    spark = docs.sparkSession
-    words, bits = id_filter(families, "rep", families.count())
-    shared = spark.sparkContext.broadcast(words)
-    at = [F.pmod(F.xxhash64(F.lit(i), F.col("doc_id")), F.lit(bits)).alias(f"at{i}") for i in range(2)]
+        def near(i, others):
+            fits = 100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])
+            fits[fits] = (sig[others[fits]] != sig[i]).sum(1) <= distance
+            return fits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = shared.value
-        for batch in batches:
-            maybe = np.ones(batch.num_rows, bool)
-            for i in (2, 3):
-                x = batch.column(i).to_numpy(zero_copy_only=False).astype(np.uint64)
-                maybe &= (filter_[x >> np.uint64(6)] >> (x & np.uint64(63))) & np.uint64(1) == 1
-            batch = batch.filter(pa.array(maybe))
-            data, offsets = text_views(batch.column(1))
-            for a, b in blocks(offsets, 2 << 20):
-                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "shingles"])
+        return near
 
-    sets = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), *at).mapInArrow(tidy(run), "rep long, shingles binary")
-    return families.join(sets, "rep").select("family", "rep", F.length("shingles").alias("bytes"), "shingles")
+    return nearness
 
 
-def linked(sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning edges (a, b) of the exact links in each family: 100 * intersection >= percent * union."""
-    sizes = sets.groupBy("family").agg(F.ceil(F.sum("bytes") / (8 * FAMILY)).alias("parts"))
+def by_similarity(percent: int) -> Callable:
+    """``forest``'s nearness of whole sets: 100 * intersection >= percent * union."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges():
-            for _, rows in grouped(batches, 3):
-                if len(rows) < 2:
-                    continue
-                size = np.array([len(r[4]) // 8 for r in rows])
-                all_ = np.frombuffer(b"".join(r[4] for r in rows), np.uint64)
-                _, column = np.unique(all_, return_inverse=True)
-                at = np.concatenate([[0], np.cumsum(size)])
-                mark = np.zeros(len(all_) + 1, bool)
+    def nearness(size: np.ndarray, loads: list[bytes]) -> Callable:
+        all_ = np.frombuffer(b"".join(loads), np.uint64)
+        _, column = np.unique(all_, return_inverse=True)
+        at = np.concatenate([[0], np.cumsum(size)])
+        mark = np.zeros(len(all_) + 1, bool)
 
-                def near(i, open_):
-                    fits = 100 * np.minimum(size[open_], size[i]) >= percent * np.maximum(size[open_], size[i])
-                    own = column[at[i] : at[i + 1]]
-                    mark[own] = True
-                    some = open_[fits]
-                    both = np.fromiter((np.count_nonzero(mark[column[at[j] : at[j + 1]]]) for j in some), np.int64, len(some))
-                    mark[own] = False
-                    fits[fits] = 100 * both >= percent * (size[some] + size[i] - both)
-                    return fits
+        def near(i, others):
+            fits = 100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])
+            own, some = column[at[i] : at[i + 1]], others[fits]
+            mark[own] = True
+            both = np.fromiter((np.count_nonzero(mark[column[at[j] : at[j + 1]]]) for j in some), np.int64, len(some))
+            mark[own] = False
+            fits[fits] = 100 * both >= percent * (size[some] + size[i] - both)
+            return fits
 
-                for i, j in reach(len(rows), near):
-                    yield rows[i][3], rows[j][3]
+        return near
 
-        yield from edge_batches(edges())
+    return nearness
 
-    dealt = in_parts(sets.join(sizes, "family"), F.col("parts"), "rep").select("family", "p", "q", "rep", "shingles")
-    return dealt.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", "rep").mapInArrow(tidy(run), "a long, b long").distinct()
 
+def shingled(rows: DataFrame) -> DataFrame:
+    """(__file, __at, shingles as packed hashes) of (t, __file, __at)."""
 
-def near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_views(batch.column(0))
+            for a, b in blocks(offsets, 2 << 20):
+                sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (1, 2)), pa.array([x.tobytes() for x in sets], pa.binary())], names=[FILE, AT, "shingles"])
+
+    return rows.mapInArrow(tidy(run), f"{FILE} long, {AT} long, shingles binary")
+
+
+def compared(docs: DataFrame, work: Workspace, text: str, percent: int) -> DataFrame:
+    """(doc_id, __file, __at, n_shingles, component_id, stays) per row of stored ``docs``."""
+    arrow_limits(docs.sparkSession)
     chunks, width = plan(percent)
-    work = Workspace(spark, "minhash")
-    rows = work.keep(signed(docs, text, chunks * width), "signatures")
+    t = F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t")
+    rows = work.keep(signed(placed(docs, "doc_id", t), chunks * width), "signatures")
     same = ["f1", "f2", "n_shingles"]
-    reps = work.keep(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("sig").alias("sig")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", FILE, AT))
+    classes = rows.where("n_shingles > 0").groupBy(*same).agg(first.alias("first"), F.any_value("sig").alias("sig"))
+    reps = work.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     keys = keyed(reps, chunks, width)
     # buckets of one member go, and of buckets with the same members one stays
     buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("m"), F.bit_xor(F.xxhash64("rep")).alias("x")).where("n > 1")
     buckets = buckets.groupBy("n", "m", "x").agg(F.min("key").alias("key")).select("key", "n")
     members = work.keep(keys.join(buckets, "key"), "members")
-    near = similar_in_buckets(members.join(reps.select("rep", "n_shingles", "sig"), "rep").select("key", "n", "rep", "n_shingles", "sig"), 2 * chunks - 1, percent, chunks * width)
-    found = components(near, work)
-    families = found.select(F.col("root").alias("family"), F.col("node").alias("rep"))
-    families = work.keep(families.unionByName(families.select("family", F.col("family").alias("rep")).distinct()), "families")
-    links = components(linked(work.keep(family_sets(docs, text, families), "sets"), percent), work)
-    roots = reps.join(links, reps["rep"] == links["node"], "left").select(*same, F.coalesce("root", "rep").alias("root"))
-    return rows.join(roots, same, "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("root", "doc_id"), F.lit(True)).alias("kept")
+    hot = not members.where(F.col("n") > BUCKET).isEmpty()
+    signed_ = members.join(reps.select("rep", "n_shingles", "sig"), "rep")
+    signed_ = signed_.select("key", F.ceil(F.col("n") / BUCKET).alias("parts"), F.col("rep").alias("member"), F.col("n_shingles").alias("size"), F.col("sig").alias("load"))
+    found = components(forest(signed_, by_signature(2 * chunks - 1, percent, chunks * width), work, hot), work)
+    work.drop(members)
+    families = found.select(F.col("root").alias("key"), F.col("node").alias("member"))
+    families = families.unionByName(families.select("key", F.col("key").alias("member")).distinct())
+    families = work.keep(families.join(reps.select(F.col("rep").alias("member"), "n_shingles", f"first.{FILE}", f"first.{AT}"), "member"), "families")
+    parts = families.groupBy("key").agg(F.ceil(F.sum("n_shingles") / FAMILY).alias("parts"))
+    sets = shingled(picked(docs, families.select(FILE, AT), True, work, [t]))
+    sets = families.join(parts, "key").join(sets, [FILE, AT]).select("key", "parts", "member", F.col("n_shingles").alias("size"), F.col("shingles").alias("load"))
+    sets = work.keep(sets, "sets")
+    links = components(forest(sets, by_similarity(percent), work, not sets.where("parts > 1").isEmpty()), work)
+    linked = links.select("root", F.col("node").alias("rep"))
+    linked = linked.unionByName(linked.select("root", F.col("root").alias("rep")).distinct())
+    best = linked.join(reps.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("best"))
+    best = work.keep(linked.join(best, "root").select("rep", "best"), "best")
+    best = reps.join(best, "rep", "left").select(*same, F.coalesce("best", "first").alias("best"))
+    stays = (F.col(FILE) == F.col(f"best.{FILE}")) & (F.col(AT) == F.col(f"best.{AT}"))
+    return rows.join(best, same, "left").select(
+        "doc_id", FILE, AT, "n_shingles", F.when(F.col("best").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("component_id"), F.coalesce(stays, F.lit(True)).alias("stays")
     )
 
 
+def near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id that links reach), stays."""
+    work = Workspace(docs.sparkSession, "minhash")
+    return compared(stored(docs, work), work, text, percent).drop(FILE, AT)
+
+
+def one_of_each(docs: DataFrame, text: str = "text", percent: int = 80) -> DataFrame:
+    """``docs`` with one row of every component; rows stay where they are, the others are left out by their places."""
+    work = Workspace(docs.sparkSession, "minhash")
+    docs = stored(docs, work)
+    return picked(docs, compared(docs, work, text, percent).where("NOT stays").select(FILE, AT), False, work)
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 0.85 or more."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("stays")).alias("kept"))
