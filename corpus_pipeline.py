@@ -19,7 +19,7 @@ from threadlens.llm.bloom_dedup import keep_one
 from threadlens.llm.bpe import encoded
 from threadlens.llm.common import arrow_limits
 from threadlens.llm.langid import identified, prototypes
-from threadlens.llm.minhash import near_duplicates, without
+from threadlens.llm.minhash import one_of_each
 from threadlens.llm.mixing import labelled, mixed
 from threadlens.session import table
 from threadlens.work import Workspace
@@ -36,7 +36,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without(docs, near_duplicates(docs, percent=80).where("NOT kept").select("doc_id"))
+    return one_of_each(docs, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
