@@ -17,7 +17,7 @@ COLUMNS = {
     "op4_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op5_toxicity": "doc_id bigint, severity double, p_toxic double, toxic boolean",
     "op6_langid": "doc_id bigint, held_out boolean, lang_pred string, score double",
-    "op7_mixing": "doc_id bigint, n_tokens bigint, p_good double, p_poor double, p_toxic double, rate double, copies bigint",
+    "op7_mixing": "doc_id bigint, n_tokens bigint, p_good double, p_poor double, p_toxic double, rate double, copies bigint, gap double",
     "op8_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_minhash": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",

@@ -168,32 +168,74 @@ def mixture(spark, n=600):
     return frame(spark, rows), spark.createDataFrame(labels, "doc_id long, domain string"), len(rows)
 
 
+def plain_rates(tokens, chances, goal, most=np.inf, steps=20_000):
+    """Rates of single documents by projected gradient in double precision, without momentum or groups."""
+    a = (tokens[:, None] * chances).T
+    weights = np.linalg.pinv(a @ a.T, rcond=1e-12)
+    r = np.ones(len(tokens))
+    for _ in range(steps):
+        r = np.clip(r - a.T @ (weights @ (a @ r - goal)), 0, most)
+    return r, a, weights
+
+
 def test_mixing_meets_targets(spark):
     docs, labels, n = mixture(spark)
     out = mixing.document_rates(docs, labels, {"good": 0.8, "poor": 0.15, "toxic": 0.05}).collect()
     assert len(out) == n
-    total = sum(r["__tokens"] for r in out)
+    total = sum(r["tokens"] for r in out)
     for d, share in (("good", 0.8), ("poor", 0.15), ("toxic", 0.05)):
-        assert abs(sum(r["rate"] * r["__tokens"] * r[f"p_{d}"] for r in out) / total - share) < 1e-5
-    assert min(r["rate"] for r in out) >= 0
+        assert abs(sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in out) / total - share) < 1e-5
+    assert min(r["rate"] for r in out) >= 0 and out[0]["gap"] <= 1e-6
     assert all(abs(sum(r[f"p_{d}"] for d in mixing.DOMAINS) - 1) < 1e-9 for r in out)
+    truth = dict(labels.collect())
+    for d in mixing.DOMAINS:
+        assert np.mean([r[f"p_{d}"] for r in out if truth.get(r["doc_id"]) == d]) > 0.9
+
+
+def test_mixing_steps_are_those_of_single_documents(spark):
+    rng = np.random.default_rng(2)
+    chances = rng.dirichlet([2, 0.5, 0.2], 300)
+    tokens = rng.integers(0, 500, 300)
+    pick = rng.integers(0, 300, 900)  # documents that are equal in tokens and posteriors
+    groups = [(int(tokens[i]), *map(float, chances[i]), int(n)) for i, n in zip(*np.unique(pick, return_counts=True))]
+    df = spark.createDataFrame(groups, "tokens int, p_good double, p_poor double, p_toxic double, n long")
+    from threadlens.work import Workspace
+
+    a = (tokens[pick, None] * chances[pick]).T
+    for shares, most in (({"good": 1.1, "poor": 0.5, "toxic": 0.2}, None), ({"good": 1.0, "poor": 0.2, "toxic": 0.0}, 1.0)):
+        found, gap = mixing.rates(df, Workspace(spark, "test"), None, shares, most)
+        rate = {(r["tokens"], r["p_good"]): r["rate"] for r in found.collect()}
+        got = np.array([rate[int(tokens[i]), float(chances[i, 0])] for i in pick])
+        goal = a.sum(1) * [shares[d] for d in mixing.DOMAINS]
+        want, _, weights = plain_rates(tokens[pick].astype(float), chances[pick], goal, most or np.inf)
+        value = lambda r: (a @ r - goal) @ weights @ (a @ r - goal)  # noqa: E731, B023
+        assert abs(gap - np.abs(a @ got - goal).max() / a.sum()) < 1e-9
+        assert value(got) <= value(want) * 1.001 + 1e-10
+        slope = a.T @ (weights @ (a @ got - goal))  # conditions of Karush, Kuhn and Tucker
+        for low, high, s in zip(got <= 0, got >= (most or np.inf), slope):
+            assert s > -1e-3 if low else s < 1e-3 if high else abs(s) < 1e-3
+        assert (gap > 1e-3) == (most == 1.0)  # all good tokens and no toxic one can't be had together
 
 
 def test_mixing_keeps_good_rows_whole(spark):
     docs, labels, n = mixture(spark)
-    out = mixing.mixed(docs.withColumn("tokens", F.lit(1)), labels, {"good": 1.0, "poor": 0.1, "toxic": 0.0}, 1.0)
-    assert out.columns == [*docs.columns, "tokens", "rate"]
-    got = {r["doc_id"]: r["rate"] for r in out.collect()}
+    clashing = docs
+    for name in ("tokens", "__tokens", "rate", "__hits", "__words", "__at", "__file", "p_good", "gap", "n"):
+        clashing = clashing.withColumn(name, F.lit("x"))
+    out, gap = mixing.thinned(clashing, labels, {"good": 1.0, "poor": 0.1, "toxic": 0.0})
+    assert out.columns == clashing.columns and gap < 0.02
+    got = {r["doc_id"] for r in out.collect()}
     truth = dict(labels.collect())
-    assert all(got[i] == 1 for i, d in truth.items() if d == "good")
-    assert np.mean([got[i] for i, d in truth.items() if d == "poor"]) < 0.3
-    assert np.mean([got[i] for i, d in truth.items() if d == "toxic"]) < 0.3
+    assert np.mean([i in got for i, d in truth.items() if d == "good"]) > 0.98
+    assert np.mean([i in got for i, d in truth.items() if d == "poor"]) < 0.3
+    assert np.mean([i in got for i, d in truth.items() if d == "toxic"]) < 0.1
 
 
 def test_mixing_without_labels(spark):
     docs, labels, n = mixture(spark, 20)
     out = mixing.document_rates(docs, labels.limit(0), {"good": 1 / 3, "poor": 1 / 3, "toxic": 1 / 3}).collect()
     assert len(out) == n and all(abs(r["rate"] - 1) < 1e-6 for r in out)
+    assert mixing.document_rates(docs.limit(0), labels, {"good": 1.0, "poor": 0.0, "toxic": 0.0}).count() == 0
 
 
 @pytest.mark.parametrize("n, shards", [(1000, 40), (997, 10), (3, 40), (0, 5)])

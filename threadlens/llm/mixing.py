@@ -1,27 +1,35 @@
 """Mixing sources to target weights with soft memberships, by DataFrame functions only.
 
-A classifier learnt from a labelled table gives every document posterior chances of each domain: naive Bayes over a few binned
-measures, among them how many word beginnings of a lexicon it holds. The lexicon (at most ``lexicon`` beginnings) comes from
+A classifier learnt from a labelled table gives every document posterior chances of each domain, in two steps of naive Bayes over
+binned measures (``TELLS``): toxic against the rest, by how many word beginnings of a lexicon the text holds and by its length; then good
+against poor by the other measures. The lexicon (at most ``lexicon`` beginnings) comes from
 a bounded sample of labelled rows; the bins' counts come from all labelled rows. All bins together form a profile, of which
 there are at most ``PROFILES``, so the posteriors are a table of bounded size.
 
-Rates: projected-gradient least squares finds nonnegative rates r for which the expected tokens of each domain,
-sum(r * tokens * posterior), match the targets. Documents of one profile have equal posteriors and start from the same rate, so
-their rates stay equal, and the iterations run on the profiles' token totals. Each step follows the gradient in the metric of
-the domains' second moments over the rows that may move, then projects to ``0 <= r <= most``.
+Rates: projected-gradient least squares finds nonnegative document rates r for which the expected tokens of each domain,
+sum(r * tokens * posterior), match the targets. The objective is the squared norm of the domains' gaps in the metric W, the inverse of
+sum(tokens^2 * posterior * posterior'), in which the step length 1 is always short enough. A document's rate moves by
+tokens * posterior' W gap and is projected to ``0 <= r <= most``, with momentum that starts anew when the objective rises. Each
+iteration is one distributed sum. Documents equal in tokens and posteriors take equal steps, so a step is computed once for all of them
+(``test_mixing_steps_are_those_of_single_documents``). Iterations end when every gap is below ``near`` of all tokens or when 20 of
+them lower the objective by less than a millionth of itself: then the targets can't be met with these posteriors and bounds, and
+``gap``, the largest gap as a share of all tokens, says by how much they are missed.
 
-No text is ever shuffled: bins are computed where a document is read, and the rates come to it in a broadcast table.
-Columns of ``docs`` may have any names but those that begin with two underscores.
+No text is ever shuffled: measures are computed where a document is read, once; rates come to rows by their number or place.
 
-Defined cases: null text counts as empty (no tokens, rate like its profile's); unlabelled documents are mixed like others; a domain without
-labelled rows gets only the smoothed chance; with no labelled rows all domains are equally likely; repeated rows count each time.
+Defined cases: null text counts as empty (no tokens; its rate stays 1, for nothing moves it); unlabelled documents are mixed like others;
+a domain without labelled rows gets only the smoothed chance; with no labelled rows all domains are equally likely; repeated rows
+count each time, a row labelled several times teaches several times; columns of any names are handed on.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadlens.llm.places import AT, FILE, picked, placed, stored
 from threadlens.session import table
 from threadlens.work import Workspace
 
@@ -36,6 +44,8 @@ BINS = {
     "length": (8.5, 40.5, 150.5, 1000.5),
 }
 PROFILES = 4 * 4 * 4 * 4 * 5
+#: What tells toxic texts from others, and good ones from poor ones.
+TELLS = (("toxic", ("hits", "length")), ("poor", ("distinct", "symbols", "upper", "length")))
 BLANK = r"[ \t\n\x0B\f\r]+"
 
 
@@ -85,20 +95,23 @@ def posteriors(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(bins, p_good, p_poor, p_toxic) of every profile in ``rows`` (doc_id, bins), from all labelled rows."""
     bins = [f"__{b}" for b in BINS]
     known = rows.join(labels, "doc_id").where("domain IS NOT NULL")
-    sums = [F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]
-    total = known.agg(*sums).first()
-    n = {d: total[d] or 0 for d in DOMAINS}
-    logs = {d: F.log(F.lit((n[d] + 1) / (sum(n.values()) + len(DOMAINS)))) for d in DOMAINS}
-    for b in bins:
-        size = len(BINS[b[2:]]) + 1
-        got = {r[b]: r for r in known.groupBy(b).agg(*sums).collect()}  # at most ``size`` rows
-        for d in DOMAINS:
-            chance = [F.lit(float(((got[v][d] if v in got else 0) + 0.5) / (n[d] + 0.5 * size))) for v in range(size)]
-            logs[d] = logs[d] + F.log(F.element_at(F.array(*chance), F.col(b) + 1))
-    top = F.greatest(*logs.values())
-    profiles = rows.groupBy(*bins).agg(F.sum("__tokens").alias("tokens"))
-    odds = profiles.select(*bins, "tokens", *[F.exp(logs[d] - top).alias(f"p_{d}") for d in DOMAINS])
-    return odds.select(*bins, "tokens", *[(F.col(f"p_{d}") / sum(F.col(f"p_{x}") for x in DOMAINS)).alias(f"p_{d}") for d in DOMAINS])
+    profiles = rows.select(*bins).distinct()
+    chances = {}
+    for domain_, measures in TELLS:
+        of = known if domain_ == "toxic" else known.where("domain <> 'toxic'")
+        sums = [F.count_if(F.col("domain") == domain_).alias("yes"), F.count_if(F.col("domain") != domain_).alias("no")]
+        total = of.agg(*sums).first()
+        prior = {"toxic": (1, 2), "poor": (1, 1)}[domain_]  # as if one row of each domain had been seen
+        odds = F.log(F.lit((total["yes"] + prior[0]) / (total["no"] + prior[1])))
+        for m in measures:
+            size = len(BINS[m]) + 1
+            got = {r[f"__{m}"]: r for r in of.groupBy(f"__{m}").agg(*sums).collect()}  # at most ``size`` rows
+            seen = lambda v, k: got[v][k] if v in got else 0  # noqa: E731, B023
+            ratio = [math.log((seen(v, "yes") + 0.5) / (total["yes"] + 0.5 * size)) - math.log((seen(v, "no") + 0.5) / (total["no"] + 0.5 * size)) for v in range(size)]
+            odds = odds + F.element_at(F.array(*map(F.lit, ratio)), F.col(f"__{m}") + 1)
+        chances[domain_] = 1 / (1 + F.exp(-odds))
+    toxic, poor = chances["toxic"], chances["poor"]
+    return profiles.select(*bins, ((1 - toxic) * (1 - poor)).alias("p_good"), ((1 - toxic) * poor).alias("p_poor"), toxic.alias("p_toxic"))
 
 
 def solved(m: list[list[float]], b: list[float]) -> list[float]:
@@ -118,76 +131,75 @@ def solved(m: list[list[float]], b: list[float]) -> list[float]:
     return x
 
 
-def rates(profiles: DataFrame, targets: dict[str, float] | None, work: Workspace, most: float | None = None, shares: dict[str, float] | None = None, steps: int = 60) -> DataFrame:
-    """``profiles`` with ``rate``. Targets are tokens per domain, or ``shares`` of what a domain holds by expectation.
+def rates(groups: DataFrame, work: Workspace, targets: dict[str, float] | None, shares: dict[str, float] | None = None, most: float | None = None, near: float = 1e-6, steps: int = 2000) -> tuple[DataFrame, float]:
+    """``groups`` (tokens, posteriors, n documents each) with ``rate``, and the largest gap as a share of all tokens.
 
-    Without a bound ``most`` the moments of the rows that may move precondition the step; with one the step is plain, of a
-    length that the largest moment allows, with the objective falling at each.
+    ``targets`` are shares of all tokens, or ``shares`` are parts of what a domain holds by expectation.
     """
     p = [f"p_{d}" for d in DOMAINS]
-    now = work.keep(profiles.withColumn("rate", F.lit(1.0)), "rates", 1)
-    if targets is None:
-        held = now.agg(*[F.sum(F.col("tokens") * F.col(c)).alias(c) for c in p]).first()
-        targets = {d: (held[f"p_{d}"] or 0.0) * shares[d] for d in DOMAINS}
-    goal = [targets[d] for d in DOMAINS]
-    scale = max(1.0, *goal)
-    kept, error, push = now, None, None
-    for step in range(steps):
-        free = F.lit(True)
-        if push is not None:
-            slope = sum(F.col(c) * F.lit(g) for c, g in zip(p, push))
-            free = (F.col("rate") > 0) | (slope < 0)
-            if most is not None:
-                free = free & ((F.col("rate") < most) | (slope > 0))
-        t = F.col("tokens")
-        sums = [F.sum(t * F.col(c) * F.col("rate")) for c in p] + [F.sum(F.when(free, t * F.col(a) * F.col(b)).otherwise(0.0)) for a in p for b in p]
-        got = [x or 0.0 for x in now.agg(*sums).first()]
-        gap = [s - g for s, g in zip(got, goal)]
-        n = len(p)
-        m = [got[n + i * n : n + (i + 1) * n] for i in range(n)]
-        last, error = error, sum(g * g for g in gap) ** 0.5 / scale
-        if error < 1e-7 or (last is not None and abs(last - error) < (1e-9 if most is None else 1e-6)):
+    t, n = F.col("tokens").cast("double"), F.col("n").cast("double")
+    weighted = [F.sum(n * t * F.col(c)) for c in p]
+    held = [x or 0.0 for x in groups.agg(F.sum(n * t), *weighted, *[F.sum(n * t * t * F.col(a) * F.col(b)) for a in p for b in p]).first()]
+    total, held, moments = held[0], held[1:4], held[4:]
+    goal = [targets[d] * total for d in DOMAINS] if targets is not None else [h * shares[d] for h, d in zip(held, DOMAINS)]
+    square = [moments[3 * i : 3 * i + 3] for i in range(3)]
+    norm = lambda gap: sum(g * x for g, x in zip(gap, solved(square, gap)))
+    now = kept = work.keep(groups.withColumn("rate", F.lit(1.0)).withColumn("ahead", F.lit(1.0)), "rates")
+    at, best, since, momentum = [h - g for h, g in zip(held, goal)], None, 0, 0
+    gap_ahead, last = at, norm(at)
+    for step in range(1, steps + 1):
+        if max(map(abs, at)) <= near * total:
             break
-        if most is None:
-            push = solved(m, gap)
-        else:
-            top = max(sum(abs(x) for x in row) for row in m) or 1.0
-            push = [g / top for g in gap]
-        moved = F.greatest(F.lit(0.0), F.col("rate") - sum(F.col(c) * F.lit(g) for c, g in zip(p, push)))
-        now = now.withColumn("rate", F.least(F.lit(most), moved) if most is not None else moved)
-        if step % 6 == 5:  # cut the chain of rates now and then
-            after = work.keep(now, "rates", 1)
+        if best is None or last < best * (1 - 1e-6):
+            best, since = last, 0
+        elif (since := since + 1) >= 20:
+            break
+        # one step of every document from its point ahead, whose gap is known
+        push = solved(square, gap_ahead)
+        moved = F.greatest(F.lit(0.0), F.col("ahead") - t * sum(F.col(c) * F.lit(g) for c, g in zip(p, push)))
+        moved = F.least(F.lit(most), moved) if most is not None else moved
+        now = now.withColumn("next", moved)
+        now = now.withColumn("ahead", F.col("next") + (F.col("next") - F.col("rate")) * F.lit(momentum / (momentum + 3.0)))
+        now = now.withColumn("rate", F.col("next")).drop("next")
+        if step % 5 == 0:  # cut the chain of rates now and then
+            after = work.keep(now, "rates")
             work.drop(kept)
             kept = now = after
-    return work.keep(now, "rates", 1)
+        got = [x or 0.0 for x in now.agg(*[F.sum(n * t * F.col(c) * F.col(r)) for r in ("rate", "ahead") for c in p]).first()]
+        at, gap_ahead = [s - g for s, g in zip(got[:3], goal)], [s - g for s, g in zip(got[3:], goal)]
+        if (value := norm(at)) > last:  # momentum overshot: go on from the rates themselves
+            momentum, gap_ahead, now = 0, at, now.withColumn("ahead", F.col("rate"))
+        else:
+            momentum += 1
+        last = value
+    return work.keep(now.drop("ahead"), "rates"), max(map(abs, at)) / total if total else 0.0
 
 
-def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, shares: dict[str, float] | None, most: float | None, text: str) -> tuple[list[str], DataFrame, DataFrame]:
-    """(lexicon, bins and tokens of every row by doc_id, posteriors and rate of every profile). ``labels``: (doc_id, domain)."""
-    work = Workspace(docs.sparkSession, "mixing")
+def fitted(rows: DataFrame, labels: DataFrame, names: list[str], work: Workspace, targets: dict[str, float] | None = None, shares: dict[str, float] | None = None, most: float | None = None) -> tuple[DataFrame, float]:
+    """(names, tokens, posteriors, rate) of every row of (doc_id, text, names), and the gap. ``labels``: (doc_id, domain)."""
     bins = [f"__{b}" for b in BINS]
-    rows = docs.select("doc_id", F.col(text).alias("text"))
     lexicon = learnt_lexicon(rows, labels)
-    seen = work.keep(binned(rows, lexicon).select("doc_id", "__tokens", *bins), "bins")
-    profiles = posteriors(seen, labels)
-    if targets is not None:
-        total = seen.agg(F.sum("__tokens")).first()[0] or 0
-        targets = {d: w * total for d, w in targets.items()}
-    return lexicon, seen, rates(profiles, targets, work, most, shares).drop("tokens")
+    seen = work.keep(binned(rows, lexicon).select(*names, F.col("__tokens").alias("tokens"), *bins), "bins")
+    chances = work.keep(posteriors(seen, labels), "profiles")
+    groups = seen.groupBy("tokens", *bins).agg(F.count("*").alias("n")).join(F.broadcast(chances), bins)  # at most PROFILES rows
+    found, gap = rates(work.keep(groups, "groups"), work, targets, shares, most)
+    return seen.join(found.drop("n"), ["tokens", *bins]).drop(*bins), gap
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str = "text") -> DataFrame:
-    """(doc_id, __tokens, posteriors, rate) of every row; ``targets`` are shares of the corpus's tokens."""
-    _, seen, found = fitted(docs, labels, targets, None, None, text)
-    bins = [f"__{b}" for b in BINS]
-    return seen.join(F.broadcast(found), bins).drop(*bins)  # at most PROFILES rows
+    """(doc_id, tokens, posteriors, rate, gap) of every row; ``targets`` are shares of the corpus's tokens."""
+    out, gap = fitted(docs.select("doc_id", F.col(text).alias("text")), labels, ["doc_id"], Workspace(docs.sparkSession, "mixing"), targets)
+    return out.withColumn("gap", F.lit(gap))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, shares: dict[str, float], most: float, text: str = "text") -> DataFrame:
-    """Whole rows of ``docs`` with ``rate``; ``shares`` are parts of what each domain holds. Bins are computed again with the rows."""
-    lexicon, _, found = fitted(docs, labels, None, shares, most, text)
-    bins = [f"__{b}" for b in BINS]
-    return binned(docs, lexicon, text).join(F.broadcast(found.select(*bins, "rate")), bins).drop(*bins, "__tokens")  # at most PROFILES rows
+def thinned(docs: DataFrame, labels: DataFrame, shares: dict[str, float], text: str = "text") -> tuple[DataFrame, float]:
+    """Whole rows of ``docs``, each kept with the chance of its rate (at most 1), and the gap; ``shares`` are parts of what each domain holds."""
+    work = Workspace(docs.sparkSession, "mixing")
+    docs = stored(docs, work)
+    rows = placed(docs, "doc_id", F.col(text).alias("text"))
+    out, gap = fitted(rows, labels, ["doc_id", FILE, AT], work, shares=shares, most=1.0)
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 11) / F.lit(float(2**53))
+    return picked(docs, out.where(chance >= F.col("rate")).select(FILE, AT), False, work), gap
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,4 +211,4 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = document_rates(docs, labelled(spark, sf_dir), {"good": 0.90, "poor": 0.08, "toxic": 0.02})
     copies = F.floor(F.col("rate") + F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "doc_id"), 11) / F.lit(float(2**53)))
-    return out.select("doc_id", F.col("__tokens").cast("long").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", copies.alias("copies"))
+    return out.select("doc_id", F.col("tokens").cast("long").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", copies.alias("copies"), "gap")
