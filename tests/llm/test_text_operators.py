@@ -189,6 +189,61 @@ def test_quality_certifies_small_strata(spark):
     assert quality.certified(good.where("id >= 36"), F.col("lang"), others=others) == {}  # 216 are too few
 
 
+def test_quality_verdict_by_brute_force(spark, tmp_path):
+    """The query's verdict, from plain measures, plain counts along the path and the plain binomial tail."""
+    import random
+    from math import comb
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows, labels = [], []
+    for i in range(900):
+        lang, w = ("en", "de")[i % 2], [word() for _ in range(r.randint(20, 60))]
+        poor = i % 9 == 0
+        if poor or i % 200 == 1:
+            w = [x + r.choice(["#", "|", "##"]) for x in w]
+        if i % 3 == 0:
+            w[3] = w[3].upper()
+        rows.append((i, " ".join(w), lang, "s"))
+        if i % 10 < 8:
+            labels.append((i, 0 if poor else 1, 0))
+    rows += [(1000 + i, rows[2][1], "en", "s") for i in range(300)] + [(2000, None, None, "s"), (2001, "x " * 30, "fr", "s"), rows[5]]  # copies certify nothing more
+    labels += [(1000 + i, 1, 0) for i in range(300)] + [(7, 1, 0), (8, 0, 0), (11, None, 0)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(x["doc_id"], x["kept"], x["base_failed"]) for x in quality.op8_quality(spark, str(tmp_path)).collect()}
+
+    import pyarrow as pa
+
+    data, offsets = text_views(pa.array([t or "" for _, t, _, _ in rows]))
+    m = quality.measures(data, offsets)
+    plain = {"symbols": "n_symbols word_chars", "repeats": "n_repeat_words n_words", "echoes": "n_echoes n_words", "shouting": "n_upper word_chars", "bangs": "n_bangs n_words"}
+    value = {rule: [int(m[a][i]) / max(1, int(m[b][i])) for i in range(len(rows))] for rule, (a, b) in ((k, v.split()) for k, v in plain.items())}
+    quality_of = {}
+    for i, q, _ in labels:
+        if q is not None:
+            quality_of[i] = min(q, quality_of.get(i, 1))
+    failed = [int(m["n_words"][i]) < 10 or 100 * int(m["n_repeat_words"][i]) > 20 * int(m["n_words"][i]) for i in range(len(rows))]
+    cut = {}
+    for lang in ("en", "de"):
+        own = [i for i, x in enumerate(rows) if x[2] == lang and not failed[i]]
+        good = list({tuple(words(rows[i][1])): i for i in own if quality_of.get(rows[i][0]) == 1}.values())
+        rest = [i for i in own if quality_of.get(rows[i][0]) != 1]
+        above = lambda rows_, rule: [sum(value[rule][i] > c for i in rows_) for c in quality.RULES[rule][1]]
+        steps = quality.path({k: above([i for i in rest if quality_of.get(rows[i][0]) == 0], k) for k in quality.RULES}, {k: above([i for i in rest if rows[i][0] not in quality_of], k) for k in quality.RULES}, sum(rows[i][0] not in quality_of for i in rest), 0.02)
+        cut[lang], n = {}, len(good)
+        for rule, k in steps:
+            now = cut[lang] | {rule: quality.RULES[rule][1][k]}
+            bad = sum(any(value[x][i] > c for x, c in now.items()) for i in good)
+            # the bound is within alpha exactly if so few errors are unlikely at a rate of alpha
+            if sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(bad + 1)) > 0.05 / 2:
+                break
+            cut[lang] = now
+    assert cut["en"] and cut["de"]
+    want = {(x[0], not failed[i] and not any(value[r_][i] > c for r_, c in cut.get(x[2], {}).items()), failed[i]) for i, x in enumerate(rows)}
+    assert got == want and any(not k and not b for _, k, b in got)
+
+
 def brute_components(rows, percent):
     sets = {i: shingles(t) for i, t, _, _ in rows}
     parent = {i: i for i in sets}

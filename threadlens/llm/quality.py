@@ -6,17 +6,22 @@ cutoff to its next value, so that the texts rejected only grow along it. The pat
 never from the good ones (``path``). Along it the labelled good rows that are rejected are counted, and as long as the exact
 (Clopper-Pearson) upper bound of their rate, at confidence ``1 - delta / strata``, is within ``alpha``, the step is taken; the first
 that is not ends the path. So with chance ``1 - delta`` the rules of every stratum falsely reject at most ``alpha`` of its good
-texts, rows being independent. A stratum rejects nothing if even no error among its labelled good rows would not certify a
-step: below ``log(delta / strata) / log(1 - alpha)`` rows, 217 with four strata.
+texts that pass the base rules, texts being independent; the base rules are given and what they reject isn't certified. Of equal texts
+(same words) labelled good, one counts, so copies don't tighten a bound; near copies still count as different texts.
 
-Measures are taken in one pass over the whole texts; only counts per stratum, rule and cutoff, or per stratum and step, reach the driver.
+``strata`` is the number of strata with at least ``log(delta) / log(1 - alpha)`` good rows, 149; smaller ones can certify nothing and
+are not tested. Of k tested ones each needs ``log(delta / k) / log(1 - alpha)`` good rows, 217 for four, to certify a step without an error;
+strata with fewer reject nothing. Measures are taken in one pass over the whole texts; what reaches the driver are counts per tested stratum,
+rule and cutoff, one stratum for every 149 good rows at most, and the cutoffs are joined to the rows as a table.
 
 Defined cases: a null text has no words; a null stratum is the stratum ``?``; unlabelled rows and labels of other values
-certify nothing; rows whose doc_id is labelled twice count twice; an empty table gives an empty result.
+certify nothing; an id labelled several times counts once, as good only if all its labels are; an empty table gives an empty result; a very
+long text is one block of its own; a measure equal to its cutoff passes.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from bisect import bisect_left
 
@@ -25,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import arrow_limits, code_points, mix, over_text, per_text, word_hashes, word_spans
+from threadlens.llm.places import unused
 from threadlens.session import table
 from threadlens.work import Workspace
 
@@ -87,9 +93,20 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         "n_upper": per_text(UPPER[data], offsets),
         "n_bangs": per_text(BANG[data], offsets),
         "n_echoes": np.bincount(owner[echo], minlength=len(n)),
+        "print": fingerprints(h, w),
     }
 
 
+def fingerprints(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each text's words in their order; 0 without words."""
+    out = np.zeros(len(w) - 1, np.uint64)
+    at = np.arange(len(h), dtype=np.uint64) - np.repeat(w[:-1], np.diff(w)).astype(np.uint64)
+    some = np.flatnonzero(np.diff(w))
+    if len(some):
+        out[some] = np.add.reduceat(mix(h + mix(at + np.uint64(1))), w[:-1][some])
+    return out.astype(np.int64)
+
+
 def upper_bound(bad: int, n: int, delta: float) -> float:
     """The Clopper-Pearson upper bound of a rate, of which ``bad`` in ``n`` were seen, at confidence ``1 - delta``."""
     if bad >= n:
@@ -137,50 +154,60 @@ def certified(good: DataFrame, stratum: Column, alpha: float = 0.02, delta: floa
 
     ``others`` are the measures of all other rows and whether they are labelled ``poor``; without them no rule goes first.
     """
+    spark = good.sparkSession
+    fewest = math.log(delta) / math.log1p(-alpha)
+    sizes = {r["stratum"]: r["n"] for r in good.groupBy(stratum.alias("stratum")).agg(F.count("*").alias("n")).where(F.col("n") >= fewest).collect()}
+    strata = sorted(sizes)
+    if not strata:
+        return {}
+    own = in_table(spark, [{"stratum": s} for s in strata], "stratum string")
     above: dict[str, dict[str, tuple]] = {rule: {} for rule in RULES}
-    sizes: dict[str, int] = {}
+    n_others: dict[str, int] = {}
     if others is not None:
         counts = [
             F.sum(F.when((F.expr(m) > c) & (F.col("poor") == p), 1).otherwise(0)).alias(f"{rule}_{i}_{p}")
             for rule, (m, cuts) in RULES.items() for i, c in enumerate(cuts) for p in (True, False)
         ]
-        for r in others.groupBy(stratum.alias("stratum")).agg(F.sum(F.when(F.col("poor"), 0).otherwise(1)).alias("n"), *counts).collect():
-            sizes[r["stratum"]] = r["n"]
+        rows = others.withColumn("stratum", stratum).join(own, "stratum", "left_semi")
+        for r in rows.groupBy("stratum").agg(F.sum(F.when(F.col("poor"), 0).otherwise(1)).alias("n"), *counts).collect():
+            n_others[r["stratum"]] = r["n"]
             for rule, (_, cuts) in RULES.items():
                 above[rule][r["stratum"]] = tuple([r[f"{rule}_{i}_{p}"] for i in range(len(cuts))] for p in (True, False))
     none = {rule: ([0] * len(cuts), [0] * len(cuts)) for rule, (_, cuts) in RULES.items()}
-    strata = [r["stratum"] for r in good.select(stratum.alias("stratum")).distinct().collect()]
-    paths = {s: path(*({rule: above[rule].get(s, none[rule])[k] for rule in RULES} for k in (0, 1)), sizes.get(s, 0), alpha) for s in strata}
-    if not paths:
-        return {}
-    first = []  # the step from which on a row is rejected: of each rule, the one to the loosest cutoff that the row is above
-    for rule, (measure, cuts) in RULES.items():
-        steps = [x for s, own in paths.items() for x in (F.lit(s), F.array(*[F.lit(own.index((rule, i))) for i in range(len(cuts))]))]
-        level = sum((F.expr(f"cast({measure} > {c} AS int)") for c in cuts), F.lit(0))
-        first.append(F.when(level > 0, F.get(F.create_map(*steps)[stratum], level - 1)))
-    counted = good.groupBy(stratum.alias("stratum"), F.least(*first).alias("first")).count().collect()
+    paths = {s: path(*({rule: above[rule].get(s, none[rule])[k] for rule in RULES} for k in (0, 1)), n_others.get(s, 0), alpha) for s in strata}
+    # the step from which on a row is rejected: of each rule, the one to the loosest cutoff that the row is above
+    steps = in_table(spark, [{"stratum": s, **{rule: [p.index((rule, i)) for i in range(len(cuts))] for rule, (_, cuts) in RULES.items()}} for s, p in paths.items()], "stratum string, " + ", ".join(f"{rule} array<int>" for rule in RULES))
+    level = {rule: sum((F.expr(f"cast({measure} > {c} AS int)") for c in cuts), F.lit(0)) for rule, (measure, cuts) in RULES.items()}
+    first = [F.when(level[rule] > 0, F.get(F.col(f"steps.{rule}"), level[rule] - 1)) for rule in RULES]
+    rows = good.withColumn("stratum", stratum).alias("g").join(steps.alias("steps"), "stratum")
+    counted = rows.groupBy("stratum", F.least(*first).alias("first")).count().collect()
     out: dict[str, dict[str, float]] = {}
-    for s, own in paths.items():
-        n = sum(r["count"] for r in counted if r["stratum"] == s)
-        bad = np.zeros(len(own), np.int64)
+    for s, steps_ in paths.items():
+        bad = np.zeros(len(steps_), np.int64)
         for r in counted:
             if r["stratum"] == s and r["first"] is not None:
                 bad[r["first"] :] += r["count"]
-        fits = lambda i: bad[i] <= alpha * n and upper_bound(int(bad[i]), n, delta / len(paths)) <= alpha  # noqa: E731, B023
-        for rule, i in own[: bisect_left(range(len(own)), True, key=lambda i: not fits(i))]:  # noqa: B023
+        fits = lambda i: bad[i] <= alpha * sizes[s] and upper_bound(int(bad[i]), sizes[s], delta / len(paths)) <= alpha  # noqa: E731, B023
+        for rule, i in steps_[: bisect_left(range(len(steps_)), True, key=lambda i: not fits(i))]:  # noqa: B023
             out.setdefault(s, {})[rule] = RULES[rule][1][i]
     return out
 
 
+def in_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """Rows made on the driver as a frame without Python workers."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
+
+
 def judged(rows: DataFrame, cutoffs: dict[str, dict[str, float]], stratum: Column) -> DataFrame:
-    """``rows`` with ``rule_failed``: above a certified cutoff of its stratum. One small literal per stratum."""
+    """``rows`` with ``rule_failed``: above a certified cutoff of its stratum."""
+    name, own, limit = unused(rows.columns, "stratum", "of", "limit")
+    limits = in_table(rows.sparkSession, [{"stratum": s, **c} for s, c in cutoffs.items()], "stratum string, " + ", ".join(f"{rule} double" for rule in RULES))
+    limits = limits.select(F.col("stratum").alias(own), F.struct(*RULES).alias(limit))
     failed = F.lit(False)
     for rule, (measure, _) in RULES.items():
-        own = {s: c[rule] for s, c in cutoffs.items() if rule in c}
-        if own:
-            limit = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[stratum]
-            failed = failed | F.coalesce(F.expr(measure) > limit, F.lit(False))
-    return rows.withColumn("rule_failed", failed)
+        failed = failed | F.coalesce(F.expr(measure) > F.col(f"{limit}.{rule}"), F.lit(False))
+    kept = [c for c in rows.columns if c.lower() != "rule_failed"]
+    return rows.withColumn(name, stratum).join(limits, F.col(name) == F.col(own), "left").select(*kept, failed.alias("rule_failed"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,15 +215,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrow_limits(spark)
     work = Workspace(spark, "quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("?")).alias("lang"), "text")
-    schema = "doc_id long, lang string, " + ", ".join(f"{m} long" for m in MEASURES)
+    schema = "doc_id long, lang string, " + ", ".join(f"{m} long" for m in (*MEASURES, "print"))
     rows = work.keep(over_text(docs, "text", measures, schema, ["doc_id", "lang"]), "measures")
     rows = rows.withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
-    quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    good = quality.where("quality = 1").select("doc_id")
-    poor = quality.where("quality = 0").select("doc_id").distinct()
+    quality = table(spark, sf_dir, "labels").where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    good, poor = quality.where("quality = 1").select("doc_id"), quality.where("quality = 0").select("doc_id", F.lit(True).alias("poor"))
     passed = rows.where("NOT base_failed")
-    others = passed.join(good, "doc_id", "left_anti").join(poor.withColumn("poor", F.lit(True)), "doc_id", "left").fillna(False, ["poor"])
-    cutoffs = certified(passed.join(good, "doc_id"), F.col("lang"), others=others)
+    others = passed.join(good, "doc_id", "left_anti").join(poor, "doc_id", "left").fillna(False, ["poor"])
+    cutoffs = certified(passed.join(good, "doc_id").dropDuplicates(["lang", "print", "n_words"]), F.col("lang"), others=others)
     return judged(rows, cutoffs, F.col("lang")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("rule_failed")).alias("kept")
     )
