@@ -4,25 +4,33 @@ A text's severity y in 0..G-1 follows P(y <= g) = logistic(threshold_g - w.x): o
 are kept in order at every step. Features are words and word prefixes of four letters
 hashed into ``2 ** bits`` places, each with its square-rooted count over the text's length term, weighted by rarity in the
 training rows. Weights are fitted by proximal accelerated gradient descent with a fixed number of steps and a sparsity
-penalty, on a sample of about 8000 labelled rows (``sampled``), the ones with the smallest hashes of their ids; every row is
-scored, over its whole text. What is broadcast is the weights, of a size that ``bits`` fixes.
+penalty, on a sample of about 8000 labelled ids (``sampled``), the ones with the smallest hashes, one text each; every row is
+scored, over its whole text. Places in fewer than ``floor`` sampled rows weigh nothing, a number that doesn't grow with the sample; of the
+others the ``screened`` places whose mean differs most between grade 0 and the rest, for the size of its noise, are fitted. What is
+broadcast is the weights, of a size that ``bits`` fixes.
+
+Labels of 0 and 1 become three grades by the evidence in the texts (``graded``): 0 for clean rows, and for toxic ones 1 or 2 by how dense
+the words are that mark toxic rows of the sample.
 
 Expected severity is the sum over thresholds of P(y > g); a text is flagged where the chance of any grade above 0 is at least 0.5.
 
 Defined cases: a null or empty text has no feature, its severity is that of the thresholds alone; labels that are null are
-left out; if all sampled rows have one grade, every text gets that grade; repeated rows are scored one by one.
+left out; an id labelled several times has its highest label, and an id of several rows teaches with one of them; if all sampled rows have
+one grade, every text gets that grade; equal texts get equal severities; repeated rows are scored one by one; a very long text
+is one block of its own; columns of any names are handed on, but those named like an output are replaced by it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import arrow_limits, blocks, mix, text_views, tidy, word_hashes, word_spans
+from threadlens.llm.places import unused
 from threadlens.session import table
 
 BITS = 18
@@ -46,16 +54,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, steps: int = 300, sparsity: float = 1.5e-4, screened: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+def loss_and_slopes(w: np.ndarray, theta: np.ndarray, row: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of the proportional-odds model, and its slopes by weights and thresholds."""
+    n, grades = len(grade), len(theta) + 1
+    cuts = np.concatenate([[-np.inf], theta, [np.inf]])
+    z = np.bincount(row, x * w[at], n)
+    up, low = cuts[grade + 1] - z, cuts[grade] - z
+    fu, fl = np.where(np.isinf(up), 1.0, _sigmoid(np.where(np.isinf(up), 0, up))), np.where(np.isinf(low), 0.0, _sigmoid(np.where(np.isinf(low), 0, low)))
+    du, dl, p = fu * (1 - fu), fl * (1 - fl), np.maximum(fu - fl, 1e-12)
+    gw = np.bincount(at, x * ((du - dl) / p / n)[row], len(w))
+    gc = np.bincount(np.minimum(grade, grades - 2), np.where(grade < grades - 1, -du / p / n, 0), grades - 1)
+    gc += np.bincount(np.maximum(grade - 1, 0), np.where(grade > 0, dl / p / n, 0), grades - 1)
+    return -np.log(p).mean(), gw, gc
+
+
+def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, steps: int = 300, sparsity: float = 1.5e-4, screened: int = 4096, floor: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of the proportional-odds model by proximal accelerated gradient."""
     n = len(grade)
     used, at = np.unique(place, return_inverse=True)
     df = np.bincount(at, minlength=len(used))
-    rarity = np.log((n + 1) / (df + 1)) * (df >= max(3, n // 360))
+    rarity = np.log((n + 1) / (df + 1)) * (df >= floor)
     x = value * rarity[at]
     norm = np.sqrt(np.bincount(row, x * x, n)) + 1e-9
     x = x / norm[row]
-    # screening: places whose mean differs most between the lowest grade and the others, for the size of its noise
     high = (grade > 0)[row]
     lift = np.bincount(at, np.where(high, x, 0), len(used)) / max(1, (grade > 0).sum()) - np.bincount(at, np.where(high, 0, x), len(used)) / max(1, (grade == 0).sum())
     lift = np.abs(lift) / (np.sqrt(np.bincount(at, x * x, len(used))) + 1e-9)
@@ -78,18 +99,11 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
     rate = n / (np.linalg.norm(u) + 1e-30)
     v, tv, k, last = w.copy(), theta.copy(), 0, np.inf
     for _ in range(steps):
-        cuts = np.concatenate([[-np.inf], tv, [np.inf]])
-        z = np.bincount(row, x * v[at], n)
-        up, low = cuts[grade + 1] - z, cuts[grade] - z
-        fu, fl = np.where(np.isinf(up), 1.0, _sigmoid(np.where(np.isinf(up), 0, up))), np.where(np.isinf(low), 0.0, _sigmoid(np.where(np.isinf(low), 0, low)))
-        du, dl, p = fu * (1 - fu), fl * (1 - fl), np.maximum(fu - fl, 1e-12)
-        gw = np.bincount(at, x * ((du - dl) / p / n)[row], len(used))  # of the mean negative log likelihood
-        gc = np.bincount(np.minimum(grade, grades - 2), np.where(grade < grades - 1, -du / p / n, 0), grades - 1)
-        gc += np.bincount(np.maximum(grade - 1, 0), np.where(grade > 0, dl / p / n, 0), grades - 1)
+        loss, gw, gc = loss_and_slopes(v, tv, row, at, x, grade)
         new = v - rate * gw
         new = np.sign(new) * np.maximum(np.abs(new) - rate * sparsity, 0)
         newt = ordered(tv - 0.5 * gc)
-        loss = -np.log(p).mean() + sparsity * np.abs(v).sum()
+        loss += sparsity * np.abs(v).sum()
         k = 0 if loss > last else k + 1  # momentum starts anew when it overshoots
         last, m = loss, k / (k + 3)
         v, tv = new + m * (new - w), ordered(newt + m * (newt - theta))
@@ -101,8 +115,23 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
     return np.stack([weights, scale]), theta
 
 
-def sampled(labels: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows of a label table, those with the smallest id hashes; all rows if there are no more."""
+def graded(row: np.ndarray, place: np.ndarray, value: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Grades 0 to 2 of rows labelled 0 or 1: a toxic row is 2 if marking words are at least as dense in it as in half of the toxic rows that have any.
+
+    A place marks if it is in 5 toxic rows at least, and 20 times as frequent in toxic rows as in clean ones.
+    """
+    n = len(toxic)
+    yes, no = (np.bincount(place, toxic[row] == k, place.max(initial=0) + 1) for k in (1, 0))
+    marks = (yes >= 5) & (yes / max(1, (toxic == 1).sum()) >= 20 * no / max(1, (toxic == 0).sum()))
+    times = value**2
+    dense = np.bincount(row, times * marks[place], n) / np.maximum(1, np.bincount(row, times, n))
+    some = dense[(toxic == 1) & (dense > 0)]
+    return np.where(toxic == 1, 1 + (dense >= np.median(some)) if len(some) else 1, 0)
+
+
+def sampled(labels: DataFrame, most: int, label: str = "toxic") -> DataFrame:
+    """About ``most`` ids of a label table with their highest label, those with the smallest id hashes; all ids if there are no more."""
+    labels = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     n = labels.count()
     return labels if n <= most else labels.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(most / n * 2**63))
 
@@ -127,8 +156,8 @@ def without_copies(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade:
     return new[row[keep]], place[keep], value[keep], grade[~drop]
 
 
-def trained(labelled: DataFrame, text: str, grade: str, grades: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Fit on a bounded frame of labelled rows; only their sparse features reach the driver."""
+def trained(labelled: DataFrame, text: str, grade: str, grades: int, bits: int = BITS, regrade: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Fit on a bounded frame of labelled rows; only their sparse features reach the driver. ``regrade`` makes grades of them and the labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,18 +171,19 @@ def trained(labelled: DataFrame, text: str, grade: str, grades: int, bits: int =
     rows = labelled.where(F.col(grade).isNotNull()).select(F.col(grade).cast("int").alias("grade"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), F.xxhash64("doc_id").alias("h"))
     got = rows.mapInArrow(tidy(run), "grade int, h long, place array<int>, value array<float>").toArrow().sort_by("h")
     grade_ = got["grade"].to_numpy().astype(np.int64)
-    if not len(grade_) or len(np.unique(grade_)) < 2:
+    if len(np.unique(grade_)) < 2:
         only = int(grade_[0]) if len(grade_) else 0
         return np.zeros((2, 1 << bits), np.float32), np.array([-40.0 if g < only else 40.0 for g in range(grades - 1)])
     place, value = got["place"].combine_chunks(), got["value"].combine_chunks()
     n = np.array([len(x) for x in place])
     row, place, value = np.repeat(np.arange(len(n)), n), place.flatten().to_numpy(), value.flatten().to_numpy().astype(np.float64)
-    return fit(*without_copies(row, place, value, grade_), grades, bits)
+    row, place, value, grade_ = without_copies(row, place, value, grade_)
+    return fit(row, place, value, regrade(row, place, value, grade_) if regrade else grade_, grades, bits)
 
 
 def severity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", bits: int = BITS) -> DataFrame:
     """``docs`` with ``severity`` (expected grade) and ``p_any`` (chance of a grade above 0)."""
-    kept = docs.columns
+    kept = [c for c in docs.columns if c.lower() not in ("severity", "p_any")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,13 +198,9 @@ def severity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str =
                 above = _sigmoid(z[:, None] - cuts[None, :])
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array(above.sum(1)), pa.array(above[:, 0])], names=[*kept, "severity", "p_any"])
 
-    schema = docs.select("*", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_any")).schema
-    return docs.select("*", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text")).mapInArrow(tidy(run), schema)
-
-
-def grade_of(toxic: Column, text: Column) -> Column:
-    """Grades from a 0/1 label: 0 clean; toxic texts are 1, or 2 where they are short, so that the abuse fills them."""
-    return F.when(toxic == 0, 0).when(toxic == 1, F.when(F.length(text) < 1500, 2).otherwise(1))
+    rows = docs.select(*kept)
+    schema = rows.select("*", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_any")).schema
+    return docs.select(*kept, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(*unused(kept, "text"))).mapInArrow(tidy(run), schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,6 +209,6 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     # the sample's bound is what makes the label side small enough to send to every task
-    labelled = docs.join(F.broadcast(sampled(labels, 8000)), "doc_id").withColumn("grade", grade_of(F.col("toxic"), F.coalesce("text", F.lit(""))))
-    model = trained(labelled, "text", "grade", 3)
+    labelled = docs.join(F.broadcast(sampled(labels, 8000)), "doc_id").dropDuplicates(["doc_id"])
+    model = trained(labelled, "text", "toxic", 3, regrade=graded)
     return severity(docs, model).select("doc_id", "severity", F.col("p_any").alias("p_toxic"), (F.col("p_any") >= 0.5).alias("toxic"))
