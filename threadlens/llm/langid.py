@@ -5,11 +5,12 @@ letters' vectors, the first permuted twice and the second once; a text's vector
 language's prototype bundles its training texts, each with the same weight, and all prototypes are centred by their mean.
 A text gets the language whose prototype has the largest cosine with it; runs of other characters count as one gap.
 
-Training sums are integers, so they don't depend on the order in which partitions arrive; what reaches the driver and the
-tasks is one vector for each language value.
+Every text adds integers to its language's sum (its trigrams' vectors times a weight rounded once for the text), so sums don't depend on how
+rows are partitioned; what reaches the driver and the tasks is one vector for each of the ``most`` languages with the most texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; null languages teach nothing; with no training
-text all are ``und``; equal cosines go to the language first in order; repeated rows are predicted one by one.
+text all are ``und``; equal cosines go to the language first in order; repeated rows are predicted one by one; a very long text
+is one block of its own; columns of any names are handed on, but those named like an output (``out``) are replaced by it.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import arrow_limits, blocks, held, text_views, tidy
+from threadlens.llm.places import unused
 from threadlens.session import table
 
 DIMS = 1024
 UNIT = 1 << 24
-#: Rows of dense trigram counts at once.
-ROWS = 256
+#: Rows of dense trigram counts at once, and languages whose sums a task holds.
+ROWS, HELD = 256, 512
 
 _letters: np.ndarray | None = None
 _vectors: dict[int, np.ndarray] = {}
@@ -95,8 +97,8 @@ def kind_steps(kinds: np.ndarray, step: int = 4096) -> Iterator[slice]:
         yield slice(i, i + step)
 
 
-def prototypes(docs: DataFrame, text: str, lang: str, dims: int = DIMS) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their centred prototypes of unit length, from every row of ``docs``."""
+def prototypes(docs: DataFrame, text: str, lang: str, dims: int = DIMS, most: int = 4096) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their centred prototypes of unit length, from every row of ``docs``; ``most`` bounds the number of languages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -109,16 +111,25 @@ def prototypes(docs: DataFrame, text: str, lang: str, dims: int = DIMS) -> tuple
                 if not len(kinds):
                     continue
                 of = np.array([names.index(x) for x in langs_all[a:b]])
-                weight = 1 / np.maximum(1, np.bincount(owner, minlength=b - a))
+                weight = np.maximum(1, np.rint(UNIT / np.maximum(1, np.bincount(owner, minlength=b - a))))
                 counts = np.bincount(of[owner] * len(kinds) + code, weight[owner], len(names) * len(kinds)).reshape(len(names), -1)
                 for x in kind_steps(kinds):
                     part = counts[:, x] @ bound(kinds[x], dims).astype(np.float64)
-                    for name, v in zip(names, part):
+                    for name, v in zip(names, part.astype(np.int64)):  # whole numbers below 2**53
                         sums[name] = sums[name] + v if name in sums else v
+            if len(sums) > HELD:
+                yield from out(sums)
+                sums = {}
+        yield from out(sums)
+
+    def out(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([np.rint(v * UNIT).astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["lang", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([v.tolist()], pa.list_(pa.int64()))], names=["lang", "v"])
 
     taught = docs.where(F.col(lang).isNotNull()).select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(lang).cast("string").alias("lang"))
+    sizes = taught.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most + 1).collect()
+    if len(sizes) > most:
+        taught = taught.where(F.col("lang").isin([r["lang"] for r in sizes[:most]]))
     got = taught.mapInArrow(tidy(run), "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     names = sorted({r["lang"] for r in got})
     sums = np.zeros((len(names), dims))
@@ -129,9 +140,9 @@ def prototypes(docs: DataFrame, text: str, lang: str, dims: int = DIMS) -> tuple
     return names, norm(sums - sums.mean(0)) if len(names) > 1 else sums
 
 
-def identified(docs: DataFrame, names: list[str], protos: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (the largest cosine, at least 0)."""
-    kept, dims = docs.columns, protos.shape[1]
+def identified(docs: DataFrame, names: list[str], protos: np.ndarray, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and the score (the largest cosine, at least 0)."""
+    kept, dims = [c for c in docs.columns if c.lower() not in out], protos.shape[1]
     shared = docs.sparkSession.sparkContext.broadcast(protos.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,11 +172,11 @@ def identified(docs: DataFrame, names: list[str], protos: np.ndarray, text: str
                     score[some] = np.clip(cos[some].max(1), 0, 1)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array([[*names, "und"][i] for i in pred.tolist()], pa.string()), pa.array(score)],
-                    names=[*kept, "lang_pred", "score"],
+                    names=[*kept, *out],
                 )
 
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return docs.select("*", F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)
+    schema = docs.select(*kept).select("*", F.lit("").alias(out[0]), F.lit(0.0).alias(out[1])).schema
+    return docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias(*unused(kept, "text"))).mapInArrow(tidy(run), schema)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
