@@ -9,7 +9,9 @@ time only. Decoding concatenates the vocabulary's byte strings and reads them as
 Each text is handled whole, in one task and in one pass without a shuffle.
 
 Defined cases: null counts as empty and gives no ids, an empty decoded text; added tokens' strings in a text become
-their ids, as the tokenizers library does by default; unknown bytes can't occur in a byte-level vocabulary.
+their ids, as the tokenizers library does by default; unknown bytes can't occur in a byte-level vocabulary; a very long text is
+held whole by its task, beside its batch; repeated rows are encoded one by one; columns of any names are handed on, but those named
+``ids`` or ``decoded`` are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import arrow_limits, tidy
+from threadlens.llm.places import unused
 from threadlens.session import table
 
 #: White space as the pattern's reference engines read ``\\s``; Python's own class has four control characters more.
@@ -137,8 +140,8 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``df`` with ``ids`` (packed little-endian unsigned 32-bit) and ``decoded`` (the text that the ids give back)."""
-    names, where = df.columns, path
-    arrow_limits(df.sparkSession, rows=1000, size="8m")
+    names, where = [c for c in df.columns if c.lower() not in ("ids", "decoded")], path
+    arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(where or vocabulary())
@@ -147,14 +150,14 @@ def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
             back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=[*names, "ids", "decoded"])
 
-    schema = df.select("*", F.lit(b"").alias("ids"), F.lit("").alias("decoded")).schema
-    return df.select("*", F.coalesce(F.col(text), F.lit("")).alias("__text")).mapInArrow(tidy(run), schema)
+    schema = df.select(*names).select("*", F.lit(b"").alias("ids"), F.lit("").alias("decoded")).schema
+    return df.select(*names, F.coalesce(F.col(text), F.lit("")).alias(*unused(names, "text"))).mapInArrow(tidy(run), schema)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and the decoded text of every document, as digests taken beside the encoding."""
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    arrow_limits(spark, rows=1000, size="8m")
+    arrow_limits(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary())

@@ -19,10 +19,15 @@ BLOCK_BYTES = 4 << 20
 SPACES = b" \t\n\x0b\x0c\r"
 
 
-def arrow_limits(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Bound what an Arrow batch holds, so that very long texts don't meet in one."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def arrow_limits(spark: SparkSession) -> None:
+    """Bound what an Arrow batch holds, so that very long texts don't meet in one: the same bounds for all operators, a session's lower ones stay.
+
+    Spark reads them when a plan runs, so they hold for the session from then on; results don't depend on them.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def held(of: str, modulus: int, remainder: int):
