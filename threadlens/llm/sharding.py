@@ -7,9 +7,12 @@ clockwise to the next shard with room, until all stand. Within a slot the keys s
 each row finds its shard and its slot number from its rank alone. With ``epsilon=0`` a shard's capacity is its
 exact share, hence row counts are at most one apart; a larger ``epsilon`` lets fewer keys move when a shard is added.
 
+A slot with more than ``HOT`` times the mean number of rows, as a null or repeated key makes it, is ranked in ``SUBS`` parts, dealt by the
+rows' places (``places``), and counted by part: no window holds more than a part.
+
 Defined cases: a null key hashes as null and is placed like any other; a null text counts as no bytes; repeated rows
-are placed one by one, ties between identical rows fall either way; an empty table gives an empty result; other
-columns are handed on untouched.
+are placed one by one, ties between identical rows go by their place; an empty table gives an empty result; other
+columns, of whatever names, are handed on untouched, but those named ``shard`` or ``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +24,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadlens.llm.places import AT, FILE, stored, unused
 from threadlens.session import table
+from threadlens.work import Workspace
+
+#: A slot is hot from so many times the mean on, and ranked in so many parts.
+HOT, SUBS = 64, 64
 
 
 def ring_nodes(n_shards: int, vnodes: int, ring_bits: int) -> list[tuple[int, int]]:
@@ -65,17 +73,34 @@ def fill(counts: dict[int, int], n_shards: int, vnodes: int, ring_bits: int, eps
 def ring_shards(df: DataFrame, key: str, n_shards: int, vnodes: int = 64, epsilon: float = 0.0, ring_bits: int = 14) -> DataFrame:
     """``df`` with ``shard`` and ``slot`` (its number in the shard, from 0 and gapless). DataFrame functions only."""
     spark = df.sparkSession
+    df = stored(df, Workspace(spark, "ring"))
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    s, sub, r, file, at = unused(df.columns, "__s", "__sub", "__r", FILE, AT)
     spot = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), F.col(key)), 64 - ring_bits)
-    counts = {r["s"]: r["n"] for r in df.groupBy(spot.alias("s")).agg(F.count("*").alias("n")).collect()}
-    placed = fill(counts, n_shards, vnodes, ring_bits, epsilon)
-    spans = [{"s": s, "a": a, "b": b, "shard": d, "at": u} for s, a, b, d, u in placed]
-    plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(spans)), "array<struct<s long, a long, b long, shard int, at long>>")).alias("p")).select("p.*")
-    order = Window.partitionBy("__s").orderBy(F.xxhash64(F.lit("order"), F.col(key)), F.col(key), *[F.xxhash64(c) for c in df.columns if c != key])
-    ranked = df.withColumn("__s", spot).withColumn("__r", F.row_number().over(order).cast("long") - 1)
-    plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns])
-    # at most 2 ** ring_bits spans and n_shards more: the ring bounds what is broadcast
-    met = ranked.join(F.broadcast(plan), (ranked["__s"] == plan["__p_s"]) & (ranked["__r"] >= plan["__p_a"]) & (ranked["__r"] < plan["__p_b"]))
-    return met.select(*df.columns, F.col("__p_shard").alias("shard"), (F.col("__p_at") + F.col("__r") - F.col("__p_a")).alias("slot"))
+    counts = {x["s"]: x["n"] for x in df.groupBy(spot.alias("s")).agg(F.count("*").alias("n")).collect()}
+    hot = [x for x, n in counts.items() if n > HOT * sum(counts.values()) / 2**ring_bits + HOT]  # at most 2 ** ring_bits / HOT
+    rows = df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at), spot.alias(s))
+    rows = rows.withColumn(sub, F.when(F.col(s).isin(hot), F.pmod(F.xxhash64(F.col(file), F.col(at)), F.lit(SUBS))).otherwise(0) if hot else F.lit(0).cast("long"))
+    # where each part of a slot begins among the slot's ranks
+    begins = {(x, 0): 0 for x in counts}
+    if hot:
+        parts = {(x[s], x[sub]): x["n"] for x in rows.where(F.col(s).isin(hot)).groupBy(s, sub).agg(F.count("*").alias("n")).collect()}
+        for x in hot:
+            for i in range(1, SUBS):
+                begins[x, i] = begins[x, i - 1] + parts.get((x, i - 1), 0)
+    spans = []
+    for x, a, b, shard, used in fill(counts, n_shards, vnodes, ring_bits, epsilon):
+        own = SUBS if x in set(hot) else 1
+        for i in range(own):  # the span in the ranks of each part that it meets
+            low, high = begins[x, i], begins[x, i + 1] if i + 1 < own else counts[x]
+            if (first := max(a, low)) < (end := min(b, high)):
+                spans.append({"s": x, "sub": i, "a": first - low, "b": end - low, "shard": shard, "at": used + first - a})
+    plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(spans)), "array<struct<s long, sub long, a long, b long, shard int, at long>>")).alias("p")).select("p.*").alias("p")
+    order = Window.partitionBy(s, sub).orderBy(F.xxhash64(F.lit("order"), F.col(key)), F.col(key), F.col(file), F.col(at))
+    ranked = rows.withColumn(r, F.row_number().over(order).cast("long") - 1)
+    # at most 2 ** ring_bits spans, n_shards more, and as many again for the parts of hot slots: the ring bounds what is broadcast
+    met = ranked.join(F.broadcast(plan), (F.col(s) == F.col("p.s")) & (F.col(sub) == F.col("p.sub")) & (F.col(r) >= F.col("p.a")) & (F.col(r) < F.col("p.b")))
+    return met.select(*[ranked[c] for c in kept], F.col("p.shard").alias("shard"), (F.col("p.at") + F.col(r) - F.col("p.a")).alias("slot"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
