@@ -10,7 +10,9 @@ Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. A backslash in
 (start, length) of each assistant text in code points of the formatted conversation.
 
 Defined cases: a null text or role is empty, a null score 0; a node whose parent is missing is a root; nodes on a cycle belong to no
-path; null tree ids form one tree; nodes of a tree must differ in ``node``; an empty table gives no conversation.
+path; null tree ids form one tree; of several rows for one node of a tree one stays, the first by parent (null first), score (null as 0, highest
+first), role and text; rows without a node are left out; ties between paths go to the smaller leaf; an empty table gives no conversation;
+other columns of ``nodes`` are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,7 +71,9 @@ def chosen_paths(nodes: DataFrame, work: Workspace, branches: int = 1) -> DataFr
 def format_trees(nodes: DataFrame, branches: int = 1, learnt: str = "assistant") -> DataFrame:
     """(tree, leaf, formatted, loss): one conversation for each chosen path."""
     work = Workspace(nodes.sparkSession, "chat")
-    nodes = work.keep(nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score"), "nodes")
+    nodes = nodes.where("node IS NOT NULL").select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    first = F.row_number().over(Window.partitionBy("tree", "node").orderBy("parent", F.desc("score"), "role", "text"))
+    nodes = work.keep(nodes.withColumn("first", first).where("first = 1").drop("first"), "nodes")
     path = chosen_paths(nodes, work, branches)
     turns = path.alias("a").join(nodes.alias("b"), same("a", "b", ("tree", "tree")) & (F.col("a.node") == F.col("b.node"))).select("a.tree", "a.leaf", "a.depth", "b.role", "b.text")
     head = F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit(BREAK)), F.lit("\n"))
