@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -106,6 +107,13 @@ def test_reply_trees(spark):
     assert chat.format_trees(df.limit(0)).count() == 0
 
 
+def test_repeated_nodes(spark):
+    nodes = [(1, 1, None, "user", "a", 0.0), (1, 2, 1, "assistant", "b", 1.0), (1, 2, 1, "assistant", "c", 2.0), (1, 2, 1, "assistant", "c", 2.0), (1, None, 1, "user", "d", 9.0), (1, 1, 2, "user", "e", 0.0)]
+    df = spark.createDataFrame(nodes, "tree int, node int, parent int, role string, text string, score double").withColumn("first", F.lit("x")).withColumn("leaf", F.lit("x"))
+    (got,) = chat.format_trees(df).withColumn("turns", chat.read_back(F.col("formatted"))).collect()
+    assert [tuple(t) for t in got["turns"]] == [("user", "a"), ("assistant", "c")]
+
+
 def test_deep_chain(spark):
     df = spark.range(1, 300).select(F.lit(1).alias("tree"), F.col("id").alias("node"), (F.col("id") - 1).alias("parent"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"), F.lit(1.0).alias("score"))
     r = chat.format_trees(df).withColumn("t", chat.read_back(F.col("formatted"))).first()
@@ -151,6 +159,50 @@ def test_toxicity_of_one_grade(spark):
     assert toxicity.severity(train, none).count() == 3
 
 
+def test_toxicity_slopes_by_differences():
+    rng = np.random.default_rng(4)
+    row, at, x = rng.integers(0, 30, 200), rng.integers(0, 12, 200), rng.normal(size=200)
+    grade, w, theta = rng.integers(0, 4, 30), rng.normal(size=12), np.array([-1.0, 0.2, 1.5])
+    _, gw, gc = toxicity.loss_and_slopes(w, theta, row, at, x, grade)
+    for v, slope in ((w, gw), (theta, gc)):
+        for i in range(len(v)):
+            v[i] += 1e-6
+            up = toxicity.loss_and_slopes(w, theta, row, at, x, grade)[0]
+            v[i] -= 2e-6
+            down = toxicity.loss_and_slopes(w, theta, row, at, x, grade)[0]
+            v[i] += 1e-6
+            assert abs((up - down) / 2e-6 - slope[i]) < 1e-6
+
+
+def test_toxicity_grades_by_evidence(spark):
+    """Severity rises with the graded evidence on rows that taught nothing; labels are 0 and 1 only."""
+    label = lambda rows: [(i, t, int(g > 0)) for i, t, g in rows]
+    train = spark.createDataFrame(label(toxic_rows(1500, 1)), "doc_id long, text string, toxic int")
+    model = toxicity.trained(train, "text", "toxic", 3, regrade=toxicity.graded)
+    rows = toxic_rows(500, 2)
+    test = spark.createDataFrame(rows, "doc_id long, text string, severity int")
+    out = toxicity.severity(test.withColumn("__text", F.lit(1)), model)
+    assert out.columns == ["doc_id", "text", "__text", "severity", "p_any"]  # the column named like an output is replaced
+    got, truth = {r["doc_id"]: r["severity"] for r in out.collect()}, {i: g for i, _, g in rows}
+    mean = [np.mean([v for i, v in got.items() if truth[i] == g]) for g in (0, 1, 2)]
+    assert mean[0] < 0.3 and mean[0] + 0.5 < mean[1] and mean[1] + 0.2 < mean[2]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "toxic")
+    model = toxicity.trained(rows.where(~held("doc_id", 4, 2)), "text", "toxic", 3, regrade=toxicity.graded)
+    marks = ["idiot", "moron", "pathetic", "loser", "scum", "trash", "clown", "stupid", "worthless", "disgusting"]
+    told = rows.where(held("doc_id", 4, 2)).withColumn("evidence", sum(F.col("text").contains(m).cast("int") for m in marks))
+    got = toxicity.severity(told, model).select("toxic", "evidence", "severity", "p_any").collect()
+    mean = lambda low, high: np.mean([r["severity"] for r in got if r["toxic"] and low <= r["evidence"] <= high])
+    clean = [r for r in got if not r["toxic"]]
+    assert mean(0, 0) < mean(1, 2) < mean(3, 10) and np.mean([r["severity"] for r in clean]) < 0.3
+    assert np.mean([r["p_any"] >= 0.5 for r in got if r["toxic"] and r["evidence"] >= 3]) > 0.97
+    assert np.mean([r["p_any"] >= 0.5 for r in clean]) < 0.03
+
+
 def mixture(spark, n=600):
     rng = np.random.default_rng(3)
     rows, labels = [], []
@@ -203,7 +255,7 @@ def test_mixing_steps_are_those_of_single_documents(spark):
 
     a = (tokens[pick, None] * chances[pick]).T
     for shares, most in (({"good": 1.1, "poor": 0.5, "toxic": 0.2}, None), ({"good": 1.0, "poor": 0.2, "toxic": 0.0}, 1.0)):
-        found, gap = mixing.rates(df, Workspace(spark, "test"), None, shares, most)
+        found, gap = mixing.rates(df, Workspace(spark, "test"), None, shares, most, flat=1e-6)
         rate = {(r["tokens"], r["p_good"]): r["rate"] for r in found.collect()}
         got = np.array([rate[int(tokens[i]), float(chances[i, 0])] for i in pick])
         goal = a.sum(1) * [shares[d] for d in mixing.DOMAINS]
@@ -231,6 +283,17 @@ def test_mixing_keeps_good_rows_whole(spark):
     assert np.mean([i in got for i, d in truth.items() if d == "toxic"]) < 0.1
 
 
+def test_mixing_sees_wrong_labels(spark):
+    """A twentieth of the labels is wrong; posteriors of texts without a mark are those without wrong labels."""
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(i, 2 if i % 10 == 0 else 0, 3, 0, 0, 1) for i in range(4000)], "doc_id int, __hits int, __distinct int, __symbols int, __upper int, __length int")
+    truth = ["toxic" if i % 10 == 0 else "good" for i in range(4000)]
+    labels = spark.createDataFrame([(i, t if rng.random() > 0.05 else "toxic") for i, t in enumerate(truth)], "doc_id int, domain string")
+    got = {r["__hits"]: r["p_toxic"] for r in mixing.posteriors(rows, labels).collect()}
+    assert got[0] == 0 and got[2] > 0.99
+    assert {r["__hits"]: r["p_toxic"] for r in mixing.posteriors(rows, labels, anchor=10_000).collect()}[0] > 0.03
+
+
 def test_mixing_without_labels(spark):
     docs, labels, n = mixture(spark, 20)
     out = mixing.document_rates(docs, labels.limit(0), {"good": 1 / 3, "poor": 1 / 3, "toxic": 1 / 3}).collect()
@@ -250,6 +313,47 @@ def test_shards_are_even_and_gapless(spark, n, shards):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_shards_of_a_hot_key(spark):
+    """A third of all rows have a null key, a third of those are the same row: no slot is ranked by one task, and the law holds."""
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 9 != 0, F.col("id")).alias("__at"), F.lit("x").alias("shard"), F.lit(1).alias("__s"))
+    out = sharding.ring_shards(rows, "doc_id", 8, ring_bits=6)
+    assert out.columns == ["doc_id", "__at", "__s", "shard", "slot"]
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r["shard"]].append(r["slot"])
+    assert sorted(map(len, got.values())) == [1125] * 8 and all(sorted(s) == list(range(1125)) for s in got.values())
+
+
+def test_shards_by_a_plain_ring(spark):
+    """Every row stands where a walk over the ring puts it, key by key in the order of slots and hashes."""
+    df = spark.range(500).select(F.col("id").alias("doc_id"))
+    spot, order = F.shiftrightunsigned(F.xxhash64(F.lit("ring"), "doc_id"), 50), F.xxhash64(F.lit("order"), "doc_id")
+    keys = sorted((r["s"], r["o"], r["doc_id"]) for r in df.select("doc_id", spot.alias("s"), order.alias("o")).collect())
+    nodes = sharding.ring_nodes(7, 64, 14)
+    room, stands, waiting = [500 // 7 + (s < 500 % 7) for s in range(7)], {}, []
+    for slot, _, key in keys:
+        at = next((i for i, (place, _) in enumerate(nodes) if place >= slot), 0)
+        waiting.append((list(dict.fromkeys(s for _, s in nodes[at:] + nodes[:at])), key))
+    hop = 0
+    while waiting:  # those that find their shard full go on to the next one together
+        left = []
+        for shards, key in waiting:
+            if room[shards[hop]]:
+                room[shards[hop]] -= 1
+                stands[key] = shards[hop]
+            else:
+                left.append((shards, key))
+        waiting, hop = left, hop + 1
+    assert {r["doc_id"]: r["shard"] for r in sharding.ring_shards(df, "doc_id", 7).collect()} == stands
+
+
+def test_one_more_shard_moves_few_without_slack(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    at = lambda n: {r["doc_id"]: r["shard"] for r in sharding.ring_shards(df, "doc_id", n).collect()}
+    a, b = at(40), at(41)
+    assert 1 / 41 <= np.mean([a[i] != b[i] for i in a]) < 3 / 41
+
+
 def test_one_more_shard_moves_few(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"))
     at = lambda n: {r["doc_id"]: r["shard"] for r in sharding.ring_shards(df, "doc_id", n, epsilon=0.25).collect()}

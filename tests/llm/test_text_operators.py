@@ -126,6 +126,48 @@ def test_language(spark, docs):
     assert np.mean([got[i]["lang_pred"] == lang for i, lang in full if i < 60]) > 0.95
 
 
+def test_language_by_brute_force(spark, docs):
+    """Prototypes and cosines letter by letter, from the definition; however the rows are partitioned."""
+    names, protos = langid.prototypes(docs, "text", "lang")
+    again, others = langid.prototypes(docs.repartition(7), "text", "lang")
+    assert names == again and (protos == others).all()
+
+    def grams(text):
+        s = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        s = "".join(c for i, c in enumerate(s) if i == 0 or c != " " or s[i - 1] != " ")
+        return Counter(s[i : i + 3] for i in range(len(s) - 2))
+
+    vector = lambda g: np.roll(*letter(g[0], 2)) * np.roll(*letter(g[1], 1)) * letter(g[2], 0)[0]
+    letter = lambda c, n: (langid.letter_vectors(np.array([0 if c == " " else ord(c)]), langid.DIMS)[0].astype(float), n)
+    known = {}
+    bundle = lambda t: sum((n * known.setdefault(g, vector(g)) for g, n in grams(t).items()), np.zeros(langid.DIMS))
+    rows = [r for r in documents() if r[1] and len(r[1]) < 5000]
+    frame_ = frame(spark, rows)
+    names, protos = langid.prototypes(frame_, "text", "lang")
+    sums = {x: np.zeros(langid.DIMS) for x in names}
+    for _, t, lang, _ in rows:
+        if lang and (n := sum(grams(t).values())):
+            sums[lang] += bundle(t) / n
+    own = np.stack([sums[x] / np.linalg.norm(sums[x]) for x in names])
+    own -= own.mean(0)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    assert np.abs(own - protos).max() < 1e-4
+    out = langid.identified(frame_.withColumn("score", F.lit("x")).withColumn("__text", F.lit(1)), names, protos)
+    assert out.columns == ["doc_id", "text", "lang", "source", "__text", "lang_pred", "score"]
+    for r in out.collect():
+        v = bundle(r["text"])
+        if any(c.isalpha() for c in r["text"]):
+            cos = own @ v / np.linalg.norm(v)
+            assert abs(r["score"] - max(0, cos.max())) < 1e-3 and (r["lang_pred"] == names[int(cos.argmax())] or abs(cos[0] - cos[1]) < 1e-3)
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+
+
+def test_bpe_replaces_columns_of_its_names(spark):
+    out = bpe.encoded(frame(spark, documents()[:3]).withColumn("ids", F.lit(1)).withColumn("__text", F.lit(1)).withColumn("decoded", F.lit(2)))
+    assert out.columns == ["doc_id", "text", "lang", "source", "__text", "ids", "decoded"] and all(r["decoded"] == r["text"] for r in out.collect())
+
+
 def test_hypervectors_by_definition():
     owner, code, kinds = langid.trigrams(["ab1c", "", "aé"])
     got = defaultdict(list)

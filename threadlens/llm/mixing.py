@@ -3,16 +3,17 @@
 A classifier learnt from a labelled table gives every document posterior chances of each domain, in two steps of naive Bayes over
 binned measures (``TELLS``): toxic against the rest, by how many word beginnings of a lexicon the text holds and by its length; then good
 against poor by the other measures. The lexicon (at most ``lexicon`` beginnings) comes from
-a bounded sample of labelled rows; the bins' counts come from all labelled rows. All bins together form a profile, of which
+a bounded sample of labelled rows; the bins' counts come from all labelled rows. Labels may be wrong: the lowest chance of a label that any combination
+of its measures has, of those with ``anchor`` labelled rows at least, is taken for the rate of wrong ones and removed from all chances. All bins together form a profile, of which
 there are at most ``PROFILES``, so the posteriors are a table of bounded size.
 
 Rates: projected-gradient least squares finds nonnegative document rates r for which the expected tokens of each domain,
 sum(r * tokens * posterior), match the targets. The objective is the squared norm of the domains' gaps in the metric W, the inverse of
 sum(tokens^2 * posterior * posterior'), in which the step length 1 is always short enough. A document's rate moves by
 tokens * posterior' W gap and is projected to ``0 <= r <= most``, with momentum that starts anew when the objective rises. Each
-iteration is one distributed sum. Documents equal in tokens and posteriors take equal steps, so a step is computed once for all of them
+iteration is one distributed sum over all documents. Documents equal in tokens and posteriors take equal steps, so a step is computed once for all of them
 (``test_mixing_steps_are_those_of_single_documents``). Iterations end when every gap is below ``near`` of all tokens or when 20 of
-them lower the objective by less than a millionth of itself: then the targets can't be met with these posteriors and bounds, and
+them lower the objective by less than ``flat`` of itself: then the targets can't be met with these posteriors and bounds, and
 ``gap``, the largest gap as a share of all tokens, says by how much they are missed.
 
 No text is ever shuffled: measures are computed where a document is read, once; rates come to rows by their number or place.
@@ -58,6 +59,7 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 def sampled(labels: DataFrame, most: int) -> DataFrame:
+    labels = labels.where("doc_id IS NOT NULL").distinct()
     n = labels.count()
     return labels if n <= most else labels.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(most / n * 2**63))
 
@@ -91,7 +93,7 @@ def binned(docs: DataFrame, lexicon: list[str], text: str = "text") -> DataFrame
     return out.drop("__words")
 
 
-def posteriors(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def posteriors(rows: DataFrame, labels: DataFrame, anchor: int = 200) -> DataFrame:
     """(bins, p_good, p_poor, p_toxic) of every profile in ``rows`` (doc_id, bins), from all labelled rows."""
     bins = [f"__{b}" for b in BINS]
     known = rows.join(labels, "doc_id").where("domain IS NOT NULL")
@@ -100,16 +102,18 @@ def posteriors(rows: DataFrame, labels: DataFrame) -> DataFrame:
     for domain_, measures in TELLS:
         of = known if domain_ == "toxic" else known.where("domain <> 'toxic'")
         sums = [F.count_if(F.col("domain") == domain_).alias("yes"), F.count_if(F.col("domain") != domain_).alias("no")]
-        total = of.agg(*sums).first()
+        cells = of.groupBy(*[f"__{m}" for m in measures]).agg(*sums).collect()  # at most PROFILES rows
+        yes, no = (sum(r[k] for r in cells) for k in ("yes", "no"))
         prior = {"toxic": (1, 2), "poor": (1, 1)}[domain_]  # as if one row of each domain had been seen
-        odds = F.log(F.lit((total["yes"] + prior[0]) / (total["no"] + prior[1])))
+        start, ratios = math.log((yes + prior[0]) / (no + prior[1])), {}
         for m in measures:
             size = len(BINS[m]) + 1
-            got = {r[f"__{m}"]: r for r in of.groupBy(f"__{m}").agg(*sums).collect()}  # at most ``size`` rows
-            seen = lambda v, k: got[v][k] if v in got else 0  # noqa: E731, B023
-            ratio = [math.log((seen(v, "yes") + 0.5) / (total["yes"] + 0.5 * size)) - math.log((seen(v, "no") + 0.5) / (total["no"] + 0.5 * size)) for v in range(size)]
-            odds = odds + F.element_at(F.array(*map(F.lit, ratio)), F.col(f"__{m}") + 1)
-        chances[domain_] = 1 / (1 + F.exp(-odds))
+            seen = [[sum(r[k] for r in cells if r[f"__{m}"] == v) for v in range(size)] for k in ("yes", "no")]
+            ratios[m] = [math.log((seen[0][v] + 0.5) / (yes + 0.5 * size)) - math.log((seen[1][v] + 0.5) / (no + 0.5 * size)) for v in range(size)]
+        told = [1 / (1 + math.exp(-start - sum(ratios[m][r[f"__{m}"]] for m in measures))) for r in cells if r["yes"] + r["no"] >= anchor]
+        wrong = min(told, default=0.0)
+        odds = F.lit(start) + sum(F.element_at(F.array(*map(F.lit, ratios[m])), F.col(f"__{m}") + 1) for m in measures)
+        chances[domain_] = F.greatest(F.lit(0.0), (1 / (1 + F.exp(-odds)) - wrong) / (1 - wrong))
     toxic, poor = chances["toxic"], chances["poor"]
     return profiles.select(*bins, ((1 - toxic) * (1 - poor)).alias("p_good"), ((1 - toxic) * poor).alias("p_poor"), toxic.alias("p_toxic"))
 
@@ -131,7 +135,7 @@ def solved(m: list[list[float]], b: list[float]) -> list[float]:
     return x
 
 
-def rates(groups: DataFrame, work: Workspace, targets: dict[str, float] | None, shares: dict[str, float] | None = None, most: float | None = None, near: float = 1e-6, steps: int = 2000) -> tuple[DataFrame, float]:
+def rates(groups: DataFrame, work: Workspace, targets: dict[str, float] | None, shares: dict[str, float] | None = None, most: float | None = None, near: float = 1e-6, flat: float = 1e-2, steps: int = 2000) -> tuple[DataFrame, float]:
     """``groups`` (tokens, posteriors, n documents each) with ``rate``, and the largest gap as a share of all tokens.
 
     ``targets`` are shares of all tokens, or ``shares`` are parts of what a domain holds by expectation.
@@ -150,7 +154,7 @@ def rates(groups: DataFrame, work: Workspace, targets: dict[str, float] | None,
     for step in range(1, steps + 1):
         if max(map(abs, at)) <= near * total:
             break
-        if best is None or last < best * (1 - 1e-6):
+        if best is None or last < best * (1 - flat):
             best, since = last, 0
         elif (since := since + 1) >= 20:
             break
