@@ -29,11 +29,16 @@ CREDENTIALS = (
     (r"\bsk-[A-Za-z0-9_-]{20,512}\b", "openai_key"),
     (r"\beyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}\b", "jwt"),
 )
-#: An assignment's value that stays: a placeholder or a reference to an environment variable.
-_STAYS = rf"(?!(?:{PLACEHOLDER}|\$[A-Za-z_][A-Za-z0-9_]*|\$\{{[^}}\s]{{1,256}}\}})(?!\S))"
-_VALUE = r"""(?:"[^"\n]{0,4096}"|'[^'\n]{0,4096}'|\S{1,4096})"""
+#: Fixed: what white space is, beyond ASCII too, and the edge of a word of ASCII letters, spelled out because the JVM reads both differently.
+SPACE = r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: Fixed: separators and values of an assignment, names whose values are secret, and values that stay (placeholders, references to the environment).
+_VALUE = rf"""(?:"[^"\n]{{0,4096}}"|'[^'\n]{{0,4096}}'|[^{SPACE}]{{1,4096}})"""
 _SEPARATOR = r"[ \t]*(?:=(?![=>])|:(?!:)|：(?!：))[ \t]*"
 _NAMES = "PASSWORD|PASSWD|SECRET|TOKEN|KEY|APIKEY|CREDENTIAL"
+_REFERENCE = rf"(?:{PLACEHOLDER}|\$[A-Za-z_][A-Za-z0-9_]*|\$\{{[^}}{SPACE}]{{1,256}}\}})(?![^{SPACE}])"
+#: Signs that stand between the two steps of ``_assigned``; the first is doubled where a text has it.
+_SIGN, _OPEN, _CLOSE, _OWN = "\uFDD0", "\uFDD0\uFDD1", "\uFDD0\uFDD3", "\uFDD0\uFDD2"
 
 MAX_RULES, MAX_FIELD, MAX_TERM = 100, 128, 256
 MAX_SECRETS, MIN_SECRET, MAX_SECRET = 100, 8, 4096
@@ -80,22 +85,40 @@ def mark(kind: str) -> str:
     return f"[REDACTED:{kind}]"
 
 
+def _literal(value: str) -> str:
+    return re.sub(r"([\\.*+?^${}()|\[\]])", r"\\\1", value)
+
+
 def _literals(values) -> str:
     """Literal alternatives, the longest first."""
-    return "|".join(f"\\Q{v}\\E" for v in sorted(values, key=len, reverse=True))
+    return "|".join(_literal(v) for v in sorted(values, key=len, reverse=True))
+
+
+def _assigned(text: Column, lead: str, stays: str, key: str, kind: str) -> Column:
+    """Replace the values that follow ``key``; a match of ``stays`` after ``lead`` is passed over as a whole, so nothing inside it is looked at.
+
+    One scan decides from left to right. It puts what stays between two signs and leaves nothing between them for a
+    secret; afterwards the signs go, or become the placeholder where nothing stands between them.
+    """
+    out = F.replace(text, F.lit(_SIGN), F.lit(_OWN))
+    out = F.regexp_replace(out, rf"(?i)({lead})(?:({stays})|({key}){_VALUE})", f"$1$3{_OPEN}$2{_CLOSE}")
+    for sign, by in ((_OPEN + _CLOSE, mark(kind)), (_OPEN, ""), (_CLOSE, ""), (_OWN, _SIGN)):
+        out = F.replace(out, F.lit(sign), F.lit(by))
+    return out
 
 
 def redact_credentials(text: Column, fields: tuple[str, ...] = ()) -> Column:
     """Replace credentials by placeholders; assignments to registered ``fields`` are left to ``redact_fields``."""
     out = text
     for pattern, kind in CREDENTIALS:
-        out = F.regexp_replace(out, pattern, mark(kind))
-    out = F.regexp_replace(out, r"(?i)([a-z][a-z0-9+.-]{0,31}://)[^/\s:@]{1,256}:[^/\s:@]{1,256}@", "$1" + mark("url_credentials") + "@")
-    out = F.regexp_replace(out, r"""(?i)(authorization\s*[:=]\s*(?:bearer|basic|token)\s+)(?![<$])([^\s'"]{12,})""", "$1" + mark("authorization"))
-    registered = rf"(?!(?:{_literals(fields)})(?![A-Za-z0-9_]))" if fields else ""
-    lead = r"(^|(?<!\$)\{|[^A-Za-z0-9_{])"
+        out = F.regexp_replace(out, pattern.replace(r"\b", EDGE), mark(kind))
+    out = F.regexp_replace(out, rf"(?i)([a-z][a-z0-9+.-]{{0,31}}://)[^/{SPACE}:@]{{1,256}}:[^/{SPACE}:@]{{1,256}}@", "$1" + mark("url_credentials") + "@")
+    out = F.regexp_replace(out, rf"""(?i)(authorization[{SPACE}]*[:=][{SPACE}]*(?:bearer|basic|token)[{SPACE}]+)(?![<$])([^{SPACE}'"]{{12,}})""", "$1" + mark("authorization"))
     for name in (rf"[A-Za-z0-9_]*(?:{_NAMES})", "PASS"):
-        out = F.regexp_replace(out, rf"(?i){lead}{registered}({name})(?![A-Za-z0-9_])({_SEPARATOR}){_STAYS}{_VALUE}", "$1$2$3" + mark("env_value"))
+        whole = rf"{name}(?![A-Za-z0-9_]){_SEPARATOR}"
+        own = [f for f in fields if re.fullmatch(name, f, re.I | re.A)]
+        stays = rf"{whole}{_REFERENCE}" + (rf"|(?:{_literals(own)})(?![A-Za-z0-9_]){_SEPARATOR}{_VALUE}" if own else "")
+        out = _assigned(out, "^|[^A-Za-z0-9_]", stays, whole, "env_value")
     return out
 
 
@@ -107,8 +130,8 @@ def redact_fields(text: Column, fields: tuple[str, ...]) -> Column:
     """The value of ``key = value`` for keys that match exactly, whatever their case."""
     if not fields:
         return text
-    pattern = rf"(?i)(?<![A-Za-z0-9_.-])({_literals(fields)})([ \t]*)(:(?!:)|：(?!：)|=(?![=>]))([ \t]*){_STAYS}{_VALUE}"
-    return F.regexp_replace(text, pattern, "$1$2$3$4" + mark("business_value"))
+    whole = rf"(?:{_literals(fields)}){_SEPARATOR}"
+    return _assigned(text, "(?<![A-Za-z0-9_.-])", whole + _REFERENCE, whole, "business_value")
 
 
 def redact_terms(text: Column, terms: tuple[str, ...]) -> Column:
@@ -128,7 +151,7 @@ def entropy(text: Column) -> Column:
 
 
 def suspicious(text: Column) -> Column:
-    """Whether a text holds a string that looks like a secret no pattern knows."""
+    """Whether a text holds a string that looks like a secret no pattern knows. Lengths, patterns and bounds are fixed values."""
 
     def is_candidate(c: Column) -> Column:
         plain = c.rlike(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$") | c.rlike("^[0-9a-fA-F]{7,64}$") | c.rlike(r"^\d+\.\d+\.\d+(?:[-+][0-9A-Za-z.-]+)?$") | c.contains("/")
