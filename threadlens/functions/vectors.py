@@ -1,9 +1,7 @@
-"""Exact vector search: queries in blocks against all vectors, with a top list per Arrow batch before any shuffle."""
+"""Vector search, exact or over codes of a byte an entry: parts of vectors meet parts of queries of the same scope."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,65 +20,71 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if n else m
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, scope: str, block: int = 512) -> DataFrame:
+#: Vectors and queries that one task compares at once.
+VECTORS, QUERIES = 8192, 1024
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int, scope: str | list[str]) -> DataFrame:
     """(query_id, document_id, distance, rank): the ``k`` nearest vectors of each query within its scope, ties by id.
 
     ``vectors``: document_id, <scope>, embedding, and sources (array of session_id, last_no), the documents' latest source in each
     session; ``queries``: query_id, <scope>, embedding, session_id, input_no. A document with a source of the query's own session at
-    or after its input is left out. Queries go out in about ``count / block`` blocks, whatever their number; each task
-    returns at most ``k`` rows a query and batch.
+    or after its input is left out.
+
+    Vectors are read once, whatever the number of queries. A scope's vectors and queries are dealt to parts of bounded size, and each part
+    of vectors meets each part of its scope's queries in one task, which returns at most ``k`` rows a query.
     """
-    spark = vectors.sparkSession
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for at in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).select("query_id", scope, "embedding", "session_id", "input_no").toArrow()
-        shared = spark.sparkContext.broadcast((*(part[c].to_pylist() for c in ("query_id", scope, "session_id", "input_no")), _matrix(part["embedding"].combine_chunks())))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            q_ids, q_scope, q_session, q_no, q = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(q_ids):
-                    continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                sims = _matrix(batch.column(2)) @ q.T
-                by_scope: dict = {}
-                for i, s in enumerate(batch.column(1).to_pylist()):
-                    by_scope.setdefault(s, []).append(i)
-                by_session: dict = {}
-                for i, sources in enumerate(batch.column(3).to_pylist()):
-                    for s in sources or ():
-                        by_session.setdefault(s["session_id"], []).append((s["last_no"], i))
-                out: tuple[list, list, list] = ([], [], [])
-                for j, (qid, scope_, session, no) in enumerate(zip(q_ids, q_scope, q_session, q_no)):
-                    late = [i for last, i in by_session.get(session, ()) if last >= no]
-                    here = np.setdiff1d(np.array(by_scope.get(scope_, ()), np.int64), late)
-                    best = here[np.lexsort((ids[here], -sims[here, j]))[:k]]
+    scope = [scope] if isinstance(scope, str) else scope
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])  # columns of its own, should it come from the vectors
+    # one row for each scope that both sides have: what is joined below is as small as the scopes are many
+    sizes = vectors.groupBy(*scope).agg(F.ceil(F.count("*") / VECTORS).alias("__vs")).join(queries.groupBy(*scope).agg(F.ceil(F.count("*") / QUERIES).alias("__qs")), scope)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    left = vectors.join(sizes, scope).withColumn("__v", part("document_id", "__vs")).withColumn("__q", every("__qs")).select(*scope, "__v", "__q", "document_id", "embedding", "sources")
+    right = queries.join(sizes, scope).withColumn("__q", part("query_id", "__qs")).withColumn("__v", every("__vs")).select(*scope, "__v", "__q", "query_id", "embedding", "session_id", "input_no")
+
+    def nearest(have: pa.Table, asked: pa.Table) -> pa.Table:
+        out: tuple[list, list, list] = ([], [], [])
+        if have.num_rows and asked.num_rows:
+            ids = have["document_id"].combine_chunks().to_numpy(zero_copy_only=False)
+            m = _matrix(have["embedding"].combine_chunks())
+            late: dict = {}
+            for i, sources in enumerate(have["sources"].to_pylist()):
+                for s in sources or ():
+                    late.setdefault(s["session_id"], []).append((s["last_no"], i))
+            for a in range(0, asked.num_rows, 128):
+                block = asked.slice(a, 128)
+                sims = _matrix(block["embedding"].combine_chunks()) @ m.T
+                for sim, qid, session, no in zip(sims, block["query_id"].to_pylist(), block["session_id"].to_pylist(), block["input_no"].to_pylist()):
+                    sim[[i for last, i in late.get(session, ()) if last >= no]] = -np.inf
+                    some = np.arange(len(sim)) if len(sim) <= k else np.flatnonzero(sim >= np.partition(sim, -k)[-k])
+                    some = some[sim[some] > -np.inf]
+                    best = some[np.lexsort((ids[some], -sim[some]))[:k]]
                     out[0].extend([qid] * len(best))
                     out[1].extend(ids[best].tolist())
-                    out[2].extend((1 - sims[best, j]).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "document_id", "distance"])
+                    out[2].extend((1 - sim[best]).tolist())
+        return pa.table({"query_id": pa.array(out[0], pa.int64()), "document_id": pa.array(out[1], pa.int64()), "distance": pa.array(out[2], pa.float64())})
 
-        one = vectors.select("document_id", scope, "embedding", "sources").mapInArrow(run, "query_id long, document_id long, distance double")
-        found = one if found is None else found.unionByName(one)
+    keys = [*scope, "__v", "__q"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, "query_id long, document_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "document_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def hyperplane_keys(vectors: DataFrame, item: str, keep: list[str], tables: int = 48, bits: int = 4, seed: int = 3) -> DataFrame:
-    """(item, *keep, embedding, keys): a bucket in each table, by the signs of ``bits`` random projections. Every row is indexed.
+def coded(vectors: DataFrame, column: str = "embedding") -> DataFrame:
+    """``vectors`` with ``column`` as whole numbers of -127 to 127, a byte each, scaled by the vector's largest entry.
 
-    The planes come from the seed and the vectors' size, so nothing is fitted and any later vector gets the same keys.
+    Nothing is fitted, every row is coded, and a code's direction is close to its vector's, so a search over codes moves a quarter of the bytes.
     """
-    names = [item, *keep, "embedding"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = _matrix(batch.column(len(names) - 1))
-            planes = np.random.default_rng(seed).standard_normal((tables * bits, m.shape[1] if len(m) else 1))
-            signs = (m @ planes.T > 0).reshape(len(m), tables, bits) if len(m) else np.zeros((0, tables, bits), bool)
-            keys = signs @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.tolist(), pa.list_(pa.int64()))], names=[*names, "keys"])
-
-    kept = vectors.select(*names)
-    return kept.mapInArrow(run, kept.select("*", F.array(F.lit(0).cast("long")).alias("keys")).schema)
+    top = F.greatest(F.array_max(F.transform(column, F.abs)), F.lit(1e-30))
+    return vectors.withColumn(column, F.transform(column, lambda x: F.round(F.lit(127.0) * x.cast("double") / top.cast("double")).cast("tinyint")))
+
+
+def approximate_knn(codes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, scope: str | list[str], width: int = 2) -> DataFrame:
+    """As ``knn``, from ``coded`` vectors: the ``width * k`` best by code are compared exactly, no others."""
+    short = knn(codes, queries, width * k, scope).select("query_id", "document_id")
+    # the short lists carry ids only; each side's vectors come to them by an equi join
+    met = short.join(vectors.select("document_id", F.col("embedding").alias("__a")), "document_id").join(queries.select("query_id", F.col("embedding").alias("__b")), "query_id")
+    met = met.select("query_id", "document_id", (1 - cosine(F.col("__a"), F.col("__b"))).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "document_id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k)
