@@ -22,8 +22,15 @@ VERSION = "m4-1"
 Counter = Callable[[str], int]
 
 
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+
+
 def words_and_signs(text: str) -> int:
-    return len(re.findall(r"\w+|[^\w\s]", text))
+    return len(_TOKEN.findall(text))
+
+
+#: A counter that also has ``spans`` is asked once for a text's tokens instead of once for each trial cut.
+words_and_signs.spans = lambda text: [m.span() for m in _TOKEN.finditer(text)]
 
 
 def _lines(text: str, start: int, end: int) -> list[tuple[int, int]]:
@@ -64,6 +71,10 @@ def pieces_of(text: str, start: int, end: int, most: int, count: Counter) -> lis
             if count(text[a:b]) <= most:
                 out.append((a, b))
                 break
+            if spans := getattr(count, "spans", None):  # each piece ends where a token too many would begin
+                starts = [a + x for x, _ in spans(text[a:b])][most::most]
+                out += list(zip([a, *starts], [*starts, b]))
+                break
             low, high = a + 1, b - 1
             while low < high:  # the longest prefix within the limit
                 mid = (low + high + 1) // 2
@@ -112,6 +123,8 @@ def window_of(parts: list[Part], count: Counter) -> list[Part]:
             continue
         if left > 0:
             low, high = 0, len(part.text)
+            if spans := getattr(count, "spans", None):
+                low = high = spans(part.text)[-left - 1][1]
             while low < high:  # the longest suffix within the limit
                 mid = (low + high) // 2
                 low, high = (low, mid) if count(part.text[mid:]) <= left else (mid + 1, high)
@@ -156,10 +169,11 @@ def utf16(text: str) -> list[int]:
     return out
 
 
-def plan_documents(messages: DataFrame, count: Counter = words_and_signs) -> DataFrame:
+def plan_documents(messages: DataFrame, count: Counter = words_and_signs, through: str | None = None) -> DataFrame:
     """(session_id, chunk, document_key, content, content_hash, sources) of each session; a session is planned in one task.
 
-    ``messages``: session_id, message_id, revision, sequence_no, text.
+    ``messages``: session_id, message_id, revision, sequence_no, text. Where the column ``through`` of a session holds a number, its messages up to it are
+    built first and the last chunk is continued with the rest, as when new messages arrive; where it is null, all are built at once.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -167,7 +181,11 @@ def plan_documents(messages: DataFrame, count: Counter = words_and_signs) -> Dat
         session = pdf["session_id"].iloc[0]
         texts = {m: utf16(t) for m, t in zip(pdf["message_id"], pdf["text"])}
         rows = []
-        for i, parts in enumerate(plan(list(zip(pdf["message_id"], pdf["revision"], pdf["text"])), count=count)):
+        old = pdf["sequence_no"] <= (pdf[through].iloc[0] if through and pd.notna(pdf[through].iloc[0]) else -1)
+        of = lambda part: list(zip(part["message_id"], part["revision"], part["text"]))
+        before = plan(of(pdf[old]), count=count)
+        chunks = [*before[:-1], *plan(of(pdf[~old]), tail=before[-1] if before else None, count=count)]
+        for i, parts in enumerate(chunks):
             anchor = next(p for p in parts if p.kind == "original")
             key = "\0".join([str(session), str(anchor.message), str(texts[anchor.message][anchor.start]), VERSION])
             content = content_of(parts)
