@@ -1,12 +1,16 @@
 """Operators whose decisions SQL can't state: folds, bounded traversals, streams, sources."""
 
 import json
+import os
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from threadlens.operators import folds, graph
+from threadlens import registry
+from threadlens.functions import vectors
+from threadlens.operators import folds, graph, judging, queue, results
 from threadlens.operators import joins as op
 from threadlens.sources import sinks, transcripts
 from threadlens.streaming import ingest
@@ -137,3 +141,77 @@ def test_tail_stream(spark, tmp_path):
         with log.open("ab") as f:
             f.write(more)
     assert sorted(r["line"] for r in spark.read.parquet(out).collect()) == ["one", "three", "two"]
+
+
+def test_vector_search(spark):
+    """Exact search against plain numpy, with ties, scopes in parts and the input boundary; the approximate one finds nearly the same."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(900, 16)).astype(np.float32)
+    v[100:120] = v[99]
+    rows = [(i, i % 3, v[i].tolist(), [(i % 20, i // 20 + 1)]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "document_id long, project_id int, embedding array<float>, sources array<struct<session_id:int,last_no:int>>")
+    asked = docs.where("document_id % 20 = 19").selectExpr("document_id AS query_id", "project_id", "embedding", "sources[0].session_id AS session_id", "sources[0].last_no AS input_no")
+    vectors.VECTORS, vectors.QUERIES, before = 64, 7, (vectors.VECTORS, vectors.QUERIES)
+    try:
+        found = vectors.knn(docs, asked, 10, "project_id").collect()
+        near = vectors.approximate_knn(vectors.coded(docs), docs, asked, 10, "project_id").collect()
+    finally:
+        vectors.VECTORS, vectors.QUERIES = before
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    want = {}
+    for q in range(19, 900, 20):
+        fits = [(round(1 - float(unit[i] @ unit[q]), 9), i) for i in range(900) if i % 3 == q % 3 and not (i % 20 == q % 20 and i // 20 >= q // 20)]
+        want[q] = [i for _, i in sorted(fits)[:10]]
+    got = {q: [r["document_id"] for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: (round(r["distance"], 9), r["document_id"]))] for q in want}
+    assert got == want
+    hits = [len(set(want[q]) & {r["document_id"] for r in near if r["query_id"] == q}) / 10 for q in want]
+    assert np.mean(hits) >= 0.95 and min(hits) >= 0.8
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_recall_of_the_index(spark):
+    r = registry.queries()["an.recall"](spark, "/root/testdata/sf0.01").first()
+    assert r["mean_recall"] >= 0.95 and r["min_recall"] >= 0.8 and r["compared"] < r["compared_by_scan"]
+
+
+def test_judge_inputs(spark):
+    prior = lambda n, size: [{"message_id": i, "revision": 1, "role": "user", "occurred_at": i, "text": "é" * size} for i in range(n)]
+    target = lambda text, role="user": {"message_id": 99, "revision": 1, "role": role, "occurred_at": 5, "text": text}
+    base = len(judging.body_of(target(""), {"offset": 0, "length": 0, "text": ""}, [], None, (0, False, False)).encode())
+    (whole,) = judging.plan_inputs(target("short"), prior(3, 10), {"input_text": "before"}, base + 5000)
+    assert whole["priors"] == [0, 1, 2] and whole["search"] and (whole["offset"], whole["length"]) == (0, 5)
+    (some,) = judging.plan_inputs(target("short"), prior(6, 400), {"input_text": "x" * 6000}, base + 3000)
+    assert 0 < len(some["priors"]) < 6 and some["priors"] == list(range(len(some["priors"]))) and not some["search"] and some["bytes"] <= base + 3000
+    text = "a😀é\n" * 700
+    parts = judging.plan_inputs(target(text, "assistant"), prior(2, 10), None, base + 1000)
+    assert len(parts) > 1 and parts[0]["offset"] == 0 and sum(p["length"] for p in parts) == len(text.encode("utf-16-le")) // 2
+    assert all(a["offset"] + a["length"] == b["offset"] for a, b in zip(parts, parts[1:])) and all(p["bytes"] <= base + 1000 for p in parts)
+    assert judging.plan_inputs(target("text"), [], None, 100)[0]["state_hash"] == "input_budget_exceeded"
+    row = [(99, 1, "user", 5, text, [(1, 1, "user", 2, "before")], ("x",)), (98, 1, "user", 5, "", [], None)]
+    df = spark.createDataFrame(row, "message_id long, revision int, role string, occurred_at long, text string, priors array<struct<message_id:long,revision:int,role:string,occurred_at:long,text:string>>, prior_search struct<input_text:string>")
+    got = judging.judge_inputs(df, base + 1000).collect()
+    assert {r["message_id"] for r in got} == {98, 99} and sum(r["length"] for r in got) == len(text.encode("utf-16-le")) // 2
+
+
+def test_jobs_keep_their_order_in_a_session(spark):
+    jobs = [
+        (1, "classify_message", 10, "pending", 0, 1, 7, 71, 1), (2, "classify_message", 10, "pending", 0, 0, 7, 72, 1), (3, "classify_message", 10, "failed", 0, 0, 8, 80, 1), (4, "classify_message", 10, "pending", 0, 0, 8, 81, 2), (5, "classify_message", 10, "pending", 0, 0, 8, 81, 1),
+        (6, "classify_message", 10, "running", 0, 0, 9, 99, 1), (7, "classify_message", 10, "pending", 0, 0, 9, 90, 1), (8, "route_search", 100, "pending", 0, 5, 9, 90, 1), (9, "route_search", 100, "pending", 50, 0, 9, 90, 1), (10, "classify_message", 10, "blocked_policy", 0, 0, 6, 60, 1), (11, "classify_message", 10, "pending", 0, 0, 6, 61, 1),
+    ]
+    j = spark.createDataFrame(jobs, "id int, kind string, priority int, status string, next_run_at int, created_at int, session_id int, message_id int, target_revision int")
+    m = j.selectExpr("message_id", "message_id % 10 AS sequence_no").distinct()
+    assert [r["id"] for r in queue.claimed(j, m, ["classify_message", "route_search"], F.lit(10), 10).collect()] == [8, 5, 1]
+    assert queue.claimable(j, m, ["build_documents"], F.lit(10)).count() == 0
+
+
+def test_retry_delays(spark):
+    delay = lambda n, after=None, jitter=0.0: spark.range(1).select(queue.retry_delay(F.lit(n), F.lit(after).cast("double"), jitter)).first()[0]
+    assert [delay(0), delay(3), delay(10), delay(50), delay(1, 5000), delay(20, None, 1.0)] == [1, 8, 1024, 1024, 5000, 1024 * 1.1]
+
+
+def test_results_are_saved_only_for_unchanged_inputs(spark):
+    asked = spark.createDataFrame([(1, "running", 1, 1), (2, "running", 2, 1), (3, "queued", 3, 2), (4, "running", 4, 1)], "request_id int, status string, input_id int, input_revision int")
+    found = spark.createDataFrame([(1, "matched", "{}"), (2, "matched", "{}"), (3, "matched", "{}"), (4, "no_match", "{}")], "request_id int, outcome string, result string")
+    inputs = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "input_id int, current_revision int")
+    got = {r["request_id"]: (r["status"], r["outcome"]) for r in results.saved(asked, found, inputs).collect()}
+    assert got == {1: ("completed", "matched"), 2: ("expired", None), 3: ("queued", None), 4: ("expired", None)}

@@ -58,7 +58,7 @@ def null_safe_eq(spark, d):
 
 def not_all(spark, d):
     shut = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey")).where("c_nationkey < 10")
-    return table(spark, d, "customer").join(F.broadcast(shut.limit(10)), "c_nationkey", "left_anti").select("c_custkey", "c_nationkey")
+    return table(spark, d, "customer").join(shut, "c_nationkey", "left_anti").select("c_custkey", "c_nationkey")
 
 
 def approval_gate(spark, d):
@@ -111,7 +111,7 @@ def embedding_validity(spark, d):
 
 def evidence_view(spark, d):
     m = messages(spark, d).join(analysis(spark, d), "message_id", "left")
-    return m.select("message_id", F.lit(1).alias("revision"), "role", "occurred_at", F.substring("text", 1, 80).alias("text"), "statement_status")
+    return m.select("message_id", F.lit(1).alias("revision"), "role", "occurred_at", "text", "statement_status")
 
 
 def public_fields(spark, d):
@@ -150,7 +150,7 @@ ORACLES = {
         CASE WHEN message_id % 7 = 0 THEN 'time_invalid' END, CASE WHEN message_id % 5 = 0 AND message_id % 10 <> 0 THEN 'effort_without_model' END) AS violations FROM messages""",
     "flt.judge_answer_validity": "SELECT event_id, event_id % 10 <> 0 AND event_id % 3 = 0 AND value / 100 BETWEEN 0 AND 1 AS valid FROM events",
     "flt.embedding_validity": "SELECT vec_id AS document_id, vec_id % 9 <> 0 AND vec_id % 7 <> 0 AND len(embedding) = 64 AS valid FROM embeddings",
-    "prj.evidence_view": cte("messages", "analysis") + " SELECT message_id, 1 AS revision, role, occurred_at, substring(text, 1, 80) AS text, statement_status FROM messages LEFT JOIN analysis USING (message_id)",
+    "prj.evidence_view": cte("messages", "analysis") + " SELECT message_id, 1 AS revision, role, occurred_at, text, statement_status FROM messages LEFT JOIN analysis USING (message_id)",
     "prj.public_fields": cte("messages") + " SELECT message_id, role, false AS leaks FROM messages",
     "prj.hex": "SELECT doc_id, sha256(text) AS input_hash FROM documents",
 }

@@ -9,6 +9,8 @@ from threadlens.functions.vectors import cosine, knn
 from threadlens.operators import aggregates as agg
 from threadlens.operators import folds
 from threadlens.operators import joins as op
+from threadlens.operators import queue, related
+from threadlens.plans import streams
 from threadlens.plans.aggregates import _R, _routes
 from threadlens.plans.base import KNN, cte, documents, messages, requests, samples, with_sources
 from threadlens.session import table
@@ -134,15 +136,15 @@ def rank_accepted(spark, d):
     return op.top_per_key(c, ["request_id"], order, 1000).select("request_id", "document_id", "rank")
 
 
+def primary_match(spark, d):
+    """(query_id, primary): how similar each request's own best match is."""
+    return _knn(spark, d, 1).select("query_id", (1 - F.col("distance")).alias("primary"))
+
+
 def nearest_2_per_session(spark, d):
-    docs, asked = documents(spark, d), requests(spark, d)
-    newest = op.top_per_key(docs, ["session_id"], [F.col("document_id").desc()], 200, "newest")
-    reach = F.explode(F.array(*[(F.col("session_id") + i) % 20 for i in (1, 2, 3)])).alias("other_session")
-    linked = asked.select("query_id", F.col("embedding").alias("q"), reach)
-    other = newest.select("document_id", F.col("session_id").alias("other_session"), "embedding").join(linked, "other_session")
-    near = other.withColumn("similarity", cosine(F.col("embedding"), F.col("q")))
-    best = op.top_per_key(near, ["query_id", "other_session"], [F.col("similarity").desc(), F.col("document_id")], 2)
-    return best.where("similarity >= 0.15").select("query_id", "other_session", "document_id", "rank")
+    reach = F.explode(F.array(*[(F.col("session_id") + i) % 20 for i in range(1, 13)])).alias("other_session")
+    asked = requests(spark, d).select("query_id", F.col("embedding").alias("q"), reach)
+    return related.nearest_documents(documents(spark, d), asked, primary_match(spark, d))
 
 
 def continuity_candidates(spark, d):
@@ -159,8 +161,7 @@ def continuity_candidates(spark, d):
 
 
 def job_claim(spark, d):
-    jobs = table(spark, d, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), "o_orderdate", "o_orderstatus")
-    return jobs.where("o_orderstatus = 'O'").orderBy(F.col("priority").desc(), "o_orderdate", "o_orderkey").limit(25).select("o_orderkey", "priority")
+    return queue.claimed(*streams.jobs(spark, d), ["classify_message", "build_documents"], F.lit(700), 25).select("id", "kind", "priority")
 
 
 def outbox(spark, d):
@@ -184,6 +185,14 @@ f AS (SELECT request_id, document_id, i, CASE WHEN tokens <= 7500 THEN 'selected
   FROM f JOIN n ON n.request_id = f.request_id AND n.i = f.i + 1)"""
 _KNN = KNN
 
+#: Fetched rows with the earlier rows (documents) that each is similar to; then the prefix of distinct contents as recursion over the rank.
+SIMILAR_SQL = "WITH RECURSIVE " + KNN[5:] + f""", f AS (SELECT t.query_id, t.document_id, t.rank, d.embedding FROM t JOIN docs d ON d.document_id = t.document_id WHERE rank <= 40),
+    near AS (SELECT a.query_id, a.document_id, list(b.document_id) AS near FROM f a JOIN f b ON b.query_id = a.query_id AND b.document_id <> a.document_id WHERE list_cosine_similarity(a.embedding, b.embedding) >= {SIMILAR} GROUP BY 1, 2),
+    s AS (SELECT f.query_id, f.document_id, f.rank, coalesce(near, []) AS near FROM f LEFT JOIN near ON near.query_id = f.query_id AND near.document_id = f.document_id)"""
+DISTINCT = SIMILAR_SQL + f""", g AS (SELECT query_id, document_id, rank, [document_id] AS seen FROM s WHERE rank = 1
+    UNION ALL SELECT s.query_id, s.document_id, s.rank, CASE WHEN list_has_any(g.seen, s.near) THEN g.seen ELSE list_append(g.seen, s.document_id) END FROM g JOIN s ON s.query_id = g.query_id AND s.rank = g.rank + 1 WHERE list_has_any(g.seen, s.near) OR len(g.seen) < {VECTOR_LIMIT}),
+    kept AS (SELECT query_id, document_id, rank FROM g)"""
+
 ORACLES = {
     "win.rank_route": f"WITH {_R} SELECT *, (row_number() OVER (PARTITION BY request_id, route ORDER BY document_id))::INT AS rank FROM (SELECT DISTINCT request_id, route, document_id FROM r)",
     "win.latest_per_key": "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1",
@@ -201,7 +210,7 @@ ORACLES = {
     "top.candidate_order": f"WITH {_C} SELECT request_id, document_id, (row_number() OVER (PARTITION BY request_id ORDER BY (document_id % 3 = 0)::INT, round(rrf, 12) DESC, document_id))::INT AS rank FROM c",
     "top.budgeted": "WITH RECURSIVE " + _C + ", " + _FOLD.format(limit=10) + " SELECT request_id, count(*) FILTER (WHERE verdict = 'selected') AS selected, count(*) FILTER (WHERE verdict = 'limit') AS candidate_limit_exceeded, count(*) FILTER (WHERE verdict = 'token_budget') AS candidate_token_budget_exceeded FROM f GROUP BY 1",
     "top.rank_accepted": f"WITH {_C} SELECT request_id, document_id, (row_number() OVER (PARTITION BY request_id ORDER BY document_id % 3 DESC, (document_id % 7 = 0)::INT, (document_id % 5 = 0)::INT, document_id % 2 DESC, document_id % 4 DESC, round(rrf, 12) DESC, CASE WHEN document_id % 4 <> 0 THEN document_id * 13 % 31 END DESC NULLS LAST, document_id))::INT AS rank FROM c WHERE document_id % 3 >= 1",
-    "top.nearest_2_per_session": cte("docs", "requests") + ", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY document_id DESC) AS r FROM docs), s AS (SELECT q.query_id, n.session_id AS other_session, n.document_id, list_cosine_similarity(n.embedding, q.embedding) AS similarity FROM n, requests q WHERE n.r <= 200 AND n.session_id IN ((q.session_id + 1) % 20, (q.session_id + 2) % 20, (q.session_id + 3) % 20)), b AS (SELECT *, (row_number() OVER (PARTITION BY query_id, other_session ORDER BY similarity DESC, document_id))::INT AS rank FROM s) SELECT query_id, other_session, document_id, rank FROM b WHERE rank <= 2 AND similarity >= 0.15",
+    "top.nearest_2_per_session": KNN + ", p AS (SELECT query_id, 1 - distance AS primary_similarity FROM t WHERE rank = 1), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY document_id DESC) AS r FROM docs), s AS (SELECT q.query_id, n.session_id AS other_session, n.document_id, list_cosine_similarity(n.embedding, q.embedding) AS similarity FROM n, requests q WHERE n.r <= 200 AND (n.session_id - q.session_id + 20) % 20 BETWEEN 1 AND 12), b AS (SELECT *, (row_number() OVER (PARTITION BY query_id, other_session ORDER BY similarity DESC, document_id))::INT AS rank FROM s) SELECT query_id, other_session, document_id, rank FROM b LEFT JOIN p USING (query_id) WHERE rank <= 2 AND similarity >= greatest(0.3, 0.8 * coalesce(primary_similarity, 1))",
     "top.continuity_candidates": cte("messages") + """, s AS (SELECT DISTINCT session_id FROM messages), w AS (SELECT DISTINCT session_id, word FROM (SELECT session_id, message_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM messages) WHERE length(word) > 14),
         wm AS (SELECT DISTINCT session_id, message_id, word FROM (SELECT session_id, message_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM messages) WHERE length(word) > 14),
         near AS (SELECT a.session_id, b.session_id AS candidate, 0 AS p, a.session_id - b.session_id AS n FROM s a JOIN s b ON b.session_id BETWEEN a.session_id - 3 AND a.session_id - 1),
@@ -210,7 +219,8 @@ ORACLES = {
         u AS (SELECT * FROM near UNION ALL SELECT * FROM hr WHERE n <= 6), f AS (SELECT session_id, candidate, min((p, n)) AS place FROM u GROUP BY 1, 2),
         c AS (SELECT session_id, candidate, (row_number() OVER (PARTITION BY session_id ORDER BY place, candidate))::INT AS rank FROM f)
         SELECT * FROM c WHERE rank <= 6 AND NOT (session_id % 4 = 0 AND candidate = session_id - 2)""",
-    "top.job_claim": "SELECT o_orderkey, o_orderpriority[1]::INT AS priority FROM orders WHERE o_orderstatus = 'O' ORDER BY priority DESC, o_orderdate, o_orderkey LIMIT 25",
+    "top.job_claim": streams.JOBS + " SELECT id, kind, priority FROM claimable WHERE kind IN ('classify_message', 'build_documents') ORDER BY priority DESC, created_at, id LIMIT 25",
     "top.outbox": cte("messages") + " SELECT message_id, session_id FROM messages ORDER BY session_id, sequence_no, message_id LIMIT 100",
     "top.nulls_last": "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE n = 1",
+    "win.distinct_prefix": DISTINCT + " SELECT query_id, document_id, rank FROM kept",
 }

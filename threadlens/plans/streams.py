@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from threadlens.functions import chunking
 from threadlens.operators import joins as op
+from threadlens.operators import queue
+from threadlens.operators.ingest import ingested
 from threadlens.plans.base import cte, messages, relations
 from threadlens.session import table
 from threadlens.streaming import ingest as ing
@@ -16,8 +19,21 @@ def _events(spark, d):
 
 
 def ingest(spark, d):
-    e = ing.receipts(_events(spark, d), ["user_id", "key"], "body", [F.col("event_id")]).where("receipt = 'stored'")
-    return e.groupBy("user_id").agg(F.count("*").alias("stored"), F.max("event_id").alias("last_event"))
+    """One batch of all events against what was stored before, as (written, key) rows of everything written or rejected."""
+    e = table(spark, d, "events")
+    rows = e.select(
+        F.col("event_id").alias("arrival"), (F.col("event_id") % 3).alias("employee_id"), (F.col("event_id") % 700).alias("idempotency_key"), F.expr("event_id % 1400 % 3").alias("body_hash"), (F.col("event_id") % 300 % 40).alias("source_session_id"), (F.col("event_id") % 300).alias("source_message_id"),
+        F.when(F.col("event_id") % 7 == 3, 4).otherwise(F.expr("cast(event_id div 600 + 1 AS int)")).alias("revision"), F.when(F.col("event_id") % 2 == 0, "user").otherwise("assistant").alias("role"), (F.col("event_id") % 300 + F.when(F.col("event_id") % 97 == 0, 1).otherwise(0)).alias("sequence_no"), F.col("value").alias("occurred_at"),
+    )
+    seen = rows.where("arrival < 40").select("employee_id", "idempotency_key", (F.col("body_hash") % 2).alias("body_hash"))
+    stored = rows.where("arrival < 300 AND arrival % 5 = 0").select("source_session_id", "source_message_id", F.lit(1).alias("revision"), "body_hash", "role", F.col("source_message_id").alias("sequence_no"))
+    out = ingested(rows, seen, stored, F.lit(630))
+    key = {"sessions": ["source_session_id"], "messages": ["message"], "revisions": ["message", "revision"], "requests": ["message", "revision"], "jobs": ["job_key", "priority"], "receipts": ["employee_id", "idempotency_key", "message", "revision"], "rejected": ["arrival", "reason"]}
+    parts = [out[t].select(F.lit(t).alias("written"), F.replace(F.concat_ws("|", *c), F.lit("\0"), F.lit("/")).alias("key")) for t, c in key.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
 
 
 def idempotency(spark, d):
@@ -39,12 +55,34 @@ def queue_enqueue(spark, d):
     return op.inserted_once(old, jobs.where("event_id >= 500"), ["user_id", "event_type"], [F.col("event_id")])
 
 
+def jobs(spark, d):
+    """Orders as jobs: (jobs, the messages that classification jobs belong to)."""
+    o = table(spark, d, "orders")
+    kind = F.element_at(F.array(F.lit("classify_message"), F.lit("route_search"), F.lit("build_documents"), F.lit("classify_message")), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    status = F.when(F.col("o_orderstatus") == "O", F.when(F.col("o_orderkey") % 11 == 0, "failed").otherwise("pending")).when(F.col("o_orderstatus") == "P", "blocked_policy").otherwise(F.when(F.col("o_orderkey") % 20 == 0, "running").otherwise("completed"))
+    rows = o.select(
+        F.col("o_orderkey").alias("id"), kind.alias("kind"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), status.alias("status"), (F.col("o_orderkey") * 31 % 1000).alias("next_run_at"), (F.col("o_orderkey") * 17 % 500).alias("created_at"),
+        F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("message_id"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("target_revision"),
+    )
+    return rows, o.select(F.col("o_orderkey").alias("message_id"), (F.col("o_orderkey") % 97).alias("sequence_no"))
+
+
 def queue_claim(spark, d):
-    return op.top_per_key(_events(spark, d), ["user_id"], [F.col("ts"), F.col("event_id")], 1).select("user_id", "event_id")
+    return queue.claimable(*jobs(spark, d), ["classify_message", "route_search"], F.lit(700)).select("id", "kind", "session_id")
 
 
 def queue_settle(spark, d):
-    return _events(spark, d).select("event_id", ing.next_run(F.col("event_id") % 9, F.when(F.col("event_id") % 5 == 0, 500)).alias("delay"))
+    e = table(spark, d, "events")
+    rows = e.select(
+        F.col("event_id").alias("id"), F.when(F.col("event_id") % 13 == 0, "pending").otherwise("running").alias("status"), F.concat(F.lit("t"), F.col("event_id") % 7).alias("lease_token"), (F.col("event_id") % 100).alias("lease_expires_at"),
+        (F.col("event_id") % 12).cast("int").alias("attempts"), F.when(F.col("event_id") % 10 != 0, 1).alias("target_revision"), F.lit(0.0).alias("next_run_at"),
+    )
+    outcome = F.element_at(F.array(*map(F.lit, ("complete", "retry", "fail", "block", "renew"))), (F.col("event_id") % 6).cast("int"))
+    told = e.where("event_id % 6 <> 0").select(
+        F.col("event_id").alias("id"), F.concat(F.lit("t"), F.when(F.col("event_id") % 11 == 0, 9).otherwise(F.col("event_id") % 7)).alias("lease_token"), outcome.alias("outcome"), F.when(F.col("event_id") % 20 != 0, F.when(F.col("event_id") % 9 == 0, 2).otherwise(1)).alias("revision"),
+        F.when(F.col("event_id") % 5 == 0, F.col("event_id")).alias("retry_after"), F.lit(60).alias("lease"),
+    )
+    return queue.settled(rows, told, F.lit(30)).select("id", "status", "lease_token", F.col("lease_expires_at").cast("long").alias("lease_expires_at"), F.col("next_run_at").cast("double").alias("next_run_at"))
 
 
 def recover_builds(spark, d):
@@ -61,7 +99,13 @@ def dirty_tracking(spark, d):
 def incremental_build(spark, d):
     changes = messages(spark, d).where("message_id % 5 = 0")
     through = messages(spark, d).where("session_id % 3 <> 0").groupBy("session_id").agg((F.max("sequence_no") - 3).alias("through_sequence"))
-    return ing.needs_build(ing.dirty_from(changes, "session_id", "sequence_no"), through, "session_id").select("session_id", "mode")
+    build = ing.needs_build(ing.dirty_from(changes, "session_id", "sequence_no"), through, "session_id")
+    # sessions that only grew continue their last chunk, the others are built anew; either way the documents must be those of a full build
+    rows = messages(spark, d).withColumn("revision", F.lit(1)).join(build.select("session_id", F.when(F.col("mode") == "append", F.col("through_sequence")).alias("through")), "session_id")
+    built = chunking.plan_documents(rows, through="through").select("session_id", "chunk", "document_key", "content_hash")
+    full = chunking.plan_documents(rows.drop("through")).select("session_id", "chunk", "document_key", "content_hash").withColumn("same", F.lit(True))
+    docs = built.join(full, ["session_id", "chunk", "document_key", "content_hash"], "full_outer").groupBy("session_id").agg(F.bool_and(F.coalesce("same", F.lit(False))).alias("as_rebuilt"))
+    return build.join(docs, "session_id").select("session_id", "mode", "as_rebuilt")
 
 
 def late_data(spark, d):
@@ -82,8 +126,17 @@ def fast_late_notify(spark, d):
     return _events(spark, d).groupBy("key").agg(F.min("event_id").alias("delivered"), F.when(F.min("value") <= 5, "fast").otherwise("late").alias("path"))
 
 
+LANES = {"search": ("route_search", "execute_search"), "external": ("classify_message", "build_documents", "judge_continuity")}
+
+
 def lanes(spark, d):
-    return _events(spark, d).groupBy(F.when(F.col("event_type") == "view", "search").otherwise("external").alias("lane")).agg(F.count("*").alias("jobs"))
+    """The job that each lane takes next; a lane works on one job at a time."""
+    rows, of = jobs(spark, d)
+    out = None
+    for lane, kinds in LANES.items():
+        one = queue.claimed(rows, of, list(kinds), F.lit(700), 1).select(F.lit(lane).alias("lane"), "id", "kind")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def backoff_queue(spark, d):
@@ -93,23 +146,45 @@ def backoff_queue(spark, d):
 QUERIES = {f"stm.{f.__name__}": f for f in (ingest, idempotency, revision_fsm, collector_dedup, queue_enqueue, queue_claim, queue_settle, recover_builds, dirty_tracking, incremental_build, late_data, input_age, expire, fast_late_notify, lanes, backoff_queue)}
 
 _E = "WITH e AS (SELECT event_id, user_id, event_id % 700 AS key, event_id % 1400 % 3 AS body, ts, value, event_type FROM events)"
+#: Orders as jobs, and those that may be claimed at 700: correlated, as the queue's own statement asks it.
+JOBS = """WITH jobs AS (SELECT o_orderkey AS id, ['classify_message', 'route_search', 'build_documents', 'classify_message'][o_orderkey % 4 + 1] AS kind, o_orderpriority[1]::INT AS priority,
+        CASE o_orderstatus WHEN 'O' THEN CASE WHEN o_orderkey % 11 = 0 THEN 'failed' ELSE 'pending' END WHEN 'P' THEN 'blocked_policy' ELSE CASE WHEN o_orderkey % 20 = 0 THEN 'running' ELSE 'completed' END END AS status,
+        o_orderkey * 31 % 1000 AS next_run_at, o_orderkey * 17 % 500 AS created_at, o_custkey AS session_id, o_orderkey % 97 AS sequence_no, o_orderkey % 3 + 1 AS revision FROM orders),
+    claimable AS (SELECT * FROM jobs j WHERE status = 'pending' AND next_run_at <= 700 AND (kind <> 'classify_message' OR NOT EXISTS (SELECT 1 FROM jobs o WHERE o.session_id = j.session_id AND o.kind = 'classify_message' AND o.id <> j.id
+        AND (o.status = 'running' OR (o.status IN ('pending', 'blocked_policy') AND (o.sequence_no < j.sequence_no OR (o.sequence_no = j.sequence_no AND o.revision < j.revision)))))))"""
+_INGEST = """WITH e AS (SELECT event_id, event_id % 3 AS emp, event_id % 700 AS key, event_id % 1400 % 3 AS body, event_id % 300 % 40 AS s, event_id % 300 AS m, CASE WHEN event_id % 7 = 3 THEN 4 ELSE event_id // 600 + 1 END AS revision,
+        CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, event_id % 300 + (event_id % 97 = 0)::INT AS seq, value FROM events),
+    f AS (SELECT emp, key, arg_min(body, event_id) AS body, min(event_id) AS first_id FROM e GROUP BY 1, 2), b AS (SELECT emp, key, body % 2 AS body FROM e WHERE event_id < 40),
+    t AS (SELECT e.*, CASE WHEN b.body IS NOT NULL THEN CASE WHEN b.body = e.body THEN 'repeated' ELSE 'conflict' END WHEN e.event_id = first_id THEN 'stored' WHEN e.body = f.body THEN 'repeated' ELSE 'conflict' END AS receipt FROM e JOIN f USING (emp, key) LEFT JOIN b USING (emp, key)),
+    h AS (SELECT event_id, emp, key, s || '/' || m AS message, s, m, revision, body, role, seq, value FROM t WHERE receipt = 'stored'
+        UNION ALL SELECT -1000000 + event_id, NULL, NULL, s || '/' || m, s, m, 1, body, role, m, NULL FROM e WHERE event_id < 300 AND event_id % 5 = 0),
+    w AS (SELECT *, first_value(role) OVER x AS role0, first_value(seq) OVER x AS seq0, max(revision) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_rev, first_value(body) OVER y AS body0, row_number() OVER y AS nth FROM h
+        WINDOW x AS (PARTITION BY message ORDER BY event_id), y AS (PARTITION BY message, revision ORDER BY event_id)),
+    j AS (SELECT *, CASE WHEN role <> role0 OR seq <> seq0 THEN 'conflict' WHEN nth > 1 AND body = body0 THEN 'repeated' WHEN revision = coalesce(before_rev, 0) + 1 THEN 'accepted' ELSE 'conflict' END AS verdict FROM w WHERE emp IS NOT NULL),
+    good AS (SELECT * FROM j WHERE verdict <> 'conflict'), asked AS (SELECT * FROM good WHERE role = 'user' AND 630 - value <= 600) """
 ORACLES = {
-    "stm.ingest": _E + ", f AS (SELECT user_id, key, min(event_id) AS event_id FROM e GROUP BY 1, 2) SELECT user_id, count(*) AS stored, max(event_id) AS last_event FROM f GROUP BY 1",
+    "stm.ingest": _INGEST + """SELECT 'sessions' AS written, s::VARCHAR AS key FROM good GROUP BY s UNION ALL SELECT 'messages', message FROM good WHERE verdict = 'accepted' AND revision = 1 UNION ALL SELECT 'revisions', message || '|' || revision FROM good WHERE verdict = 'accepted'
+        UNION ALL SELECT DISTINCT 'requests', message || '|' || revision FROM asked UNION ALL SELECT DISTINCT 'jobs', 'classify_message:' || message || ':' || revision || '|10' FROM good UNION ALL SELECT DISTINCT 'jobs', 'route_search:' || message || ':' || revision || '|100' FROM asked
+        UNION ALL SELECT 'receipts', emp || '|' || key || '|' || message || '|' || revision FROM good UNION ALL SELECT 'rejected', event_id || '|revision_conflict' FROM j WHERE verdict = 'conflict' UNION ALL SELECT 'rejected', event_id || '|receipt_conflict' FROM t WHERE receipt = 'conflict'""",
     "stm.idempotency": _E + ", f AS (SELECT key, min(event_id) AS first_id, arg_min(body, event_id) AS body FROM e GROUP BY 1) SELECT e.event_id, CASE WHEN event_id = first_id THEN 'stored' WHEN e.body = f.body THEN 'repeated' ELSE 'conflict' END AS receipt FROM e JOIN f USING (key)",
     "stm.revision_fsm": _E + """, r AS (SELECT *, event_id % 300 AS message, CASE WHEN event_id % 7 = 3 THEN 4 ELSE event_id // 600 + 1 END AS revision FROM e),
         x AS (SELECT event_id, revision, (SELECT max(p.revision) FROM r p WHERE p.message = r.message AND p.event_id < r.event_id) AS before_rev, (SELECT arg_min(p.body, p.event_id) FROM r p WHERE p.message = r.message AND p.revision = r.revision AND p.event_id < r.event_id) AS was, body FROM r)
         SELECT event_id, CASE WHEN was IS NOT NULL AND was = body THEN 'repeated' WHEN revision = coalesce(before_rev, 0) + 1 THEN 'accepted' ELSE 'conflict' END AS verdict FROM x""",
     "stm.collector_dedup": "WITH l AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision FROM l WHERE was IS NULL OR was <> event_type",
     "stm.queue_enqueue": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2",
-    "stm.queue_claim": "SELECT user_id, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1",
-    "stm.queue_settle": "SELECT event_id, least(3600.0::DOUBLE, greatest(30 * pow(2.0, event_id % 9), CASE WHEN event_id % 5 = 0 THEN 500.0 ELSE 0 END)) AS delay FROM events",
+    "stm.queue_claim": JOBS + " SELECT id, kind, session_id FROM claimable WHERE kind IN ('classify_message', 'route_search')",
+    "stm.queue_settle": """WITH r AS (SELECT event_id AS id, CASE WHEN event_id % 13 = 0 THEN 'pending' ELSE 'running' END AS status, 't' || event_id % 7 AS tok, event_id % 100 AS lea, event_id % 12 AS att, CASE WHEN event_id % 6 <> 0 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 100 > 30 THEN ['complete', 'retry', 'fail', 'block', 'renew'][event_id % 6] END AS o,
+        CASE WHEN event_id % 10 <> 0 THEN 1 END AS want, CASE WHEN event_id % 20 <> 0 THEN CASE WHEN event_id % 9 = 0 THEN 2 ELSE 1 END END AS got, CASE WHEN event_id % 5 = 0 THEN event_id ELSE 0 END AS wait FROM events),
+        x AS (SELECT *, CASE WHEN o = 'complete' AND want IS DISTINCT FROM got THEN NULL ELSE o END AS rep FROM r),
+        y AS (SELECT *, CASE rep WHEN 'complete' THEN 'completed' WHEN 'retry' THEN 'pending' WHEN 'fail' THEN 'failed' WHEN 'block' THEN 'blocked_policy' ELSE CASE WHEN status = 'running' AND lea <= 30 THEN 'pending' ELSE status END END AS now_status FROM x)
+        SELECT id, now_status AS status, CASE WHEN now_status = 'running' THEN tok END AS lease_token, CASE WHEN now_status = 'running' THEN CASE WHEN rep = 'renew' THEN 90 ELSE lea END END::BIGINT AS lease_expires_at, CASE WHEN rep = 'retry' THEN 30 + greatest(wait, least(pow(2, least(att, 10)), 3600)) ELSE 0 END::DOUBLE AS next_run_at FROM y""",
     "stm.recover_builds": "SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ORDER BY c_acctbal, c_custkey LIMIT 100",
     "stm.dirty_tracking": cte("messages", "relations") + " SELECT session_id, min(sequence_no) AS dirty_sequence FROM messages WHERE message_id IN (SELECT to_id FROM relations) GROUP BY 1",
-    "stm.incremental_build": cte("messages") + ", c AS (SELECT session_id, min(sequence_no) AS s FROM messages WHERE message_id % 5 = 0 GROUP BY 1), t AS (SELECT session_id, max(sequence_no) - 3 AS t FROM messages WHERE session_id % 3 <> 0 GROUP BY 1) SELECT c.session_id, CASE WHEN t IS NOT NULL AND s > t THEN 'append' ELSE 'rebuild' END AS mode FROM c LEFT JOIN t ON t.session_id = c.session_id",
+    "stm.incremental_build": cte("messages") + ", c AS (SELECT session_id, min(sequence_no) AS s FROM messages WHERE message_id % 5 = 0 GROUP BY 1), t AS (SELECT session_id, max(sequence_no) - 3 AS t FROM messages WHERE session_id % 3 <> 0 GROUP BY 1) SELECT c.session_id, CASE WHEN t IS NOT NULL AND s > t THEN 'append' ELSE 'rebuild' END AS mode, true AS as_rebuilt FROM c LEFT JOIN t ON t.session_id = c.session_id",
     "stm.late_data": "SELECT user_id, arg_min(event_id, event_id * 7919 % 10007) AS first, arg_max(event_id, event_id * 7919 % 10007) AS last FROM events GROUP BY 1",
     "stm.input_age": "SELECT event_type, count(*) AS fresh FROM events WHERE value <= 10 GROUP BY 1",
     "stm.expire": cte("messages") + " SELECT message_id, CASE WHEN message_id % 6 = 0 THEN 'expired' ELSE 'pending' END AS status FROM messages",
     "stm.fast_late_notify": _E + " SELECT key, min(event_id) AS delivered, CASE WHEN min(value) <= 5 THEN 'fast' ELSE 'late' END AS path FROM e GROUP BY 1",
-    "stm.lanes": "SELECT CASE WHEN event_type = 'view' THEN 'search' ELSE 'external' END AS lane, count(*) AS jobs FROM events GROUP BY 1",
+    "stm.lanes": JOBS + " SELECT * FROM (SELECT 'search' AS lane, id, kind FROM claimable WHERE kind = 'route_search' ORDER BY priority DESC, created_at, id LIMIT 1) UNION ALL SELECT * FROM (SELECT 'external' AS lane, id, kind FROM claimable WHERE kind <> 'route_search' ORDER BY priority DESC, created_at, id LIMIT 1)",
     "stm.backoff_queue": "SELECT event_id, least(300.0::DOUBLE, 30 * pow(2.0, event_id % 7)) AS delay FROM events",
 }

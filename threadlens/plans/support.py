@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadlens.operators import aggregates as agg
-from threadlens.operators import filters
+from threadlens.operators import filters, judging
 from threadlens.operators import joins as op
 from threadlens.plans import texts
 from threadlens.plans.base import analysis, cte, documents, messages, relations
@@ -126,10 +126,12 @@ def outbox_gates(spark, d):
 
 
 def judge_request(spark, d):
-    axes = spark.createDataFrame([(a,) for a in ("retention", "decision_action", "continuity", "statement_status", "same_conditions")], "question string")
-    m = messages(spark, d).select("message_id", "role")
-    extra = m.where("role = 'user'").select("message_id", F.lit("search_action").alias("question"))
-    return m.select("message_id").crossJoin(F.broadcast(axes)).unionByName(extra)
+    """The questions of every message's request, in order: those of user inputs also ask for the search, those after a search for its conditions."""
+    m = messages(spark, d)
+    prior = F.collect_list("message_id").over(Window.partitionBy("session_id").orderBy("sequence_no").rowsBetween(-2, -1))
+    user = F.col("role") == "user"
+    ids = judging.question_ids(F.col("prior"), user & (F.col("message_id") % 4 == 0), user)
+    return m.select("message_id", "role", F.reverse(prior).alias("prior")).select("message_id", F.array_join(ids, " ").alias("questions"))
 
 
 def provider_parse(spark, d):
@@ -273,7 +275,8 @@ ORACLES = {
     "sp.diagnostics": "SELECT event_type, user_id % 5 AS place, count(*) AS n FROM events GROUP BY ALL",
     "sp.notify_state": "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1",
     "sp.outbox_gates": "SELECT event_id, ['acknowledged', 'retry', 'retry', 'permanent'][event_id % 4 + 1] AS outcome FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id % 5 = 0) AND user_id NOT IN (SELECT user_id FROM events WHERE value > 150)",
-    "sp.judge_request": cte("messages") + ", m AS (SELECT message_id, role FROM messages) SELECT message_id, unnest(['retention', 'decision_action', 'continuity', 'statement_status', 'same_conditions']) AS question FROM m UNION ALL SELECT message_id, 'search_action' FROM m WHERE role = 'user'",
+    "sp.judge_request": cte("messages") + """, p AS (SELECT message_id, role, lag(message_id) OVER w AS a, lag(message_id, 2) OVER w AS b FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY sequence_no)) SELECT message_id, concat_ws(' ', 'retention#0 decision_action#0 continuity#0 statement_status#0', CASE WHEN role = 'user' THEN 'search_action#0' END,
+        'relation_target#0 strategy:state_hazard#0 strategy:consistency_strategy#0 strategy:lifecycle_strategy#0 strategy:failure_strategy#0 strategy:performance_strategy#0 strategy:scope_invariant#0 strategy:evidence_strategy#0', CASE WHEN role = 'user' AND message_id % 4 = 0 THEN 'same_conditions#0' END, 'relation_explicit:' || a || '#0', 'relation_explicit:' || b || '#0') AS questions FROM p""",
     "sp.provider_parse": "SELECT event_id, event_type AS model, user_id AS tokens, least(event_id * 7, 3600) AS retry_after FROM events",
     "sp.usage_log": "SELECT event_type, count(*) AS attempts, sum(user_id)::BIGINT AS tokens FROM events GROUP BY 1",
     "sp.prior_search": cte("messages") + " SELECT message_id, lag(message_id) OVER (PARTITION BY session_id ORDER BY sequence_no) AS prior_id FROM messages WHERE role = 'user'",

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.functions import chunking, identifiers, redaction, text
 from threadlens.operators import joins as op
+from threadlens.operators import judging
 from threadlens.plans.base import cte, messages
 from threadlens.session import table
 from threadlens.sources import tail, transcripts
@@ -19,10 +21,22 @@ def extract_entities(spark, d):
     return m.select("message_id", F.explode(identifiers.extract_entities(F.col("t"))).alias("e")).where("e.entity_key RLIKE '[0-9]'").select("message_id", "e.entity_type", "e.entity_key")
 
 
+#: Shapes of assignments, and what is left of them.
+SHAPES = {
+    "curl ${API_KEY:-hunter2secret}": "curl ${API_KEY:[REDACTED:env_value]",
+    "x ${TOKEN=abc12345} y": "x ${TOKEN=[REDACTED:env_value] y",
+    "SECRET=${A_B} PASS=${A_B}c": "SECRET=${A_B} PASS=[REDACTED:env_value]",
+    "TOKEN=${API_KEY:-abc} z": "TOKEN=${API_KEY:-abc} z",
+    "MYTOKEN=abc\u3000and more": "MYTOKEN=[REDACTED:env_value]\u3000and more",
+    "KEY == a, KEY::b, compass=c, DB_PASS=d": "KEY == a, KEY::b, compass=c, DB_PASS=d",
+    'password: "two words" left': "password: [REDACTED:env_value] left",
+}
+
+
 def _secret(spark, d):
     m = messages(spark, d).select("message_id", "sequence_no", "session_id")
     key = F.substring(F.upper(F.sha2(F.col("message_id").cast("string"), 256)), 1, 16)
-    return m.withColumn("t", F.concat(F.lit("use AKIA"), key, F.lit(" or api_key = v"), F.col("session_id"), F.lit(" for postgres://app:pw"), F.col("sequence_no"), F.lit("@db:5432/x, NOTE: $HOME, TOKEN=$HOME bypass=1")))
+    return m.withColumn("t", F.concat(F.lit("use AKIA"), key, F.lit(" or api_key = v"), F.col("session_id"), F.lit(" for postgres://app:pw"), F.col("sequence_no"), F.lit("@db:5432/x, NOTE: $HOME, TOKEN=$HOME bypass=1 "), F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("message_id") % len(SHAPES) + 1).cast("int"))))
 
 
 def redact_builtin(spark, d):
@@ -72,8 +86,10 @@ def case_report(spark, d):
 
 
 def context_text(spark, d):
-    rows = messages(spark, d).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("sequence_no", "role", "text"))).alias("l"))
-    return rows.select("session_id", text.context_lines(F.col("l"), 30).alias("context"))
+    # excerpts are taken before they are collected: a session's list holds no whole texts
+    short = messages(spark, d).withColumn("text", text.excerpt(F.col("text"), 300))
+    rows = short.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("sequence_no", "role", "text"))).alias("l"))
+    return rows.select("session_id", text.context_lines(F.col("l")).alias("context"))
 
 
 def namespace(spark, d):
@@ -175,14 +191,14 @@ def zstd_deepseek(spark, d):
 
         return lines.map(lambda x: b"".join(zstandard.ZstdCompressor().compress((y + "\n").encode()) for y in x) + b"broken")
 
-    lists = _claude_lines(spark, d).groupBy((F.col("conv_id") % 5).cast("string").alias("path")).agg(F.collect_list("line").alias("lines"))
+    lists = _claude_lines(spark, d).groupBy(F.col("conv_id").cast("string").alias("path")).agg(F.collect_list("line").alias("lines"))
     files = lists.select("path", packed("lines").alias("content"))
     return transcripts.unpacked_lines(files).groupBy("file").agg(F.count("*").alias("n"))
 
 
 def incremental_scan(spark, d):
-    """Two scans of each file: of its first half, and on from there."""
-    lists = _claude_lines(spark, d).groupBy((F.col("conv_id") % 5).cast("string").alias("file")).agg(F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\nunfinished")).alias("content"))
+    """Two scans of each file (a session's log): of its first half, and on from there."""
+    lists = _claude_lines(spark, d).groupBy(F.col("conv_id").cast("string").alias("file")).agg(F.concat(F.array_join(F.collect_list("line"), "\n"), F.lit("\nunfinished")).alias("content"))
 
     def run(batches):
         for pdf in batches:
@@ -237,12 +253,23 @@ def hook_json(spark, d):
     from threadlens.sources.sinks import notification
 
     rows = messages(spark, d).select("session_id", "sequence_no", "role", "text")
-    return notification(rows, "session_id", "sequence_no", 5, 40)
+    return notification(rows, "session_id", "sequence_no")
+
+
+def _pair(a: str, b: str) -> T.StructType:
+    return T.StructType([T.StructField(a, T.IntegerType()), T.StructField(b, T.IntegerType())])
+
+
+@F.pandas_udf(_pair("segments", "covered"))
+def _segments(t: pd.Series) -> pd.DataFrame:
+    cut = [chunking.structural(x) for x in t.fillna("")]
+    return pd.DataFrame({"segments": [len(c) for c in cut], "covered": [sum(b - a for a, b in c) for c in cut]})
 
 
 def structural(spark, d):
-    find = F.udf(lambda t: [(a, b) for a, b in chunking.structural(t)], "array<struct<a:int,b:int>>", useArrow=True)
-    return table(spark, d, "documents").select("doc_id", find("text").alias("s")).select("doc_id", F.size("s").alias("segments"), F.aggregate("s", F.lit(0), lambda x, y: x + y["b"] - y["a"]).alias("covered"))
+    """Texts with blank lines and a fenced block of their own put behind them."""
+    own = F.concat(F.replace("text", F.lit(". "), F.lit(".\n\n")), F.lit("\n```\ncode "), F.col("doc_id"), F.lit("\n\n  x\n```\nend"), F.when(F.col("doc_id") % 2 == 0, "\n\n\nlast").otherwise(""))
+    return table(spark, d, "documents").select("doc_id", _segments(own).alias("s")).select("doc_id", "s.*")
 
 
 def plan(spark, d):
@@ -250,19 +277,29 @@ def plan(spark, d):
     return docs.select("session_id", "chunk", "document_key", "content_hash", "tokens", F.size("sources").alias("n_sources"))
 
 
+@F.pandas_udf(_pair("pieces", "covered"))
+def _pieces(t: pd.Series) -> pd.DataFrame:
+    cut = [chunking.pieces_of(x, 0, len(x), 200, chunking.words_and_signs) for x in t.fillna("")]
+    return pd.DataFrame({"pieces": [len(c) for c in cut], "covered": [sum(b - a for a, b in c) for c in cut]})
+
+
 def split_lines(spark, d):
-    cut = F.udf(lambda t: [b - a for a, b in chunking.pieces_of(t, 0, len(t), 200, chunking.words_and_signs)], "array<int>", useArrow=True)
-    return table(spark, d, "documents").select("doc_id", cut("text").alias("p")).select("doc_id", F.size("p").alias("pieces"), F.aggregate("p", F.lit(0), lambda a, x: a + x).alias("covered"))
+    return table(spark, d, "documents").select("doc_id", _pieces("text").alias("p")).select("doc_id", "p.*")
 
 
 def overlap(spark, d):
-    docs = chunking.plan_documents(table(spark, d, "documents").select((F.col("doc_id") % 10).alias("session_id"), F.col("doc_id").alias("message_id"), F.lit(1).alias("revision"), F.col("doc_id").alias("sequence_no"), "text"))
+    docs = chunking.plan_documents(table(spark, d, "documents").select(F.expr("doc_id div 50").alias("session_id"), F.col("doc_id").alias("message_id"), F.lit(1).alias("revision"), F.col("doc_id").alias("sequence_no"), "text"))
     return docs.select("session_id", "chunk", F.size(F.filter("sources", lambda s: s["source_kind"] == "overlap")).alias("overlaps"), "tokens")
 
 
+@F.pandas_udf(T.StructType([T.StructField("chunks", T.IntegerType()), T.StructField("truncated", T.BooleanType())]))
+def _question(t: pd.Series) -> pd.DataFrame:
+    cut = [chunking.question_chunks(x) for x in t.fillna("")]
+    return pd.DataFrame({"chunks": [len(c) for c, _ in cut], "truncated": [more for _, more in cut]})
+
+
 def question(spark, d):
-    ask = F.udf(lambda t: {"chunks": chunking.question_chunks(t)[0], "truncated": chunking.question_chunks(t)[1]}, T.StructType([T.StructField("chunks", T.ArrayType(T.StringType())), T.StructField("truncated", T.BooleanType())]), useArrow=True)
-    return table(spark, d, "documents").select("doc_id", ask("text").alias("q")).select("doc_id", F.size("q.chunks").alias("chunks"), "q.truncated")
+    return table(spark, d, "documents").select("doc_id", _question("text").alias("q")).select("doc_id", "q.*")
 
 
 @F.pandas_udf(T.IntegerType())
@@ -274,9 +311,16 @@ def tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", _tokens("text").alias("tokens"))
 
 
+def judge_targets(spark, d):
+    """Every message with its prior messages, nearest first, and for some the input of a prior search; each third message is a long one."""
+    m = messages(spark, d).withColumn("revision", F.lit(1)).withColumn("text", F.when(F.col("message_id") % 3 == 0, F.repeat("text", 20)).otherwise(F.col("text")))
+    prior = F.collect_list(F.struct("message_id", "revision", "role", "occurred_at", "text")).over(Window.partitionBy("session_id").orderBy("sequence_no").rowsBetween(-judging.PRIOR_MESSAGES, -1))
+    search = F.when(F.col("message_id") % 4 == 0, F.struct(F.col("message_id").alias("request_id"), F.substring("text", 1, 100).alias("input_text")))
+    return m.select("message_id", "revision", "role", "occurred_at", "text", F.reverse(prior).alias("priors"), search.alias("prior_search"))
+
+
 def judge_parts(spark, d):
-    cut = F.udf(lambda t: [(a, n) for a, n in chunking.judge_parts(t, 500)], "array<struct<offset:int,length:int>>", useArrow=True)
-    return table(spark, d, "documents").select("doc_id", F.posexplode(cut("text")).alias("part", "r")).select("doc_id", "part", "r.offset", "r.length")
+    return judging.judge_inputs(judge_targets(spark, d), 6000)
 
 
 QUERIES = {f"str.{f.__name__}": f for f in (extract_entities, redact_builtin, redact_known, redact_fields, redact_terms, suspicion, sanitize, canonical_remote, code_points, utf8_bytes, case_report, context_text, namespace, sql_misc, policy_validate)}
@@ -285,8 +329,10 @@ QUERIES |= {f"snk.{f.__name__}": f for f in (upsert, outbox, http_providers, hoo
 QUERIES |= {f"chk.{f.__name__}": f for f in (structural, split_lines, overlap, plan, question, tokens, judge_parts)}
 
 _PASS = "CASE turn % 7 WHEN 6 THEN 'ignored' ELSE 'message' END"
+#: Tokens of the stand-in counter: words and single other signs.
+_TOK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 ORACLES = {
-    "str.redact_builtin": cte("messages") + " SELECT message_id, 'use [REDACTED:aws_access_key] or api_key = [REDACTED:env_value] for postgres://[REDACTED:url_credentials]@db:5432/x, NOTE: $HOME, TOKEN=$HOME bypass=1' AS text FROM messages",
+    "str.redact_builtin": cte("messages") + " SELECT message_id, 'use [REDACTED:aws_access_key] or api_key = [REDACTED:env_value] for postgres://[REDACTED:url_credentials]@db:5432/x, NOTE: $HOME, TOKEN=$HOME bypass=1 ' || [" + ", ".join(f"'{x}'" for x in SHAPES.values()) + f"][message_id % {len(SHAPES)} + 1] AS text FROM messages",
     "str.redact_known": cte("messages") + " SELECT message_id, 'id ' || replace(replace('secret-alpha-' || sequence_no || ' secret-alpha-10 end', 'secret-alpha-10', '[REDACTED:known_secret]'), 'secret-alpha-1', '[REDACTED:known_secret]') AS text FROM messages",
     "str.redact_fields": cte("messages") + " SELECT message_id, 'Customer_No : [REDACTED:business_value] xcustomer_no=keep customer_no==' || sequence_no AS text FROM messages",
     "str.redact_terms": cte("messages") + " SELECT message_id, '[REDACTED:business_term] plan [REDACTED:known_secret] ' || sequence_no || ' [REDACTED:business_term]' AS text FROM messages",
@@ -296,7 +342,7 @@ ORACLES = {
     "str.code_points": "SELECT doc_id, length(text)::INT AS points, substring(text, 1, 40) AS excerpt FROM documents",
     "str.utf8_bytes": "SELECT doc_id, strlen(text)::INT AS bytes FROM documents",
     "str.case_report": "SELECT p_partkey, r AS report, length(r) > 20 AS too_long FROM (SELECT p_partkey, concat_ws(chr(10), 'Goal: ' || trim(p_name), CASE WHEN p_partkey % 2 = 0 THEN 'Tried: ' || trim(p_brand) END) AS r FROM part)",
-    "str.context_text": cte("messages") + " SELECT session_id, string_agg('[' || role || '] ' || substring(text, 1, 30), chr(10) ORDER BY sequence_no) AS context FROM messages GROUP BY 1",
+    "str.context_text": cte("messages") + " SELECT session_id, string_agg('[' || role || '] ' || substring(text, 1, 300), chr(10) ORDER BY sequence_no) AS context FROM messages GROUP BY 1",
     "str.namespace": "SELECT c_custkey, 'v1|' || c_nationkey || '|' || c_custkey || '|scope-a' AS namespace FROM customer",
     "str.sql_misc": "SELECT doc_id, position(' ' IN text)::INT AS first_space, lower(substring(text, 1, 20)) AS head, regexp_matches(text, '[0-9]') AS digits FROM documents",
     "str.extract_entities": cte("messages") + """, x AS (SELECT message_id, sequence_no, session_id FROM messages) SELECT message_id, 'issue' AS entity_type, '#' || sequence_no AS entity_key FROM x UNION ALL SELECT message_id, 'pull_request', '#' || session_id FROM x
@@ -311,12 +357,19 @@ ORACLES = {
     "src.http_events": cte("messages") + " SELECT message_id, role, strlen(text)::INT AS bytes FROM messages",
     "src.pg_scan": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 100",
     "src.backfill": "SELECT 'jsonl' AS source, count(DISTINCT conv_id) FILTER (WHERE turn <> 1) AS sessions, count(*) FILTER (WHERE turn <> 1) AS candidates, count(*) FILTER (WHERE turn = 1) AS excluded, string_agg(DISTINCT 'v' || conv_id % 2, ',' ORDER BY 'v' || conv_id % 2) FILTER (WHERE turn <> 1) AS versions FROM conversations WHERE role <> 'system'",
-    "src.zstd_deepseek": "SELECT (conv_id % 5)::VARCHAR AS file, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY 1",
-    "src.incremental_scan": "SELECT (conv_id % 5)::VARCHAR AS file, count(*) AS n, 0::BIGINT AS problems FROM conversations WHERE role <> 'system' GROUP BY 1",
+    "src.zstd_deepseek": "SELECT conv_id::VARCHAR AS file, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY 1",
+    "src.incremental_scan": "SELECT conv_id::VARCHAR AS file, count(*) AS n, 0::BIGINT AS problems FROM conversations WHERE role <> 'system' GROUP BY 1",
     "src.cursor_validity": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN false WHEN doc_id % 3 = 0 THEN 'x' || text = text WHEN doc_id % 3 = 1 THEN true ELSE text = '' END AS valid FROM documents",
     "str.policy_validate": "SELECT * FROM (VALUES ('plain', ''), ('twice', 'duplicate_rule'), ('placeholder', 'term_is_placeholder'), ('mode', 'mode_invalid')) t(name, problems)",
     "snk.upsert": "WITH n AS (SELECT c_custkey % 150 AS s_suppkey, arg_max(c_nationkey, c_custkey) AS s_nationkey, max(c_custkey)::INT AS v FROM customer GROUP BY 1) SELECT s_suppkey, s_nationkey, 0 AS v FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT s_suppkey, s_nationkey, v FROM n",
     "snk.http_providers": "SELECT d.doc_id::VARCHAR AS state_hash, coalesce(quality, -1) AS answer FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
-    "snk.hook_json": cte("messages") + ", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_no) AS r, count(*) OVER (PARTITION BY session_id) AS c FROM messages) SELECT session_id, string_agg('[' || role || '] ' || substring(text, 1, 40), chr(10) ORDER BY sequence_no) FILTER (WHERE r <= 5) AS evidence, greatest(max(c) - 5, 0)::INT AS omitted, bool_or(length(text) > 40 AND r <= 5) AS truncated FROM n GROUP BY 1",
-    "chk.structural": "SELECT doc_id, 1 AS segments, length(text)::INT AS covered FROM documents",
+    "snk.hook_json": cte("messages") + ", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_no) AS r, count(*) OVER (PARTITION BY session_id) AS c FROM messages) SELECT session_id, string_agg('[' || role || '] ' || substring(text, 1, 400), chr(10) ORDER BY sequence_no) FILTER (WHERE r <= 5) AS evidence, greatest(max(c) - 5, 0)::INT AS omitted, bool_or(length(text) > 400 AND r <= 5) AS truncated FROM n GROUP BY 1",
+    "chk.structural": """WITH x AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS t FROM documents), p AS (SELECT *, len(regexp_extract_all(rtrim(t, chr(10)), '\\S[ \\t]*\\n[ \\t]*\\n\\s*')) AS breaks FROM x)
+        SELECT doc_id, (CASE WHEN t SIMILAR TO '\\s*' THEN (t <> '')::INT ELSE breaks + 1 END + 2 + (doc_id % 2 = 0)::INT)::INT AS segments, (length(t) + 5 + 5 + length(doc_id::VARCHAR) + 6 + 4 + 3 + CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 0 END)::INT AS covered FROM p""",
+    "chk.tokens": "SELECT doc_id, len(regexp_extract_all(text, '" + _TOK + "'))::INT AS tokens FROM documents",
+    "chk.question": "WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '" + _TOK + "')) AS n FROM documents) SELECT doc_id, CASE WHEN n <= 1200 THEN 1 ELSE least(5, ceil(n / 800)) END::INT AS chunks, n > 1200 AND ceil(n / 800) > 5 AS truncated FROM n",
+    "chk.split_lines": "WITH x AS (SELECT doc_id, length(text) AS n, string_split(text, chr(10)) AS l FROM documents), l AS (SELECT doc_id, n, unnest(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END) AS line FROM x) SELECT doc_id, sum(greatest(1, ceil(len(regexp_extract_all(line, '" + _TOK + "')) / 200)))::INT AS pieces, any_value(n)::INT AS covered FROM l GROUP BY 1",
+    "snk.outbox": "WITH RECURSIVE " + cte("messages")[5:] + """, q AS (SELECT session_id % 4 AS project_id, strlen(text) AS bytes, row_number() OVER (PARTITION BY session_id % 4 ORDER BY session_id, sequence_no, message_id) AS i FROM messages),
+        b AS (SELECT project_id, i, 0 AS batch, 1 AS n, bytes FROM q WHERE i = 1 UNION ALL SELECT q.project_id, q.i, b.batch + CASE WHEN b.n >= 20 OR b.bytes + q.bytes > 6000 THEN 1 ELSE 0 END, CASE WHEN b.n >= 20 OR b.bytes + q.bytes > 6000 THEN 1 ELSE b.n + 1 END, CASE WHEN b.n >= 20 OR b.bytes + q.bytes > 6000 THEN q.bytes ELSE b.bytes + q.bytes END FROM b JOIN q ON q.project_id = b.project_id AND q.i = b.i + 1),
+        s AS (SELECT b.project_id, b.batch, q.bytes FROM b JOIN q ON q.project_id = b.project_id AND q.i = b.i) SELECT project_id, batch::BIGINT AS batch, count(*) AS n, sum(bytes)::BIGINT AS bytes FROM s GROUP BY 1, 2""",
 }

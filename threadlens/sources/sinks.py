@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed limits of one delivery and one notification.
@@ -32,15 +32,13 @@ def outbox_batches(rows: DataFrame, key: str, order: list[str], size: str, most_
 
 
 def notification(rows: DataFrame, key: str, order: str, items: int = NOTIFY_ITEMS, points: int = NOTIFY_POINTS) -> DataFrame:
-    """(key, evidence, omitted, truncated): excerpts of the first items, and how much was left out."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "role", "text"))).alias("l"))
-    first = F.slice("l", 1, items)
-    return listed.select(
-        key,
-        F.array_join(F.transform(first, lambda r: F.concat(F.lit("["), r["role"], F.lit("] "), F.substring(r["text"], 1, points))), "\n").alias("evidence"),
-        F.greatest(F.size("l") - items, F.lit(0)).alias("omitted"),
-        F.exists(first, lambda r: F.length(r["text"]) > points).alias("truncated"),
-    )
+    """(key, evidence, omitted, truncated): excerpts of the first items, and how much was left out. Only excerpts of those are collected."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    first = rows.withColumn("__n", place).where(F.col("__n") <= items)
+    item = F.struct("__n", F.concat(F.lit("["), F.col("role"), F.lit("] "), F.substring("text", 1, points)).alias("line"))
+    lines = first.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("l"), F.bool_or(F.length("text") > points).alias("truncated"))
+    counts = rows.groupBy(key).agg(F.greatest(F.count("*").cast("int") - items, F.lit(0)).alias("omitted"))
+    return lines.join(counts, key).select(key, F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("evidence"), "omitted", "truncated")
 
 
 def outcome(status: Column) -> Column:
