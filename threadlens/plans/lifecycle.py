@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.functions import identifiers
+from threadlens.operators import generations as gen
 from threadlens.operators import graph
 from threadlens.operators import joins as op
 from threadlens.operators import lifecycle as lc
@@ -30,9 +31,9 @@ def lookup(spark, d):
 
 def create(spark, d):
     m = messages(spark, d).where("role = 'user'").select("message_id", "session_id", "text")
-    asked = m.select("message_id", F.when(F.col("message_id") % 3 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("question"), (F.col("message_id") % 5 == 0).alias("force_new"), (F.col("message_id") % 7 == 0).alias("primary_only"))
-    same = (F.col("question") == F.col("text")) & ~F.col("force_new") & ~F.col("primary_only")
-    return asked.join(m, "message_id").select("message_id", F.when(same, "reuse_auto").otherwise("new_manual").alias("decision"))
+    asked = m.select("message_id", F.when(F.col("message_id") % 3 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("question"), (F.col("message_id") % 5 == 0).alias("force_new"), (F.col("message_id") % 7 == 0).alias("primary_only"), (F.col("message_id") % 1000).alias("idempotency_key"))
+    met = asked.join(m.select("message_id", F.col("text").alias("input_text")), "message_id")
+    return lc.manual_requests(met, ["idempotency_key"], "message_id").select("message_id", "decision")
 
 
 def routed(spark, d):
@@ -80,25 +81,36 @@ def entities(spark, d):
     return documents(spark, d).select("document_id", F.explode(identifiers.extract_entities(t)).alias("e")).select("document_id", "e.entity_type", "e.entity_key")
 
 
+def _spec(n, odd):
+    """The ten fields of a specification by a number; ``odd`` makes one of them differ."""
+    values = {f: F.lit(f[:4]) for f in gen.SPEC} | {"model": F.concat(F.lit("m"), n % 3), "dimensions": F.when(n % 2 == 0, 64).otherwise(128), "normalization": F.when(odd, "none").otherwise(F.when(n % 5 != 0, "unit"))}
+    return [values[f].alias(f) for f in gen.SPEC]
+
+
 def ensure(spark, d):
-    spec = lambda n, x: F.sha2(F.to_json(F.struct((F.col(n) % x).alias("model"), F.lit(64).alias("dimensions"), F.lit("cosine").alias("metric"))), 256)
-    have = table(spark, d, "nation").select(spec("n_nationkey", 10).alias("spec"), F.col("n_nationkey").cast("long").alias("generation_id")).groupBy("spec").agg(F.min("generation_id").alias("generation_id"))
-    asked = table(spark, d, "supplier").select("s_suppkey", spec("s_suppkey", 12).alias("spec"))
-    return asked.join(have, "spec", "left").select("s_suppkey", F.col("generation_id").isNull().alias("created"), F.coalesce("generation_id", F.lit(-1)).alias("generation_id"))
+    n = F.col("s_nationkey")
+    asked = table(spark, d, "supplier").select(F.col("s_suppkey").alias("company_id"), *_spec(n, F.col("s_suppkey") % 7 == 0))
+    have = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select((F.col("s_suppkey") * 10).alias("generation_id"), F.col("s_suppkey").alias("company_id"), F.when(F.col("s_suppkey") % 4 == 0, "retired").otherwise("active").alias("status"), *_spec(n, F.lit(False)))
+    return gen.ensured(asked, have.unionByName(have.withColumn("generation_id", F.col("generation_id") + 1)))
+
+
+def _runs(spark, d):
+    runs = documents(spark, d).select("project_id").distinct().select(F.col("project_id").alias("run_id"), F.col("project_id").alias("company_id"), F.col("project_id").alias("generation_id"), F.when(F.col("project_id") == 4, gen.PASSES).otherwise(F.col("project_id")).alias("passes"))
+    docs = documents(spark, d).select(F.col("project_id").alias("company_id"), "document_id", (F.col("document_id") % 2 + 1).alias("desired_revision"))
+    done = docs.where("document_id % 3 <> 0 OR company_id = 2").select(F.col("company_id").alias("generation_id"), "document_id", F.when(F.col("document_id") % 7 == 0, 1).otherwise(F.col("desired_revision")).alias("revision"))
+    return runs, gen.next_pages(docs, done, runs)
 
 
 def reindex(spark, d):
-    docs = documents(spark, d).select("document_id", "project_id")
-    done = docs.where("document_id % 6 <> 0 OR project_id = 2").select("document_id")
-    left = docs.join(done, "document_id", "left_anti").groupBy("project_id").agg(F.count("*").alias("todo"))
-    return docs.select("project_id").distinct().join(left, "project_id", "left").select("project_id", F.coalesce("todo", F.lit(0)).alias("todo"), F.when(F.coalesce("todo", F.lit(0)) == 0, "cutover").otherwise("running").alias("state"))
+    runs, pages = _runs(spark, d)
+    last = pages.groupBy("run_id").agg(F.max("page").alias("last_page"))
+    return gen.run_states(runs, pages).join(last, "run_id", "left")
 
 
 def delete(spark, d):
-    gens = table(spark, d, "nation").select(F.col("n_nationkey").alias("generation_id"))
-    active = table(spark, d, "customer").where("c_nationkey % 4 = 0").select(F.col("c_nationkey").alias("generation_id"))
-    runs = table(spark, d, "supplier").where("s_nationkey % 5 = 0").select(F.col("s_nationkey").alias("generation_id"))
-    return gens.join(active.union(runs).distinct().withColumn("used", F.lit(True)), "generation_id", "left").select("generation_id", F.col("used").isNull().alias("deletable"))
+    key = lambda t, c, where: table(spark, d, t).where(where).select(F.col(c).alias("generation_id"))
+    guards = {"active": key("customer", "c_nationkey", "c_nationkey % 4 = 0"), "run": key("supplier", "s_nationkey", "s_nationkey % 5 = 0"), "request": key("customer", "c_nationkey", "c_nationkey % 7 = 0"), "retry_job": key("supplier", "s_nationkey", "s_suppkey = 3")}
+    return gen.deletable(table(spark, d, "nation").select(F.col("n_nationkey").alias("generation_id")), guards)
 
 
 def cache(spark, d):
@@ -108,28 +120,35 @@ def cache(spark, d):
 
 
 def judge(spark, d):
-    asked = messages(spark, d).select("message_id", F.sha2(F.concat_ws("|", F.lit("initial-v1"), "role", "text"), 256).alias("state_hash"))
-    answers = messages(spark, d).where("message_id % 2 = 0").select(F.sha2(F.concat_ws("|", F.lit("initial-v1"), "role", "text"), 256).alias("state_hash"), F.length("text").alias("answer")).dropDuplicates(["state_hash"])
-    return asked.join(answers, "state_hash", "left").select("message_id", F.col("answer").isNotNull().alias("hit"), "answer")
+    """Evaluations by their whole key: the same state judged with another model, policy or set of questions is another one."""
+    key = lambda odd: [F.lit("c1").alias("company_id"), F.sha2(F.concat_ws("|", "role", "text"), 256).alias("state_hash"), F.lit("p").alias("provider"), F.when(odd, "m2").otherwise("m1").alias("model"), F.lit("initial-v1").alias("policy_version"), F.lit("q1").alias("question_set"), F.col("role").alias("purpose"), F.lit("e").alias("endpoint"), F.lit("a").alias("account_ref")]
+    m = messages(spark, d)
+    asked = m.select("message_id", *key(F.col("message_id") % 5 == 0))
+    answers = m.where("message_id % 2 = 0").select(*key(F.lit(False)), F.length("text").alias("answer")).dropDuplicates(list(lc.JUDGED))
+    return lc.cached(asked, answers, list(lc.JUDGED)).select("message_id", F.col("answer").isNotNull().alias("hit"), "answer")
 
 
 def apply(spark, d):
-    new = analysis(spark, d).where("message_id % 3 = 0").select("message_id", F.lit("judged").alias("statement_status"))
-    return op.upserted(analysis(spark, d).select("message_id", "statement_status"), new, ["message_id"], [F.col("statement_status")])
+    """Answers become the analysis; their relations hold only towards targets still at the revision that was judged; changed sessions are built again."""
+    m = messages(spark, d).select("message_id", "session_id", "sequence_no", F.when(F.col("message_id") % 8 == 0, 2).otherwise(1).alias("current_revision"))
+    answers = analysis(spark, d).where("message_id % 3 = 0").select("message_id", F.lit(1).alias("revision"), F.lit("judged").alias("statement_status"))
+    found = relations(spark, d).where("from_id % 3 = 0").select("from_id", "to_id", F.lit(1).alias("to_revision"), "relation")
+    out = lc.applied_judgments(analysis(spark, d).select("message_id", "statement_status"), answers, found, m)
+    rows = lambda t, c: out[t].select(F.lit(t).alias("written"), F.concat_ws("|", *c).alias("key"))
+    return rows("analysis", ["message_id", "statement_status"]).unionByName(rows("relations", ["from_id", "to_id", "relation"])).unionByName(rows("builds", ["session_id", "dirty_sequence"]))
 
 
 def continuity(spark, d):
-    rows = messages(spark, d).groupBy("session_id").agg(F.sum("sequence_no").alias("n"))
-    conf = F.col("n") % 100 / 100
-    return rows.select("session_id", (((F.col("n") % 2) == 0) & (conf >= 0.2)).alias("continuous"))
+    """Pairs of sessions by the judge's answer: continuous only if it chose so, confidently enough."""
+    pairs = messages(spark, d).groupBy("session_id").agg(F.sum("sequence_no").alias("n")).withColumn("candidate_session_id", F.col("session_id") - 1).where("candidate_session_id >= 0")
+    answers = pairs.where("n % 11 <> 0").select("session_id", "candidate_session_id", F.when(F.col("n") % 3 == 0, "separate").when(F.col("n") % 7 == 0, "unknown").otherwise("continued").alias("choice"), (F.col("n") % 100 / 100).alias("confidence"))
+    return lc.continuity_judgments(pairs, answers).select("session_id", "candidate_session_id", "continuous")
 
 
 def link(spark, d):
-    m = messages(spark, d).select(F.col("message_id").alias("evidence_id"), F.col("session_id").alias("evidence_session"))
-    asked = spark.range(0, 90).select(F.col("id").alias("from_session"), (F.col("id") + 5).alias("to_session"), ((F.col("id") + F.col("id") % 3) * 1000 + 1).alias("evidence_id"))
-    met = asked.join(m, "evidence_id", "left")
-    ok = F.coalesce((F.col("evidence_session") == F.col("from_session")) | (F.col("evidence_session") == F.col("to_session")), F.lit(False)) & (F.col("from_session") != F.col("to_session"))
-    return met.select("from_session", "to_session", F.when(F.col("evidence_session").isNull(), "evidence_missing").when(ok, "accepted").otherwise("evidence_elsewhere").alias("verdict"))
+    """Links asked for between sessions, each with a key: sent again they are the same link, with another content a conflict."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 450).alias("idempotency_key"), (F.col("event_id") % 900 % 90).alias("from_session"), (F.col("event_id") % 900 % 90 + F.when(F.col("event_id") % 900 % 50 == 0, 0).otherwise(5)).alias("to_session"), ((F.col("event_id") % 900 % 90 + F.col("event_id") % 900 % 3) * 1000 + 1).alias("evidence_id"))
+    return lc.created_links(e, "event_id", messages(spark, d).select(F.col("message_id").alias("evidence_id"), F.col("session_id").alias("evidence_session"))).select("event_id", "verdict")
 
 
 def last_admin(spark, d):
@@ -160,7 +179,8 @@ ORACLES = {
     "vw.revalidate_matches": cte("messages", "relations") + ", e AS (SELECT message_id AS request_id, unnest([(session_id + 1) % 100 * 1000 + 1, message_id + 1]) AS mid FROM messages WHERE role = 'user') SELECT request_id, count(*) FILTER (WHERE mid IN (SELECT message_id FROM messages) AND mid NOT IN (SELECT to_id FROM relations WHERE relation = 'revoke')) AS valid, count(*) AS evidence FROM e GROUP BY 1",
     "vw.build_view": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 50 <= 10 THEN 'expired' WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'running' END AS status, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0 THEN 'matched' ELSE 'no_match' END AS outcome FROM orders",
     "vw.lookup": "SELECT range AS o_orderkey, coalesce(o_orderstatus, 'not_received') AS status FROM range(0, 3000, 100) LEFT JOIN orders ON o_orderkey = range",
-    "rq.create": cte("messages") + " SELECT message_id, CASE WHEN message_id % 3 <> 0 AND message_id % 5 <> 0 AND message_id % 7 <> 0 THEN 'reuse_auto' ELSE 'new_manual' END AS decision FROM messages WHERE role = 'user'",
+    "rq.create": cte("messages") + """, a AS (SELECT message_id, message_id % 1000 AS key, text || CASE WHEN message_id % 3 = 0 THEN '?' ELSE '' END AS q, message_id % 5 = 0 AS fn, message_id % 7 = 0 AS po FROM messages WHERE role = 'user'), f AS (SELECT key, arg_min((q, fn, po), message_id) AS was, min(message_id) AS first_id FROM a GROUP BY 1)
+        SELECT message_id, CASE WHEN message_id <> first_id THEN CASE WHEN was = (q, fn, po) THEN 'repeated' ELSE 'conflict' END WHEN message_id % 3 <> 0 AND NOT fn AND NOT po THEN 'reuse_auto' ELSE 'new_manual' END AS decision FROM a JOIN f USING (key)""",
     "rq.route": "SELECT event_id, CASE WHEN event_type = 'view' THEN 'skip' WHEN event_type = 'click' AND user_id % 2 = 0 AND value > 5 THEN 'reuse' ELSE 'new_search' END AS route FROM events",
     "rq.reuse_chain": "WITH RECURSIVE r AS (SELECT event_id AS id, CASE WHEN event_id % 3 <> 0 AND event_id >= 7 THEN event_id - 7 END AS f, event_type <> 'error' AS ok FROM events), w AS (SELECT id AS request_id, id AS pos, f, ok, 0 AS n FROM r UNION ALL SELECT w.request_id, r.id, r.f, w.ok AND r.ok, n + 1 FROM w JOIN r ON r.id = w.f WHERE n < 10), l AS (SELECT request_id, arg_max(pos, n) AS pos, arg_max(ok, n) AS ok, arg_max(coalesce(f, -1), n) AS f FROM w GROUP BY 1) SELECT request_id, CASE WHEN ok AND f = -1 THEN pos END AS origin_id FROM l",
     "dc.reconcile": """WITH p AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE 'old' END AS h FROM documents WHERE doc_id % 10 <> 3) SELECT coalesce(p.doc_id, l.doc_id)::VARCHAR AS document_key, CASE WHEN l.doc_id IS NULL THEN 'insert' WHEN p.doc_id IS NULL THEN CASE WHEN l.doc_id % 3 <> 0 THEN 'exclude' ELSE 'none' END
@@ -169,14 +189,17 @@ ORACLES = {
     "dc.embed_apply": "SELECT vec_id AS document_id, r::INT AS revision, CASE WHEN vec_id % 3 <> 0 AND vec_id % 5 <> 0 THEN CASE r WHEN 1 THEN 'superseded' ELSE 'ready' END ELSE CASE r WHEN 1 THEN 'ready' ELSE 'pending' END END AS status FROM embeddings, (SELECT unnest([1, 2]) AS r)",
     "dc.fail_pending": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 50 = 0) THEN 'failed' WHEN doc_id % 2 = 0 THEN 'pending' ELSE 'ready' END AS status FROM documents",
     "dc.entities": "SELECT vec_id AS document_id, 'file' AS entity_type, 'lib/m' || vec_id % 9 || '.ts' AS entity_key FROM embeddings UNION ALL SELECT vec_id, 'function', 'run_' || vec_id % 4 || '()' FROM embeddings",
-    "gn.ensure": "SELECT s_suppkey, s_suppkey % 12 >= 10 AS created, CASE WHEN s_suppkey % 12 >= 10 THEN -1 ELSE s_suppkey % 12 END AS generation_id FROM supplier",
-    "gn.reindex": "SELECT label AS project_id, count(*) FILTER (WHERE vec_id % 6 = 0 AND label <> 2) AS todo, CASE WHEN count(*) FILTER (WHERE vec_id % 6 = 0 AND label <> 2) = 0 THEN 'cutover' ELSE 'running' END AS state FROM embeddings GROUP BY 1",
-    "gn.delete": "SELECT n_nationkey AS generation_id, NOT (n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_nationkey % 4 = 0) OR n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_nationkey % 5 = 0)) AS deletable FROM nation",
+    "gn.ensure": "SELECT s_suppkey AS company_id, CASE WHEN s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0 AND s_suppkey % 7 <> 0 THEN s_suppkey * 10 END AS generation_id, NOT (s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0 AND s_suppkey % 7 <> 0) AS created FROM supplier",
+    "gn.reindex": "WITH m AS (SELECT label, count(*) FILTER (WHERE label <> 4 AND ((vec_id % 3 = 0 AND label <> 2) OR (vec_id % 7 = 0 AND vec_id % 2 = 1))) AS missing FROM embeddings GROUP BY 1) SELECT label AS run_id, CASE WHEN label = 4 THEN 'failed' WHEN missing = 0 THEN 'cutover' ELSE 'running' END AS state, missing, CASE WHEN missing > 0 THEN (missing - 1) // 64 END::INT AS last_page FROM m",
+    "gn.delete": "SELECT n_nationkey AS generation_id, CASE WHEN n_nationkey % 4 = 0 AND n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'active' WHEN n_nationkey % 5 = 0 AND n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 'run' WHEN n_nationkey % 7 = 0 AND n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'request' WHEN n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey = 3) THEN 'retry_job' END AS refused FROM nation",
     "em.cache": "SELECT DISTINCT sha256(text) AS input_hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))",
-    "cj.judge": cte("messages") + ", h AS (SELECT message_id, sha256('initial-v1|' || role || '|' || text) AS s, length(text)::INT AS n FROM messages), a AS (SELECT s, min(n) AS answer FROM h WHERE message_id % 2 = 0 GROUP BY 1) SELECT message_id, answer IS NOT NULL AS hit, answer FROM h LEFT JOIN a USING (s)",
-    "cj.apply": cte("analysis") + " SELECT message_id, CASE WHEN message_id % 3 = 0 THEN 'judged' ELSE statement_status END AS statement_status FROM analysis",
-    "ct.judge": cte("messages") + " SELECT session_id, sum(sequence_no) % 2 = 0 AND sum(sequence_no) % 100 / 100 >= 0.2 AS continuous FROM messages GROUP BY 1",
-    "ln.create": cte("messages") + " SELECT range AS from_session, range + 5 AS to_session, CASE WHEN session_id IS NULL THEN 'evidence_missing' WHEN session_id IN (range, range + 5) THEN 'accepted' ELSE 'evidence_elsewhere' END AS verdict FROM range(90) LEFT JOIN messages ON message_id = (range + range % 3) * 1000 + 1",
+    "cj.judge": cte("messages") + ", a AS (SELECT role, text, any_value(length(text))::INT AS answer FROM messages WHERE message_id % 2 = 0 GROUP BY 1, 2) SELECT message_id, answer IS NOT NULL AND message_id % 5 <> 0 AS hit, CASE WHEN message_id % 5 <> 0 THEN answer END AS answer FROM messages LEFT JOIN a USING (role, text)",
+    "cj.apply": cte("messages", "analysis", "relations") + """, f AS (SELECT message_id FROM messages WHERE message_id % 3 = 0 AND message_id % 8 <> 0), r AS (SELECT * FROM relations WHERE from_id IN (SELECT message_id FROM f) AND to_id % 8 <> 0 AND to_id IN (SELECT message_id FROM messages))
+        SELECT 'analysis' AS written, message_id || '|' || CASE WHEN message_id IN (SELECT message_id FROM f) THEN 'judged' ELSE statement_status END AS key FROM analysis UNION ALL SELECT 'relations', from_id || '|' || to_id || '|' || relation FROM r
+        UNION ALL SELECT 'builds', session_id || '|' || min(sequence_no) FROM messages WHERE message_id IN (SELECT message_id FROM f UNION SELECT to_id FROM r) GROUP BY session_id""",
+    "ct.judge": cte("messages") + ", p AS (SELECT session_id, sum(sequence_no) AS n FROM messages GROUP BY 1) SELECT session_id, session_id - 1 AS candidate_session_id, n % 11 <> 0 AND n % 3 <> 0 AND n % 7 <> 0 AND n % 100 / 100 >= 0.8 AS continuous FROM p WHERE session_id >= 1",
+    "ln.create": cte("messages") + """, e AS (SELECT event_id, event_id % 450 AS key, event_id % 900 % 90 AS a, event_id % 900 % 90 + CASE WHEN event_id % 900 % 50 = 0 THEN 0 ELSE 5 END AS b, (event_id % 900 % 90 + event_id % 900 % 3) * 1000 + 1 AS ev FROM events), f AS (SELECT key, arg_min((a, b, ev), event_id) AS was, min(event_id) AS first_id FROM e GROUP BY 1)
+        SELECT event_id, CASE WHEN event_id <> first_id THEN CASE WHEN was = (a, b, ev) THEN 'repeated' ELSE 'conflict' END WHEN a = b THEN 'same_session' WHEN m.message_id IS NULL THEN 'evidence_missing' WHEN m.session_id IN (a, b) THEN 'accepted' ELSE 'evidence_elsewhere' END AS verdict FROM e JOIN f USING (key) LEFT JOIN messages m ON m.message_id = ev""",
     "ad.tokens": "SELECT s_suppkey, s_suppkey % 4 = 0 AND count(*) FILTER (WHERE s_suppkey % 4 = 0) OVER (PARTITION BY s_nationkey) = 1 AS protected FROM supplier",
     "ad.projects": "SELECT n_nationkey AS project_id, n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)",
     "au.token": "SELECT o_orderkey, c_custkey, c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 10 <> 0",

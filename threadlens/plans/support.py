@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadlens.operators import aggregates as agg
-from threadlens.operators import filters, judging
+from threadlens.operators import filters, judging, providers
 from threadlens.operators import joins as op
 from threadlens.plans import texts
 from threadlens.plans.base import analysis, cte, documents, messages, relations
@@ -135,12 +135,13 @@ def judge_request(spark, d):
 
 
 def provider_parse(spark, d):
-    e = table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("model"), F.struct(F.col("user_id").alias("tokens")).alias("usage"), (F.col("event_id") * 7).alias("retry"))).alias("body"))
-    return e.select("event_id", F.get_json_object("body", "$.model").alias("model"), F.get_json_object("body", "$.usage.tokens").cast("long").alias("tokens"), F.least(F.get_json_object("body", "$.retry").cast("long"), F.lit(3600)).alias("retry_after"))
+    return providers.classified(texts._answers(spark, d), F.lit(texts._NOW)).where("code IS NULL").select("event_id", "model", "input_tokens", "output_tokens")
 
 
 def usage_log(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("attempts"), F.sum("user_id").alias("tokens"))
+    """Attempts and tokens by model, failed attempts under their code; what a provider didn't say counts as nothing."""
+    rows = providers.classified(texts._answers(spark, d), F.lit(texts._NOW))
+    return rows.groupBy(F.coalesce("code", "model").alias("entry")).agg(F.count("*").alias("attempts"), F.sum(F.coalesce("input_tokens", F.lit(0))).alias("input_tokens"), F.count_if(F.col("retryable")).alias("retryable"))
 
 
 def prior_search(spark, d):
@@ -277,8 +278,8 @@ ORACLES = {
     "sp.outbox_gates": "SELECT event_id, ['acknowledged', 'retry', 'retry', 'permanent'][event_id % 4 + 1] AS outcome FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id % 5 = 0) AND user_id NOT IN (SELECT user_id FROM events WHERE value > 150)",
     "sp.judge_request": cte("messages") + """, p AS (SELECT message_id, role, lag(message_id) OVER w AS a, lag(message_id, 2) OVER w AS b FROM messages WINDOW w AS (PARTITION BY session_id ORDER BY sequence_no)) SELECT message_id, concat_ws(' ', 'retention#0 decision_action#0 continuity#0 statement_status#0', CASE WHEN role = 'user' THEN 'search_action#0' END,
         'relation_target#0 strategy:state_hazard#0 strategy:consistency_strategy#0 strategy:lifecycle_strategy#0 strategy:failure_strategy#0 strategy:performance_strategy#0 strategy:scope_invariant#0 strategy:evidence_strategy#0', CASE WHEN role = 'user' AND message_id % 4 = 0 THEN 'same_conditions#0' END, 'relation_explicit:' || a || '#0', 'relation_explicit:' || b || '#0') AS questions FROM p""",
-    "sp.provider_parse": "SELECT event_id, event_type AS model, user_id AS tokens, least(event_id * 7, 3600) AS retry_after FROM events",
-    "sp.usage_log": "SELECT event_type, count(*) AS attempts, sum(user_id)::BIGINT AS tokens FROM events GROUP BY 1",
+    "sp.provider_parse": texts._PROVIDER + " SELECT event_id, 'm' || user_id % 3 AS model, user_id::BIGINT AS input_tokens, CASE WHEN event_id % 5 >= 1 THEN event_id % 5 - 1 END::BIGINT AS output_tokens FROM c WHERE code IS NULL",
+    "sp.usage_log": texts._PROVIDER + """, k AS (SELECT code, status, event_id % 13 = 0 AND event_id % 7 <> 0 AS half, event_id % 7 = 0 AS broken, user_id FROM c) SELECT coalesce(code, 'm' || user_id % 3) AS entry, count(*) AS attempts, sum(CASE WHEN status BETWEEN 200 AND 299 AND NOT broken THEN CASE WHEN half THEN 5 ELSE user_id END ELSE 0 END)::BIGINT AS input_tokens, count(*) FILTER (WHERE code IN ('provider_timeout', 'provider_unavailable', 'provider_rate_limited')) AS retryable FROM k GROUP BY 1""",
     "sp.prior_search": cte("messages") + " SELECT message_id, lag(message_id) OVER (PARTITION BY session_id ORDER BY sequence_no) AS prior_id FROM messages WHERE role = 'user'",
     "sp.error_map": "SELECT event_id, CASE event_type WHEN 'error' THEN 'provider_failed' WHEN 'view' THEN 'timeout' WHEN 'signup' THEN 'invalid' ELSE 'internal' END AS code, event_type IN ('error', 'view') AS retryable FROM events",
     "sp.search_failed": "SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7) THEN 'F!' ELSE o_orderstatus END AS o_orderstatus FROM orders",

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlens.functions import chunking, identifiers, redaction, text
+from threadlens.operators import filters, judging, providers
 from threadlens.operators import joins as op
-from threadlens.operators import judging
+from threadlens.operators.ingest import MOST_EVENTS
 from threadlens.plans.base import cte, messages
 from threadlens.session import table
 from threadlens.sources import tail, transcripts
@@ -161,10 +162,17 @@ def stateful_deepseek(spark, d):
 
 
 def http_events(spark, d):
-    m = messages(spark, d).select("session_id", "message_id", "sequence_no", "role", "text")
-    rows = m.select(F.to_json(F.struct("*")).alias("body"))
-    back = rows.select(F.from_json("body", m.schema).alias("e")).select("e.*")
-    return back.select("message_id", "role", F.octet_length("text").alias("bytes"))
+    """Batches of events as bodies: refused as a whole if they hold none, more than a hundred, or any event that breaks a rule."""
+    m = messages(spark, d).select(
+        F.when(F.col("message_id") % 3 == 0, F.lit(-1)).otherwise(F.col("session_id")).alias("batch"), "message_id", F.col("session_id").cast("string").alias("source_session_id"), F.col("message_id").cast("string").alias("source_message_id"), F.when(F.col("message_id") % 53 == 0, "tool").otherwise(F.col("role")).alias("role"),
+        "sequence_no", F.lit(1).alias("revision"), "text", F.lit("2024-01-01T00:00:00Z").alias("occurred_at"), F.lit(None).cast("string").alias("reasoning_effort"), F.lit(None).cast("string").alias("model_id"),
+    )
+    body = m.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("body"))
+    back = body.select(F.from_json("body", m.schema).alias("e")).select("e.*")
+    checked = back.withColumn("problems", F.size(filters.event_violations()))
+    # a batch is one request, refused before it is held if it is too long; so only counts are gathered
+    out = checked.groupBy("batch").agg(F.count("*").alias("events"), F.sum("problems").alias("problems"))
+    return out.select("batch", "events", F.when(F.col("events") > MOST_EVENTS, "too_many").when(F.col("problems") > 0, "event_invalid").otherwise("accepted").alias("verdict"))
 
 
 def pg_scan(spark, d):
@@ -243,17 +251,32 @@ def outbox(spark, d):
     return outbox_batches(rows, "project_id", ["session_id", "sequence_no", "message_id"], "bytes", 20, 6000).groupBy("project_id", "batch").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
+def _answers(spark, d):
+    """Events as a provider's answers: all classes of status, both forms of Retry-After, whole and broken bodies."""
+    e = table(spark, d, "events")
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 200, 201, 302, 429, 529, 500, 503, 400, 404, None)]), (F.col("event_id") % 11 + 1).cast("int"))
+    after = F.element_at(F.array(F.lit("120"), F.lit("Sat, 28 Nov 2026 04:00:30 GMT"), F.lit("soon"), F.lit(None)), (F.col("event_id") % 4 + 1).cast("int"))
+    body = F.when(F.col("event_id") % 7 == 0, '{"model":').when(F.col("event_id") % 13 == 0, '{"usage":{"input_tokens":5}}').otherwise(F.concat(F.lit('{"model":"m'), F.col("user_id") % 3, F.lit('","usage":{"input_tokens":'), F.col("user_id"), F.lit(',"output_tokens":'), F.col("event_id") % 5 - 1, F.lit("}}")))
+    return e.select("event_id", status.alias("status"), (F.col("event_id") % 2 == 0).alias("timed_out"), after.alias("retry_after"), body.alias("body"))
+
+
+#: 2026-11-28 04:00:00 UTC
+_NOW = 1_795_838_400
+
+
 def http_providers(spark, d):
-    answers = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("state_hash"), "quality")
-    asked = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("state_hash"))
-    return asked.join(answers, "state_hash", "left").select("state_hash", F.coalesce("quality", F.lit(-1)).alias("answer"))
+    return providers.classified(_answers(spark, d), F.lit(_NOW)).select("event_id", "code", "retryable", "retry_seconds")
 
 
 def hook_json(spark, d):
-    from threadlens.sources.sinks import notification
+    """What a hook tells after a search: evidence, corrections before other related messages, five of each at most, excerpts of 400 code points."""
+    from threadlens.sources.sinks import notices
 
-    rows = messages(spark, d).select("session_id", "sequence_no", "role", "text")
-    return notification(rows, "session_id", "sequence_no")
+    m = messages(spark, d)
+    asked = m.groupBy("session_id").agg(F.count("*").alias("n")).select(F.col("session_id").alias("request_id"), F.when(F.col("session_id") % 9 == 0, "failed").otherwise("completed").alias("status"), F.when(F.col("session_id") % 4 == 0, "no_match").otherwise("matched").alias("outcome"), F.lit("timeout").alias("error_code"), (F.col("n") > 4).alias("truncated"))
+    evidence = m.where("role = 'user'").select(F.col("session_id").alias("request_id"), F.col("sequence_no").alias("position"), "message_id", F.lit(1).alias("revision"), "text")
+    related_ = m.where("role = 'assistant'").unionByName(m).select(F.col("session_id").alias("request_id"), F.col("sequence_no").alias("position"), F.when(F.col("message_id") % 3 == 0, "correction").otherwise("neighbor").alias("source_kind"), "message_id", F.lit(1).alias("revision"), F.when(F.col("message_id") % 10 == 5, " ").otherwise(F.col("text")).alias("text")).dropDuplicates(["request_id", "message_id"])
+    return notices(asked, evidence, related_)
 
 
 def _pair(a: str, b: str) -> T.StructType:
@@ -329,6 +352,9 @@ QUERIES |= {f"snk.{f.__name__}": f for f in (upsert, outbox, http_providers, hoo
 QUERIES |= {f"chk.{f.__name__}": f for f in (structural, split_lines, overlap, plan, question, tokens, judge_parts)}
 
 _PASS = "CASE turn % 7 WHEN 6 THEN 'ignored' ELSE 'message' END"
+_PROVIDER = """WITH x AS (SELECT event_id, user_id, [200, 200, 201, 302, 429, 529, 500, 503, 400, 404, NULL][event_id % 11 + 1] AS status FROM events),
+    c AS (SELECT *, CASE WHEN status IS NULL THEN CASE WHEN event_id % 2 = 0 THEN 'provider_timeout' ELSE 'provider_unavailable' END WHEN status BETWEEN 300 AND 399 THEN 'provider_redirect_rejected' WHEN status IN (429, 529) THEN 'provider_rate_limited' WHEN status >= 500 THEN 'provider_unavailable' WHEN status >= 400 THEN 'provider_rejected'
+      WHEN event_id % 7 = 0 OR event_id % 13 = 0 THEN 'provider_contract_invalid' END AS code FROM x)"""
 #: Tokens of the stand-in counter: words and single other signs.
 _TOK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 ORACLES = {
@@ -354,7 +380,7 @@ ORACLES = {
         FROM conversations c JOIN l ON l.conv_id = c.conv_id AND l.h = c.turn // 2 WHERE role <> 'system'""",
     "src.cursor_hook": "SELECT conv_id, turn, CASE role WHEN 'user' THEN 'beforeSubmitPrompt' ELSE 'afterAgentResponse' END AS hook_event_name, CASE WHEN turn % 2 = 0 THEN 'special' ELSE 'base' END AS model_id, CASE WHEN turn % 3 <> 0 THEN 'max' END AS reasoning_effort, length(text)::INT AS chars FROM conversations WHERE role <> 'system'",
     "src.stateful_deepseek": "SELECT conv_id::VARCHAR AS source_session_id, conv_id || '-' || turn AS source_message_id, '2024-01-01T00:00:00.000Z' AS occurred_at, length(text)::INT AS chars FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn // 4 ORDER BY turn DESC) AS r FROM conversations WHERE role = 'assistant') WHERE r = 1 AND conv_id % 5 <> 0 AND conv_id % 3 <> 0",
-    "src.http_events": cte("messages") + " SELECT message_id, role, strlen(text)::INT AS bytes FROM messages",
+    "src.http_events": cte("messages") + """, b AS (SELECT CASE WHEN message_id % 3 = 0 THEN -1 ELSE session_id END AS batch, (message_id % 53 = 0)::INT + (text = '')::INT + (length(text) > 65536)::INT AS bad FROM messages) SELECT batch, count(*) AS events, CASE WHEN count(*) > 100 THEN 'too_many' WHEN sum(bad) > 0 THEN 'event_invalid' ELSE 'accepted' END AS verdict FROM b GROUP BY 1""",
     "src.pg_scan": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 100",
     "src.backfill": "SELECT 'jsonl' AS source, count(DISTINCT conv_id) FILTER (WHERE turn <> 1) AS sessions, count(*) FILTER (WHERE turn <> 1) AS candidates, count(*) FILTER (WHERE turn = 1) AS excluded, string_agg(DISTINCT 'v' || conv_id % 2, ',' ORDER BY 'v' || conv_id % 2) FILTER (WHERE turn <> 1) AS versions FROM conversations WHERE role <> 'system'",
     "src.zstd_deepseek": "SELECT conv_id::VARCHAR AS file, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY 1",
@@ -362,8 +388,13 @@ ORACLES = {
     "src.cursor_validity": "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN false WHEN doc_id % 3 = 0 THEN 'x' || text = text WHEN doc_id % 3 = 1 THEN true ELSE text = '' END AS valid FROM documents",
     "str.policy_validate": "SELECT * FROM (VALUES ('plain', ''), ('twice', 'duplicate_rule'), ('placeholder', 'term_is_placeholder'), ('mode', 'mode_invalid')) t(name, problems)",
     "snk.upsert": "WITH n AS (SELECT c_custkey % 150 AS s_suppkey, arg_max(c_nationkey, c_custkey) AS s_nationkey, max(c_custkey)::INT AS v FROM customer GROUP BY 1) SELECT s_suppkey, s_nationkey, 0 AS v FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT s_suppkey, s_nationkey, v FROM n",
-    "snk.http_providers": "SELECT d.doc_id::VARCHAR AS state_hash, coalesce(quality, -1) AS answer FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
-    "snk.hook_json": cte("messages") + ", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence_no) AS r, count(*) OVER (PARTITION BY session_id) AS c FROM messages) SELECT session_id, string_agg('[' || role || '] ' || substring(text, 1, 400), chr(10) ORDER BY sequence_no) FILTER (WHERE r <= 5) AS evidence, greatest(max(c) - 5, 0)::INT AS omitted, bool_or(length(text) > 400 AND r <= 5) AS truncated FROM n GROUP BY 1",
+    "snk.http_providers": _PROVIDER + """ SELECT event_id, code, coalesce(code IN ('provider_timeout', 'provider_unavailable', 'provider_rate_limited'), false) AS retryable, CASE WHEN code IN ('provider_unavailable', 'provider_rate_limited') AND status IS NOT NULL THEN CASE event_id % 4 WHEN 0 THEN 120 WHEN 1 THEN 30 END END::DOUBLE AS retry_seconds FROM c""",
+    "snk.hook_json": cte("messages") + """, a AS (SELECT session_id AS r, count(*) > 4 AS cut FROM messages GROUP BY 1),
+        e AS (SELECT session_id AS r, '- [message_id=' || message_id || ' revision=1] ' || substring(text, 1, 400) AS line, row_number() OVER (PARTITION BY session_id ORDER BY sequence_no) AS i FROM messages WHERE role = 'user' AND trim(text) <> ''),
+        x AS (SELECT session_id AS r, message_id % 3 = 0 AS fix, CASE WHEN message_id % 10 = 5 THEN ' ' ELSE text END AS t, message_id, sequence_no FROM messages), n AS (SELECT r, fix, '- ' || CASE WHEN fix THEN 'correction' ELSE 'neighbor' END || ' [message_id=' || message_id || ' revision=1] ' || substring(t, 1, 400) AS line, row_number() OVER (PARTITION BY r ORDER BY NOT fix, sequence_no) AS i FROM x WHERE trim(t) <> ''),
+        el AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS l FROM e WHERE i <= 5 GROUP BY 1), cl AS (SELECT r, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE fix AND i <= 5) AS c, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT fix AND i <= 5) AS o, greatest(count(*) - 5, 0) AS more FROM n GROUP BY 1)
+        SELECT a.r AS request_id, CASE WHEN a.r % 9 = 0 THEN 'request_id=' || a.r || ' status=failed error_code=timeout' WHEN a.r % 4 = 0 THEN 'request_id=' || a.r || ' outcome=no_match'
+          ELSE concat_ws(chr(10), 'request_id=' || a.r || ' outcome=matched', 'corrections:' || chr(10) || c, 'evidence:' || chr(10) || l, 'related:' || chr(10) || o, CASE WHEN more > 0 THEN more || ' related omitted' END, CASE WHEN cut THEN 'incomplete' END) END AS context FROM a LEFT JOIN el ON el.r = a.r LEFT JOIN cl ON cl.r = a.r""",
     "chk.structural": """WITH x AS (SELECT doc_id, replace(text, '. ', '.' || chr(10) || chr(10)) AS t FROM documents), p AS (SELECT *, len(regexp_extract_all(rtrim(t, chr(10)), '\\S[ \\t]*\\n[ \\t]*\\n\\s*')) AS breaks FROM x)
         SELECT doc_id, (CASE WHEN t SIMILAR TO '\\s*' THEN (t <> '')::INT ELSE breaks + 1 END + 2 + (doc_id % 2 = 0)::INT)::INT AS segments, (length(t) + 5 + 5 + length(doc_id::VARCHAR) + 6 + 4 + 3 + CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 0 END)::INT AS covered FROM p""",
     "chk.tokens": "SELECT doc_id, len(regexp_extract_all(text, '" + _TOK + "'))::INT AS tokens FROM documents",

@@ -31,14 +31,29 @@ def outbox_batches(rows: DataFrame, key: str, order: list[str], size: str, most_
     return out.select(key, F.inline(F.arrays_zip("l", "b"))).select(key, "l.*", F.col("b").alias("batch"))
 
 
-def notification(rows: DataFrame, key: str, order: str, items: int = NOTIFY_ITEMS, points: int = NOTIFY_POINTS) -> DataFrame:
-    """(key, evidence, omitted, truncated): excerpts of the first items, and how much was left out. Only excerpts of those are collected."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    first = rows.withColumn("__n", place).where(F.col("__n") <= items)
-    item = F.struct("__n", F.concat(F.lit("["), F.col("role"), F.lit("] "), F.substring("text", 1, points)).alias("line"))
-    lines = first.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("l"), F.bool_or(F.length("text") > points).alias("truncated"))
-    counts = rows.groupBy(key).agg(F.greatest(F.count("*").cast("int") - items, F.lit(0)).alias("omitted"))
-    return lines.join(counts, key).select(key, F.array_join(F.transform("l", lambda r: r["line"]), "\n").alias("evidence"), "omitted", "truncated")
+def notices(requests: DataFrame, evidence: DataFrame, related: DataFrame, items: int = NOTIFY_ITEMS, points: int = NOTIFY_POINTS) -> DataFrame:
+    """(request_id, context): what is told about a finished request.
+
+    ``requests``: request_id, status, outcome, error_code, truncated; ``evidence``: request_id, position, message_id, revision, text; ``related``: the same and source_kind. Blank
+    texts are left out; of the related ones corrections come first, and what is beyond ``items`` is counted. Only excerpts of listed items are collected.
+    """
+    name = F.concat(F.lit("[message_id="), F.col("message_id"), F.lit(" revision="), F.col("revision"), F.lit("] "), F.substring("text", 1, points))
+    said = lambda df: df.where(F.length(F.trim("text")) > 0)
+    place = lambda *order: F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
+    lines = lambda c, where=F.lit(True): F.array_join(F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("n", F.col(c).alias("line"))))), lambda x: x["line"]), "\n")
+    own = said(evidence).withColumn("n", place("position")).where(F.col("n") <= items).withColumn("line", F.concat(F.lit("- "), name))
+    own = own.groupBy("request_id").agg(lines("line").alias("evidence"))
+    fix = F.col("source_kind") == "correction"
+    other = said(related).withColumn("n", place((~fix), "position"))
+    counts = other.groupBy("request_id").agg(F.greatest(F.count("*") - items, F.lit(0)).alias("omitted"))
+    other = other.where(F.col("n") <= items).withColumn("line", F.concat(F.lit("- "), F.col("source_kind"), F.lit(" "), name))
+    other = other.groupBy("request_id").agg(lines("line", fix).alias("corrections"), lines("line", ~fix).alias("related"))
+    met = requests.join(own, "request_id", "left").join(other, "request_id", "left").join(counts, "request_id", "left")
+    head = F.concat(F.lit("request_id="), F.col("request_id"))
+    part = lambda c: F.when(F.length(c) > 0, F.concat(F.lit(f"{c}:\n"), F.col(c)))
+    found = F.concat_ws("\n", F.concat(head, F.lit(" outcome=matched")), part("corrections"), part("evidence"), part("related"), F.when(F.col("omitted") > 0, F.concat("omitted", F.lit(" related omitted"))), F.when(F.col("truncated"), "incomplete"))
+    context = F.when(F.col("status") == "failed", F.concat(head, F.lit(" status=failed error_code="), F.col("error_code"))).when(F.col("status") != "completed", None).when(F.col("outcome") == "matched", found).otherwise(F.concat(head, F.lit(" outcome="), F.col("outcome")))
+    return met.select("request_id", context.alias("context"))
 
 
 def outcome(status: Column) -> Column:
