@@ -35,7 +35,7 @@ from threadlens.session import table
 from threadlens.work import Workspace
 
 DOMAINS = ("good", "poor", "toxic")
-BEGINNING = 5
+BEGINNING = 9
 #: Measures by the upper ends of their bins; one more bin above the last.
 BINS = {
     "hits": (0.5, 1.5, 2.5),

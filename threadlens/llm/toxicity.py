@@ -1,16 +1,17 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
 A text's severity y in 0..G-1 follows P(y <= g) = logistic(threshold_g - w.x): one weight vector shared by all thresholds, which
-are kept in order at every step. Features are words and word prefixes of four letters
+are kept in order at every step. Features are words and their beginnings (``PREFIXES``)
 hashed into ``2 ** bits`` places, each with its square-rooted count over the text's length term, weighted by rarity in the
 training rows. Weights are fitted by proximal accelerated gradient descent with a fixed number of steps and a sparsity
 penalty, on a sample of about 8000 labelled ids (``sampled``), the ones with the smallest hashes, one text each; every row is
-scored, over its whole text. Places in fewer than ``floor`` sampled rows weigh nothing, a number that doesn't grow with the sample; of the
-others the ``screened`` places whose mean differs most between grade 0 and the rest, for the size of its noise, are fitted. What is
+scored, over its whole text. Fitted are places that stand in ``floor`` sampled rows at least and with
+grades above 0, or apart from them, more surely than the luckiest of so many places would by chance (``evidence``), at most the ``screened`` surest: about
+six toxic rows where a tenth is toxic, however large the sample. What is
 broadcast is the weights, of a size that ``bits`` fixes.
 
-Labels of 0 and 1 become three grades by the evidence in the texts (``graded``): 0 for clean rows, and for toxic ones 1 or 2 by how dense
-the words are that mark toxic rows of the sample.
+Labels of 0 and 1 become three grades by the evidence in the texts (``graded``): 0 for clean rows, and for toxic ones 1 or 2 by how much of
+the text the words are that mark toxic rows of the sample.
 
 Expected severity is the sum over thresholds of P(y > g); a text is flagged where the chance of any grade above 0 is at least 0.5.
 
@@ -34,19 +35,21 @@ from threadlens.llm.places import unused
 from threadlens.session import table
 
 BITS = 18
-PREFIX = 4
+#: Bytes of the beginnings of words that are features.
+PREFIXES = (5, 7, 9)
 
 
 def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, value) of a block's sparse features: words and prefixes, each with the root of its count."""
+    """(text, place, value) of a block's sparse features: words and their beginnings, each with the root of its count."""
     s, e, w = word_spans(data, offsets)
     owner = np.repeat(np.arange(len(w) - 1), np.diff(w))
-    whole = word_hashes(data, s, e)
-    long_ = e - s > PREFIX
-    start = word_hashes(data, s[long_], np.minimum(e, s + PREFIX)[long_]) ^ np.uint64(0x5851F42D4C957F2D)
-    place = (mix(np.concatenate([whole, start])) >> np.uint64(64 - bits)).astype(np.int64)
-    both = np.concatenate([owner, owner[long_]]) << bits | place
-    kinds, n = np.unique(both, return_counts=True)
+    owners, hashes = [owner], [word_hashes(data, s, e)]
+    for n in PREFIXES:
+        long_ = e - s > n
+        owners.append(owner[long_])
+        hashes.append(word_hashes(data, s[long_], s[long_] + n) ^ mix(np.array([n], np.uint64)))
+    place = (mix(np.concatenate(hashes)) >> np.uint64(64 - bits)).astype(np.int64)
+    kinds, n = np.unique(np.concatenate(owners) << bits | place, return_counts=True)
     return kinds >> bits, kinds & ((1 << bits) - 1), np.sqrt(n)
 
 
@@ -54,6 +57,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def evidence(row: np.ndarray, at: np.ndarray, high: np.ndarray, places: int) -> np.ndarray:
+    """How surely each place stands with the rows of ``high``, or apart from them: minus the log of a bound (Chernoff's) on the chance of so uneven a split."""
+    yes, no = (np.bincount(at, high[row] == k, places) for k in (True, False))
+    n, q = yes + no, np.clip(high.mean(), 1e-9, 1 - 1e-9)
+    p = yes / np.maximum(1, n)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return n * (np.where(p > 0, p * np.log(p / q), 0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - q)), 0))
+
+
 def loss_and_slopes(w: np.ndarray, theta: np.ndarray, row: np.ndarray, at: np.ndarray, x: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     """Mean negative log likelihood of the proportional-odds model, and its slopes by weights and thresholds."""
     n, grades = len(grade), len(theta) + 1
@@ -68,7 +80,7 @@ def loss_and_slopes(w: np.ndarray, theta: np.ndarray, row: np.ndarray, at: np.nd
     return -np.log(p).mean(), gw, gc
 
 
-def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, steps: int = 300, sparsity: float = 1.5e-4, screened: int = 4096, floor: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, bits: int = BITS, steps: int = 300, sparsity: float = 3e-5, screened: int = 4096, floor: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) of the proportional-odds model by proximal accelerated gradient."""
     n = len(grade)
     used, at = np.unique(place, return_inverse=True)
@@ -77,14 +89,15 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
     x = value * rarity[at]
     norm = np.sqrt(np.bincount(row, x * x, n)) + 1e-9
     x = x / norm[row]
-    high = (grade > 0)[row]
-    lift = np.bincount(at, np.where(high, x, 0), len(used)) / max(1, (grade > 0).sum()) - np.bincount(at, np.where(high, 0, x), len(used)) / max(1, (grade == 0).sum())
-    lift = np.abs(lift) / (np.sqrt(np.bincount(at, x * x, len(used))) + 1e-9)
-    strong = np.argsort(-lift, kind="stable")[:screened]
+    scale = np.zeros(1 << bits, np.float32)
+    scale[used] = rarity  # of all places: a text's norm is over all of them, when it is scored as when it teaches
+    told = evidence(row, at, grade > 0, len(used)) * (df >= floor)
+    strong = np.argsort(-told, kind="stable")[:screened]
+    strong = strong[told[strong] > np.log(len(used) + 1)]
     to = np.full(len(used), -1)
     to[strong] = np.arange(len(strong))
     inside = to[at] >= 0
-    row, x, at, used, rarity = row[inside], x[inside], to[at[inside]], used[strong], rarity[strong]
+    row, x, at, used = row[inside], x[inside], to[at[inside]], used[strong]
     w, freq = np.zeros(len(used)), np.bincount(grade, minlength=grades) / n
     cum = np.clip(np.cumsum(freq)[:-1], 1e-4, 1 - 1e-4)
 
@@ -95,14 +108,16 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
     u = np.ones(len(used))
     for _ in range(20):  # the largest curvature of the weights bounds their step; two blocks share the bound
         u /= np.linalg.norm(u) + 1e-30
-        u = np.bincount(at, x * np.bincount(row, x * u[at], n)[row], len(used))
+        u = np.bincount(at, x * np.bincount(row, x * u[at], n)[row], len(used)).astype(float)
     rate = n / (np.linalg.norm(u) + 1e-30)
+    # a threshold is moved by the rows of the two grades beside it alone, so its step is as much longer as they are few
+    pace = 0.5 / np.maximum(freq[:-1] + freq[1:], 1e-3)
     v, tv, k, last = w.copy(), theta.copy(), 0, np.inf
     for _ in range(steps):
         loss, gw, gc = loss_and_slopes(v, tv, row, at, x, grade)
         new = v - rate * gw
         new = np.sign(new) * np.maximum(np.abs(new) - rate * sparsity, 0)
-        newt = ordered(tv - 0.5 * gc)
+        newt = ordered(tv - pace * gc)
         loss += sparsity * np.abs(v).sum()
         k = 0 if loss > last else k + 1  # momentum starts anew when it overshoots
         last, m = loss, k / (k + 3)
@@ -110,21 +125,21 @@ def fit(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
         w, theta = new, newt
     weights = np.zeros(1 << bits, np.float32)
     weights[used] = w
-    scale = np.zeros(1 << bits, np.float32)
-    scale[used] = rarity
     return np.stack([weights, scale]), theta
 
 
 def graded(row: np.ndarray, place: np.ndarray, value: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades 0 to 2 of rows labelled 0 or 1: a toxic row is 2 if marking words are at least as dense in it as in half of the toxic rows that have any.
+    """Grades 0 to 2 of rows labelled 0 or 1: a toxic row is 2 if marking words make up as much of it, by the features' own weights, as of half of the toxic rows that have any.
 
-    A place marks if it is in 5 toxic rows at least, and 20 times as frequent in toxic rows as in clean ones.
+    A place marks if it stands with toxic rows more surely than chance has it, and is 20 times as frequent in them as in clean ones.
     """
-    n = len(toxic)
-    yes, no = (np.bincount(place, toxic[row] == k, place.max(initial=0) + 1) for k in (1, 0))
-    marks = (yes >= 5) & (yes / max(1, (toxic == 1).sum()) >= 20 * no / max(1, (toxic == 0).sum()))
-    times = value**2
-    dense = np.bincount(row, times * marks[place], n) / np.maximum(1, np.bincount(row, times, n))
+    n, places = len(toxic), place.max(initial=0) + 1
+    yes, no = (np.bincount(place, toxic[row] == k, places) for k in (1, 0))
+    sure = evidence(row, place, toxic == 1, places) > np.log(len(np.unique(place)) + 1)
+    marks = sure & (yes / max(1, (toxic == 1).sum()) >= 20 * no / max(1, (toxic == 0).sum()))
+    df = np.bincount(place, minlength=places)
+    x = value * np.log((n + 1) / (df + 1))[place]
+    dense = np.bincount(row, x * marks[place], n) / (np.sqrt(np.bincount(row, x * x, n)) + 1e-9)
     some = dense[(toxic == 1) & (dense > 0)]
     return np.where(toxic == 1, 1 + (dense >= np.median(some)) if len(some) else 1, 0)
 
@@ -137,16 +152,17 @@ def sampled(labels: DataFrame, most: int, label: str = "toxic") -> DataFrame:
 
 
 def without_copies(row: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sample without most near copies of its rows, else chance words of a much-copied text would gain weight.
+    """The sample without nearly all near copies of its rows, else chance words of a much-copied text would gain weight.
 
-    A row goes if an earlier one has the same three smallest-hash features, under either of two hash families.
+    A row goes if an earlier one has the same eight smallest-hash features, under any of 24 hash families: one of 0.8 of its features does with a chance of 0.99,
+    one of 0.15 with a chance below 1e-5.
     """
     n = len(grade)
     filled = np.flatnonzero(np.bincount(row, minlength=n))
     at = np.searchsorted(row, filled)
     drop = np.zeros(n, bool)
-    for family in range(2):
-        low = [np.minimum.reduceat(mix(place.astype(np.uint64) + np.uint64(1 << 40) * np.uint64(3 * family + i + 1)), at) for i in range(3)]
+    for family in range(24):
+        low = [np.minimum.reduceat(mix(place.astype(np.uint64) + np.uint64(1 << 40) * np.uint64(8 * family + i + 1)), at) for i in range(8)]
         _, first = np.unique(np.stack(low, axis=1), axis=0, return_index=True)
         again = np.ones(len(filled), bool)
         again[first] = False
