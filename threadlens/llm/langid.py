@@ -92,7 +92,7 @@ def bound(kinds: np.ndarray, dims: int) -> np.ndarray:
     return np.roll(base, 2, axis=1)[at[:, 0]] * np.roll(base, 1, axis=1)[at[:, 1]] * base[at[:, 2]]
 
 
-def kind_steps(kinds: np.ndarray, step: int = 4096) -> Iterator[slice]:
+def kind_steps(kinds: np.ndarray, step: int = 2048) -> Iterator[slice]:
     for i in range(0, len(kinds), step):
         yield slice(i, i + step)
 
@@ -105,7 +105,7 @@ def prototypes(docs: DataFrame, text: str, lang: str, dims: int = DIMS, most: in
         for batch in batches:
             langs_all = batch.column(1).to_pylist()
             _, offsets = text_views(batch.column(0))
-            for a, b in blocks(offsets, 2 << 20):
+            for a, b in blocks(offsets, 1 << 20):
                 owner, code, kinds = trigrams(batch.column(0).slice(a, b - a).to_pylist())
                 names = sorted(set(langs_all[a:b]))
                 if not len(kinds):
@@ -150,7 +150,7 @@ def identified(docs: DataFrame, names: list[str], protos: np.ndarray, text: str
         for batch in batches:
             column = batch.column(len(kept))
             _, offsets = text_views(column)
-            for a, b in blocks(offsets, 2 << 20):
+            for a, b in blocks(offsets, 1 << 20):
                 owner, code, kinds = trigrams(column.slice(a, b - a).to_pylist())
                 pred, score = np.full(b - a, len(names)), np.zeros(b - a)
                 if len(names) and len(kinds):
