@@ -135,7 +135,7 @@ def solved(m: list[list[float]], b: list[float]) -> list[float]:
     return x
 
 
-def rates(groups: DataFrame, work: Workspace, targets: dict[str, float] | None, shares: dict[str, float] | None = None, most: float | None = None, near: float = 1e-6, flat: float = 1e-2, steps: int = 2000) -> tuple[DataFrame, float]:
+def rates(groups: DataFrame, work: Workspace, targets: dict[str, float] | None, shares: dict[str, float] | None = None, most: float | None = None, near: float = 1e-6, flat: float = 0.1, steps: int = 2000) -> tuple[DataFrame, float]:
     """``groups`` (tokens, posteriors, n documents each) with ``rate``, and the largest gap as a share of all tokens.
 
     ``targets`` are shares of all tokens, or ``shares`` are parts of what a domain holds by expectation.
