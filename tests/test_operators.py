@@ -1,6 +1,7 @@
 """Operators whose decisions SQL can't state: folds, bounded traversals, streams, sources."""
 
 import json
+import math
 import os
 
 import numpy as np
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from threadlens import registry
 from threadlens.functions import vectors
-from threadlens.operators import folds, graph, judging, queue, results
+from threadlens.operators import aggregates, folds, graph, judging, queue, results
 from threadlens.operators import joins as op
-from threadlens.sources import sinks, transcripts
+from threadlens.sources import sinks, tail, transcripts
 from threadlens.streaming import ingest
 
 
@@ -215,3 +216,29 @@ def test_results_are_saved_only_for_unchanged_inputs(spark):
     inputs = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "input_id int, current_revision int")
     got = {r["request_id"]: (r["status"], r["outcome"]) for r in results.saved(asked, found, inputs).collect()}
     assert got == {1: ("completed", "matched"), 2: ("expired", None), 3: ("queued", None), 4: ("expired", None)}
+
+
+def test_percentiles_of_skewed_groups(spark):
+    rng = np.random.default_rng(1)
+    rows = [("a", float(x)) for x in rng.normal(size=500)] + [("b", 1.0)] * 40 + [("b", 5.0)] + [("c", None), ("c", -2.0)] + [(None, float(x)) for x in range(10)] + [("d", float(10**x)) for x in range(12)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    for fraction in (0.0, 0.5, 0.95, 1.0):
+        got = {r["k"]: r["p"] for r in aggregates.percentiles(df, ["k"], "v", fraction, "p", bins=8).collect()}
+        own = {}
+        for k, v in rows:
+            own.setdefault(k, []).extend([] if v is None else [v])
+        assert got == {k: sorted(v)[max(1, math.ceil(fraction * len(v))) - 1] for k, v in own.items()}
+
+
+def test_tail_reads_on_from_its_cursor(spark, tmp_path):
+    path = tmp_path / "a.jsonl"
+    path.write_bytes(b"one\ntwo\nthr")
+    reader = tail.TailReader(str(tmp_path / "*.jsonl"))
+    rows, first = reader.read(reader.initialOffset())
+    assert [r[1:] for r in rows] == [(0, "one", ""), (4, "two", "")]
+    path.write_bytes(b"one\ntwo\nthree\n\xff\nfour\n")
+    rows, second = reader.read(first)
+    assert [r[1:] for r in rows] == [(8, "three", ""), (14, None, "not_utf8"), (16, "four", "")]
+    assert list(reader.readBetweenOffsets(first, second)) == [(str(path), 8, "three", ""), (str(path), 14, None, "not_utf8"), (str(path), 16, "four", "")]
+    path.write_bytes(b"new\n")
+    assert [r[1:] for r in reader.read(second)[0]] == [(0, "new", "")]

@@ -29,6 +29,29 @@ def nearest_rank(fraction: float, column: str) -> Column:
     return F.round(F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {column})"), 3)
 
 
+def percentiles(df: DataFrame, keys: list[str], column: str, fraction: float, name: str, bins: int = 1024) -> DataFrame:
+    """(keys, ``name``): exactly what ``percentile`` says, of groups of any size, nulls left out.
+
+    Three small aggregates: the range of each group, how many values lie in each of its bins, and the distinct values with their counts in the one
+    bin that holds the wanted rank. So a task holds the values of a bin at most, and each once.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("__v"))
+    ends = rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.count("*").alias("__n"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    met = lambda a, b, *more: a.alias("a").join(b.alias("b"), [*same, *more]) if keys or more else a.alias("a").crossJoin(b.alias("b"))
+    low, high = F.col("b.__low").cast("double"), F.col("b.__high").cast("double")
+    place = F.when(high == low, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("a.__v").cast("double") - low) / (high - low) * bins)))
+    binned = met(rows, ends).select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.__v", place.cast("int").alias("__bin"), "b.__n")
+    counts = binned.groupBy(*keys, "__bin", "__n").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__bin"))
+    want = F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("__n")))
+    there = counts.withColumn("__to", upto).withColumn("__want", want).where((F.col("__to") >= F.col("__want")) & (F.col("__to") - F.col("__c") < F.col("__want")))
+    there = there.select(*keys, "__bin", (F.col("__want") - F.col("__to") + F.col("__c")).alias("__left"))
+    values = met(binned, there, F.col("a.__bin") == F.col("b.__bin")).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.__v").alias("__v"), F.col("b.__left").alias("__left")).agg(F.count("*").alias("__c"))
+    reached = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__v"))
+    return values.withColumn("__to", reached).where(F.col("__to") >= F.col("__left")).groupBy(*keys).agg(F.min("__v").alias(name))
+
+
 def recent(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The latest ``n`` rows."""
     return df.orderBy(*order).limit(n)

@@ -22,8 +22,8 @@ def _terms(spark, d):
 
 
 def having(spark, d):
-    asked = [r[0] for r in table(spark, d, "part").orderBy("p_partkey").limit(1).select("p_name").collect()][0].split(" ")
-    return _terms(spark, d).where(F.col("term").isin(*asked)).groupBy("p_partkey").agg(F.count_distinct("term").alias("matched_terms")).where(F.col("matched_terms") >= 2)
+    asked = table(spark, d, "part").orderBy("p_partkey").limit(1).select(F.explode(F.split("p_name", " ")).alias("term")).distinct()
+    return _terms(spark, d).join(asked, "term", "left_semi").groupBy("p_partkey").agg(F.count_distinct("term").alias("matched_terms")).where(F.col("matched_terms") >= 2)
 
 
 def count_filter(spark, d):
@@ -36,7 +36,8 @@ def count_filter_exists(spark, d):
 
 
 def percentile_disc(spark, d):
-    return samples(spark, d).groupBy("status").agg(op.percentile(0.5, "duration_ms").alias("p50"), op.percentile(0.95, "duration_ms").alias("p95"))
+    half, most = (op.percentiles(samples(spark, d), ["status"], "duration_ms", fraction, name) for fraction, name in ((0.5, "p50"), (0.95, "p95")))
+    return half.join(most, "status")
 
 
 def percentile_recent(spark, d):
@@ -45,7 +46,8 @@ def percentile_recent(spark, d):
 
 
 def percentile_nearest_rank(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(op.nearest_rank(0.95, "l_extendedprice").alias("p95"))
+    found = op.percentiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.95, "p95")
+    return found.select("l_returnflag", F.round("p95", 3).alias("p95"))
 
 
 def mean_min(spark, d):

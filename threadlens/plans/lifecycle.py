@@ -25,7 +25,7 @@ def build_view(spark, d):
 
 
 def lookup(spark, d):
-    asked = spark.range(0, 3000, 100).select(F.col("id").alias("o_orderkey"))
+    asked = table(spark, d, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber") % 2 * F.col("l_partkey")).alias("o_orderkey")).distinct()
     return asked.join(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "left").select("o_orderkey", F.coalesce("o_orderstatus", F.lit("not_received")).alias("status"))
 
 
@@ -178,7 +178,7 @@ QUERIES = {
 ORACLES = {
     "vw.revalidate_matches": cte("messages", "relations") + ", e AS (SELECT message_id AS request_id, unnest([(session_id + 1) % 100 * 1000 + 1, message_id + 1]) AS mid FROM messages WHERE role = 'user') SELECT request_id, count(*) FILTER (WHERE mid IN (SELECT message_id FROM messages) AND mid NOT IN (SELECT to_id FROM relations WHERE relation = 'revoke')) AS valid, count(*) AS evidence FROM e GROUP BY 1",
     "vw.build_view": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 50 <= 10 THEN 'expired' WHEN o_orderstatus = 'F' THEN 'completed' ELSE 'running' END AS status, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 4 <> 0 THEN 'matched' ELSE 'no_match' END AS outcome FROM orders",
-    "vw.lookup": "SELECT range AS o_orderkey, coalesce(o_orderstatus, 'not_received') AS status FROM range(0, 3000, 100) LEFT JOIN orders ON o_orderkey = range",
+    "vw.lookup": "WITH a AS (SELECT DISTINCT l_orderkey + l_linenumber % 2 * l_partkey AS k FROM lineitem) SELECT k AS o_orderkey, coalesce(o_orderstatus, 'not_received') AS status FROM a LEFT JOIN orders ON o_orderkey = k",
     "rq.create": cte("messages") + """, a AS (SELECT message_id, message_id % 1000 AS key, text || CASE WHEN message_id % 3 = 0 THEN '?' ELSE '' END AS q, message_id % 5 = 0 AS fn, message_id % 7 = 0 AS po FROM messages WHERE role = 'user'), f AS (SELECT key, arg_min((q, fn, po), message_id) AS was, min(message_id) AS first_id FROM a GROUP BY 1)
         SELECT message_id, CASE WHEN message_id <> first_id THEN CASE WHEN was = (q, fn, po) THEN 'repeated' ELSE 'conflict' END WHEN message_id % 3 <> 0 AND NOT fn AND NOT po THEN 'reuse_auto' ELSE 'new_manual' END AS decision FROM a JOIN f USING (key)""",
     "rq.route": "SELECT event_id, CASE WHEN event_type = 'view' THEN 'skip' WHEN event_type = 'click' AND user_id % 2 = 0 AND value > 5 THEN 'reuse' ELSE 'new_search' END AS route FROM events",

@@ -21,13 +21,23 @@ def vector(spark, d):
 
 def entity(spark, d):
     docs = table(spark, d, "pages").select(F.col("page_id").alias("document_id"), F.explode(identifiers.extract_entities(F.concat(F.lit("see f"), F.col("page_id") % 17, F.lit(".py and PR #"), F.col("page_id") % 5))).alias("e")).select("document_id", "e.*")
-    asked = spark.range(20).select(F.col("id").alias("request_id"), F.explode(identifiers.extract_entities(F.concat(F.lit("why f"), F.col("id"), F.lit(".py? PR #"), F.col("id") % 7))).alias("e")).select("request_id", "e.*")
+    n = F.col("n_nationkey")
+    asked = table(spark, d, "nation").select(n.cast("long").alias("request_id"), F.explode(identifiers.extract_entities(F.concat(F.lit("why f"), n, F.lit(".py? PR #"), n % 7))).alias("e")).select("request_id", "e.*")
     hits = docs.join(asked, ["entity_type", "entity_key"]).select("request_id", "document_id").distinct()
     return op.top_per_key(hits, ["request_id"], [F.col("document_id")], ordering.ENTITY_LIMIT)
 
 
 def strategy(spark, d):
-    return ordering.strategy(spark, d)
+    """Messages that share at least two strategy terms with an input of the same project, without its own session's later ones; terms that say nothing don't count."""
+    m = messages(spark, d).select("message_id", "session_id", "sequence_no", "role", (F.col("session_id") % 5).alias("project_id"))
+    value = lambda n, names: F.element_at(F.array(*map(F.lit, names)), (F.col("message_id") % n + 1).cast("int"))
+    axes = [("state_hazard", value(3, ("race", "stale", "none"))), ("consistency_strategy", value(5, ("lock", "version", "queue", "unknown", "merge"))), ("lifecycle_strategy", value(7, ("expire", "retry", "none", "rebuild", "pin", "swap", "none")))]
+    each = m.select("message_id", "session_id", "sequence_no", "role", "project_id", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), c.alias("choice")) for a, c in axes])).alias("x"))
+    terms = each.where(~F.col("x.choice").isin("none", "unknown")).select("message_id", "session_id", "sequence_no", "role", "project_id", F.concat_ws(":", "x.axis", "x.choice").alias("term"))
+    asked = terms.where("role = 'user' AND message_id % 7 = 0").select(F.col("message_id").alias("request_id"), F.col("session_id").alias("own"), F.col("sequence_no").alias("input_no"), "project_id", "term")
+    hits = asked.join(terms, ["project_id", "term"]).where("NOT (session_id = own AND sequence_no >= input_no)")
+    hits = hits.groupBy("request_id", F.col("message_id").alias("document_id")).agg(F.count("*").alias("matched_terms")).where("matched_terms >= 2")
+    return op.top_per_key(hits, ["request_id"], [F.col("matched_terms").desc(), F.col("document_id")], ordering.STRATEGY_LIMIT)
 
 
 def _turn_requests(spark, d):
@@ -133,7 +143,7 @@ def _links(spark, d):
 
 
 def links(spark, d):
-    starts = spark.range(0, 90, 9).select(F.col("id").alias("request_id"), F.col("id").alias("node"))
+    starts = table(spark, d, "nation").where("n_nationkey < 10").select((F.col("n_nationkey").cast("long") * 9).alias("request_id"), (F.col("n_nationkey").cast("long") * 9).alias("node"))
     return graph.bounded_bfs(_links(spark, d), starts, 3, 10_000).select("request_id", "node", "hop")
 
 
@@ -203,7 +213,8 @@ def project(spark, d):
 
 
 def search_eval(spark, d):
-    cases = spark.range(50).select(F.col("id").alias("request_id"), F.array(F.col("id") * 7 % 40, F.col("id") * 11 % 40).alias("expected"))
+    key = F.col("c_custkey")
+    cases = table(spark, d, "customer").select((key % 50).alias("request_id"), F.array(key * 7 % 40, key * 11 % 40).alias("expected")).groupBy("request_id").agg(F.array_distinct(F.flatten(F.collect_set("expected"))).alias("expected"))
     hit = cases.select("request_id", F.explode("expected").alias("document_id")).join(rrf(spark, d).select("request_id", "document_id", "rank"), ["request_id", "document_id"], "left")
     per = hit.groupBy("request_id").agg(F.min("rank").alias("position"))
     return per.agg(F.count("*").alias("total"), F.count("position").alias("hits"))
@@ -230,8 +241,10 @@ _RESULT = _J + """, asd AS (SELECT *, document_id % 3 <> 1 AS valid, CASE WHEN d
       FROM ce LEFT JOIN mt ON mt.request_id = ce.request_id LEFT JOIN wa ON wa.request_id = ce.request_id LEFT JOIN ix ON ix.project_id = ce.request_id % 7)"""
 
 ORACLES = {
-    "rt.entity": "WITH h AS (SELECT DISTINCT q.range AS request_id, page_id AS document_id FROM pages, range(20) q WHERE page_id % 17 = q.range OR page_id % 5 = q.range % 7), n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY document_id))::INT AS rank FROM h) SELECT * FROM n WHERE rank <= 20",
-    "rt.strategy": ordering.ORACLES["top.strategy"],
+    "rt.entity": "WITH h AS (SELECT DISTINCT q.n_nationkey AS request_id, page_id AS document_id FROM pages, nation q WHERE page_id % 17 = q.n_nationkey OR page_id % 5 = q.n_nationkey % 7), n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY document_id))::INT AS rank FROM h) SELECT request_id::BIGINT AS request_id, document_id, rank FROM n WHERE rank <= 20",
+    "rt.strategy": cte("messages") + """, t AS (SELECT *, session_id % 5 AS p, list_filter(['state_hazard:' || ['race', 'stale', 'none'][message_id % 3 + 1], 'consistency_strategy:' || ['lock', 'version', 'queue', 'unknown', 'merge'][message_id % 5 + 1], 'lifecycle_strategy:' || ['expire', 'retry', 'none', 'rebuild', 'pin', 'swap', 'none'][message_id % 7 + 1]], lambda x: x NOT LIKE '%:none' AND x NOT LIKE '%:unknown') AS terms FROM messages),
+        h AS (SELECT a.message_id AS request_id, b.message_id AS document_id, len(list_intersect(a.terms, b.terms)) AS matched_terms FROM t a JOIN t b USING (p) WHERE a.role = 'user' AND a.message_id % 7 = 0 AND NOT (b.session_id = a.session_id AND b.sequence_no >= a.sequence_no)),
+        n AS (SELECT *, (row_number() OVER (PARTITION BY request_id ORDER BY matched_terms DESC, document_id))::INT AS rank FROM h WHERE matched_terms >= 2) SELECT request_id, document_id, matched_terms::BIGINT AS matched_terms, rank FROM n WHERE rank <= 10""",
     "rt.provenance": _DERIVED + ", o AS (SELECT derived_id, unnest([(session_id + 1) % 100 * 1000 + 1, (session_id + 2) % 100 * 1000 + 3]) AS document_id FROM dv WHERE session_id % 2 = 0) SELECT DISTINCT derived_id, document_id FROM o WHERE document_id <> derived_id AND document_id IN (SELECT message_id FROM messages)",
     "rt.rrf": _TOP10 + " SELECT request_id, document_id, rank, round(rrf, 9) AS rrf, n_kinds FROM t",
     "rt.primary_only": _DERIVED + " SELECT message_id AS document_id FROM messages WHERE message_id NOT IN (SELECT derived_id FROM dv)",
@@ -259,7 +272,7 @@ ORACLES = {
         SELECT message_id AS item_id, request_id, kind, CASE WHEN kind = 'correction' THEN still END AS still FROM v WHERE kind IN ('neighbor', 'inferred_session_link') OR (kind = 'correction' AND still IS NOT NULL) OR (kind = 'explicit_session_link' AND message_id % 7 <> 3)""",
     "an.index": "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_max([abs(x) FOR x IN embedding::DOUBLE[]]) AS top FROM embeddings) SELECT vec_id AS document_id, label AS project_id, array_to_string([round(127 * x / greatest(top, 1e-30))::INT FOR x IN v], ',') AS code FROM e",
     "mt.project": cte("samples", "docs") + ", n AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, event_id DESC) AS r FROM samples), v AS (SELECT project_id, count(*) AS samples, quantile_disc(duration_ms, 0.95) AS p95 FROM n WHERE r <= 200 GROUP BY 1), c AS (SELECT project_id, count(*) AS documents FROM docs GROUP BY 1) SELECT v.project_id, samples, p95, coalesce(documents, 0) AS documents, (samples >= 50 AND p95 > 100) OR coalesce(documents, 0) > 20000 AS use_index, samples < 50 AS insufficient_samples FROM v LEFT JOIN c ON c.project_id = v.project_id",
-    "ev.search_eval": _TOP10 + ", e AS (SELECT range AS request_id, unnest([range * 7 % 40, range * 11 % 40]) AS document_id FROM range(50)), p AS (SELECT request_id, min(rank) AS position FROM e LEFT JOIN t USING (request_id, document_id) GROUP BY 1) SELECT count(*) AS total, count(position) AS hits FROM p",
+    "ev.search_eval": _TOP10 + ", e AS (SELECT c_custkey % 50 AS request_id, unnest([c_custkey * 7 % 40, c_custkey * 11 % 40]) AS document_id FROM customer), p AS (SELECT request_id, min(rank) AS position FROM e LEFT JOIN t USING (request_id, document_id) GROUP BY 1) SELECT count(*) AS total, count(position) AS hits FROM p",
     "rt.vector": ordering.DISTINCT + " SELECT query_id, count(*) AS rows, max(rank) AS last_rank FROM kept GROUP BY 1",
     "rt.collapse": ordering.SIMILAR_SQL + """, st AS (SELECT query_id, rank, [document_id] AS kept FROM s WHERE rank = 1
         UNION ALL SELECT s.query_id, s.rank, CASE WHEN slot IS NULL THEN list_append(kept, s.document_id)

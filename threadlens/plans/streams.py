@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import chunking
+from threadlens.operators import filters, lifecycle, queue
 from threadlens.operators import joins as op
-from threadlens.operators import queue
 from threadlens.operators.ingest import ingested
 from threadlens.plans.base import cte, messages, relations
 from threadlens.session import table
@@ -109,21 +110,32 @@ def incremental_build(spark, d):
 
 
 def late_data(spark, d):
+    """Sequence numbers in any order of arrival: all are taken, nothing waits for the missing ones."""
     e = _events(spark, d).withColumn("sequence_no", F.col("event_id") * 7919 % 10007)
-    return e.groupBy("user_id").agg(F.min_by("event_id", "sequence_no").alias("first"), F.max_by("event_id", "sequence_no").alias("last"))
+    gaps = F.max("sequence_no") - F.min("sequence_no") + 1 - F.count_distinct("sequence_no")
+    late = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) != F.row_number().over(Window.partitionBy("user_id").orderBy("sequence_no", "event_id"))
+    return e.withColumn("late", late).groupBy("user_id").agg(F.min_by("event_id", "sequence_no").alias("first"), F.max_by("event_id", "sequence_no").alias("last"), gaps.alias("missing"), F.count_if("late").alias("out_of_place"))
 
 
 def input_age(spark, d):
-    return _events(spark, d).where("value <= 10").groupBy("event_type").agg(F.count("*").alias("fresh"))
+    """Inputs that are searched for: those of users that arrive within ten minutes of when they were written."""
+    rows = _events(spark, d).select("event_id", (F.col("event_type") != "error").alias("user"), F.col("ts").cast("timestamp").alias("occurred"), (F.col("ts").cast("timestamp") + F.make_dt_interval(mins=F.col("value").cast("int"))).alias("received"))
+    return rows.select("event_id", (F.col("user") & filters.fresh(F.col("occurred"), F.col("received"))).alias("searched"))
 
 
 def expire(spark, d):
-    m = messages(spark, d).withColumn("current", F.when(F.col("message_id") % 6 == 0, 2).otherwise(1))
-    return m.select("message_id", F.when(F.col("current") != 1, "expired").otherwise("pending").alias("status"))
+    """Running requests whose input was revised or removed since, or whose time is over, read as expired."""
+    m = messages(spark, d).select("message_id", F.lit("running").alias("status"), F.lit(1).alias("revision"), F.col("sequence_no").alias("expires_at"))
+    now = messages(spark, d).where("message_id % 11 <> 0").select("message_id", F.when(F.col("message_id") % 6 == 0, 2).otherwise(1).alias("current"))
+    met = m.join(now, "message_id", "left")
+    return met.select("message_id", lifecycle.view_status(F.col("status"), F.col("expires_at"), F.col("revision"), F.col("current"), F.lit(2)).alias("status"))
 
 
 def fast_late_notify(spark, d):
-    return _events(spark, d).groupBy("key").agg(F.min("event_id").alias("delivered"), F.when(F.min("value") <= 5, "fast").otherwise("late").alias("path"))
+    """Orders' lines as polls for the orders' results, by two pollers; each result is told once, soon or late."""
+    done = table(spark, d, "orders").select(F.col("o_orderkey").alias("request_id"), F.lit(0).alias("asked_at"), (F.col("o_orderkey") * 13 % 90).alias("finished_at"))
+    polls = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("request_id"), (F.col("l_partkey") % 2).alias("poller"), (F.col("l_linenumber") * F.col("l_suppkey") % 80).alias("polled_at"))
+    return ing.deliveries(done, polls)
 
 
 LANES = {"search": ("route_search", "execute_search"), "external": ("classify_message", "build_documents", "judge_continuity")}
@@ -181,10 +193,10 @@ ORACLES = {
     "stm.recover_builds": "SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') ORDER BY c_acctbal, c_custkey LIMIT 100",
     "stm.dirty_tracking": cte("messages", "relations") + " SELECT session_id, min(sequence_no) AS dirty_sequence FROM messages WHERE message_id IN (SELECT to_id FROM relations) GROUP BY 1",
     "stm.incremental_build": cte("messages") + ", c AS (SELECT session_id, min(sequence_no) AS s FROM messages WHERE message_id % 5 = 0 GROUP BY 1), t AS (SELECT session_id, max(sequence_no) - 3 AS t FROM messages WHERE session_id % 3 <> 0 GROUP BY 1) SELECT c.session_id, CASE WHEN t IS NOT NULL AND s > t THEN 'append' ELSE 'rebuild' END AS mode, true AS as_rebuilt FROM c LEFT JOIN t ON t.session_id = c.session_id",
-    "stm.late_data": "SELECT user_id, arg_min(event_id, event_id * 7919 % 10007) AS first, arg_max(event_id, event_id * 7919 % 10007) AS last FROM events GROUP BY 1",
-    "stm.input_age": "SELECT event_type, count(*) AS fresh FROM events WHERE value <= 10 GROUP BY 1",
-    "stm.expire": cte("messages") + " SELECT message_id, CASE WHEN message_id % 6 = 0 THEN 'expired' ELSE 'pending' END AS status FROM messages",
-    "stm.fast_late_notify": _E + " SELECT key, min(event_id) AS delivered, CASE WHEN min(value) <= 5 THEN 'fast' ELSE 'late' END AS path FROM e GROUP BY 1",
+    "stm.late_data": "WITH e AS (SELECT event_id, user_id, event_id * 7919 % 10007 AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS a, row_number() OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 10007, event_id) AS b FROM events) SELECT user_id, arg_min(event_id, s) AS first, arg_max(event_id, s) AS last, max(s) - min(s) + 1 - count(DISTINCT s) AS missing, count(*) FILTER (WHERE a <> b) AS out_of_place FROM e GROUP BY 1",
+    "stm.input_age": "SELECT event_id, event_type <> 'error' AND trunc(value) <= 10 AS searched FROM events",
+    "stm.expire": cte("messages") + " SELECT message_id, CASE WHEN message_id % 11 = 0 OR message_id % 6 = 0 OR sequence_no <= 2 THEN 'expired' ELSE 'running' END AS status FROM messages",
+    "stm.fast_late_notify": "WITH p AS (SELECT l_orderkey AS request_id, l_partkey % 2 AS poller, l_linenumber * l_suppkey % 80 AS polled FROM lineitem), f AS (SELECT request_id, min((polled, poller)) AS c FROM p WHERE polled >= request_id * 13 % 90 GROUP BY 1) SELECT request_id, c[2] AS poller, CASE WHEN c[1] <= 5 THEN 'fast' ELSE 'late' END AS path FROM f WHERE c[1] <= 60",
     "stm.lanes": JOBS + " SELECT * FROM (SELECT 'search' AS lane, id, kind FROM claimable WHERE kind = 'route_search' ORDER BY priority DESC, created_at, id LIMIT 1) UNION ALL SELECT * FROM (SELECT 'external' AS lane, id, kind FROM claimable WHERE kind <> 'route_search' ORDER BY priority DESC, created_at, id LIMIT 1)",
     "stm.backoff_queue": "SELECT event_id, least(300.0::DOUBLE, 30 * pow(2.0, event_id % 7)) AS delay FROM events",
 }

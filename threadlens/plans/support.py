@@ -47,7 +47,8 @@ def request_rows(spark, d):
 
 
 def result_parts(spark, d):
-    j = spark.range(200).select(F.col("id").alias("request_id"), F.when(F.col("id") % 3 == 0, "completed").otherwise("failed").alias("status"), F.when(F.col("id") % 2 == 0, "matched").otherwise("no_match").alias("outcome"), F.sequence(F.lit(1), (F.col("id") % 4 + 1).cast("int")).alias("matches"))
+    id_ = F.col("o_orderkey")
+    j = table(spark, d, "orders").select(id_.alias("request_id"), F.when(id_ % 3 == 0, "completed").otherwise("failed").alias("status"), F.when(id_ % 2 == 0, "matched").otherwise("no_match").alias("outcome"), F.sequence(F.lit(1), (id_ % 4 + 1).cast("int")).alias("matches"))
     done = F.col("status") == "completed"
     return j.select("request_id", F.when(done & (F.col("outcome") == "matched"), F.size("matches")).otherwise(0).alias("n_matches"), done.alias("has_warnings"))
 
@@ -209,7 +210,7 @@ def reuse_evidence(spark, d):
 
 
 def eval_seed(spark, d):
-    cases = spark.range(30).select(F.col("id").alias("case_id"), (F.col("id") * 3 % 100).alias("session_id"))
+    cases = table(spark, d, "supplier").select(F.col("s_suppkey").alias("case_id"), (F.col("s_suppkey") * 3 % 100).alias("session_id"))
     return cases.join(messages(spark, d).select("session_id", "message_id"), "session_id").groupBy("case_id").agg(F.count("*").alias("sources"))
 
 
@@ -262,7 +263,7 @@ ORACLES = {
     "sp.auto_request": cte("messages") + " SELECT message_id, 'initial-v1' AS policy_version FROM messages WHERE role = 'user' AND sequence_no * 200 <= 600",
     "sp.link_evidence": cte("messages") + " SELECT message_id, session_id, sha256('{\"from\":' || range || ',\"to\":' || range + 1 || '}') AS condition_hash FROM range(80) JOIN messages ON message_id = range * 1000 + 1",
     "sp.request_rows": "SELECT a.o_orderkey, b.o_orderkey AS origin_id FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey - 40 AND a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus",
-    "sp.result_parts": "SELECT range AS request_id, CASE WHEN range % 3 = 0 AND range % 2 = 0 THEN (range % 4 + 1)::INT ELSE 0 END AS n_matches, range % 3 = 0 AS has_warnings FROM range(200)",
+    "sp.result_parts": "SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN (o_orderkey % 4 + 1)::INT ELSE 0 END AS n_matches, o_orderkey % 3 = 0 AS has_warnings FROM orders",
     "sp.input_valid": "SELECT o_orderkey, o_orderkey % 10 <> 0 AND o_orderkey % 15 <> 0 AS valid FROM orders",
     "sp.relation_tuples": cte("messages", "relations") + " SELECT message_id, coalesce(to_id, message_id - 1) AS target_id FROM messages LEFT JOIN relations ON from_id = message_id",
     "sp.assign_guard": cte("messages") + " SELECT message_id, 'API_KEY=' || ['[REDACTED:jwt]', '$HOME', '${X_Y}', '[REDACTED:env_value]'][sequence_no % 4 + 1] AS text FROM messages",
@@ -292,7 +293,7 @@ ORACLES = {
     "sp.run_state": "SELECT o_custkey, max(o_orderkey) AS o_orderkey, CASE arg_max(o_orderstatus, o_orderkey) WHEN 'P' THEN 'resume' ELSE 'wait' END AS action FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1",
     "sp.continuity_job": cte("messages") + " SELECT session_id, min(message_id) AS trigger FROM messages GROUP BY 1",
     "sp.reuse_evidence": cte("messages") + " SELECT message_id, message_id % 4 >= 2 AS reusable FROM messages",
-    "sp.eval_seed": cte("messages") + " SELECT range AS case_id, count(*) AS sources FROM range(30) JOIN messages ON session_id = range * 3 % 100 GROUP BY 1",
+    "sp.eval_seed": cte("messages") + " SELECT s_suppkey AS case_id, count(*) AS sources FROM supplier JOIN messages ON session_id = s_suppkey * 3 % 100 GROUP BY 1",
     "sp.known_secrets": "SELECT * FROM (VALUES ('good', ''), ('short', 'secret_length'), ('twice', 'duplicate_secret')) t(name, problems)",
     "sp.atoms": "SELECT doc_id, length(text)::INT AS covered, true AS within FROM documents",
     "sp.collector_state": "SELECT user_id, max(event_id) AS cursor, count(DISTINCT event_type) AS versions FROM events GROUP BY 1",

@@ -39,32 +39,33 @@ def still_valid(cursor: Cursor, inode: int, size: int, head: bytes) -> bool:
     return cursor.inode == inode and size >= cursor.offset and len(head) >= cursor.head_size and same
 
 
-def scan(content: bytes, cursor: Cursor, budget: int = SCAN_BYTES, longest: int = LINE_BYTES) -> tuple[list[tuple[int, str | None, str]], Cursor]:
-    """Finished lines after the cursor as (offset, text, problem) and the new cursor.
+def scan(content: bytes, cursor: Cursor, budget: int = SCAN_BYTES, longest: int = LINE_BYTES, base: int = 0, head: bytes | None = None) -> tuple[list[tuple[int, str | None, str]], Cursor]:
+    """Finished lines after the cursor as (offset, text, problem) and the new cursor. ``content`` begins at the file's byte ``base``, the file with ``head``.
 
     A line beyond ``longest`` bytes is skipped and reported once, across scans if need be; bytes that aren't UTF-8 are
     reported without text; a line without its end stays for the next scan. At most ``budget`` bytes are looked at.
     """
     out: list[tuple[int, str | None, str]] = []
-    at, end, skipping = cursor.offset, min(len(content), cursor.offset + budget), cursor.skipping
+    at, skipping = cursor.offset - base, cursor.skipping
+    end = min(len(content), at + budget)
     while at < end:
         stop = content.find(b"\n", at, end)
         if stop < 0:
             if skipping or end - at > longest:
-                out += [] if skipping else [(at, None, "too_long")]
+                out += [] if skipping else [(at + base, None, "too_long")]
                 at, skipping = end, True
             break
         line, start, at = content[at:stop], at, stop + 1
         if skipping:
             skipping = False
         elif len(line) > longest:
-            out.append((start, None, "too_long"))
+            out.append((start + base, None, "too_long"))
         else:
             try:
-                out.append((start, line.decode("utf-8"), ""))
+                out.append((start + base, line.decode("utf-8"), ""))
             except UnicodeDecodeError:
-                out.append((start, None, "not_utf8"))
-    return out, Cursor(at, skipping, cursor.inode, *fingerprint(content))
+                out.append((start + base, None, "not_utf8"))
+    return out, Cursor(at + base, skipping, cursor.inode, *fingerprint(content if head is None else head))
 
 
 class TailReader(SimpleDataSourceStreamReader):
@@ -80,13 +81,14 @@ class TailReader(SimpleDataSourceStreamReader):
         rows, files = [], dict(start["files"])
         for path in sorted(glob.glob(self.pattern)):
             with open(path, "rb") as f:
-                content = f.read()
-            state = os.stat(path)
-            cursor = Cursor(**files[path]) if path in files else Cursor(inode=state.st_ino)
-            if path in files and not still_valid(cursor, state.st_ino, len(content), content[:HEAD_BYTES]):
-                cursor = Cursor(inode=state.st_ino)
-            stop = (until or {}).get("files", {}).get(path)
-            lines, after = scan(content[: stop["offset"]] if stop else content, cursor)
+                head, state = f.read(HEAD_BYTES), os.fstat(f.fileno())
+                cursor = Cursor(**files[path]) if path in files else Cursor(inode=state.st_ino)
+                if path in files and not still_valid(cursor, state.st_ino, state.st_size, head):
+                    cursor = Cursor(inode=state.st_ino)
+                stop = (until or {}).get("files", {}).get(path)
+                f.seek(cursor.offset)  # what was read before is not read again
+                content = f.read(max(0, min(SCAN_BYTES, stop["offset"] - cursor.offset)) if stop else SCAN_BYTES)
+            lines, after = scan(content, cursor, base=cursor.offset, head=head)
             rows += [(path, at, text, problem) for at, text, problem in lines]
             files[path] = asdict(after)
         return rows, {"files": files}

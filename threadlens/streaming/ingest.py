@@ -57,6 +57,21 @@ def needs_build(dirty: DataFrame, through: DataFrame, session: str) -> DataFrame
     return met.withColumn("mode", F.when(F.col("through_sequence").isNotNull() & (F.col("dirty_sequence") > F.col("through_sequence")), "append").otherwise("rebuild"))
 
 
+#: Fixed: seconds within which a notice goes the fast way, and after which it goes no more.
+FAST, LATE = 5, 60
+
+
+def deliveries(done: DataFrame, polls: DataFrame) -> DataFrame:
+    """(request_id, poller, path): who tells of a finished request. The first poll that finds it finished claims it, so it is told once.
+
+    ``done``: request_id, asked_at, finished_at; ``polls``: request_id, poller, polled_at. The claim is one minimum per request.
+    """
+    found = polls.join(done, "request_id").where(F.col("polled_at") >= F.col("finished_at"))
+    first = found.groupBy("request_id", "asked_at").agg(F.min(F.struct("polled_at", "poller")).alias("c"))
+    wait = F.col("c.polled_at") - F.col("asked_at")
+    return first.where(wait <= LATE).select("request_id", F.col("c.poller").alias("poller"), F.when(wait <= FAST, "fast").otherwise("late").alias("path"))
+
+
 def stream_once(events: DataFrame, path: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
     """A stream whose events reach ``path`` once per key, whatever is sent again or run again; processes what is there and ends."""
     return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(appended_once(path, keys)).start()
