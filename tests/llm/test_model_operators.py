@@ -375,9 +375,17 @@ def test_pipeline(spark, tmp_path):
     near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
     assert sum(near(shingles(t), shingles(rows[1][1])) for t in texts) == 1  # one of the copies and near copies
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clashing = ["score", "lang_pred", "__digest", "__file", "__at", "__bits", "stays", "component_id", "tokens", "rate", "__hits", "ids", "decoded", "n_tokens"]
+    for name in clashing:
+        docs = docs.withColumn(name, F.concat(F.lit("own "), F.col("doc_id")))
+    want = docs.columns
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert docs.columns == want, name
+    assert all(r[c] == f"own {r['doc_id']}" for r in docs.collect() for c in clashing)
+    last = corpus_pipeline.encoding(spark, docs, str(tmp_path))
+    assert last.columns == [c for c in want if c not in ("ids", "n_tokens")] + ["ids", "n_tokens", "round_trip"]
+    assert all(r["round_trip"] and r["decoded"] == f"own {r['doc_id']}" for r in last.collect())
 
 
 def test_pipeline_of_nothing(spark, tmp_path):

@@ -11,7 +11,7 @@ Each text is handled whole, in one task and in one pass without a shuffle.
 Defined cases: null counts as empty and gives no ids, an empty decoded text; added tokens' strings in a text become
 their ids, as the tokenizers library does by default; unknown bytes can't occur in a byte-level vocabulary; a very long text is
 held whole by its task, beside its batch; repeated rows are encoded one by one; columns of any names are handed on, but those named
-``ids`` or ``decoded`` are replaced.
+like an output (``out``) are replaced.
 """
 
 from __future__ import annotations
@@ -138,9 +138,9 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """``df`` with ``ids`` (packed little-endian unsigned 32-bit) and ``decoded`` (the text that the ids give back)."""
-    names, where = [c for c in df.columns if c.lower() not in ("ids", "decoded")], path
+def encoded(df: DataFrame, text: str = "text", path: str | None = None, out: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """``df`` with the ids (packed little-endian unsigned 32-bit) and the decoded text that they give back, in the columns ``out``."""
+    names, where = [c for c in df.columns if c.lower() not in out], path
     arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +148,9 @@ def encoded(df: DataFrame, text: str = "text", path: str | None = None) -> DataF
         for batch in batches:
             ids = [bpe.encode(t) for t in batch.column(len(names)).to_pylist()]
             back = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=[*names, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=[*names, *out])
 
-    schema = df.select(*names).select("*", F.lit(b"").alias("ids"), F.lit("").alias("decoded")).schema
+    schema = df.select(*names).select("*", F.lit(b"").alias(out[0]), F.lit("").alias(out[1])).schema
     return df.select(*names, F.coalesce(F.col(text), F.lit("")).alias(*unused(names, "text"))).mapInArrow(tidy(run), schema)
 
 
