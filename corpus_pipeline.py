@@ -49,8 +49,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = encoded(docs)
-    return out.select(*docs.columns, "ids", F.expr("cast(length(ids) / 4 AS bigint)").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens", "round_trip")]  # columns of these names are replaced
+    ids, decoded = unused(kept, "__ids", "__decoded")
+    out = encoded(docs.select(*kept), out=(ids, decoded))
+    whole = (F.col(decoded) == F.coalesce("text", F.lit(""))).alias("round_trip")
+    return out.select(*kept, F.col(ids).alias("ids"), F.expr(f"cast(length({ids}) / 4 AS bigint)").alias("n_tokens"), whole)
 
 
 STAGES = [
