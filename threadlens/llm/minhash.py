@@ -45,7 +45,7 @@ from threadlens.work import Workspace
 SHINGLE = 5
 _WEIGHTS = np.random.Generator(np.random.PCG64(11)).integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Members of a bucket, and shingles of a family, that one task takes at once; more go in parts, each with some members of the whole.
-BUCKET, FAMILY, PIVOTS = 4096, 50_000, 8
+BUCKET, FAMILY, PIVOTS = 1024, 50_000, 8
 
 
 def plan(percent: int, miss: float = 1e-5, most_keys: int = 64) -> tuple[int, int]:
