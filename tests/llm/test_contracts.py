@@ -21,8 +21,14 @@ COLUMNS = {
     "op8_quality": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
     "op9_minhash": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op10_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op11_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
+    "op12_runs": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, runs_sha256 string, collapsed_sha256 string",
+    "op13_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
 }
 
+#: What a query has rows for, other than documents.
+ROWS = {"op3_chat": "select count(distinct conv_id) + 1 from conversations", "op13_whitening": "select 8 * count(*) from embeddings"}
+
 
 def test_all_registered():
     assert set(registry.queries()) == {*COLUMNS, "pipeline"}
@@ -34,10 +40,10 @@ def test_contract(spark, tmp_path, name):
     assert ", ".join(f"{c} {t}" for c, t in df.dtypes) == COLUMNS[name]
     df.write.parquet(f"{tmp_path}/out")
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = f"select * from '{tmp_path}/out/*.parquet'"
-    n = con.sql("select count(*) from documents" if name != "op3_chat" else "select count(distinct conv_id) + 1 from conversations").fetchall()
+    n = con.sql(ROWS.get(name, "select count(*) from documents")).fetchall()
     assert con.sql(f"select count(*) from ({got})").fetchall() == n
     if sql := registry.oracle_sql().get(name):
         columns = ", ".join(sorted(c.split()[0] for c in COLUMNS[name].split(", ")))

@@ -15,8 +15,11 @@ from threadlens.llm.langid import op6_langid
 from threadlens.llm.minhash import op9_minhash
 from threadlens.llm.mixing import op7_mixing
 from threadlens.llm.quality import op8_quality
+from threadlens.llm.runs import op12_runs
 from threadlens.llm.sharding import op10_sharding
+from threadlens.llm.token_files import op11_token_files
 from threadlens.llm.toxicity import op5_toxicity
+from threadlens.llm.whitening import op13_whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -31,6 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_minhash": op9_minhash,
         "op10_sharding": op10_sharding,
+        "op11_token_files": op11_token_files,
+        "op12_runs": op12_runs,
+        "op13_whitening": op13_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
