@@ -23,9 +23,9 @@ not stored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +43,20 @@ IDS = "doc_id long, part int, at long, n_tokens int, ids array<int>"
 PARTS = "part int, file string, first_id long, last_id long, rows long, tokens long, start long"
 
 
+#: A word of letters (ASCII or beyond) between signs that the vocabulary's pattern splits off whatever they stand beside.
+SHAPE = re.compile(rb"""([(\[{"]*)([A-Za-z\x80-\xff]+)([.,;:!?)\]}"]*)""").fullmatch
+#: Longer words are neither sent with others nor remembered.
+LONG = 64
+
+
 class Words(dict):
-    """Packed little-endian ids of words (white space apart), asked from the tokenizers library when first met."""
+    """Packed little-endian ids of words (white space apart), asked from the tokenizers library when first met.
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    A word of letters with signs around it is put together from its parts, and ASCII letters are asked for in lower case, since the
+    vocabulary lowers them; so fewer words are new.
+    """
+
+    def __init__(self, path: str, remembered: int = 1_000_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -54,10 +64,29 @@ class Words(dict):
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
 
-    def learn(self, words: list[bytes], together: int = 500, most: int = 64) -> None:
-        """Words are sent many at a time; the library says which word an id belongs to. Long ones go alone."""
-        short, long = [w for w in words if len(w) <= most], [w for w in words if len(w) > most]
+    def _letters(self, words: list[bytes], together: int = 500) -> None:
+        """Words of letters alone, many as one text: each ends with a token that ends a word."""
+        groups = [words[i : i + together] for i in range(0, len(words), together)]
+        if not groups:
+            return
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<i4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(g):  # lowering has made a letter something else
+                self._any(g)
+                continue
+            packed, at = ids.tobytes(), 0
+            for w, end in zip(g, (cuts * 4).tolist()):
+                self[w] = packed[at:end]
+                at = end
+
+    def _any(self, words: list[bytes], together: int = 500) -> None:
+        """Words of any signs, many at a time; the library says which word an id belongs to. Long ones go alone."""
+        short, long = [w for w in words if len(w) <= LONG], [w for w in words if len(w) > LONG]
         groups = [short[i : i + together] for i in range(0, len(short), together)] + [[w] for w in long]
         if not groups:
             return
@@ -68,19 +97,54 @@ class Words(dict):
             for w, a, b in zip(g, cuts, cuts[1:]):
                 self[w] = ids[a:b].tobytes()
 
+    def learn(self, words: Iterable[bytes]) -> None:
+        letters, others, made = set(), set(), []
+        for w in words:
+            if w.isalpha() and len(w) <= LONG:  # of bytes, ASCII alone
+                core, before, after = w.lower(), b"", b""
+                letters.add(core)
+                if core is w or core == w:
+                    continue
+            elif len(w) <= LONG and (m := SHAPE(w)):
+                before, core, after = m.groups()
+                if core.isascii():
+                    core = core.lower()
+                elif not core.decode("utf-8", "replace").isalpha():
+                    others.add(w)
+                    continue
+                letters.add(core)
+                others.add(before)
+                others.add(after)
+            else:
+                others.add(w)
+                continue
+            made.append((w, before, core, after))
+        others.discard(b"")
+        self._letters([w for w in letters if w not in self])
+        self._any([w for w in others if w not in self])
+        for w, before, core, after in made:
+            self[w] = (before and self[before]) + self[core] + (after and self[after])
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]  # of bytes, it splits at [\x20\x09-\x0D] alone
-        met = set(chain.from_iterable(words))
-        new = met - self.keys()
-        if len(self) + len(new) > self.remembered:
+        words, edges = [], [0]
+        for t in texts:
+            words += t.split()  # of bytes, it splits at [\x20\x09-\x0D] alone
+            edges.append(len(words))
+        if len(self) > self.remembered:
             self.clear()
-            new = met
-        self.learn(list(new))
-        out = [b"".join(map(self.__getitem__, w)) for w in words]
-        for w in new:
-            if len(w) > 64:
+        packed = list(map(self.get, words))
+        new, i = [], -1
+        for _ in range(packed.count(None)):
+            i = packed.index(None, i + 1)
+            new.append(i)
+        if new:
+            met = {words[i] for i in new}
+            self.learn(met)
+            for i in new:
+                packed[i] = self[words[i]]
+            for w in [w for w in met if len(w) > LONG]:
                 del self[w]
-        return out
+        return [b"".join(packed[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 _loaded: dict[str, Words] = {}
