@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 
 import numpy as np
 import pytest
@@ -10,11 +11,12 @@ import zstandard
 from pyspark.sql import functions as F
 
 from threadlens import registry
-from threadlens.functions import vectors
+from threadlens.functions import inverted_file, vectors
 from threadlens.operators import aggregates, folds, graph, judging, queue, results
 from threadlens.operators import joins as op
 from threadlens.sources import sinks, tail, transcripts
 from threadlens.streaming import ingest
+from threadlens.work import Workspace
 
 
 def rows(df, *order):
@@ -27,6 +29,106 @@ def test_budget_skips_and_limits(spark):
     assert [r[-1] for r in rows(got, "i")] == ["selected", "token_budget", "selected", "selected", "limit"]
 
 
+def plain_budget(tokens, budget, limit):
+    out, left, taken = [], budget, 0
+    for t in tokens:
+        fits = t is not None and t <= left
+        out.append("limit" if taken >= limit else "selected" if fits else "token_budget")
+        if taken < limit and fits:
+            left, taken = left - t, taken + 1
+    return out
+
+
+def test_budget_as_one_row_after_the_other(spark):
+    r = random.Random(4)
+    shapes = [[1, 100, 1, 99, 1, 98, 1, 97] * 3, [0] * 5 + [101] + [0, 100, 0, 1], [None, 50, None, 50, 1], [51, 50, 49, 1], [100], [], [7] * 40]
+    shapes += [[r.choice([0, 1, 2, 30, 60, 90, r.randrange(120)]) for _ in range(r.randint(1, 60))] for _ in range(60)]
+    budgets = [100] * len(shapes[:7]) + [r.choice([-1, 0, 1, 7, 100, 1000]) for _ in shapes[7:]]
+    rows = [(None if k == 9 else k, i, t, budgets[k]) for k, ts in enumerate(shapes) for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "k int, i int, t long, b long")
+    for limit in (1000, 5):
+        got = {}
+        for x in folds.budgeted(df, "k", [F.col("i")], "t", F.col("b"), limit).orderBy("k", "i").collect():
+            got.setdefault(x["k"], []).append(x["verdict"])
+        assert got == {None if k == 9 else k: plain_budget(ts, budgets[k], limit) for k, ts in enumerate(shapes) if ts}
+
+
+def test_budget_of_a_large_key(spark):
+    df = spark.range(100_000).selectExpr("1 AS k", "id AS i", "id * 7919 % 1000 + 1 AS t")
+    got = [x["verdict"] for x in folds.budgeted(df, "k", [F.col("i")], "t", F.lit(20_000_000), 10**9).orderBy("i").select("verdict").collect()]
+    assert got == plain_budget([i * 7919 % 1000 + 1 for i in range(100_000)], 20_000_000, 10**9)
+
+
+def test_outbox_of_a_large_queue(spark):
+    r = random.Random(8)
+    sizes = {1: [r.choice([0, 10, 300, 5000]) for _ in range(100_000)], None: [1] * 7, 2: [10**7, 5, None, 10**7]}
+    df = spark.createDataFrame([(k, i, s) for k, ss in sizes.items() for i, s in enumerate(ss)], "p int, i int, b long")
+    got = {}
+    for x in sinks.outbox_batches(df, "p", ["i"], "b", 100, 20_000).orderBy("p", "i").collect():
+        got.setdefault(x["p"], []).append(x["batch"])
+    for k, ss in sizes.items():
+        want, n, total, batch = [], 0, 0, 0
+        for s in (x or 0 for x in ss):
+            if n >= 100 or (n and total + s > 20_000):
+                n, total, batch = 0, 0, batch + 1
+            n, total = n + 1, total + s
+            want.append(batch)
+        assert got[k] == want
+
+
+def plain_prefix(n, pairs, limit):
+    kept = []
+    for i in range(n):
+        if not any((min(i, j), max(i, j)) in pairs for j in kept):
+            kept.append(i)
+            if len(kept) > limit:
+                return i
+    return n
+
+
+def plain_collapse(rows, pairs):
+    kept = []
+    for x in rows:
+        at = next((i for i, y in enumerate(kept) if (min(x[0], y[0]), max(x[0], y[0])) in pairs), None)
+        if at is None:
+            kept.append(x)
+        elif x[0] in kept[at][3] or (x[1] > kept[at][1] and x[2] <= kept[at][2] and kept[at][0] not in x[3]):
+            kept[at] = x
+    return [x[0] for x in kept]
+
+
+def test_similar_rows_in_rounds(spark):
+    """Prefixes and collapse of random similarities, against one row after the other; rounds follow the chains, not the rows."""
+    r = random.Random(6)
+    ranked, pairs, ordered, want, slots = [], [], [], {}, {}
+    for k in range(25):
+        n = r.randint(1, 25)
+        near = {(a, b) for a in range(n) for b in range(a + 1, n) if r.random() < r.choice([0.02, 0.15, 0.5])}
+        key = None if k == 3 else k
+        rows = [(i, r.randrange(5), r.randrange(2), [j for j in range(n) if r.random() < 0.1]) for i in range(n)]
+        ranked += [(key, i, i + 1) for i in range(n)]
+        ordered += [(key, i, i + 1, *x[1:]) for i, x in enumerate(rows)]
+        pairs += [(key, *(p if r.random() < 0.5 else p[::-1])) for p in near]
+        want[key], slots[key] = plain_prefix(n, near, 4), plain_collapse(rows, near)
+    pairs = spark.createDataFrame(pairs, "k int, left long, right long")
+    ranked = spark.createDataFrame(ranked, "k int, d long, rank int")
+    got = dict(rows_ for rows_ in folds.distinct_prefix(ranked, pairs, "k", "d", "rank", 4).groupBy("k").count().collect())
+    assert got == {k: n for k, n in want.items() if n}
+    ordered = spark.createDataFrame(ordered, "k int, d long, rank int, latest long, secondary int, origins array<long>")
+    got = {}
+    for x in folds.collapsed(ordered, pairs, "k", "d").orderBy("k", "slot").collect():
+        got.setdefault(x["k"], []).append(x["d"])
+    assert got == slots
+    work = Workspace(spark, "rounds")
+    star = spark.createDataFrame([((1,), 1, i) for i in range(2, 500)] + [((1,), i, i + 1) for i in range(2, 499)], "__k struct<k:int>, a long, b long")
+    dropped, rounds = folds.repeats(star, work)
+    assert dropped.count() == 498 and rounds == 1
+    chain = spark.createDataFrame([((1,), i, i + 1) for i in range(1, 9)], "__k struct<k:int>, a long, b long")
+    dropped, rounds = folds.repeats(chain, work)
+    assert {x["b"] for x in dropped.collect()} == {2, 4, 6, 8} and rounds == 8
+    assert "Python" not in folds.distinct_prefix(ranked, pairs, "k", "d", "rank", 4)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_distinct_prefix(spark):
     ranked = spark.createDataFrame([("q", i, i) for i in range(1, 7)], "k string, d long, rank int")
     pairs = spark.createDataFrame([("q", 1, 2), ("q", 2, 3)], "k string, left long, right long")
@@ -173,6 +275,67 @@ def test_vector_search(spark):
 def test_recall_of_the_index(spark):
     r = registry.queries()["an.recall"](spark, "/root/testdata/sf0.01").first()
     assert r["mean_recall"] >= 0.95 and r["min_recall"] >= 0.8 and r["compared"] < r["compared_by_scan"]
+    assert r["codes_read"] <= r["requests"] * r["codes"] / 4 and r["codes_read"] <= r["compared_by_scan"]
+
+
+def clustered(spark, n=6000, clusters=40, d=24, seed=5):
+    """Vectors around centres, of which one holds a third of all; three scopes; nulls."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, d))
+    of = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, clusters, n))
+    v = centres[of] + rng.normal(scale=0.25, size=(n, d))
+    rows = [(i, i % 3, v[i].astype(np.float32).tolist() if i % 997 else None, [(i % 20, i // 20 + 1)]) for i in range(n)]
+    return spark.createDataFrame(rows, "document_id long, project_id int, embedding array<float>, sources array<struct<session_id:int,last_no:int>>")
+
+
+def asked_of(docs):
+    return docs.where("document_id % 100 = 7").selectExpr("document_id AS query_id", "project_id", "embedding", "sources[0].session_id AS session_id", "sources[0].last_no AS input_no")
+
+
+def test_inverted_file_opens_few_lists(spark, tmp_path):
+    """Vectors with structure: high recall from a quarter of the codes at most, and the other lists aren't read."""
+    docs = clustered(spark).cache()
+    inverted_file.build(docs, f"{tmp_path}/i", "project_id")
+    index = inverted_file.opened(spark, f"{tmp_path}/i")
+    assert index.codes(spark).count() == docs.where("embedding is not null").count() == index.sizes(spark).agg({"n": "sum"}).first()[0]
+    asked = asked_of(docs)
+    r = inverted_file.recall(index, docs.where("embedding is not null"), asked, 20).agg(F.avg("recall"), F.min("recall"), F.count("*")).first()
+    assert r[0] >= 0.95 and r[1] >= 0.8 and r[2] == asked.count()
+    read, scope = inverted_file.reads(index, asked).agg(F.sum("codes_read"), F.sum("codes_in_scope")).first()
+    small = inverted_file.reads(index, asked, 0.0)
+    assert read <= scope / 4 and 0 < small.agg(F.sum("codes_read")).first()[0] < read
+    # a single request's plan names its lists as partition filters
+    one = asked.where("query_id = 107")
+    lists = [x[0] for x in inverted_file.probed(index, one).select("list").collect()]
+    codes = index.codes(spark).where(F.col("list").isin(lists))
+    plan = codes._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list" in plan or "PartitionFilters: [isnotnull(list" in plan
+    assert {f.split("/list=")[1].split("/")[0] for f in codes.inputFiles()} == set(map(str, lists)) and len(lists) < len(index.centroids)
+
+
+def test_inverted_file_without_structure_or_rows(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(i, 0, rng.normal(size=16).tolist(), [(0, 0)]) for i in range(400)]
+    kind = "document_id long, project_id int, embedding array<float>, sources array<struct<session_id:int,last_no:int>>"
+    docs = spark.createDataFrame(rows, kind)
+    index = inverted_file.build(docs, f"{tmp_path}/i", "project_id")
+    r = inverted_file.recall(index, docs, asked_of(docs).withColumn("input_no", F.lit(1)), 20).agg(F.avg("recall"), F.min("recall")).first()
+    read, scope = inverted_file.reads(index, asked_of(docs)).agg(F.sum("codes_read"), F.sum("codes_in_scope")).first()
+    assert r[0] >= 0.9 and r[1] >= 0.8 and read > scope / 2  # the calibration sees that few lists won't do
+    none = inverted_file.build(spark.createDataFrame([], kind), f"{tmp_path}/n", "project_id")
+    assert inverted_file.search(none, docs.limit(0), asked_of(docs), 5).collect() == []
+    same = spark.createDataFrame([(i, 0, [1.0, 0.0], [(0, 0)]) for i in range(300)], kind)
+    index = inverted_file.build(same, f"{tmp_path}/s", "project_id")
+    assert [r["document_id"] for r in inverted_file.search(index, same, asked_of(same).limit(1).withColumn("session_id", F.lit(9)), 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_reach_is_as_short_as_finds_the_neighbours():
+    sample = np.array([[1, 0], [0.99, 0.1], [0.98, 0.2], [0, 1], [0.1, 0.99], [-1, 0.0]], float)
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    centroids = np.array([[1, 0], [0, 1], [-1, 0.0]])
+    assert inverted_file.reach_for(sample[:5], np.zeros(5), centroids, 1, 1.0, 1.0) == 0
+    assert inverted_file.reach_for(sample, np.zeros(6), centroids, 1, 1.0, 1.0) == 1  # the last one's neighbour lies elsewhere
+    assert inverted_file.reach_for(sample, np.arange(6), centroids, 1, 1.0, 1.0) == 2  # alone in their scopes: no evidence
 
 
 def test_judge_inputs(spark):

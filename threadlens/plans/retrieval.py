@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threadlens.functions import identifiers
-from threadlens.functions.vectors import approximate_knn, coded, knn
+from threadlens.functions import identifiers, inverted_file
+from threadlens.functions.vectors import knn
 from threadlens.operators import aggregates as agg
 from threadlens.operators import folds, graph, related, results
 from threadlens.operators import joins as op
@@ -13,6 +13,7 @@ from threadlens.plans import ordering
 from threadlens.plans.aggregates import _R, _routes
 from threadlens.plans.base import KNN, cte, documents, messages, relations, requests, samples, with_sources
 from threadlens.session import table
+from threadlens.work import Workspace
 
 
 def vector(spark, d):
@@ -183,23 +184,27 @@ def revalidate(spark, d):
     return out.select("item_id", "request_id", "kind", F.when(F.col("kind") == "correction", F.array_join(F.transform("relations", lambda r: r["relation"]), ",")).alias("still"))
 
 
+def _index(spark, d):
+    return inverted_file.build(with_sources(documents(spark, d)), Workspace(spark, "index").path, "project_id")
+
+
 def index(spark, d):
-    """The approximate index: a code of a byte an entry for every document."""
-    codes = coded(documents(spark, d))
+    """The approximate index: a code of a byte an entry for every document, stored in the list of its nearest centroid."""
+    codes = _index(spark, d).codes(spark)
     return codes.select("document_id", "project_id", F.array_join(F.transform("embedding", lambda x: x.cast("string")), ",").alias("code"))
 
 
 def recall(spark, d):
-    """Exact against approximate top 20 under the same scope and boundary, and the vectors that each compares exactly."""
-    docs, asked = with_sources(documents(spark, d)), requests(spark, d)
-    exact = knn(docs, asked, 20, "project_id").select("query_id", "document_id")
-    near = approximate_knn(coded(docs), docs, asked, 20, "project_id").select("query_id", "document_id", F.lit(1).alias("hit"))
-    per = exact.join(near, ["query_id", "document_id"], "left").groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-    scanned = asked.join(docs.groupBy("project_id").agg(F.count("*").alias("n")), "project_id").select("query_id", "n")
-    out = per.join(scanned, "query_id")
-    return out.agg(
-        F.round(F.avg("recall"), 3).alias("mean_recall"), F.round(F.min("recall"), 3).alias("min_recall"), F.sum(F.least("n", F.lit(40))).alias("compared"), F.sum("n").alias("compared_by_scan")
+    """Exact against approximate top 20 under the same scope and boundary, the vectors that each compares exactly, and the codes that are read."""
+    built, docs, asked = _index(spark, d), with_sources(documents(spark, d)), requests(spark, d)
+    out = inverted_file.recall(built, docs, asked, 20).join(inverted_file.reads(built, asked), "query_id")
+    n = F.col("codes_in_scope")
+    out = out.agg(
+        F.round(F.avg("recall"), 3).alias("mean_recall"), F.round(F.min("recall"), 3).alias("min_recall"), F.sum(F.least(n, F.lit(40))).alias("compared"), F.sum(n).alias("compared_by_scan"),
+        F.sum("codes_read").alias("codes_read"), F.count("*").alias("requests"),
     )
+    whole = built.sizes(spark).agg(F.sum("n")).first()[0]
+    return out.select("*", F.lit(whole).cast("long").alias("codes"), F.lit(len(built.centroids)).alias("lists"))
 
 
 def project(spark, d):

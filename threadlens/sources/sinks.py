@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.work import Workspace
+
 #: Fixed limits of one delivery and one notification.
 BATCH_ROWS, BATCH_BYTES = 100, 1 << 20
 NOTIFY_ITEMS, NOTIFY_POINTS = 5, 400
@@ -13,22 +15,35 @@ NOTIFY_ITEMS, NOTIFY_POINTS = 5, 400
 def outbox_batches(rows: DataFrame, key: str, order: list[str], size: str, most_rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> DataFrame:
     """``rows`` with ``batch``: in order, a new batch begins where a row would exceed the rows or bytes of the one before.
 
-    Where a batch ends depends on where it began, so this is a fold over each key's queue, not a windowed sum; the queue of a
-    project is what its collector has not delivered yet.
+    Where a batch ends depends only on where it began: from each row a pointer goes to the first row that a batch from there can't hold, found by
+    laying the rows' running bytes and each row's reach on one line per key. The rows reached from a key's first one begin its
+    batches; they are marked by doubling: pointers of 1, 2, 4, ... batches are followed from all rows marked so far. A row
+    above the bytes alone is a batch of its own; sizes aren't negative, null counts as 0. Ties of ``order`` go by the other columns.
     """
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in (*order, key)]))).alias("l"))
-    kind = "struct<n:bigint,bytes:bigint,batch:bigint,out:array<bigint>>"
-
-    def step(a: Column, x: Column) -> Column:
-        new = (a["n"] >= most_rows) | ((a["n"] > 0) & (a["bytes"] + x[size] > most_bytes))
-        batch = a["batch"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            F.when(new, 1).otherwise(a["n"] + 1).cast("long").alias("n"), F.when(new, x[size]).otherwise(a["bytes"] + x[size]).cast("long").alias("bytes"), batch.cast("long").alias("batch"), F.concat(a["out"], F.array(batch.cast("long"))).alias("out")
-        )
-
-    start = F.expr(f"cast(named_struct('n', 0L, 'bytes', 0L, 'batch', 0L, 'out', array()) AS {kind})")
-    out = listed.withColumn("b", F.aggregate("l", start, step)["out"])
-    return out.select(key, F.inline(F.arrays_zip("l", "b"))).select(key, "l.*", F.col("b").alias("batch"))
+    work = Workspace(rows.sparkSession, "outbox")
+    along = Window.partitionBy("__k").orderBy("__i")
+    others = [c for c in rows.columns if c not in (*order, key)]
+    line = rows.withColumn("__i", F.row_number().over(Window.partitionBy(key).orderBy(*order, *others)).cast("long"))
+    line = work.keep(line.select(F.struct(key).alias("__k"), "__i", F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__s"), F.struct(*[rows[c] for c in rows.columns]).alias("__row")), "line")
+    ends = line.select("__k", "__i", F.sum("__s").over(along).alias("end"), "__s")
+    # rows at their end, reaches at the end that still fits: the last row before a reach is the last that fits
+    marks = ends.select("__k", F.col("end").alias("at"), F.lit(0).alias("kind"), "__i").unionByName(ends.select("__k", (F.col("end") - F.col("__s") + most_bytes).alias("at"), F.lit(1).alias("kind"), "__i"))
+    fits = F.max(F.when(F.col("kind") == 0, F.col("__i"))).over(Window.partitionBy("__k").orderBy("at", "kind", "__i").rowsBetween(Window.unboundedPreceding, 0))
+    reach = marks.withColumn("fits", fits).where("kind = 1").select("__k", "__i", F.least(F.col("__i") + most_rows, F.greatest(F.col("__i"), F.coalesce("fits", F.lit(0))) + 1).alias("to"))
+    pointers = work.keep(reach, "pointers")
+    starts = work.keep(line.where("__i = 1").select("__k", "__i"), "starts")
+    while True:
+        new = work.keep(starts.join(pointers, ["__k", "__i"]).select("__k", F.col("to").alias("__i")), "new")
+        if new.isEmpty():
+            break
+        starts = work.keep(starts.unionByName(new), "starts")
+        onward = pointers.join(pointers.select("__k", F.col("__i").alias("to"), F.col("to").alias("then")), ["__k", "to"])
+        twice = work.keep(onward.select("__k", "__i", F.col("then").alias("to")), "pointers")  # a pointer beyond the last row goes
+        work.drop(pointers, new)
+        pointers = twice
+    begun = line.join(starts.withColumn("__b", F.lit(1)), ["__k", "__i"], "left")
+    batch = F.count("__b").over(along) - 1
+    return begun.select("__row", batch.alias("batch")).select("__row.*", "batch")
 
 
 def notices(requests: DataFrame, evidence: DataFrame, related: DataFrame, items: int = NOTIFY_ITEMS, points: int = NOTIFY_POINTS) -> DataFrame:
