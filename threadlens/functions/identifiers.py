@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed patterns: what counts as a file path with an extension, a call ``name()``, ``Issue #n`` and ``PR #n``.
+from threadlens.functions.redaction import EDGE, SPACE
+
+#: Fixed patterns: what counts as a file path with an extension, a call ``name()``, ``Issue #n`` and ``PR #n``, next to letters that aren't ASCII too.
 _PART = r"(?:\.[A-Za-z0-9_][A-Za-z0-9_.-]*|[A-Za-z0-9_][A-Za-z0-9_.-]*)"
 FILE = rf"(?<![A-Za-z0-9_/.:-])((?:(?:\.\./)+|\./|/)?{_PART}(?:/{_PART})*\.[A-Za-z][A-Za-z0-9]{{0,9}})(?![A-Za-z0-9_/-])(?!\.[A-Za-z0-9_/-])"
 FUNCTION = r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)\(\)"
-ISSUE = r"\bIssue[\s 　]+#([0-9]+)\b"
-PULL_REQUEST = r"\bPR[\s 　]+#([0-9]+)\b"
+ISSUE = rf"{EDGE}Issue[{SPACE}]+#([0-9]+){EDGE}"
+PULL_REQUEST = rf"{EDGE}PR[{SPACE}]+#([0-9]+){EDGE}"
 
 
 def extract_entities(text: Column) -> Column:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from threadlens.functions.vectors import coded, cosine, knn
 
@@ -85,13 +86,15 @@ class InvertedFile:
     scope: str
     centroids: np.ndarray
     reach: float
+    schema: StructType
 
     def codes(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/codes")
+        return spark.read.schema(self.schema).parquet(f"{self.path}/codes")
 
     def sizes(self, spark: SparkSession) -> DataFrame:
         """(scope, list, n) of all lists."""
-        return spark.read.parquet(f"{self.path}/sizes")
+        kinds = [self.schema[self.scope], self.schema["list"]]
+        return spark.read.schema(StructType(kinds).add("n", "long")).parquet(f"{self.path}/sizes")
 
 
 def _listed(rows: DataFrame, column: str, centroids: np.ndarray, reach: float | None) -> DataFrame:
@@ -102,8 +105,8 @@ def _listed(rows: DataFrame, column: str, centroids: np.ndarray, reach: float |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = _matrix(batch.column(at))
-            if not batch.num_rows:
-                flat, ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
+            if len(centroids) == 1:  # also that of an index without rows, of which no dimension is known
+                flat, ends = np.zeros(len(m), np.int64), np.arange(len(m) + 1)
             elif reach is None:
                 flat, ends = nearest(m, centroids)[0], np.arange(len(m) + 1)
             else:
@@ -137,17 +140,19 @@ def build(vectors: DataFrame, path: str, scope: str, k: int = 20, mean: float =
     placed = _listed(vectors, "embedding", centroids, None) if taken.num_rows else vectors.withColumn("lists", F.array(F.lit(0)))
     codes = coded(placed).withColumn("list", F.col("lists")[0]).drop("lists")
     codes.hint("rebalance", "list").sortWithinPartitions("list", scope).write.partitionBy("list").parquet(f"{path}/codes")
-    spark.read.schema(codes.schema).parquet(f"{path}/codes").groupBy(scope, "list").agg(F.count("*").alias("n")).write.parquet(f"{path}/sizes")
-    about = [(json.dumps({"scope": scope, "reach": reach}), i, c.tolist()) for i, c in enumerate(centroids)]
-    spark.createDataFrame(about, "about string, list int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
-    return InvertedFile(path, scope, centroids, reach)
+    index = InvertedFile(path, scope, centroids, reach, codes.schema)
+    index.codes(spark).groupBy(scope, "list").agg(F.count("*").alias("n")).write.parquet(f"{path}/sizes")
+    about = json.dumps({"scope": scope, "reach": reach, "schema": codes.schema.jsonValue()})
+    rows = [(about if i == 0 else None, i, c.tolist()) for i, c in enumerate(centroids)]
+    spark.createDataFrame(rows, "about string, list int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+    return index
 
 
 def opened(spark: SparkSession, path: str) -> InvertedFile:
     """An index that ``build`` has stored; its centroids are at most ``LISTS`` rows."""
     rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()
     about = json.loads(rows[0]["about"])
-    return InvertedFile(path, about["scope"], np.array([r["centroid"] for r in rows]), about["reach"])
+    return InvertedFile(path, about["scope"], np.array([r["centroid"] for r in rows]), about["reach"], StructType.fromJson(about["schema"]))
 
 
 def probed(index: InvertedFile, queries: DataFrame, reach: float | None = None) -> DataFrame:

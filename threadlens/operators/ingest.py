@@ -30,10 +30,7 @@ def ingested(events: DataFrame, seen: DataFrame, stored: DataFrame, now: Column)
     met = stored.withColumn("arrival", F.lit(-1).cast("long") - F.lit(1_000_000) + F.col("revision")).withColumn("message", message).select(*columns, F.lit(None).cast("string").alias("idempotency_key"), F.lit(False).alias("__new"))
     here = fresh.withColumn("message", message)
     rows = met.unionByName(here.withColumn("__new", F.lit(True)).select(*columns, "idempotency_key", "__new"))
-    judged = revision_verdicts(rows, "message", "revision", "body_hash", "arrival")
-    first = Window.partitionBy("message").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)
-    same = (F.first("role").over(first) == F.col("role")) & (F.first("sequence_no").over(first) == F.col("sequence_no"))
-    judged = judged.withColumn("verdict", F.when(same, F.col("verdict")).otherwise("conflict")).where("__new").select("arrival", "verdict")
+    judged = revision_verdicts(rows, "message", "revision", "body_hash", "arrival", ["role", "sequence_no"]).where("__new").select("arrival", "verdict")
     out = here.join(judged, "arrival")
     good = out.where("verdict <> 'conflict'")
     accepted = out.where("verdict = 'accepted'")

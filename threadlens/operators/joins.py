@@ -75,3 +75,14 @@ def inserted_once(target: DataFrame, rows: DataFrame, key: list[str], order: lis
     """INSERT ... ON CONFLICT DO NOTHING: old rows stay, of several new ones of a key the first is taken."""
     first = top_per_key(rows, key, order, 1, "__n").drop("__n")
     return target.unionByName(first.join(target.select(*key), key, "left_anti"))
+
+
+def previous(rows: DataFrame, keys: list[str], order: str, n: int, columns: list[str]) -> DataFrame:
+    """``rows`` once for each of the ``n`` rows before them in ``order`` (which differs within a key), with their ``columns`` in place of their own, and ``rank``, 1 the nearest.
+
+    One sort per key and as many lags; a row never meets more than ``n`` others.
+    """
+    w = Window.partitionBy(*keys).orderBy(order)
+    before = F.array(*[F.struct(F.lit(i).alias("rank"), *[F.lag(c, i).over(w).alias(c) for c in columns], F.lag(F.lit(True), i, False).over(w).alias("__met")) for i in range(1, n + 1)])
+    met = rows.withColumn("__before", F.filter(before, lambda b: b["__met"])).select(*[c for c in rows.columns if c not in columns], F.inline("__before"))
+    return met.drop("__met")

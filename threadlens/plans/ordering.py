@@ -9,7 +9,7 @@ from threadlens.functions.vectors import cosine, knn
 from threadlens.operators import aggregates as agg
 from threadlens.operators import folds
 from threadlens.operators import joins as op
-from threadlens.operators import queue, related
+from threadlens.operators import postings, queue, related
 from threadlens.plans import streams
 from threadlens.plans.aggregates import _R, _routes
 from threadlens.plans.base import KNN, cte, documents, messages, requests, samples, with_sources
@@ -31,10 +31,8 @@ def latest_per_key(spark, d):
 
 
 def prior_messages(spark, d):
-    m = messages(spark, d).select("session_id", "sequence_no", "message_id")
-    inputs = messages(spark, d).where("role = 'user'").select("session_id", F.col("sequence_no").alias("input_no"))
-    before = inputs.join(m, "session_id").where("sequence_no < input_no")
-    return op.top_per_key(before, ["session_id", "input_no"], [F.col("sequence_no").desc()], 6).select("session_id", "input_no", "message_id", "rank")
+    m = messages(spark, d).select("session_id", "sequence_no", "role", "message_id")
+    return op.previous(m, ["session_id"], "sequence_no", 6, ["message_id"]).where("role = 'user'").select("session_id", F.col("sequence_no").alias("input_no"), "message_id", "rank")
 
 
 def neighbors(spark, d):
@@ -100,16 +98,15 @@ def vector_knn(spark, d):
 
 def entity(spark, d):
     docs = table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.explode(F.split("p_name", " ")).alias("entity_key"))
-    asked = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("request_id"), F.explode(F.split("p_name", " ")).alias("entity_key"))
-    hits = docs.join(asked, "entity_key").select("request_id", "document_id").distinct()
-    return op.top_per_key(hits, ["request_id"], [F.col("document_id")], ENTITY_LIMIT)
+    asked = docs.where("document_id % 50 = 0").select(F.col("document_id").alias("request_id"), "entity_key")
+    return postings.first_sharing(docs, asked, ["entity_key"], [F.col("document_id")], ENTITY_LIMIT)
 
 
 def strategy(spark, d):
-    docs = table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.explode(F.split("p_name", " ")).alias("term"))
-    asked = table(spark, d, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("request_id"), F.explode(F.array_distinct(F.split("p_name", " "))).alias("term"))
-    hits = docs.join(asked, "term").groupBy("request_id", "document_id").agg(F.count_distinct("term").alias("matched_terms")).where("matched_terms >= 2")
-    return op.top_per_key(hits, ["request_id"], [F.col("matched_terms").desc(), F.col("document_id")], STRATEGY_LIMIT)
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.split("p_name", " ").alias("terms"))
+    asked = docs.where("document_id % 50 = 0").select(F.col("document_id").alias("request_id"), "terms")
+    hits = postings.sharing(docs, asked, [])
+    return op.top_per_key(hits, ["request_id"], [F.col("matched_terms").desc(), F.col("document_id")], STRATEGY_LIMIT).select("request_id", "document_id", "matched_terms", "rank")
 
 
 def provenance(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadlens.functions import identifiers, inverted_file
 from threadlens.functions.vectors import knn
 from threadlens.operators import aggregates as agg
-from threadlens.operators import folds, graph, related, results
+from threadlens.operators import folds, graph, postings, related, results
 from threadlens.operators import joins as op
 from threadlens.plans import ordering
 from threadlens.plans.aggregates import _R, _routes
@@ -24,8 +24,7 @@ def entity(spark, d):
     docs = table(spark, d, "pages").select(F.col("page_id").alias("document_id"), F.explode(identifiers.extract_entities(F.concat(F.lit("see f"), F.col("page_id") % 17, F.lit(".py and PR #"), F.col("page_id") % 5))).alias("e")).select("document_id", "e.*")
     n = F.col("n_nationkey")
     asked = table(spark, d, "nation").select(n.cast("long").alias("request_id"), F.explode(identifiers.extract_entities(F.concat(F.lit("why f"), n, F.lit(".py? PR #"), n % 7))).alias("e")).select("request_id", "e.*")
-    hits = docs.join(asked, ["entity_type", "entity_key"]).select("request_id", "document_id").distinct()
-    return op.top_per_key(hits, ["request_id"], [F.col("document_id")], ordering.ENTITY_LIMIT)
+    return postings.first_sharing(docs, asked, ["entity_type", "entity_key"], [F.col("document_id")], ordering.ENTITY_LIMIT)
 
 
 def strategy(spark, d):
@@ -33,12 +32,12 @@ def strategy(spark, d):
     m = messages(spark, d).select("message_id", "session_id", "sequence_no", "role", (F.col("session_id") % 5).alias("project_id"))
     value = lambda n, names: F.element_at(F.array(*map(F.lit, names)), (F.col("message_id") % n + 1).cast("int"))
     axes = [("state_hazard", value(3, ("race", "stale", "none"))), ("consistency_strategy", value(5, ("lock", "version", "queue", "unknown", "merge"))), ("lifecycle_strategy", value(7, ("expire", "retry", "none", "rebuild", "pin", "swap", "none")))]
-    each = m.select("message_id", "session_id", "sequence_no", "role", "project_id", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), c.alias("choice")) for a, c in axes])).alias("x"))
-    terms = each.where(~F.col("x.choice").isin("none", "unknown")).select("message_id", "session_id", "sequence_no", "role", "project_id", F.concat_ws(":", "x.axis", "x.choice").alias("term"))
-    asked = terms.where("role = 'user' AND message_id % 7 = 0").select(F.col("message_id").alias("request_id"), F.col("session_id").alias("own"), F.col("sequence_no").alias("input_no"), "project_id", "term")
-    hits = asked.join(terms, ["project_id", "term"]).where("NOT (session_id = own AND sequence_no >= input_no)")
-    hits = hits.groupBy("request_id", F.col("message_id").alias("document_id")).agg(F.count("*").alias("matched_terms")).where("matched_terms >= 2")
-    return op.top_per_key(hits, ["request_id"], [F.col("matched_terms").desc(), F.col("document_id")], ordering.STRATEGY_LIMIT)
+    named = F.filter(F.array(*[F.struct(F.lit(a).alias("axis"), c.alias("choice")) for a, c in axes]), lambda x: ~x["choice"].isin("none", "unknown"))
+    m = m.withColumn("terms", F.transform(named, lambda x: F.concat_ws(":", x["axis"], x["choice"])))
+    asked = m.where("role = 'user' AND message_id % 7 = 0").select(F.col("message_id").alias("request_id"), F.col("session_id").alias("own"), F.col("sequence_no").alias("input_no"), "project_id", "terms")
+    docs = m.select(F.col("message_id").alias("document_id"), "session_id", "sequence_no", "project_id", "terms")
+    hits = postings.sharing(docs, asked, ["project_id"]).where("NOT (session_id = own AND sequence_no >= input_no)")
+    return op.top_per_key(hits, ["request_id"], [F.col("matched_terms").desc(), F.col("document_id")], ordering.STRATEGY_LIMIT).select("request_id", "document_id", "matched_terms", "rank")
 
 
 def _turn_requests(spark, d):

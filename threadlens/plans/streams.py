@@ -164,24 +164,28 @@ JOBS = """WITH jobs AS (SELECT o_orderkey AS id, ['classify_message', 'route_sea
         o_orderkey * 31 % 1000 AS next_run_at, o_orderkey * 17 % 500 AS created_at, o_custkey AS session_id, o_orderkey % 97 AS sequence_no, o_orderkey % 3 + 1 AS revision FROM orders),
     claimable AS (SELECT * FROM jobs j WHERE status = 'pending' AND next_run_at <= 700 AND (kind <> 'classify_message' OR NOT EXISTS (SELECT 1 FROM jobs o WHERE o.session_id = j.session_id AND o.kind = 'classify_message' AND o.id <> j.id
         AND (o.status = 'running' OR (o.status IN ('pending', 'blocked_policy') AND (o.sequence_no < j.sequence_no OR (o.sequence_no = j.sequence_no AND o.revision < j.revision)))))))"""
-_INGEST = """WITH e AS (SELECT event_id, event_id % 3 AS emp, event_id % 700 AS key, event_id % 1400 % 3 AS body, event_id % 300 % 40 AS s, event_id % 300 AS m, CASE WHEN event_id % 7 = 3 THEN 4 ELSE event_id // 600 + 1 END AS revision,
+_INGEST = """WITH RECURSIVE e AS (SELECT event_id, event_id % 3 AS emp, event_id % 700 AS key, event_id % 1400 % 3 AS body, event_id % 300 % 40 AS s, event_id % 300 AS m, CASE WHEN event_id % 7 = 3 THEN 4 ELSE event_id // 600 + 1 END AS revision,
         CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role, event_id % 300 + (event_id % 97 = 0)::INT AS seq, value FROM events),
     f AS (SELECT emp, key, arg_min(body, event_id) AS body, min(event_id) AS first_id FROM e GROUP BY 1, 2), b AS (SELECT emp, key, body % 2 AS body FROM e WHERE event_id < 40),
     t AS (SELECT e.*, CASE WHEN b.body IS NOT NULL THEN CASE WHEN b.body = e.body THEN 'repeated' ELSE 'conflict' END WHEN e.event_id = first_id THEN 'stored' WHEN e.body = f.body THEN 'repeated' ELSE 'conflict' END AS receipt FROM e JOIN f USING (emp, key) LEFT JOIN b USING (emp, key)),
     h AS (SELECT event_id, emp, key, s || '/' || m AS message, s, m, revision, body, role, seq, value FROM t WHERE receipt = 'stored'
         UNION ALL SELECT -1000000 + event_id, NULL, NULL, s || '/' || m, s, m, 1, body, role, m, NULL FROM e WHERE event_id < 300 AND event_id % 5 = 0),
-    w AS (SELECT *, first_value(role) OVER x AS role0, first_value(seq) OVER x AS seq0, max(revision) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_rev, first_value(body) OVER y AS body0, row_number() OVER y AS nth FROM h
-        WINDOW x AS (PARTITION BY message ORDER BY event_id), y AS (PARTITION BY message, revision ORDER BY event_id)),
-    j AS (SELECT *, CASE WHEN role <> role0 OR seq <> seq0 THEN 'conflict' WHEN nth > 1 AND body = body0 THEN 'repeated' WHEN revision = coalesce(before_rev, 0) + 1 THEN 'accepted' ELSE 'conflict' END AS verdict FROM w WHERE emp IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY message ORDER BY event_id) AS n FROM h),
+    w AS (SELECT message, n, (revision = 1)::INT AS cur, role AS role0, seq AS seq0, CASE WHEN revision = 1 THEN [body] ELSE [] END AS bodies, CASE WHEN revision = 1 THEN 'accepted' ELSE 'conflict' END AS verdict FROM n WHERE n = 1
+        UNION ALL SELECT n.message, n.n, CASE WHEN n.revision = cur + 1 AND (cur = 0 OR (n.role = role0 AND n.seq = seq0)) THEN cur + 1 ELSE cur END, CASE WHEN cur = 0 THEN n.role ELSE role0 END, CASE WHEN cur = 0 THEN n.seq ELSE seq0 END, CASE WHEN n.revision = cur + 1 AND (cur = 0 OR (n.role = role0 AND n.seq = seq0)) THEN list_append(bodies, n.body) ELSE bodies END,
+            CASE WHEN n.revision = cur + 1 AND (cur = 0 OR (n.role = role0 AND n.seq = seq0)) THEN 'accepted' WHEN cur > 0 AND n.role = role0 AND n.seq = seq0 AND n.revision <= cur AND bodies[n.revision] = n.body THEN 'repeated' ELSE 'conflict' END FROM w JOIN n ON n.message = w.message AND n.n = w.n + 1),
+    j AS (SELECT n.*, w.verdict FROM n JOIN w USING (message, n) WHERE emp IS NOT NULL),
     good AS (SELECT * FROM j WHERE verdict <> 'conflict'), asked AS (SELECT * FROM good WHERE role = 'user' AND 630 - value <= 600) """
 ORACLES = {
     "stm.ingest": _INGEST + """SELECT 'sessions' AS written, s::VARCHAR AS key FROM good GROUP BY s UNION ALL SELECT 'messages', message FROM good WHERE verdict = 'accepted' AND revision = 1 UNION ALL SELECT 'revisions', message || '|' || revision FROM good WHERE verdict = 'accepted'
         UNION ALL SELECT DISTINCT 'requests', message || '|' || revision FROM asked UNION ALL SELECT DISTINCT 'jobs', 'classify_message:' || message || ':' || revision || '|10' FROM good UNION ALL SELECT DISTINCT 'jobs', 'route_search:' || message || ':' || revision || '|100' FROM asked
         UNION ALL SELECT 'receipts', emp || '|' || key || '|' || message || '|' || revision FROM good UNION ALL SELECT 'rejected', event_id || '|revision_conflict' FROM j WHERE verdict = 'conflict' UNION ALL SELECT 'rejected', event_id || '|receipt_conflict' FROM t WHERE receipt = 'conflict'""",
     "stm.idempotency": _E + ", f AS (SELECT key, min(event_id) AS first_id, arg_min(body, event_id) AS body FROM e GROUP BY 1) SELECT e.event_id, CASE WHEN event_id = first_id THEN 'stored' WHEN e.body = f.body THEN 'repeated' ELSE 'conflict' END AS receipt FROM e JOIN f USING (key)",
-    "stm.revision_fsm": _E + """, r AS (SELECT *, event_id % 300 AS message, CASE WHEN event_id % 7 = 3 THEN 4 ELSE event_id // 600 + 1 END AS revision FROM e),
-        x AS (SELECT event_id, revision, (SELECT max(p.revision) FROM r p WHERE p.message = r.message AND p.event_id < r.event_id) AS before_rev, (SELECT arg_min(p.body, p.event_id) FROM r p WHERE p.message = r.message AND p.revision = r.revision AND p.event_id < r.event_id) AS was, body FROM r)
-        SELECT event_id, CASE WHEN was IS NOT NULL AND was = body THEN 'repeated' WHEN revision = coalesce(before_rev, 0) + 1 THEN 'accepted' ELSE 'conflict' END AS verdict FROM x""",
+    "stm.revision_fsm": "WITH RECURSIVE " + _E[5:] + """, r AS (SELECT *, event_id % 300 AS message, CASE WHEN event_id % 7 = 3 THEN 4 ELSE event_id // 600 + 1 END AS revision, row_number() OVER (PARTITION BY event_id % 300 ORDER BY event_id) AS n FROM e),
+        f AS (SELECT message, n, event_id, (revision = 1)::INT AS cur, CASE WHEN revision = 1 THEN [body] ELSE [] END AS bodies, CASE WHEN revision = 1 THEN 'accepted' ELSE 'conflict' END AS verdict FROM r WHERE n = 1
+            UNION ALL SELECT r.message, r.n, r.event_id, CASE WHEN r.revision = cur + 1 THEN cur + 1 ELSE cur END, CASE WHEN r.revision = cur + 1 THEN list_append(bodies, r.body) ELSE bodies END,
+                CASE WHEN r.revision = cur + 1 THEN 'accepted' WHEN r.revision <= cur AND bodies[r.revision] = r.body THEN 'repeated' ELSE 'conflict' END FROM f JOIN r ON r.message = f.message AND r.n = f.n + 1)
+        SELECT event_id, verdict FROM f""",
     "stm.collector_dedup": "WITH l AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events) SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS revision FROM l WHERE was IS NULL OR was <> event_type",
     "stm.queue_enqueue": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2",
     "stm.queue_claim": JOBS + " SELECT id, kind, session_id FROM claimable WHERE kind IN ('classify_message', 'route_search')",

@@ -18,7 +18,7 @@ from threadlens.work import Workspace
 
 
 def extract_entities(spark, d):
-    m = messages(spark, d).withColumn("t", F.concat(F.col("text"), F.lit(" see Issue #"), F.col("sequence_no"), F.lit(" and PR #"), F.col("session_id"), F.lit(" run_"), F.col("sequence_no"), F.lit("() in src/app_"), F.col("session_id"), F.lit(".py.")))
+    m = messages(spark, d).withColumn("t", F.concat(F.col("text"), F.lit(" see Issue #"), F.col("sequence_no"), F.lit(" and PR #"), F.col("session_id"), F.lit(" run_"), F.col("sequence_no"), F.lit("() in src/app_"), F.col("session_id"), F.lit(".py. 詳細はIssue\u2003#9"), F.col("session_id"), F.lit("とPR\u3000#8"), F.col("sequence_no"), F.lit("。xIssue #5 PRs #6 Issue #7a")))
     return m.select("message_id", F.explode(identifiers.extract_entities(F.col("t"))).alias("e")).where("e.entity_key RLIKE '[0-9]'").select("message_id", "e.entity_type", "e.entity_key")
 
 
@@ -372,7 +372,8 @@ ORACLES = {
     "str.namespace": "SELECT c_custkey, 'v1|' || c_nationkey || '|' || c_custkey || '|scope-a' AS namespace FROM customer",
     "str.sql_misc": "SELECT doc_id, position(' ' IN text)::INT AS first_space, lower(substring(text, 1, 20)) AS head, regexp_matches(text, '[0-9]') AS digits FROM documents",
     "str.extract_entities": cte("messages") + """, x AS (SELECT message_id, sequence_no, session_id FROM messages) SELECT message_id, 'issue' AS entity_type, '#' || sequence_no AS entity_key FROM x UNION ALL SELECT message_id, 'pull_request', '#' || session_id FROM x
-        UNION ALL SELECT message_id, 'function', 'run_' || sequence_no || '()' FROM x UNION ALL SELECT message_id, 'file', 'src/app_' || session_id || '.py' FROM x""",
+        UNION ALL SELECT message_id, 'function', 'run_' || sequence_no || '()' FROM x UNION ALL SELECT message_id, 'file', 'src/app_' || session_id || '.py' FROM x
+        UNION SELECT message_id, 'issue', '#9' || session_id FROM x UNION SELECT message_id, 'pull_request', '#8' || sequence_no FROM x""",
     "src.jsonl_claude": f"SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'ignored' ELSE {_PASS} END AS kind, CASE WHEN kind = 'message' THEN conv_id || '-' || turn END AS source_message_id, CASE WHEN kind = 'message' AND role = 'assistant' AND turn % 4 <> 1 THEN 'm1' END AS model_id, CASE WHEN kind = 'message' AND role = 'assistant' AND turn % 4 <> 1 THEN 'high' END AS reasoning_effort, CASE WHEN kind = 'message' THEN text END AS text FROM conversations",
     "src.codex_turn_ctx": "WITH l AS (SELECT 'f' || conv_id % 5 AS file, 't' || conv_id || '_' || turn // 2 AS turn_id, arg_max(turn, turn) AS t FROM conversations WHERE role <> 'system' GROUP BY 1, 2) SELECT file, turn_id, 'm' || t % 3 AS model_id, CASE WHEN t % 2 = 0 THEN 'low' END AS reasoning_effort FROM l",
     "src.jsonl_codex": """WITH l AS (SELECT conv_id, turn // 2 AS h, max(turn) AS t FROM conversations WHERE role <> 'system' GROUP BY 1, 2) SELECT c.conv_id, c.turn, CASE WHEN role = 'assistant' AND turn % 5 = 3 THEN 'ignored' ELSE 'message' END AS kind,

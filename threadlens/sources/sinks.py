@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadlens.operators.chains import reached
 from threadlens.work import Workspace
 
 #: Fixed limits of one delivery and one notification.
@@ -30,17 +31,7 @@ def outbox_batches(rows: DataFrame, key: str, order: list[str], size: str, most_
     marks = ends.select("__k", F.col("end").alias("at"), F.lit(0).alias("kind"), "__i").unionByName(ends.select("__k", (F.col("end") - F.col("__s") + most_bytes).alias("at"), F.lit(1).alias("kind"), "__i"))
     fits = F.max(F.when(F.col("kind") == 0, F.col("__i"))).over(Window.partitionBy("__k").orderBy("at", "kind", "__i").rowsBetween(Window.unboundedPreceding, 0))
     reach = marks.withColumn("fits", fits).where("kind = 1").select("__k", "__i", F.least(F.col("__i") + most_rows, F.greatest(F.col("__i"), F.coalesce("fits", F.lit(0))) + 1).alias("to"))
-    pointers = work.keep(reach, "pointers")
-    starts = work.keep(line.where("__i = 1").select("__k", "__i"), "starts")
-    while True:
-        new = work.keep(starts.join(pointers, ["__k", "__i"]).select("__k", F.col("to").alias("__i")), "new")
-        if new.isEmpty():
-            break
-        starts = work.keep(starts.unionByName(new), "starts")
-        onward = pointers.join(pointers.select("__k", F.col("__i").alias("to"), F.col("to").alias("then")), ["__k", "to"])
-        twice = work.keep(onward.select("__k", "__i", F.col("then").alias("to")), "pointers")  # a pointer beyond the last row goes
-        work.drop(pointers, new)
-        pointers = twice
+    starts = reached(reach, line.where("__i = 1").select("__k", "__i"), work)
     begun = line.join(starts.withColumn("__b", F.lit(1)), ["__k", "__i"], "left")
     batch = F.count("__b").over(along) - 1
     return begun.select("__row", batch.alias("batch")).select("__row.*", "batch")

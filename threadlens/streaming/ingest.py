@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from threadlens.operators.chains import reached
 from threadlens.sources.sinks import appended_once
+from threadlens.work import Workspace
 
 
 def receipts(events: DataFrame, keys: list[str], body_hash: str, order: list[Column]) -> DataFrame:
@@ -20,14 +22,31 @@ def receipts(events: DataFrame, keys: list[str], body_hash: str, order: list[Col
     return events.withColumn("receipt", F.when(n == 1, "stored").when(F.col(body_hash) == first, "repeated").otherwise("conflict"))
 
 
-def revision_verdicts(events: DataFrame, message: str, revision: str, body_hash: str, arrival: str) -> DataFrame:
-    """``events`` with ``verdict``: accepted if it is revision 1 of a new message or the next one, repeated if it equals the stored
-    revision of its number, else conflict. In arrival order a revision is next exactly if it is the lowest not yet seen."""
-    seen = Window.partitionBy(message).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    same = Window.partitionBy(message, revision).orderBy(arrival)
-    before = F.coalesce(F.max(revision).over(seen), F.lit(0))
-    first = F.first(body_hash).over(same.rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("verdict", F.when((F.row_number().over(same) > 1) & (F.col(body_hash) == first), "repeated").when(F.col(revision) == before + 1, "accepted").otherwise("conflict"))
+def revision_verdicts(events: DataFrame, message: str, revision: str, body_hash: str, arrival: str, identity: list[str] | None = None) -> DataFrame:
+    """``events`` with ``verdict``: accepted if it is revision 1 of a new message or the one after the message's current revision, repeated if
+    it equals the stored revision of its number, else conflict. Arrivals differ within a message.
+
+    What conflicts is not stored, so a gap or another body changes nothing for later events. With ``identity`` an event conflicts, too, whose columns of
+    these names differ from those that the message was stored with.
+
+    The accepted events of a message are a chain: from its first revision 1 to the first later revision 2, from there to the first later
+    revision 3, and so on. Each event points to the first later event of the next revision; ``chains.reached`` marks the chain.
+    """
+    work = Workspace(events.sparkSession, "revisions")
+    of_id = F.struct(*[F.col(c) for c in identity]) if identity else F.lit(0)
+    rows = events.select(F.struct(message).alias("__k"), F.col(arrival).cast("long").alias("__i"), F.col(revision).cast("long").alias("__r"), F.col(body_hash).alias("__b"), of_id.alias("__id"), F.struct(*[events[c] for c in events.columns]).alias("__row"))
+    rows = work.keep(rows, "rows")
+    first = work.keep(rows.where("__r = 1").groupBy("__k").agg(F.min("__i").alias("__first"), F.min_by("__id", "__i").alias("__own")), "first")
+    met = rows.join(first, "__k", "left").withColumn("__fits", F.coalesce((F.col("__i") >= F.col("__first")) & F.col("__id").eqNullSafe(F.col("__own")), F.lit(False)))
+    fit = met.where("__fits").select("__k", "__i", "__r")
+    marks = fit.withColumn("at", F.col("__i")).unionByName(fit.select("__k", "__i", (F.col("__r") + 1).alias("__r"), F.lit(None).cast("long").alias("at")))
+    later = Window.partitionBy("__k", "__r").orderBy(F.col("__i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    pointers = marks.withColumn("to", F.min("at").over(later)).where("at is null and to is not null").select("__k", "__i", "to")
+    chain = reached(pointers, first.select("__k", F.col("__first").alias("__i")), work)
+    judged = met.join(chain.withColumn("__ok", F.lit(True)), ["__k", "__i"], "left")
+    stored = F.last(F.when(F.col("__ok"), F.struct("__b")), ignorenulls=True).over(Window.partitionBy("__k", "__r").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1))
+    same = F.col("__fits") & stored.isNotNull() & stored["__b"].eqNullSafe(F.col("__b"))
+    return judged.withColumn("verdict", F.when(F.col("__ok"), "accepted").when(same, "repeated").otherwise("conflict")).select("__row.*", "verdict")
 
 
 def collected_revisions(rows: DataFrame, message: str, body_hash: str, arrival: str) -> DataFrame:
