@@ -13,7 +13,7 @@ from threadlens.operators import joins as op
 from threadlens.operators.ingest import MOST_EVENTS
 from threadlens.plans.base import cte, messages
 from threadlens.session import table
-from threadlens.sources import tail, transcripts
+from threadlens.sources import keyed, tail, transcripts
 from threadlens.work import Workspace
 
 
@@ -241,7 +241,10 @@ def policy_validate(spark, d):
 def upsert(spark, d):
     old = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.lit(0).alias("v"))
     new = table(spark, d, "customer").select((F.col("c_custkey") % 150).alias("s_suppkey"), F.col("c_nationkey").alias("s_nationkey"), F.col("c_custkey").cast("int").alias("v"))
-    return op.upserted(old, new, ["s_suppkey"], [F.col("v").desc()])
+    path = Workspace(spark, "upsert").path
+    keyed.created(old, path, ["s_suppkey"])
+    keyed.upserted(spark, path, old.schema, ["s_suppkey"], new, [F.col("v").desc()])
+    return keyed.read(spark, path, old.schema).drop(keyed.BUCKET)
 
 
 def outbox(spark, d):
