@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from threadlens.functions import identifiers
 from threadlens.functions.vectors import cosine, knn
 from threadlens.operators import aggregates as agg
 from threadlens.operators import folds
 from threadlens.operators import joins as op
-from threadlens.operators import postings, queue, related
+from threadlens.operators import continuity, postings, queue, related
 from threadlens.plans import streams
 from threadlens.plans.aggregates import _R, _routes
 from threadlens.plans.base import KNN, cte, documents, messages, requests, samples, with_sources
@@ -145,16 +146,13 @@ def nearest_2_per_session(spark, d):
 
 
 def continuity_candidates(spark, d):
-    m = messages(spark, d).groupBy("session_id").agg(F.min("occurred_at").alias("started_at"))
-    near = m.select("session_id", F.explode(F.sequence(F.col("session_id") - 3, F.col("session_id") - 1)).alias("candidate")).join(m.select(F.col("session_id").alias("candidate")), "candidate", "left_semi")
-    near = near.select("session_id", "candidate", F.lit(0).alias("priority"), (F.col("session_id") - F.col("candidate")).alias("n"))
-    shared = messages(spark, d).select("session_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 14))).alias("word"))
-    same = shared.alias("a").join(shared.alias("b"), "word").where("a.session_id > b.session_id").groupBy(F.col("a.session_id"), F.col("b.session_id").alias("candidate")).agg(F.count("*").alias("hits"))
-    same = op.top_per_key(same, ["session_id"], [F.col("hits").desc(), F.col("candidate")], 6).select("session_id", "candidate", F.lit(1).alias("priority"), F.col("rank").cast("long").alias("n"))
-    first = near.unionByName(same).groupBy("session_id", "candidate").agg(F.min(F.struct("priority", "n")).alias("place"))
-    cut = op.top_per_key(first, ["session_id"], [F.col("place"), F.col("candidate")], 6)
-    judged = messages(spark, d).select("session_id", (F.col("session_id") - 2).alias("candidate")).where("session_id % 4 = 0").distinct()
-    return cut.join(judged, ["session_id", "candidate"], "left_anti").select("session_id", "candidate", "rank")
+    """Sessions that may continue another, by their neighbours and by issues and pull requests that their messages name; one pull request is named by every third session."""
+    m, n = messages(spark, d), F.col("session_id")
+    sessions = m.select("session_id").distinct().select("session_id", (n % 5).alias("project_id"), (n % 3).alias("employee_id"), (n * 7 % 50).alias("started_at"))
+    said = F.concat("text", F.lit(" see Issue #"), n % 7, F.when(n % 3 == 0, " and PR #1").otherwise(""))
+    named = m.select("session_id", F.explode(identifiers.extract_entities(said)).alias("e")).select("session_id", "e.*")
+    pairs = lambda step, by: sessions.where(n % by == 0).select(n.alias("a"), (n + step).alias("b"))
+    return continuity.candidates(sessions, named, pairs(5, 4), pairs(-10, 6))
 
 
 def job_claim(spark, d):
@@ -208,14 +206,15 @@ ORACLES = {
     "top.budgeted": "WITH RECURSIVE " + _C + ", " + _FOLD.format(limit=10) + " SELECT request_id, count(*) FILTER (WHERE verdict = 'selected') AS selected, count(*) FILTER (WHERE verdict = 'limit') AS candidate_limit_exceeded, count(*) FILTER (WHERE verdict = 'token_budget') AS candidate_token_budget_exceeded FROM f GROUP BY 1",
     "top.rank_accepted": f"WITH {_C} SELECT request_id, document_id, (row_number() OVER (PARTITION BY request_id ORDER BY document_id % 3 DESC, (document_id % 7 = 0)::INT, (document_id % 5 = 0)::INT, document_id % 2 DESC, document_id % 4 DESC, round(rrf, 12) DESC, CASE WHEN document_id % 4 <> 0 THEN document_id * 13 % 31 END DESC NULLS LAST, document_id))::INT AS rank FROM c WHERE document_id % 3 >= 1",
     "top.nearest_2_per_session": KNN + ", p AS (SELECT query_id, 1 - distance AS primary_similarity FROM t WHERE rank = 1), n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY document_id DESC) AS r FROM docs), s AS (SELECT q.query_id, n.session_id AS other_session, n.document_id, list_cosine_similarity(n.embedding, q.embedding) AS similarity FROM n, requests q WHERE n.r <= 200 AND (n.session_id - q.session_id + 20) % 20 BETWEEN 1 AND 12), b AS (SELECT *, (row_number() OVER (PARTITION BY query_id, other_session ORDER BY similarity DESC, document_id))::INT AS rank FROM s) SELECT query_id, other_session, document_id, rank FROM b LEFT JOIN p USING (query_id) WHERE rank <= 2 AND similarity >= greatest(0.3, 0.8 * coalesce(primary_similarity, 1))",
-    "top.continuity_candidates": cte("messages") + """, s AS (SELECT DISTINCT session_id FROM messages), w AS (SELECT DISTINCT session_id, word FROM (SELECT session_id, message_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM messages) WHERE length(word) > 14),
-        wm AS (SELECT DISTINCT session_id, message_id, word FROM (SELECT session_id, message_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS word FROM messages) WHERE length(word) > 14),
-        near AS (SELECT a.session_id, b.session_id AS candidate, 0 AS p, a.session_id - b.session_id AS n FROM s a JOIN s b ON b.session_id BETWEEN a.session_id - 3 AND a.session_id - 1),
-        h AS (SELECT a.session_id, b.session_id AS candidate, count(*) AS hits FROM wm a JOIN wm b USING (word) WHERE a.session_id > b.session_id GROUP BY 1, 2),
-        hr AS (SELECT session_id, candidate, 1 AS p, row_number() OVER (PARTITION BY session_id ORDER BY hits DESC, candidate) AS n FROM h),
-        u AS (SELECT * FROM near UNION ALL SELECT * FROM hr WHERE n <= 6), f AS (SELECT session_id, candidate, min((p, n)) AS place FROM u GROUP BY 1, 2),
-        c AS (SELECT session_id, candidate, (row_number() OVER (PARTITION BY session_id ORDER BY place, candidate))::INT AS rank FROM f)
-        SELECT * FROM c WHERE rank <= 6 AND NOT (session_id % 4 = 0 AND candidate = session_id - 2)""",
+    "top.continuity_candidates": cte("messages") + """, s AS (SELECT DISTINCT session_id, session_id % 5 AS project_id, session_id % 3 AS employee_id, session_id * 7 % 50 AS started_at FROM messages),
+        i AS (SELECT session_id, project_id, 'issue' AS t, session_id % 7 AS k FROM s UNION ALL SELECT session_id, project_id, 'pr', 1 FROM s WHERE session_id % 3 = 0),
+        l AS (SELECT session_id AS a, session_id + 5 AS b FROM s WHERE session_id % 4 = 0), g AS (SELECT session_id AS a, session_id - 10 AS b FROM s WHERE session_id % 6 = 0),
+        p AS (SELECT x.session_id, y.session_id AS candidate, y.started_at, x.employee_id = y.employee_id AND y.started_at <= x.started_at AS near, EXISTS (SELECT 1 FROM i u JOIN i v USING (t, k) WHERE u.session_id = x.session_id AND v.session_id = y.session_id) AS shares
+            FROM s x JOIN s y ON x.project_id = y.project_id AND x.session_id <> y.session_id WHERE NOT EXISTS (SELECT 1 FROM l WHERE (a = x.session_id AND b = y.session_id) OR (b = x.session_id AND a = y.session_id))),
+        c AS (SELECT session_id, candidate, 0 AS part, row_number() OVER (PARTITION BY session_id ORDER BY started_at DESC, candidate DESC) AS place FROM p WHERE near QUALIFY place <= 3
+            UNION ALL SELECT session_id, candidate, 1, row_number() OVER (PARTITION BY session_id ORDER BY started_at DESC, candidate DESC) AS place FROM p WHERE shares QUALIFY place <= 6),
+        f AS (SELECT session_id, candidate, min(part * 100 + place) AS spot FROM c GROUP BY 1, 2), r AS (SELECT session_id, candidate, (row_number() OVER (PARTITION BY session_id ORDER BY spot))::INT AS rank FROM f)
+        SELECT * FROM r WHERE rank <= 6 AND NOT EXISTS (SELECT 1 FROM g WHERE (a = session_id AND b = candidate) OR (b = session_id AND a = candidate))""",
     "top.job_claim": streams.JOBS + " SELECT id, kind, priority FROM claimable WHERE kind IN ('classify_message', 'build_documents') ORDER BY priority DESC, created_at, id LIMIT 25",
     "top.outbox": cte("messages") + " SELECT message_id, session_id FROM messages ORDER BY session_id, sequence_no, message_id LIMIT 100",
     "top.nulls_last": "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate END DESC NULLS LAST, o_orderkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE n = 1",
