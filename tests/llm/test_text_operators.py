@@ -395,3 +395,15 @@ def test_components_on_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 230)] + [(7, 7), (9, 8)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test")).collect()}
     assert got == {**{i: 100 for i in range(101, 141)}, **{i: 200 for i in range(201, 230)}, 9: 8}
+
+
+def test_steps_without_use_come_last():
+    """A cutoff that rejects no poor row, however few others it meets, stands behind one that does, also where junk among the others makes that one dear."""
+    cuts = {rule: len(c) for rule, (_, c) in quality.RULES.items()}
+    poor = {rule: [22] * n if rule == "symbols" else [0] * n for rule, n in cuts.items()}
+    other = {rule: [30] * n if rule == "symbols" else [0] * n for rule, n in cuts.items()}
+    steps = quality.path(poor, other, 300, 0.02)
+    assert sorted(steps) == sorted((rule, i) for rule, n in cuts.items() for i in range(n))
+    assert steps[0][0] == "symbols"
+    of = [rule for rule, _ in steps]
+    assert all([i for r, i in steps if r == rule] == sorted((i for r, i in steps if r == rule), reverse=True) for rule in set(of))

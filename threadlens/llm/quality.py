@@ -128,8 +128,10 @@ def upper_bound(bad: int, n: int, delta: float) -> float:
 def path(poor: dict[str, list[int]], other: dict[str, list[int]], n_other: int, alpha: float) -> list[tuple[str, int]]:
     """The steps (rule, index of its cutoff) of a stratum, from how many poor and other rows are above each cutoff.
 
-    First come steps that hardly any row meets (together at most a quarter of ``alpha``), then those with the most poor rows for
-    the others they reject, then those that reject no poor row, by what they reject. A rule's steps keep their order.
+    First come the steps that reject poor rows, those with the most for the other rows they reject in front; then those that reject
+    none, by what they reject, since a step without use may not end the path before one with it. Others count as costs only as to order:
+    junk among them moves a step back, never behind one without poor rows. Where no row is labelled poor, steps that hardly any
+    row meets (together at most a quarter of ``alpha``) come first. A rule's steps keep their order.
     """
     at = {rule: len(cuts) for rule, (_, cuts) in RULES.items()}
     cheap = alpha * n_other / (4 * sum(at.values()))
@@ -140,7 +142,7 @@ def path(poor: dict[str, list[int]], other: dict[str, list[int]], n_other: int,
             gone = (poor[rule][now], other[rule][now]) if now < len(RULES[rule][1]) else (0, 0)
             for to in range(now - 1, -1, -1):
                 gain, cost = poor[rule][to] - gone[0], other[rule][to] - gone[1]
-                key = (cost > cheap, -gain / (cost + 1), cost, -to, rank)
+                key = (gain == 0, -gain / (cost + 1), cost > cheap, cost, -to, rank)
                 if best is None or key < best[0]:
                     best = (key, rule, to)
         _, rule, to = best
