@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def inner_on(left: DataFrame, right: DataFrame, keys: list[str], small: bool = False) -> DataFrame:
-    """Inner equi join; ``small`` promises that the right side is bounded by a checked size."""
-    return left.join(F.broadcast(right) if small else right, keys)
+def inner_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi join; Spark broadcasts a side where its size, as measured, allows it."""
+    return left.join(right, keys)
 
 
 def asof_latest(rows: DataFrame, requests: DataFrame, key: str, at: str, request_at: str, created: str) -> DataFrame:

@@ -18,7 +18,8 @@ from threadlens.work import Workspace, remove
 BUCKET, PREFIX = "bucket", "prefix"
 
 
-def _bucketed(rows: DataFrame, key: list[str], buckets: int) -> DataFrame:
+def bucketed(rows: DataFrame, key: list[str], buckets: int) -> DataFrame:
+    """``rows`` with the bucket that their key falls into."""
     return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
 
 
@@ -29,7 +30,7 @@ def _put(rows: DataFrame, path: str, by: str, mode: str) -> None:
 
 def created(rows: DataFrame, path: str, key: list[str], buckets: int = 64) -> None:
     """A new keyed table of ``rows``."""
-    _put(_bucketed(rows, key, buckets), path, BUCKET, "errorifexists")
+    _put(bucketed(rows, key, buckets), path, BUCKET, "errorifexists")
 
 
 def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -43,14 +44,14 @@ def replaced(spark: SparkSession, path: str, schema: StructType, key: list[str],
     """
     work = Workspace(spark, "replaced")
     keys = rows.select(*key) if gone is None else rows.select(*key).unionByName(gone.select(*key))
-    keys = work.keep(_bucketed(keys.distinct(), key, buckets), "keys")
+    keys = work.keep(bucketed(keys.distinct(), key, buckets), "keys")
     touched = sorted(r[0] for r in keys.select(BUCKET).distinct().collect())  # at most as many as there are buckets
     if not touched:
         return []
     old = read(spark, path, schema).where(F.col(BUCKET).isin(touched))
     same = keys.select(BUCKET, *[F.col(c).alias(f"__{c}") for c in key])
     stay = old.join(same, [old[BUCKET] == same[BUCKET], *[old[c].eqNullSafe(same[f"__{c}"]) for c in key]], "left_anti")
-    after = work.keep(stay.unionByName(_bucketed(rows.select(*[f.name for f in schema.fields]), key, buckets)), "after")
+    after = work.keep(stay.unionByName(bucketed(rows.select(*[f.name for f in schema.fields]), key, buckets)), "after")
     filled = {r[0] for r in after.select(BUCKET).distinct().collect()}
     _put(after, path, BUCKET, "overwrite")
     for b in touched:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadlens.operators.chains import reached
+from threadlens.sources.keyed import BUCKET, bucketed
 from threadlens.work import Workspace
 
 #: Fixed limits of one delivery and one notification.
@@ -67,16 +68,23 @@ def outcome(status: Column) -> Column:
     return F.when(status == 202, "acknowledged").when((status == 429) | status.between(500, 599), "retry").otherwise("permanent")
 
 
-def appended_once(path: str, keys: list[str]):
-    """A ``foreachBatch`` writer that adds each key once, so a batch that runs again changes nothing."""
+def appended_once(path: str, keys: list[str], buckets: int = 256):
+    """A ``foreachBatch`` writer that adds each key once, so a batch that runs again changes nothing.
+
+    The sink lies in folders by a hash of the key (column ``bucket``); a batch looks only into those that its keys fall into. One stream writes to a sink.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        rows = batch.dropDuplicates(keys)
+        work = Workspace(spark, "appended")
+        rows = work.keep(bucketed(batch.dropDuplicates(keys), keys, buckets), "rows")
+        touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())  # at most as many as there are buckets
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-            rows = rows.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        rows.write.mode("append").parquet(path)
+        new = rows
+        if touched and where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            new = rows.join(spark.read.schema(rows.schema).parquet(path).where(F.col(BUCKET).isin(touched)).select(*keys), keys, "left_anti")
+        new.write.mode("append").partitionBy(BUCKET).parquet(path)
+        work.drop(rows)
 
     return write
