@@ -150,7 +150,7 @@ def storage_estimate(spark, d):
 
 def eval_report(spark, d):
     found = _routes(spark, d).groupBy("request_id", "document_id").agg(F.min("rank").alias("position"))
-    expected = spark.range(50).select(F.col("id").alias("request_id"), (F.col("id") * 7 % 40).alias("document_id"))
+    expected = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") * 7 % 40).alias("document_id"))
     hit = expected.join(found, ["request_id", "document_id"], "left")
     return hit.select("request_id", "document_id", F.col("position").isNotNull().alias("in_candidates"), "position", F.coalesce(F.col("position") <= 10, F.lit(False)).alias("adopted"))
 
@@ -194,5 +194,5 @@ ORACLES = {
     "agg.distinct_rows": "SELECT DISTINCT l_partkey, l_suppkey FROM lineitem",
     "agg.completeness": "SELECT source, count(*) FILTER (WHERE vec_id IS NULL OR quality IS NULL) AS incomplete, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY 1",
     "agg.storage_estimate": "SELECT label AS project_id, sum(4 * len(embedding) + 8)::BIGINT AS bytes FROM embeddings GROUP BY 1",
-    "agg.eval_report": f"WITH {_R}, f AS (SELECT request_id, document_id, min(rank) AS position FROM r GROUP BY 1, 2), x AS (SELECT range AS request_id, range * 7 % 40 AS document_id FROM range(50)) SELECT request_id, document_id, position IS NOT NULL AS in_candidates, position, coalesce(position <= 10, false) AS adopted FROM x LEFT JOIN f USING (request_id, document_id)",
+    "agg.eval_report": f"WITH {_R}, f AS (SELECT request_id, document_id, min(rank) AS position FROM r GROUP BY 1, 2), x AS (SELECT c_custkey AS request_id, c_custkey * 7 % 40 AS document_id FROM customer) SELECT request_id, document_id, position IS NOT NULL AS in_candidates, position, coalesce(position <= 10, false) AS adopted FROM x LEFT JOIN f USING (request_id, document_id)",
 }

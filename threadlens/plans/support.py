@@ -35,7 +35,7 @@ def auto_request(spark, d):
 
 def link_evidence(spark, d):
     m = messages(spark, d).select("message_id", "session_id")
-    asked = spark.range(80).select((F.col("id") * 1000 + 1).alias("message_id"), F.sha2(F.to_json(F.struct(F.col("id").alias("from"), (F.col("id") + 1).alias("to"))), 256).alias("condition_hash"))
+    asked = messages(spark, d).select(F.col("session_id").alias("id")).distinct().select((F.col("id") * 1000 + 1).alias("message_id"), F.sha2(F.to_json(F.struct(F.col("id").alias("from"), (F.col("id") + 1).alias("to"))), 256).alias("condition_hash"))
     return asked.join(m, "message_id").select("message_id", "session_id", "condition_hash")
 
 
@@ -261,7 +261,7 @@ ORACLES = {
     "sp.session_upsert": "SELECT o_custkey % 300 AS source_key, arg_min(o_custkey % 2, o_orderkey) AS project_id, count(DISTINCT o_custkey % 2) > 1 AS conflict FROM orders GROUP BY 1",
     "sp.message_insert": cte("messages") + " SELECT message_id, role FROM messages",
     "sp.auto_request": cte("messages") + " SELECT message_id, 'initial-v1' AS policy_version FROM messages WHERE role = 'user' AND sequence_no * 200 <= 600",
-    "sp.link_evidence": cte("messages") + " SELECT message_id, session_id, sha256('{\"from\":' || range || ',\"to\":' || range + 1 || '}') AS condition_hash FROM range(80) JOIN messages ON message_id = range * 1000 + 1",
+    "sp.link_evidence": cte("messages") + " SELECT message_id, session_id, sha256('{\"from\":' || range || ',\"to\":' || range + 1 || '}') AS condition_hash FROM (SELECT DISTINCT session_id AS range FROM messages) JOIN messages ON message_id = range * 1000 + 1",
     "sp.request_rows": "SELECT a.o_orderkey, b.o_orderkey AS origin_id FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey - 40 AND a.o_custkey = b.o_custkey AND a.o_orderstatus = b.o_orderstatus",
     "sp.result_parts": "SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 0 THEN (o_orderkey % 4 + 1)::INT ELSE 0 END AS n_matches, o_orderkey % 3 = 0 AS has_warnings FROM orders",
     "sp.input_valid": "SELECT o_orderkey, o_orderkey % 10 <> 0 AND o_orderkey % 15 <> 0 AS valid FROM orders",
