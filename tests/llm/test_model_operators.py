@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from threadlens.llm import chat, hmm, mixing, sharding, toxicity
 from threadlens.llm.common import held
+from threadlens.llm.places import placed, stored
+from threadlens.work import Workspace
 
 
 def test_forward_and_counts_by_enumeration():
@@ -283,6 +285,13 @@ def test_mixing_keeps_good_rows_whole(spark):
     assert np.mean([i in got for i, d in truth.items() if d == "toxic"]) < 0.1
 
 
+def test_rows_of_one_id_are_drawn_apart(spark):
+    """Half of the rows without an id, and half of those of one id, stay at a rate of a half."""
+    rows = stored(spark.createDataFrame([(None, "a")] * 400 + [(7, "b")] * 400, "doc_id long, text string"), Workspace(spark, "draws"))
+    got = placed(rows, "doc_id", "text").where(mixing.draw("mix") < 0.5).groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in got} == {None, 7} and all(150 < r["count"] < 250 for r in got)
+
+
 def test_mixing_sees_wrong_labels(spark):
     """A twentieth of the labels is wrong; posteriors of texts without a mark are those without wrong labels."""
     rng = np.random.default_rng(7)

@@ -20,7 +20,8 @@ No text is ever shuffled: measures are computed where a document is read, once;
 
 Defined cases: null text counts as empty (no tokens; its rate stays 1, for nothing moves it); unlabelled documents are mixed like others;
 a domain without labelled rows gets only the smoothed chance; with no labelled rows all domains are equally likely; repeated rows
-count each time, a row labelled several times teaches several times; columns of any names are handed on.
+count each time, a row labelled several times teaches several times; rows without an id, or with one and the same, are drawn each for itself
+(by their number in their file); columns of any names are handed on.
 """
 
 from __future__ import annotations
@@ -196,14 +197,18 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     return out.withColumn("gap", F.lit(gap))
 
 
+def draw(salt: str) -> Column:
+    """A number from 0 to 1 of each placed row, by its id and its number in its file: rows without an id, or with one and the same, are drawn apart."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(salt), "doc_id", AT), 11) / F.lit(float(2**53))
+
+
 def thinned(docs: DataFrame, labels: DataFrame, shares: dict[str, float], text: str = "text") -> tuple[DataFrame, float]:
     """Whole rows of ``docs``, each kept with the chance of its rate (at most 1), and the gap; ``shares`` are parts of what each domain holds."""
     work = Workspace(docs.sparkSession, "mixing")
     docs = stored(docs, work)
     rows = placed(docs, "doc_id", F.col(text).alias("text"))
     out, gap = fitted(rows, labels, ["doc_id", FILE, AT], work, shares=shares, most=1.0)
-    chance = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), "doc_id"), 11) / F.lit(float(2**53))
-    return picked(docs, out.where(chance >= F.col("rate")).select(FILE, AT), False, work), gap
+    return picked(docs, out.where(draw("mix") >= F.col("rate")).select(FILE, AT), False, work), gap
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +217,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates by which documents mix to token shares of 90 % good, 8 % poor and 2 % toxic at the corpus's own size."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = document_rates(docs, labelled(spark, sf_dir), {"good": 0.90, "poor": 0.08, "toxic": 0.02})
-    copies = F.floor(F.col("rate") + F.shiftrightunsigned(F.xxhash64(F.lit("copies"), "doc_id"), 11) / F.lit(float(2**53)))
+    work = Workspace(spark, "mixing")
+    docs = placed(stored(table(spark, sf_dir, "documents").select("doc_id", "text"), work), "doc_id", "text")
+    out, gap = fitted(docs, labelled(spark, sf_dir), ["doc_id", AT], work, {"good": 0.90, "poor": 0.08, "toxic": 0.02})
+    out = out.withColumn("gap", F.lit(gap))
+    copies = F.floor(F.col("rate") + draw("copies"))
     return out.select("doc_id", F.col("tokens").cast("long").alias("n_tokens"), *[f"p_{d}" for d in DOMAINS], "rate", copies.alias("copies"), "gap")
