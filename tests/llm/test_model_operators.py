@@ -41,6 +41,45 @@ def test_forward_and_counts_by_enumeration():
     assert np.allclose(got, moves) and np.isclose(ll, sum(want)) and np.isclose(emitted.sum(), sum(map(len, seqs))) and np.isclose(starts.sum(), len(seqs))
 
 
+def test_windows_need_few_matrices(monkeypatch):
+    """The first and the last window of a text go by vectors; tokens that are as good as impossible don't leave the range of doubles."""
+    rng = np.random.default_rng(2)
+    start, move = rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3)
+    emit = rng.dirichlet(np.ones(5), 3).T * 10.0 ** rng.integers(-40, 1, (5, 3))
+    seqs = [rng.integers(0, 5, n) for n in (1, 7, 8, 9, 16, 17, 40)]
+    made, transfer = [], hmm.Windows._transfer
+    monkeypatch.setattr(hmm.Windows, "_transfer", lambda self, pieces: made.extend(pieces) or transfer(self, pieces))
+    whole, cut = hmm.expected(seqs, start, move, emit, 100), hmm.expected(seqs, start, move, emit, 8)
+    assert all(np.allclose(a, b) for a, b in zip(whole, cut)) and np.isclose(whole[0].sum(), sum(map(len, seqs)))
+    assert len(made) == 1 + 3  # of the text of three windows and of that of five
+    plain = []
+    for s in seqs:
+        a, total = start, 0.0
+        for t, c in enumerate(s):
+            a = (a @ move if t else a) * emit[c]
+            total, a = total + math.log(a.sum()), a / a.sum()
+        plain.append(total)
+    for window in (100, 8):
+        assert np.allclose(hmm.log_likelihood(seqs, start, move, emit, window), plain) and np.isclose(whole[3], sum(plain))
+    assert len(made) == 2 * (1 + 3)
+
+
+def test_lookup_finds_what_a_search_finds():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1000):
+        words = np.unique(np.concatenate([rng.integers(0, 2**64, n, dtype=np.uint64), np.array([2**64 - 1, 0, 1, 2, 3][: min(n, 5)], np.uint64)]))
+        h = np.concatenate([words, rng.integers(0, 2**64, 50, dtype=np.uint64), np.arange(9, dtype=np.uint64)])
+        at, found = hmm.Lookup(words)(h)
+        assert found.tolist() == np.isin(h, words).tolist() and (words[at[found]] == h[found]).all()
+
+
+def test_first_passes_read_their_rows_alone(spark, monkeypatch):
+    seen, step = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda tokens, *a: seen.append((tokens.count(), spark.read.parquet(*tokens.inputFiles()).count())) or step(tokens, *a))
+    hmm.score_texts(frame(spark, documents(60)), F.lit(True), states=3, warm=4)
+    assert all(rows == stored for rows, stored in seen) and 0 < seen[0][0] < seen[-1][0] == 70
+
+
 def test_language_model(spark):
     rows = documents(200)
     scored, model = hmm.score_texts(frame(spark, rows), ~held("doc_id", 10, 0), classes=64, lookup=32, iterations=3)

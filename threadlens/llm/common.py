@@ -131,15 +131,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     for a in range(0, len(starts), step):
         s, n = starts[a : a + step], (ends - starts)[a : a + step]
         h = np.full(len(s), 0x9E3779B97F4A7C15, np.uint64)
-        order = np.argsort(-n, kind="stable")  # longest first: those still folding are a prefix
+        short = (65 - np.minimum(n, 65)).astype(np.uint8)
+        order = np.argsort(short, kind="stable")  # longest first, by counting: those still folding are a prefix
         so, ho = s[order], h
-        left = np.searchsorted(-n[order], -np.arange(min(64, int(n.max()) if len(n) else 0)), "left")
+        alive = np.cumsum(np.bincount(short, minlength=66))[64::-1]  # words longer than 0, 1, ...
+        left = alive[: min(64, int(n.max()) if len(n) else 0)]
         for j, m in enumerate(left):
             x = ho[:m]
             x ^= table[data[so[:m] + j]]
             x *= np.uint64(0xD6E8FEB86659FD93)
             x ^= x >> np.uint64(29)
-        for i in range(int(np.searchsorted(-n[order], -64, "left"))):
+        for i in range(int(alive[64])):
             tail = data[so[i] + 64 : so[i] + n[order[i]]]
             ho[i] ^= np.frombuffer(hashlib.blake2b((_LOWER[tail] if lower else tail).tobytes(), digest_size=8).digest(), np.uint64)[0]
         back = np.empty(len(s), np.uint64)

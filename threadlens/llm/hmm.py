@@ -41,6 +41,8 @@ GROWTH = 32
 PART = 2048
 #: Tokens that a worker takes through the recursions at once, and the longest window of one text among them.
 TOKENS, WINDOW = 500_000, 1024
+#: Steps of a recursion after which it is scaled; even where every token is unknown, four of them stay far from what doubles hold.
+SCALED = 4
 
 
 def endings(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -123,13 +125,14 @@ def side_by_side(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 class Windows:
     """Sequences cut into windows of at most ``window`` tokens that know what comes before and after, so that no transition is cut.
 
-    A window's transfer matrix leads from the state before it to the one at its end. The matrices of all windows are found side by
+    A window's transfer matrix leads from the state before it to the one at its end. A sequence's first window is only entered from
+    ``start`` and nothing follows its last one, so these two need a vector each and no matrix. All are found side by
     side; a chain over the windows of a sequence then gives each window the filtered state at the end of the one before
     (``before``, states by windows; ``start`` holds for first windows) and, up to a factor, the likelihood of all that follows
-    (``after``).
+    (``after``, ones unless ``both`` directions are asked for).
     """
 
-    def __init__(self, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, window: int, limit: int):
+    def __init__(self, seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, window: int, limit: int, both: bool = True):
         self.start, self.move, self.emit, self.limit = start, move, np.ascontiguousarray(emit.T), limit
         n = np.array([-(-len(s) // window) for s in seqs])
         self.of = np.repeat(np.arange(len(seqs)), n)
@@ -139,23 +142,42 @@ class Windows:
         k = len(start)
         self.before, self.after = np.zeros((k, len(self.of))), np.ones((k, len(self.of)))
         ends = np.cumsum(n)
-        long = np.flatnonzero((n > 1)[self.of])
-        matrix = np.zeros((len(long), k, k))
-        for group in by_length([self.pieces[i] for i in long], limit):
-            matrix[group] = self._transfer([self.pieces[long[i]] for i in group])
-        at = dict(zip(long.tolist(), range(len(long))))
-        for s in np.flatnonzero(n > 1):
+        cut = np.flatnonzero(n > 1)
+        head = dict(zip(cut.tolist(), self._vectors([self.pieces[i] for i in ends[cut] - n[cut]], start, move.T)))
+        tail = dict(zip(cut.tolist(), self._vectors([self.pieces[i][::-1] for i in ends[cut] - 1], np.ones(k), move))) if both else {}
+        inner = np.flatnonzero(~self.first & (np.append(self.of[1:], -1) == self.of))
+        matrix = np.zeros((len(inner), k, k))
+        for group in by_length([self.pieces[i] for i in inner], limit):
+            matrix[group] = self._transfer([self.pieces[inner[i]] for i in group])
+        at = dict(zip(inner.tolist(), range(len(inner))))
+        for s in cut.tolist():
             a, b = int(ends[s] - n[s]), int(ends[s])
-            state = start
-            for i in range(a, b - 1):
-                state = state @ matrix[at[i]]
-                self.before[:, i + 1] = state / state.sum()
-                state = self.before[:, i + 1] @ move
-            rest = np.ones(k)
-            for i in range(b - 1, a, -1):
-                rest = move @ (matrix[at[i]] @ rest)
-                rest /= rest.sum()
-                self.after[:, i - 1] = rest
+            state = self.before[:, a + 1] = head[s]
+            for i in range(a + 1, b - 1):
+                state = (state @ move) @ matrix[at[i]]
+                state = self.before[:, i + 1] = state / state.sum()
+            if both:
+                rest = self.after[:, b - 2] = move @ tail[s]
+                for i in range(b - 2, a, -1):
+                    rest = move @ (matrix[at[i]] @ rest)
+                    rest = self.after[:, i - 1] = rest / rest.sum()
+
+    def _vectors(self, pieces: list[np.ndarray], first: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """... diag(e_2) by diag(e_1) by diag(e_0) first for each piece (pieces by states), scaled to sum one."""
+        out = np.empty((len(pieces), len(first)))
+        for group in by_length(pieces, self.limit):
+            order, alive, at, seen = side_by_side([pieces[i] for i in group])
+            order = np.array(group)[order]
+            v = first[:, None] * self.emissions(seen[: at[1]])
+            for t, n in enumerate(alive[1:], 1):
+                if n < v.shape[1]:
+                    out[order[n : v.shape[1]]] = v[:, n:].T
+                v = by @ v[:, :n]
+                v *= self.emissions(seen[at[t] : at[t + 1]])
+                if t % SCALED == 0:
+                    v /= v.sum(0)
+            out[order[: v.shape[1]]] = v.T
+        return out / out.sum(1, keepdims=True)
 
     def _transfer(self, pieces: list[np.ndarray]) -> np.ndarray:
         """diag(e_0) (move diag(e_1)) (move diag(e_2)) ... of each piece, up to a factor."""
@@ -163,19 +185,23 @@ class Windows:
         k = len(self.start)
         out = np.empty((len(pieces), k, k))
         m = np.zeros((k, k, len(pieces)))  # state at the end, state before, piece
-        e = self.emit[:, seen[: at[1]]]
+        e = self.emissions(seen[: at[1]])
         m[np.arange(k), np.arange(k)] = e
         for t, n in enumerate(alive[1:], 1):
             if n < m.shape[2]:
                 out[order[n : m.shape[2]]] = m[:, :, n:].transpose(2, 1, 0)
                 m = m[:, :, :n]
             m = (self.move.T @ m.reshape(k, -1)).reshape(k, k, n)
-            m *= self.emit[:, None, seen[at[t] : at[t + 1]]]
+            m *= self.emissions(seen[at[t] : at[t + 1]])[:, None]
             if t % 8 == 0:
                 m /= m.sum((0, 1))
         out[order[: m.shape[2]]] = (m / m.sum((0, 1))).transpose(2, 1, 0)
         return out
 
+    def emissions(self, seen: np.ndarray) -> np.ndarray:
+        """States by tokens; every token is a class, and so numpy need not look for others."""
+        return np.take(self.emit, seen, axis=1, mode="clip")
+
     def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Windows of like length that are taken through the recursions at once: their indices, longest first, and ``side_by_side``'s arrays."""
         for group in by_length(self.pieces, self.limit):
@@ -189,15 +215,20 @@ class Windows:
 
 def log_likelihood(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray, window: int = WINDOW, limit: int = TOKENS) -> np.ndarray:
     """Natural-log likelihood of each sequence by the scaled forward recursion, in double precision."""
-    w = Windows(seqs, start, move, emit, window, limit)
+    w = Windows(seqs, start, move, emit, window, limit, both=False)
     total = np.zeros(len(w.pieces))
     for own, alive, at, seen in w.groups():
         a, sums = w.entry(own), np.zeros(len(own))
         for t, n in enumerate(alive):
-            a = (move.T @ a[:, :n] if t else a) * w.emit[:, seen[at[t] : at[t + 1]]]
-            s = a.sum(0)
-            a /= s
-            sums[:n] += np.log(s)
+            if t:
+                sums[n : a.shape[1]] += np.log(a[:, n:].sum(0))  # windows that have ended
+                a = move.T @ a[:, :n]
+            a *= w.emissions(seen[at[t] : at[t + 1]])
+            if t % SCALED == 0:
+                s = a.sum(0)
+                a /= s
+                sums[:n] += np.log(s)
+        sums[: a.shape[1]] += np.log(a.sum(0))
         total[own] = sums
     return np.bincount(w.of, total, len(seqs))
 
@@ -208,35 +239,39 @@ def expected(seqs: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit:
     k = len(start)
     emitted, moves, starts, likelihood = np.zeros((k, len(emit))), np.zeros((k, k)), np.zeros(k), 0.0
     for own, alive, at, seen in w.groups():
-        e = w.emit[:, seen]
-        ahead, scale = np.empty_like(e), np.empty(len(seen))
-        forward, a = np.empty_like(e), None
+        e = w.emissions(seen)
+        forward = np.empty_like(e)
         for t, n in enumerate(alive):
-            x = slice(at[t], at[t + 1])
-            a = (move.T @ a[:, :n] if t else w.entry(own)) * e[:, x]
-            s = a.sum(0)
-            a /= s
-            forward[:, x], scale[x] = a, s
-        e /= scale
+            a = forward[:, at[t] : at[t + 1]]
+            if t:
+                np.matmul(move.T, forward[:, at[t - 1] : at[t - 1] + n], out=a)
+            else:
+                a[:] = w.entry(own)
+            a *= e[:, at[t] : at[t + 1]]
+            if t % SCALED == 0:
+                s = a.sum(0)
+                a /= s
+                e[:, at[t] : at[t + 1]] /= s
+                likelihood += float(np.log(s).sum())
         size = np.array([len(w.pieces[i]) for i in own])
-        last = at[size - 1] + np.arange(len(own))
-        rest = w.after[:, own] / (forward[:, last] * w.after[:, own]).sum(0)
-        backward = np.empty_like(e)
+        last = forward[:, at[size - 1] + np.arange(len(own))]
+        likelihood += float(np.log(last.sum(0)).sum())
+        rest = w.after[:, own] / (last * w.after[:, own]).sum(0)
+        ahead = np.empty((k, 0))
         for t in range(len(alive) - 1, -1, -1):
-            x, n = slice(at[t], at[t + 1]), alive[t + 1] if t + 1 < len(alive) else 0
-            backward[:, at[t] + n : at[t + 1]] = rest[:, n : alive[t]]  # windows that end here
+            x, n = slice(at[t], at[t + 1]), ahead.shape[1]
+            backward = rest[:, : alive[t]].copy()  # windows that end here, and in place of the others
             if n:
-                backward[:, at[t] : at[t] + n] = move @ ahead[:, at[t + 1] : at[t + 2]]
-            ahead[:, x] = e[:, x] * backward[:, x]
-        before = np.arange(at[1], len(seen)) - np.repeat(at[1:-1] - at[:-2], alive[1:])
-        moves += forward[:, before] @ ahead[:, at[1] :].T
+                np.matmul(move, ahead, out=backward[:, :n])
+                moves += forward[:, at[t] : at[t] + n] @ ahead.T
+            ahead = e[:, x]
+            ahead *= backward
+            forward[:, x] *= backward
         first = w.first[own]
-        moves += w.before[:, own[~first]] @ ahead[:, : at[1]][:, ~first].T
-        forward *= backward
+        moves += w.before[:, own[~first]] @ ahead[:, ~first].T
         starts += forward[:, : at[1]][:, first].sum(1)
         for i in range(k):
             emitted[i] += np.bincount(seen, forward[i], minlength=len(emit))
-        likelihood += float(np.log(scale).sum())
     return emitted.T, moves * move, starts, likelihood
 
 
@@ -253,6 +288,33 @@ def by_length(seqs: list[np.ndarray], limit: int) -> Iterator[list[int]]:
         yield group
 
 
+class Lookup:
+    """Places of hashes in a sorted array of them, as ``searchsorted`` finds them: a table of leading bits says where to begin."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        bits = min(24, 2 + len(words).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.begin = np.zeros(1 << bits, np.int32)
+        np.cumsum(np.bincount((words >> self.shift).astype(np.int64), minlength=1 << bits)[:-1], out=self.begin[1:])
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, whether the hash is there); a place is only right where it is."""
+        if not len(self.words):
+            return np.zeros(len(h), np.int32), np.zeros(len(h), bool)
+        at, end = self.begin[h >> self.shift], len(self.words) - 1
+        np.minimum(at, end, out=at)
+        met = self.words[at]
+        found, behind = met == h, np.flatnonzero(met < h)
+        while len(behind):
+            behind = behind[at[behind] < end]
+            at[behind] += 1
+            met = self.words[at[behind]]
+            found[behind] = met == h[behind]
+            behind = behind[met < h[behind]]
+        return at, found
+
+
 class Model:
     """Corpus statistics and parameters, of a size that grows with the square root of the vocabulary unless ``classes`` fixes it."""
 
@@ -328,14 +390,14 @@ def classed(docs: DataFrame, model: Model) -> DataFrame:
         end = END if n_texts else first
         logs = np.log10((n + 0.1) / mass)
         end_log = math.log10((n_texts + 0.1) / mass)
+        lookup = Lookup(words)
         for batch in batches:
             data, offsets = text_views(batch.column(0))
             for a, b in blocks(offsets):
                 d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 s, e, w = word_spans(d, o)
                 h = word_hashes(d, s, e)
-                at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-                found = words[at] == h if len(words) else np.zeros(len(h), bool)
+                at, found = lookup(h)
                 own = np.repeat(np.arange(len(w) - 1), np.diff(w))
                 score = np.bincount(own, np.where(found, logs[at], 0) if len(words) else None, len(w) - 1) * (len(words) > 0)
                 known = np.concatenate([[0], np.cumsum(found)])
@@ -450,7 +512,9 @@ def score_texts(
     tokens = work.keep(classed(rows, model), "tokens")
     trained = tokens.where("train")
     if iterations is None:
-        settle(trained.where(F.pmod(F.xxhash64("row"), F.lit(warm)) == 0), model, window, tolerance)
+        some = work.keep(trained.where(F.pmod(F.xxhash64("row"), F.lit(warm)) == 0).select("ids"), "warm")  # each of its passes reads these rows alone
+        settle(some, model, window, tolerance)
+        work.drop(some)
         settle(trained, model, window, tolerance)
     for _ in range(iterations or 0):
         baum_welch(trained, model, window)
