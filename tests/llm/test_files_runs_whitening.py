@@ -53,6 +53,34 @@ def test_words_encode_as_whole_texts(tokenizer):
         assert len(words) < 2500 and max(map(len, words)) <= 64  # the memory is emptied, no long word is in it
 
 
+def test_letters_go_to_the_model_alone(tokenizer):
+    """Words of Latin letters, of any case and between signs, don't go through the library's normalising and splitting; the ids are those of whole texts."""
+    words, asked = Words(vocabulary("word_bpe_49k.json")), []
+
+    class Watched:
+        def encode_batch(self, given, **_):
+            asked.extend(w for g in given for w in g)
+            return tokenizer.encode_batch(given, is_pretokenized=True, add_special_tokens=False)
+
+        def encode_batch_fast(self, given, **_):
+            asked.extend(given)
+            return tokenizer.encode_batch_fast(given, add_special_tokens=False)
+
+    words.tokenizer = Watched()
+    texts = ["The house, the HOUSE (the House).", "Niño NIÑO ¡niño! ÀÉÞßÿ casa$$$ CASA###", 'straße STRASSE "Straße"; Ærø & œuvre']
+    assert [np.frombuffer(x, "<i4").tolist() for x in words.encode([t.encode() for t in texts])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == sorted([",", "(", ").", "¡niño!", "$$$", "###", '"', '";', "&", "œuvre"])
+
+
+def test_case_where_it_decides(tokenizer):
+    """Capitals before combining marks, in strings of added tokens and beyond ASCII: lowered no sooner than the library does."""
+    latin = [chr(c) for c in range(0x21, 0x250)]
+    texts = ["H\u0331 h\u0331 \u1e96 W\u030a J\u030c T\u0308", "<|ENDOFTEXT|> <|EndOfText|> <|endoftext|> ABC", "A<|startoftext|>B", "İI K\u212a ǅ É\u0301X E\u0301", "I'LL DON'T 'S 'T", "ABC&&& $X X* |Y| Z|", "=\u0338 A=\u0338B"]
+    texts += [f"{a}{c}{b} {c} {c}{c}A, A{c}" for c in latin for a, b in (("A", "b"), ("É", "ñ"), (".", "("))]
+    got = [np.frombuffer(x, "<i4").tolist() for x in Words(vocabulary("word_bpe_49k.json")).encode([t.encode() for t in texts])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.fixture(scope="module")
 def written(spark, tmp_path_factory):
     rows = [(r[0], r[1]) for r in documents(900)] + [(None, "no id"), (-5, "minus"), (7, "seven again"), *[(77, f"hot {i}") for i in range(600)]] + [(i + 10_000, t) for i, t in enumerate(ODD)]

@@ -22,10 +22,13 @@ not stored.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadlens.llm.bpe import vocabulary
+from threadlens.llm.bpe import byte_letters, vocabulary
 from threadlens.llm.common import arrow_limits, blocks, text_views, tidy
 from threadlens.llm.places import AT, FILE, placed, stored
 from threadlens.session import table
@@ -43,8 +46,14 @@ IDS = "doc_id long, part int, at long, n_tokens int, ids array<int>"
 PARTS = "part int, file string, first_id long, last_id long, rows long, tokens long, start long"
 
 
-#: A word of letters (ASCII or beyond) between signs that the vocabulary's pattern splits off whatever they stand beside.
-SHAPE = re.compile(rb"""([(\[{"]*)([A-Za-z\x80-\xff]+)([.,;:!?)\]}"]*)""").fullmatch
+#: Letters of ASCII and of U+00C0 to U+00FF, which are each a letter of its own however their neighbours look.
+LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+#: A word of such letters between signs that the vocabulary's pattern splits off whatever they stand beside.
+SHAPE = re.compile(rb"""([(\[{"]*)(%b)([.,;:!?)\]}"#$%%&*|]*)""" % LETTERS).fullmatch
+#: The lower case of such letters, byte by byte: a capital's second byte lies 32 below.
+LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+#: The letters that stand for bytes in the vocabulary, but a space between words.
+SPACED = "".join(byte_letters()[b] if b != 32 else " " for b in range(256))
 #: Longer words are neither sent with others nor remembered.
 LONG = 64
 
@@ -52,31 +61,37 @@ LONG = 64
 class Words(dict):
     """Packed little-endian ids of words (white space apart), asked from the tokenizers library when first met.
 
-    A word of letters with signs around it is put together from its parts, and ASCII letters are asked for in lower case, since the
-    vocabulary lowers them; so fewer words are new.
+    A word of letters with signs around it is put together from its parts, and letters are asked for in lower case, since the
+    vocabulary lowers them; so fewer words are new. Lower-case letters are what normalising and splitting leave as they are, so they
+    go to the library's model without these steps.
     """
 
     def __init__(self, path: str, remembered: int = 1_000_000):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        #: lower-case beginnings of texts that must not be lowered: of added tokens, which are matched as they are written, and of
+        #: U+0300 to U+037F, marks that may make another letter of a lower-case one than of its capital
+        self.cased = [*{t.content.lower().encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}, b"\xcc", b"\xcd"]
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
 
     def _letters(self, words: list[bytes], together: int = 500) -> None:
-        """Words of letters alone, many as one text: each ends with a token that ends a word."""
+        """Words of lower-case ``LETTERS`` alone, many as one text: each ends with a token that ends a word."""
         groups = [words[i : i + together] for i in range(0, len(words), together)]
         if not groups:
             return
-        for g, e in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+        for g, e in zip(groups, self.model.encode_batch_fast([codecs.charmap_decode(b" ".join(g), "strict", SPACED)[0] for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, "<i4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(g):  # lowering has made a letter something else
+            if len(cuts) != len(g):  # a letter that the vocabulary doesn't know
                 self._any(g)
                 continue
             packed, at = ids.tobytes(), 0
@@ -100,26 +115,25 @@ class Words(dict):
     def learn(self, words: Iterable[bytes]) -> None:
         letters, others, made = set(), set(), []
         for w in words:
-            if w.isalpha() and len(w) <= LONG:  # of bytes, ASCII alone
-                core, before, after = w.lower(), b"", b""
+            if len(w) > LONG:
+                others.add(w)
+            elif w.isalpha():  # of bytes, ASCII alone
+                core = w.lower()
                 letters.add(core)
-                if core is w or core == w:
-                    continue
-            elif len(w) <= LONG and (m := SHAPE(w)):
+                if core != w:
+                    made.append((w, b"", core, b""))
+            elif m := SHAPE(w):
                 before, core, after = m.groups()
-                if core.isascii():
-                    core = core.lower()
-                elif not core.decode("utf-8", "replace").isalpha():
-                    others.add(w)
-                    continue
+                core = core.translate(LOWER)
                 letters.add(core)
-                others.add(before)
-                others.add(after)
+                if before:
+                    others.add(before)
+                if after:
+                    others.add(after)
+                if core != w:
+                    made.append((w, before, core, after))
             else:
                 others.add(w)
-                continue
-            made.append((w, before, core, after))
-        others.discard(b"")
         self._letters([w for w in letters if w not in self])
         self._any([w for w in others if w not in self])
         for w, before, core, after in made:
@@ -128,15 +142,13 @@ class Words(dict):
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words, edges = [], [0]
         for t in texts:
-            words += t.split()  # of bytes, it splits at [\x20\x09-\x0D] alone
+            low = t.lower()  # of bytes, ASCII alone
+            words += (t if any(c in low for c in self.cased) else low).split()  # of bytes, it splits at [\x20\x09-\x0D] alone
             edges.append(len(words))
         if len(self) > self.remembered:
             self.clear()
         packed = list(map(self.get, words))
-        new, i = [], -1
-        for _ in range(packed.count(None)):
-            i = packed.index(None, i + 1)
-            new.append(i)
+        new = list(compress(range(len(packed)), map(is_, packed, repeat(None))))
         if new:
             met = {words[i] for i in new}
             self.learn(met)
