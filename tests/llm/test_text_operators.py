@@ -397,6 +397,43 @@ def test_components_on_chains_and_stars(spark):
     assert got == {**{i: 100 for i in range(101, 141)}, **{i: 200 for i in range(201, 230)}, 9: 8}
 
 
+@pytest.mark.parametrize("chunk", [3, 100_000])
+def test_components_of_random_edges(spark, chunk, monkeypatch):
+    from threadlens.llm import components as c
+    from threadlens.work import Workspace
+
+    monkeypatch.setattr(c, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    edges = [tuple(int(x) for x in e) for e in rng.integers(0, 400, (260, 2))] + [(500 + i, 501 + i) for i in range(30)] + [(600, 600)] * 2
+    edges += [(b, a) for a, b in edges[:50]] + [(700, 700 + i) for i in range(60)]
+    of, least = minhash.roots(800, edges), {}
+    for x in range(800):
+        least.setdefault(of[x], x)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    got = sorted(tuple(r) for r in c.components(df, Workspace(spark, "test")).collect())
+    assert got == [(x, least[of[x]]) for x in range(800) if least[of[x]] != x]
+    met = {x for a, b in edges if a != b for x in (a, b)}
+    assert sorted(tuple(r) for r in c.members(df, Workspace(spark, "test")).collect()) == [(x, least[of[x]]) for x in sorted(met)]
+
+
+def test_components_write_no_table_to_see_no_change(spark, monkeypatch):
+    """Each table costs a task for each shuffle partition, so chains that a task holds whole cost two, and near copies in parts few."""
+    from threadlens.llm.components import components
+    from threadlens.work import Workspace
+
+    written, keep = [], Workspace.keep
+    monkeypatch.setattr(Workspace, "keep", lambda self, df, name="t", *more: written.append(name) or keep(self, df, name, *more))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").coalesce(1)
+    assert {r["root"] for r in components(edges, Workspace(spark, "test")).collect()} == {0} and len(written) == 2
+    monkeypatch.setattr(minhash, "BUCKET", 8)
+    monkeypatch.setattr(minhash, "FAMILY", 600)
+    written.clear()
+    words = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*words[: i % 40], f"x{i}", *words[i % 40 :]]), "en", "s") for i in range(60)]
+    assert {r["component_id"] for r in minhash.near_duplicates(frame(spark, rows).repartition(8)).collect()} == {0}
+    assert len(written) <= 30
+
+
 def test_steps_without_use_come_last():
     """A cutoff that rejects no poor row, however few others it meets, stands behind one that does, also where junk among the others makes that one dear."""
     cuts = {rule: len(c) for rule, (_, c) in quality.RULES.items()}

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadlens.llm.common import arrow_limits, blocks, mix, text_views, tidy, word_hashes, word_spans
-from threadlens.llm.components import components
+from threadlens.llm.components import members as connected
 from threadlens.llm.places import AT, FILE, picked, placed, stored
 from threadlens.session import table
 from threadlens.work import Workspace
@@ -226,18 +226,18 @@ def forest(rows: DataFrame, nearness: Callable, work: Workspace, hot: bool) -> D
     met = work.keep(first.repartition("key", "p").sortWithinPartitions("key", "p", "member").select(*columns).mapInArrow(tidy(search), "a long, b long, key long, met long"), "searched")
     edges = met.where("b IS NOT NULL").select("a", "b")
     if not hot:
-        return edges.distinct()
+        return edges
     marks = met.where("b IS NULL").select(F.col("a").alias("member"), "key", "met")
-    popular = F.array(*[F.sum(F.getbit("met", F.lit(i))) for i in range(PIVOTS)])
-    popular = work.keep(marks.groupBy("key").agg(popular.alias("n")).select("key", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("best")), "popular")
+    # every member of a group in parts has a mark, so the marks' counts are the members'
+    popular = marks.groupBy("key").agg(F.array(*[F.sum(F.getbit("met", F.lit(i))) for i in range(PIVOTS)]).alias("n"), F.count("*").alias("all"))
+    popular = popular.select("key", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("best"), (F.col("all") - F.array_max("n")).alias("left"), "all")
+    popular = work.keep(popular.where(F.col("left") > 0), "popular")
     alone = marks.join(popular, "key").where("getbit(met, best) = 0").select("key", "member")
     # the others, in blocks of the size of a part, against every part
-    alone = work.keep(large.join(alone, ["key", "member"]), "alone")
-    blocks_ = alone.groupBy("key").agg(F.count("*").alias("n"), F.max("parts").alias("parts")).join(large.groupBy("key").agg(F.count("*").alias("all")), "key")
-    blocks_ = work.keep(blocks_.select("key", F.ceil(F.col("n") * F.col("parts") / F.col("all")).cast("int").alias("blocks")), "blocks")
+    whole = large.join(popular, "key").withColumn("blocks", F.ceil(F.col("left") * F.col("parts") / F.col("all")).cast("int"))
     block = lambda c: F.explode(F.sequence(F.lit(0), c.cast("int") - 1))
-    whole = large.join(blocks_, "key").withColumn("p", own).withColumn("q", block(F.col("blocks"))).withColumn("open", F.lit(0))
-    open_ = alone.join(blocks_, "key").withColumn("q", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("p", block(F.col("parts"))).withColumn("open", F.lit(1))
+    open_ = whole.join(alone, ["key", "member"]).withColumn("q", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("p", block(F.col("parts"))).withColumn("open", F.lit(1))
+    whole = whole.withColumn("p", own).withColumn("q", block(F.col("blocks"))).withColumn("open", F.lit(0))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -264,7 +264,7 @@ def forest(rows: DataFrame, nearness: Callable, work: Workspace, hot: bool) -> D
     columns = ["key", "p", "q", "open", "member", "size", "load"]
     both = whole.select(*columns).unionByName(open_.select(*columns))
     more = both.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "member").mapInArrow(tidy(compare), "a long, b long")
-    return edges.unionByName(more).distinct()
+    return edges.unionByName(more)
 
 
 def by_signature(distance: int, percent: int, symbols: int) -> Callable:
@@ -337,18 +337,16 @@ def compared(docs: DataFrame, work: Workspace, text: str, percent: int) -> DataF
     hot = not members.where(F.col("n") > BUCKET).isEmpty()
     signed_ = members.join(reps.select("rep", "n_shingles", "sig"), "rep")
     signed_ = signed_.select("key", F.ceil(F.col("n") / BUCKET).alias("parts"), F.col("rep").alias("member"), F.col("n_shingles").alias("size"), F.col("sig").alias("load"))
-    found = components(forest(signed_, by_signature(2 * chunks - 1, percent, chunks * width), work, hot), work)
+    found = connected(forest(signed_, by_signature(2 * chunks - 1, percent, chunks * width), work, hot), work)
     work.drop(members)
     families = found.select(F.col("root").alias("key"), F.col("node").alias("member"))
-    families = families.unionByName(families.select("key", F.col("key").alias("member")).distinct())
     families = work.keep(families.join(reps.select(F.col("rep").alias("member"), "n_shingles", f"first.{FILE}", f"first.{AT}"), "member"), "families")
     parts = families.groupBy("key").agg(F.ceil(F.sum("n_shingles") / FAMILY).alias("parts"))
     sets = shingled(picked(docs, families.select(FILE, AT), True, work, [t]))
     sets = families.join(parts, "key").join(sets, [FILE, AT]).select("key", "parts", "member", F.col("n_shingles").alias("size"), F.col("shingles").alias("load"))
     sets = work.keep(sets, "sets")
-    links = components(forest(sets, by_similarity(percent), work, not sets.where("parts > 1").isEmpty()), work)
+    links = connected(forest(sets, by_similarity(percent), work, not sets.where("parts > 1").isEmpty()), work)
     linked = links.select("root", F.col("node").alias("rep"))
-    linked = linked.unionByName(linked.select("root", F.col("root").alias("rep")).distinct())
     best = linked.join(reps.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("best"))
     best = work.keep(linked.join(best, "root").select("rep", "best"), "best")
     best = reps.join(best, "rep", "left").select(*same, F.coalesce("best", "first").alias("best"))
