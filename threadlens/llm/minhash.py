@@ -232,12 +232,12 @@ def forest(rows: DataFrame, nearness: Callable, work: Workspace, hot: bool) -> D
     popular = marks.groupBy("key").agg(F.array(*[F.sum(F.getbit("met", F.lit(i))) for i in range(PIVOTS)]).alias("n"), F.count("*").alias("all"))
     popular = popular.select("key", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("best"), (F.col("all") - F.array_max("n")).alias("left"), "all")
     popular = work.keep(popular.where(F.col("left") > 0), "popular")
-    alone = marks.join(popular, "key").where("getbit(met, best) = 0").select("key", "member")
+    alone = marks.join(popular, "key").where("getbit(met, best) = 0").select("key", "member", "left", "all")
     # the others, in blocks of the size of a part, against every part
-    whole = large.join(popular, "key").withColumn("blocks", F.ceil(F.col("left") * F.col("parts") / F.col("all")).cast("int"))
+    many = F.ceil(F.col("left") * F.col("parts") / F.col("all")).cast("int")
     block = lambda c: F.explode(F.sequence(F.lit(0), c.cast("int") - 1))
-    open_ = whole.join(alone, ["key", "member"]).withColumn("q", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")).withColumn("p", block(F.col("parts"))).withColumn("open", F.lit(1))
-    whole = whole.withColumn("p", own).withColumn("q", block(F.col("blocks"))).withColumn("open", F.lit(0))
+    open_ = large.join(alone, ["key", "member"]).withColumn("q", F.pmod(F.xxhash64("member"), many).cast("int")).withColumn("p", block(F.col("parts"))).withColumn("open", F.lit(1))
+    whole = large.join(popular, "key").withColumn("p", own).withColumn("q", block(many)).withColumn("open", F.lit(0))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
