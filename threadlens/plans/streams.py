@@ -110,11 +110,12 @@ def incremental_build(spark, d):
 
 
 def late_data(spark, d):
-    """Sequence numbers in any order of arrival: all are taken, nothing waits for the missing ones."""
+    """Sequence numbers in any order of arrival: all are taken, nothing waits for the missing ones. Of events with the same number the earliest is first or last."""
     e = _events(spark, d).withColumn("sequence_no", F.col("event_id") * 7919 % 10007)
     gaps = F.max("sequence_no") - F.min("sequence_no") + 1 - F.count_distinct("sequence_no")
     late = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) != F.row_number().over(Window.partitionBy("user_id").orderBy("sequence_no", "event_id"))
-    return e.withColumn("late", late).groupBy("user_id").agg(F.min_by("event_id", "sequence_no").alias("first"), F.max_by("event_id", "sequence_no").alias("last"), gaps.alias("missing"), F.count_if("late").alias("out_of_place"))
+    place = lambda then: F.when(F.col("sequence_no").isNotNull(), F.struct("sequence_no", then))
+    return e.withColumn("late", late).groupBy("user_id").agg(F.min_by("event_id", place(F.col("event_id"))).alias("first"), F.max_by("event_id", place(-F.col("event_id"))).alias("last"), gaps.alias("missing"), F.count_if("late").alias("out_of_place"))
 
 
 def input_age(spark, d):
