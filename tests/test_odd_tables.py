@@ -1,4 +1,4 @@
-"""Queries against their SQL twins on small tables with what the test data lacks: ties."""
+"""Queries against their SQL twins on small tables with what the test data lacks: ties, empty and null texts, rare white space."""
 
 import datetime
 
@@ -27,3 +27,17 @@ def test_late_data_with_equal_numbers(spark, tmp_path):
     events = [(i + 10007 * k, then, i % 7, "view", 1.0) for k in range(4) for i in range(20)]
     tables = {"events": (events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")}
     assert differences(spark, tmp_path, "stm.late_data", tables) == [[], []]
+
+
+#: No text, nothing but white space, paragraphs; more than a piece holds of words, and of signs that other engines call white space.
+TEXTS = ["", None, " ", "\n", "a", "a. b", "a.\n\nb. ", "one\ntwo", "w " * 1_500, "x\u3000" * 900, "\u00a0\u2028\x1c\x85" * 300, "漢字 é " * 700]
+
+
+def documents(texts):
+    return {"documents": (list(enumerate(texts)), "doc_id long, text string")}
+
+
+def test_lines_without_text(spark, tmp_path):
+    tables = documents(TEXTS)
+    tables["documents"][0].extend([(3, "\n"), (None, "a\nb"), (None, None)])
+    assert differences(spark, tmp_path, "chk.split_lines", tables) == [[], []]

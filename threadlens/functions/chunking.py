@@ -22,7 +22,8 @@ VERSION = "m4-1"
 Counter = Callable[[str], int]
 
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+#: White space as SQL's expressions know it: wider or rarer kinds (no-break, ideographic, vertical) are signs.
+_TOKEN = re.compile(r"\w+|[^\w \t\n\f\r]")
 
 
 def words_and_signs(text: str) -> int:
