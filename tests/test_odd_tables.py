@@ -45,3 +45,7 @@ def test_lines_without_text(spark, tmp_path):
     tables = documents(TEXTS)
     tables["documents"][0].extend([(3, "\n"), (None, "a\nb"), (None, None)])
     assert differences(spark, tmp_path, "chk.split_lines", tables) == [[], []]
+
+
+def test_atoms_without_text(spark, tmp_path):
+    assert differences(spark, tmp_path, "sp.atoms", documents(TEXTS)) == [[], []]

@@ -224,8 +224,9 @@ def known_secrets(spark, d):
 def atoms(spark, d):
     from threadlens.functions import chunking
 
-    find = F.udf(lambda t: [(a.start, a.end, a.tokens) for a in chunking.atoms_of([(0, 1, t)], chunking.words_and_signs)], "array<struct<a:int,b:int,tokens:int>>", useArrow=True)
-    return table(spark, d, "documents").select("doc_id", find("text").alias("s")).select("doc_id", F.aggregate("s", F.lit(0), lambda x, y: x + y["b"] - y["a"]).alias("covered"), (F.array_max(F.transform("s", lambda y: y["tokens"])) <= 1067).alias("within"))
+    # an empty text has no atoms, and none of them is too long; a null one covers nothing that is known
+    find = F.udf(lambda t: None if t is None else [(a.start, a.end, a.tokens) for a in chunking.atoms_of([(0, 1, t)], chunking.words_and_signs)], "array<struct<a:int,b:int,tokens:int>>", useArrow=True)
+    return table(spark, d, "documents").select("doc_id", find("text").alias("s")).select("doc_id", F.aggregate("s", F.lit(0), lambda x, y: x + y["b"] - y["a"]).alias("covered"), F.coalesce(F.forall("s", lambda y: y["tokens"] <= 1067), F.lit(True)).alias("within"))
 
 
 def collector_state(spark, d):
