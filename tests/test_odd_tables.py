@@ -109,3 +109,11 @@ def test_top_sharing_as_all_pairs(spark, names, shape):
         d, a = (docs, asked) if session else (docs.drop("session", "number"), asked.drop("own", "until"))
         got = [tuple(x) for x in postings.top_sharing(d, a, ["p"], limit, session=session).collect()]
         assert len(got) == len(want) and {*got} == want
+
+
+def test_strategy_meets_few_messages_of_a_project(spark, tmp_path):
+    """One project, one long conversation among short ones; a request has four sets of two or three terms at most, and each set twenty messages of other conversations."""
+    talks = [(5 * c, t, "assistant" if t % 2 else "user", "x") for c in range(1, 601) for t in range(300 if c == 7 else 6)]
+    asked = sum(role == "user" and (c * 1000 + t) % 7 == 0 for c, t, role, _ in talks)
+    assert differences(spark, tmp_path, "rt.strategy", {"conversations": (talks, "conv_id long, turn long, role string, text string")}) == [[], []]
+    assert joined(registry.queries()["rt.strategy"](spark, str(tmp_path)))[1] <= asked * 4 * 20

@@ -36,8 +36,7 @@ def strategy(spark, d):
     m = m.withColumn("terms", F.transform(named, lambda x: F.concat_ws(":", x["axis"], x["choice"])))
     asked = m.where("role = 'user' AND message_id % 7 = 0").select(F.col("message_id").alias("request_id"), F.col("session_id").alias("own"), F.col("sequence_no").alias("input_no"), "project_id", "terms")
     docs = m.select(F.col("message_id").alias("document_id"), "session_id", "sequence_no", "project_id", "terms")
-    hits = postings.sharing(docs, asked, ["project_id"]).where("NOT (session_id = own AND sequence_no >= input_no)")
-    return op.top_per_key(hits, ["request_id"], [F.col("matched_terms").desc(), F.col("document_id")], ordering.STRATEGY_LIMIT).select("request_id", "document_id", "matched_terms", "rank")
+    return postings.top_sharing(docs, asked, ["project_id"], ordering.STRATEGY_LIMIT, session=("session_id", "sequence_no", "own", "input_no"))
 
 
 def _turn_requests(spark, d):
